@@ -1,0 +1,85 @@
+"""File trees on shared storage as inventory rows."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from shelfmark import schemas
+from shelfmark.session import cut_lineage
+
+BATCH_ROWS = 20_000
+LISTED = (
+    "dataset_id string, root string, relative_path string, kind string, target_kind string, dev bigint, ino bigint, "
+    "size bigint, mode int, uid bigint, is_dangling boolean, content_present boolean, checksum string"
+)
+
+
+def _folder_lister():
+    """Build the task function; it carries its helpers along, so tasks need no package installed."""
+    import os
+    import stat
+
+    import pandas as pd
+
+    columns = [part.split()[0] for part in LISTED.split(", ")]
+    batch_rows = BATCH_ROWS
+
+    def kind_of(mode: int) -> str:
+        if stat.S_ISDIR(mode):
+            return "dir"
+        if stat.S_ISLNK(mode):
+            return "symlink"
+        return "file" if stat.S_ISREG(mode) else "special"
+
+    def row(dataset_id: str, root: str, relative: str) -> tuple:
+        full = os.path.join(root, relative)
+        own = os.lstat(full)
+        kind, target_kind, dangling, seen = kind_of(own.st_mode), None, False, own
+        if kind == "symlink":
+            try:
+                seen = os.stat(full)
+                target_kind = kind_of(seen.st_mode)
+            except FileNotFoundError:
+                dangling = True
+        return (
+            dataset_id, root, relative, kind, target_kind, seen.st_dev, seen.st_ino, seen.st_size,
+            stat.S_IMODE(own.st_mode), own.st_uid, dangling, not dangling, None,
+        )
+
+    def list_folders(batches: Iterator) -> Iterator:
+        for batch in batches:
+            rows: list[tuple] = []
+            for dataset_id, root, folder in zip(batch["dataset_id"], batch["root"], batch["relative_path"]):
+                with os.scandir(os.path.join(root, folder) if folder else root) as entries:
+                    for entry in entries:
+                        rows.append(row(dataset_id, root, f"{folder}/{entry.name}" if folder else entry.name))
+                        if len(rows) >= batch_rows:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
+
+    return list_folders
+
+
+def file_inventory(roots: DataFrame, parallelism: int | None = None) -> DataFrame:
+    """Every entry below the dataset roots (dataset_id, root), without following links.
+
+    Folders are listed level by level and spread anew on each level, so one huge tree is listed
+    by many tasks; an unreadable folder is an error. The folders must be on storage all executors see.
+    """
+    tasks = parallelism or roots.sparkSession.sparkContext.defaultParallelism
+    level = roots.select("dataset_id", F.rtrim("root", F.lit("/")).alias("root"), F.lit("").alias("relative_path"))
+    found: DataFrame | None = None
+    while True:
+        listed = cut_lineage(
+            level.repartition(tasks, F.xxhash64("root", "relative_path")).mapInPandas(_folder_lister(), LISTED)
+        )
+        found = listed if found is None else found.unionByName(listed)
+        level = listed.filter("kind = 'dir'").select("dataset_id", "root", "relative_path")
+        if level.isEmpty():
+            break
+    return found.select(*[f.name for f in schemas.FILE_INVENTORY])

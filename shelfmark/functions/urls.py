@@ -11,35 +11,29 @@ from pyspark.sql import functions as F
 from shelfmark import vocab
 from shelfmark.functions.values import strip
 
-URL_HEAD = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?//([^/?#]*)([^?#]*)"
-IGNORED_CHARS = r"^[\x00-\x20]+|[\t\r\n]"
+# One pattern, one group per part: scheme, location, host, port, path. User data ends at the last "@".
+URL_PARTS = r"^[\x00-\x20]*(?:([A-Za-z][A-Za-z0-9+.-]*):)?//((?:[^/?#]*@)?(\[[^\]/?#]*\]|[^:/?#]*)(?::([^/?#]*))?[^/?#]*)([^?#]*)"
 
 
 def parse(url: Column) -> Column:
-    """Split a URL once into a struct; every other function here reads that struct.
+    """Split a URL into a struct; every other function here reads that struct."""
+    def part(group: int) -> Column:
+        return F.regexp_extract(url, URL_PARTS, group)
 
-    Keep the struct as a column of its own (``df.withColumn("_u", parse(...))``): the optimizer
-    then evaluates it once per row instead of once per use.
-    """
-    text = F.regexp_replace(url, IGNORED_CHARS, "")
-    located = F.regexp_extract(text, URL_HEAD, 2)
-    host_port = F.regexp_replace(located, "^.*@", "")
-    bracketed = F.regexp_extract(host_port, r"^\[([^\]]*)\]", 1)
-    raw_path = F.regexp_extract(text, URL_HEAD, 3)
     return F.struct(
-        F.lower(F.regexp_extract(text, URL_HEAD, 1)).alias("scheme"),
-        located.alias("location"),
-        F.lower(
-            F.when(bracketed != "", bracketed).otherwise(F.regexp_extract(host_port, "^([^:]*)", 1))
-        ).alias("host"),
-        F.regexp_extract(host_port, r"^(?:\[[^\]]*\]|[^:]*):(.*)$", 1).alias("port_text"),
-        raw_path.alias("raw_path"),
-        F.array_remove(F.split(F.regexp_replace(raw_path, r";[^/]*$", ""), "/"), "").alias("segments"),
+        F.lower(part(1)).alias("scheme"), part(2).alias("location"), F.lower(part(3)).alias("host"),
+        part(4).alias("port_text"), part(5).alias("raw_path"),
+        F.array_remove(F.split(F.regexp_replace(part(5), r";[^/]*$", ""), "/"), "").alias("segments"),
     )
 
 
 def with_parts(df: DataFrame, url: Column, name: str = "_u") -> DataFrame:
-    return df.withColumn(name, parse(url))
+    """Add the parsed URL, evaluated once per row.
+
+    A generator of one row binds the struct: as a plain projection the optimizer would copy the
+    extractions into every filter and join condition that reads a part.
+    """
+    return df.select("*", F.explode(F.array(parse(url))).alias(name))
 
 
 def port(u: Column) -> Column:

@@ -224,7 +224,7 @@ def _needle_runs(needle: Column) -> Column:
 def _grams(value: Column, width: int) -> Column:
     starts = F.sequence(F.lit(1), F.greatest(F.length(value) - (width - 1), F.lit(1)))
     return F.when(
-        F.length(value) >= width, F.array_distinct(F.transform(starts, lambda i: F.substring(value, i, F.lit(width))))
+        F.length(value) >= width, F.array_distinct(F.transform(starts, lambda i: value.substr(i, F.lit(width))))
     ).otherwise(F.array().cast("array<string>"))
 
 
@@ -266,7 +266,7 @@ def search_by_name(needles: DataFrame, datasets: DataFrame, aliases: DataFrame)
     )
     hits = (
         posted.join(rarest, ["width", "gram"])
-        .filter(F.col("label").ilike(F.concat(F.lit("%"), F.replace("needle", F.lit("\\"), F.lit("\\\\")), F.lit("%"))))
+        .filter(F.ilike("label", F.concat(F.lit("%"), F.replace("needle", F.lit("\\"), F.lit("\\\\")), F.lit("%"))))
         .select("request_id", "dataset_id").distinct()
     )
     newest = datasets.select("dataset_id", "created_at")

@@ -76,10 +76,10 @@ def render_fields(fields: Column) -> Column:
 
 
 def size_label(size: Column) -> Column:
-    """Human-readable size; a dash where the size is unknown."""
+    """Human-readable size; a dash where the size is unknown. Halves round to the even digit."""
     amount = size.cast("double")
     label = F.when(size.isNull(), F.lit("-")).when(amount < 1024, F.concat(size.cast("string"), F.lit(" B")))
     for power, unit in enumerate(["KB", "MB", "GB", "TB"], start=1):
         scaled = amount / float(1024**power)
-        label = label.when(scaled < 1024, F.format_string(f"%.1f {unit}", scaled))
-    return label.otherwise(F.format_string("%.1f PB", amount / float(1024**5)))
+        label = label.when(scaled < 1024, F.format_string(f"%.1f {unit}", F.bround(scaled, 1)))
+    return label.otherwise(F.format_string("%.1f PB", F.bround(amount / float(1024**5), 1)))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfmark import vocab
 from shelfmark.functions.tables import top_per_key
 from shelfmark.operators.search import location_keys, name_keys
-from shelfmark.session import cut_lineage
+from shelfmark.session import counted_cut, cut_lineage
 
 
 def _key(namespace: str, value: Column) -> Column:
@@ -175,10 +175,10 @@ def settle_claims(claims: DataFrame) -> DataFrame:
     contested = claims.groupBy("key").agg(
         F.min("holder").alias("_low"), F.max("holder").alias("_high")
     ).filter("_low <> _high").select("key")
-    pending = cut_lineage(claims.join(contested, "key", "left_semi"))
-    decided: DataFrame | None = None
-    while not pending.isEmpty():
-        # The earliest claim of each holder, and of those the two earliest holders, per key.
+    pending, left = counted_cut(claims.join(contested, "key", "left_semi"))
+    decided = pending.select("request_id", F.lit(True).alias("accepted")).limit(0)
+    while left:
+        # Per key the earliest claims of the two earliest holders: everybody's first rival.
         firsts = pending.groupBy("key", "holder").agg(F.min("ord").alias("ord"))
         two = top_per_key(firsts, ["key"], [F.col("ord").asc(), F.col("holder").asc()], 2)
         leaders = two.groupBy("key").agg(
@@ -190,18 +190,14 @@ def settle_claims(claims: DataFrame) -> DataFrame:
         verdicts = pending.join(leaders, "key").groupBy("request_id").agg(
             F.bool_and(F.coalesce(F.col("ord") < rival, F.lit(True))).alias("wins")
         )
-        won = cut_lineage(pending.join(verdicts.filter("wins").select("request_id"), "request_id", "left_semi"))
+        marked = cut_lineage(pending.join(verdicts, "request_id"))
+        won, rest = marked.filter("wins"), marked.filter("not wins").drop("wins")
         # An accepted holder is unique per key: two accepted rivals would have met on it.
         taken = won.groupBy("key").agg(F.max("holder").alias("winner"))
-        rest = pending.join(won.select("request_id").distinct(), "request_id", "left_anti")
-        lost = cut_lineage(
-            rest.join(taken, "key").filter(F.col("holder") != F.col("winner")).select("request_id").distinct()
-        )
-        round_result = won.select("request_id").distinct().withColumn("accepted", F.lit(True)).unionByName(
+        beaten = rest.join(taken, "key").filter(F.col("holder") != F.col("winner")).select("request_id").distinct()
+        lost = cut_lineage(beaten)
+        decided = decided.unionByName(won.select("request_id").distinct().withColumn("accepted", F.lit(True))).unionByName(
             lost.withColumn("accepted", F.lit(False))
         )
-        decided = round_result if decided is None else decided.unionByName(round_result)
-        pending = cut_lineage(rest.join(lost, "request_id", "left_anti"))
-    if decided is None:
-        return claims.select("request_id", F.lit(True).alias("accepted")).limit(0)
+        pending, left = counted_cut(rest.join(lost, "request_id", "left_anti"))
     return decided

@@ -28,7 +28,9 @@ def retry_after_seconds(value: Column, now: str) -> Column:
     at = F.try_to_timestamp(date_text, F.lit("d MMM yyyy HH:mm:ss"))
     until = F.unix_timestamp(at) - F.unix_timestamp(F.lit(now).cast("timestamp"))
     number = F.trim(value).try_cast("double")
-    return F.when(number.isNotNull(), F.greatest(F.lit(0.0), number)).otherwise(F.greatest(F.lit(0.0), until.cast("double")))
+    return F.when(number.isNotNull(), F.greatest(F.lit(0.0), number)).when(
+        until.isNotNull(), F.greatest(F.lit(0.0), until.cast("double"))
+    )
 
 
 def with_decision(attempts: DataFrame, now: str) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark import vocab
-from shelfmark.session import fresh_dir
+from shelfmark.session import counted_cut, fresh_dir
 
 BLOCKS_PER_JOB = 6
+FOLD_LIMIT = 10_000
 
 
 def environment_key(environment):
@@ -22,26 +23,54 @@ def cooldown_gate(
     ts: str = "ts",
     cooldown: int = vocab.HEALTH_COOLDOWN_SECONDS,
     previous: DataFrame | None = None,
+    fold_limit: int = FOLD_LIMIT,
 ) -> DataFrame:
     """Events kept when each must lie a full cooldown after the last *kept* event of its key.
 
-    Time is cut into blocks one cooldown long, so a key keeps at most one event per block, and
-    which one depends on the block before only. Each block is one small minimum over its own
-    slice of the events; a key that holds a third of all events never meets in one task.
+    A key with at most ``fold_limit`` distinct event times is folded in one pass over its sorted
+    times. A larger key takes the way of ``_gate_in_blocks``, where it never meets in one task.
     ``previous`` (key, last) is what earlier batches kept.
     """
-    spark = events.sparkSession
+    times = events.filter(F.col(ts).isNotNull()).select(key, F.unix_micros(F.col(ts)).alias("at")).distinct()
     width = cooldown * 1_000_000
-    micros = F.unix_micros(F.col(ts))
+    before = None if previous is None else previous.groupBy(key).agg(F.max(F.unix_micros("last")).alias("last"))
+    busy, many = counted_cut(times.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > fold_limit).select(key))
+    rest = times.join(busy, key, "left_anti") if many else times
+    folded = _gate_by_fold(rest, key, width, before)
+    if many:
+        folded = folded.unionByName(_gate_in_blocks(times.join(busy, key, "left_semi"), key, width, before))
+    return folded.select(key, F.timestamp_micros("at").alias(ts))
+
+
+def _gate_by_fold(times: DataFrame, key: str, width: int, before: DataFrame | None) -> DataFrame:
+    lists = times.groupBy(key).agg(F.sort_array(F.collect_list("at")).alias("times"))  # fold_limit at most
+    if before is None:
+        lists = lists.withColumn("last", F.lit(None).cast("bigint"))
+    else:
+        lists = lists.join(before, key, "left")
+    empty = F.array().cast("array<bigint>")
+    state = F.struct(F.col("last").alias("last"), empty.alias("kept"))
+    kept = F.aggregate(
+        "times", state,
+        lambda acc, at: F.when(acc["last"].isNotNull() & (at < acc["last"] + width), acc).otherwise(
+            F.struct(at.alias("last"), F.concat(acc["kept"], F.array(at)).alias("kept"))
+        ),
+        lambda acc: acc["kept"],
+    )
+    return lists.select(key, F.explode(kept).alias("at"))
+
+
+def _gate_in_blocks(times: DataFrame, key: str, width: int, before: DataFrame | None) -> DataFrame:
+    """Cut time into blocks one cooldown long: a key keeps at most one event per block, and which
+    one depends on the block before only. Each block is one small minimum over its own slice.
+    """
+    spark = times.sparkSession
     slices, kept_path = fresh_dir(spark, "gate-events"), fresh_dir(spark, "gate-kept")
-    events.filter(F.col(ts).isNotNull()).select(
-        key, micros.alias("at"), F.floor(micros / F.lit(width)).cast("bigint").alias("block")
-    ).distinct().write.partitionBy("block").parquet(slices)
+    times.withColumn("block", F.floor(F.col("at") / F.lit(width)).cast("bigint")).write.partitionBy("block").parquet(slices)
     sliced = spark.read.schema(f"{key} string, at bigint, block bigint").parquet(slices)
     # One number per cooldown of the covered time span: control data, not rows.
     blocks = sorted(row[0] for row in sliced.select("block").distinct().collect())
     kept_schema = f"{key} string, at bigint, block bigint"
-    before = None if previous is None else previous.select(key, F.unix_micros("last").alias("last"))
 
     def keep(block: int, earlier: DataFrame | None) -> DataFrame:
         current = sliced.filter(F.col("block") == block)
@@ -51,21 +80,17 @@ def cooldown_gate(
             current = current.join(last, key, "left").filter(F.col("last").isNull() | (F.col("at") >= F.col("last") + width))
         return current.groupBy(key).agg(F.min("at").alias("at")).withColumn("block", F.lit(block).cast("bigint"))
 
+    def written() -> DataFrame:
+        return spark.read.schema(kept_schema).parquet(kept_path)
+
     earlier: DataFrame | None = None
     for start in range(0, len(blocks), BLOCKS_PER_JOB):
         chunk = blocks[start : start + BLOCKS_PER_JOB]
-        results = []
+        union: DataFrame | None = None
         for block in chunk:
             kept = keep(block, earlier)
-            results.append(kept)
+            union = kept if union is None else union.unionByName(kept)
             earlier = kept.select(key, F.col("at").alias("last"))
-        union = results[0]
-        for other in results[1:]:
-            union = union.unionByName(other)
         union.write.mode("append").parquet(kept_path)
-        earlier = spark.read.schema(kept_schema).parquet(kept_path).filter(F.col("block") == chunk[-1]).select(
-            key, F.col("at").alias("last")
-        )
-    if not blocks:
-        return events.select(key, ts).limit(0)
-    return spark.read.schema(kept_schema).parquet(kept_path).select(key, F.timestamp_micros("at").alias(ts))
+        earlier = written().filter(F.col("block") == chunk[-1]).select(key, F.col("at").alias("last"))
+    return written().select(key, "at")

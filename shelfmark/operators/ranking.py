@@ -113,7 +113,7 @@ def rank_nodes(profiles: DataFrame, scores: DataFrame, size: int = vocab.SHORTLI
     # At most ``size`` rows reach the single-task window.
     return scores.join(F.broadcast(shortlist), "node").filter("throughput_successes > 0").withColumn("rank", F.row_number().over(final)).select(
         "rank", "node", "throughput_successes", F.round("overall_ratio", 6).alias("overall_ratio"),
-        F.round("median_throughput", 2).alias("median_throughput"), F.round("p95_latency", 0).alias("p95_latency"),
+        F.round("median_throughput", 6).alias("median_throughput"), F.round("p95_latency", 6).alias("p95_latency"),
     )
 
 

@@ -467,7 +467,7 @@ def ranking(size: int) -> str:
 ranked AS (SELECT row_number() OVER (ORDER BY throughput_successes DESC, overall_ratio DESC, median_throughput DESC, p95_latency ASC NULLS LAST, node_order) AS rank, * FROM ({SCORES}) s JOIN shortlist USING (node) WHERE throughput_successes > 0)"""
 
 
-oracle("rank_nodes", f"""WITH {ranking(3)} SELECT CAST(rank AS INT) AS rank, node, throughput_successes, round(overall_ratio, 6) AS overall_ratio, round(median_throughput, 2) AS median_throughput, round(p95_latency, 0) AS p95_latency FROM ranked""")
+oracle("rank_nodes", f"""WITH {ranking(3)} SELECT CAST(rank AS INT) AS rank, node, throughput_successes, round(overall_ratio, 6) AS overall_ratio, round(median_throughput, 6) AS median_throughput, round(p95_latency, 6) AS p95_latency FROM ranked""")
 
 oracle("supplement_shortlist", f"""WITH cheap AS ({profiles('node_probes', 'latency')}), real_probe AS ({profiles('node_probes', 'real_latency')}),
 need AS (SELECT least(3, count(*)) - count(*) FILTER (WHERE successes > 0) AS slots FROM cheap),

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -68,6 +69,18 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialize a frame in the shared folder, so that a lost executor costs no replay."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a frame to the shared folder once and go on from the files.
+
+    A lost executor then costs no replay of the rounds before, and the planner knows the real
+    size of what follows.
+    """
+    return counted_cut(df)[0]
+
+
+def counted_cut(df: DataFrame) -> tuple[DataFrame, int]:
+    """Like ``cut_lineage``, with the row count seen while writing."""
+    spark = df.sparkSession
+    path = fresh_dir(spark, "cut")
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["rows"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark import vocab
-from shelfmark.session import cut_lineage
+from shelfmark.session import counted_cut, cut_lineage
 
 OSF_PAGE = (
     "data array<struct<attributes: struct<kind: string, materialized_path: string, size: string>, "
@@ -48,47 +48,58 @@ def osf_entries(pages: DataFrame) -> DataFrame:
 def reachable_pages(pages: DataFrame, roots: DataFrame, entries: DataFrame) -> DataFrame:
     """(source_id, page_url) of the pages a walk from the roots visits, each once.
 
-    Next-page links form chains as long as a folder is big, so they are followed by doubling:
-    after k steps the jump table skips 2^k pages. Only folder depth costs one round per level.
+    Next-page links form chains as long as a folder is big. Pages where a walk can enter or meet
+    (roots, folder targets, pages with several predecessors) are heads; every other page finds
+    the head of its chain by pointer doubling, so a chain of n pages costs log n rounds. The walk
+    itself then runs over heads only, one round per folder level. Cycles end as nothing is new.
     """
     keys = ["source_id", "page_url"]
-    stored = pages.select(*keys).distinct()
-    jump = cut_lineage(
-        pages.select("source_id", "page_url", F.from_json("body", OSF_PAGE)["links"]["next"].alias("next_url"))
-        .filter("next_url is not null").groupBy(*keys).agg(F.min("next_url").alias("next_url"))
+    stored = cut_lineage(
+        pages.select(*keys, F.from_json("body", OSF_PAGE)["links"]["next"].alias("next_url")).dropDuplicates(keys)
     )
-    folders = cut_lineage(
-        entries.filter("kind = 'folder' and folder_url is not null")
-        .select("source_id", "page_url", page_address(F.col("folder_url")).alias("child_url")).distinct()
+    known = stored.select(*keys)
+    follows = stored.filter("next_url is not null").select("source_id", "page_url", F.col("next_url").alias("target"))
+    folders = entries.filter("kind = 'folder' and folder_url is not null").select(
+        *keys, page_address(F.col("folder_url")).alias("target")
     )
-    jumps = [jump]
-    reached: DataFrame | None = None
-    frontier = cut_lineage(roots.join(stored, keys, "left_semi").select(*keys).distinct())
-    while not frontier.isEmpty():
-        # Close the frontier over next links.
-        closed, step = frontier, 0
-        while True:
-            if step == len(jumps):
-                last = jumps[-1]
-                twice = last.select("source_id", "page_url", F.col("next_url").alias("mid")).join(
-                    last.select("source_id", F.col("page_url").alias("mid"), "next_url"), ["source_id", "mid"]
-                ).select("source_id", "page_url", "next_url")
-                jumps.append(cut_lineage(twice))
-            ahead = (
-                closed.join(jumps[step], keys).select("source_id", F.col("next_url").alias("page_url")).distinct()
-                .join(stored, keys, "left_semi").join(closed, keys, "left_anti")
-            )
-            ahead = cut_lineage(ahead)
-            if ahead.isEmpty():
-                break
-            closed = cut_lineage(closed.unionByName(ahead))
-            step += 1
-        fresh = closed if reached is None else closed.join(reached, keys, "left_anti")
-        fresh = cut_lineage(fresh)
-        reached = fresh if reached is None else cut_lineage(reached.unionByName(fresh))
-        children = fresh.join(folders, keys).select("source_id", F.col("child_url").alias("page_url")).distinct()
-        frontier = cut_lineage(children.join(stored, keys, "left_semi").join(reached, keys, "left_anti"))
-    return stored.limit(0) if reached is None else reached
+    meeting = follows.groupBy("source_id", "target").agg(F.count("*").alias("n")).filter("n > 1")
+    heads = cut_lineage(
+        roots.select(*keys)
+        .unionByName(folders.select("source_id", F.col("target").alias("page_url")))
+        .unionByName(meeting.select("source_id", F.col("target").alias("page_url")))
+        .distinct().join(known, keys, "left_semi")
+    )
+    target_is_head = heads.withColumnRenamed("page_url", "target")
+    # Chain links point backwards: every page that is no head has one page before it.
+    pointers, open_pages = counted_cut(
+        follows.join(target_is_head, ["source_id", "target"], "left_anti")
+        .select("source_id", F.col("target").alias("page_url"), F.col("page_url").alias("before")).join(known, keys, "left_semi")
+    )
+    placed = heads.select(*keys, F.col("page_url").alias("head"))
+    while open_pages:
+        located = placed.select("source_id", F.col("page_url").alias("before"), "head")
+        fresh, found = counted_cut(pointers.join(located, ["source_id", "before"]).select(*keys, "head"))
+        if not found:
+            break  # what is left hangs on no head: nothing reaches it
+        placed = placed.unionByName(fresh)
+        hop = pointers.select("source_id", F.col("page_url").alias("before"), F.col("before").alias("further"))
+        pointers, open_pages = counted_cut(
+            pointers.join(fresh, keys, "left_anti").join(hop, ["source_id", "before"]).select(*keys, F.col("further").alias("before"))
+        )
+    placed = cut_lineage(placed)
+    links = follows.join(target_is_head, ["source_id", "target"], "left_semi").unionByName(folders)
+    steps = cut_lineage(
+        links.join(placed, keys).select("source_id", "head", F.col("target").alias("child")).distinct()
+        .join(heads.withColumnRenamed("page_url", "child"), ["source_id", "child"], "left_semi")
+    )
+    frontier, new = counted_cut(roots.select("source_id", F.col("page_url").alias("head")).distinct().join(
+        heads.withColumnRenamed("page_url", "head"), ["source_id", "head"], "left_semi"))
+    reached = frontier
+    while new:
+        children = frontier.join(steps, ["source_id", "head"]).select("source_id", F.col("child").alias("head")).distinct()
+        frontier, new = counted_cut(children.join(reached, ["source_id", "head"], "left_anti"))
+        reached = reached.unionByName(frontier)
+    return placed.join(reached, ["source_id", "head"], "left_semi").select(*keys)
 
 
 def osf_manifest(pages: DataFrame, roots: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from shelfmark.operators import (
 )
 from shelfmark.plans import payloads
 from shelfmark.plans.adapters import Catalog
-from shelfmark.session import configure, fresh_dir
+from shelfmark.session import configure, cut_lineage, fresh_dir
 from shelfmark.sources import filetree, listings, logs, registry
 from shelfmark.streaming import jobs
 
@@ -75,6 +75,7 @@ def reconcile_schema(c: Catalog) -> DataFrame:
 @query
 def osf_manifest(c: Catalog) -> DataFrame:
     pages, roots = payloads.osf_pages(c.raw("orders"))
+    pages = cut_lineage(pages)  # listings land as a stored table
     return listings.osf_manifest(pages, roots).select("source_id", "relative_path", "size", "download_url")
 
 

@@ -59,9 +59,9 @@ def reachable_pages(pages: DataFrame, roots: DataFrame, entries: DataFrame) -> D
     )
     known = stored.select(*keys)
     follows = stored.filter("next_url is not null").select("source_id", "page_url", F.col("next_url").alias("target"))
-    folders = entries.filter("kind = 'folder' and folder_url is not null").select(
+    folders = cut_lineage(entries.filter("kind = 'folder' and folder_url is not null").select(
         *keys, page_address(F.col("folder_url")).alias("target")
-    )
+    ))
     meeting = follows.groupBy("source_id", "target").agg(F.count("*").alias("n")).filter("n > 1")
     heads = cut_lineage(
         roots.select(*keys)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ URL_IN_TEXT = rf"https?://[^{SPACE}\]\[)(}}{{<>\"']+"
 
 EVENT_LINE = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[^ ]*)Z (DEBUG|INFO|WARNING|ERROR|CRITICAL) ([^ ]+)(?: (.*))?$"
 INGEST_LINE = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[^ ]*) (START|FAILED|SUCCEEDED)(?: (.*))?$"
-FIELD = r"(\w+)=(.*?)(?=\s\w+=|$)"
+BEFORE_FIELD = r"\s(?=\w+=)"
 
 
 def clean_url(u: Column) -> Column:
@@ -44,13 +46,21 @@ def redact(text: Column, bearer_first: bool = False) -> Column:
     def bearers(column: Column) -> Column:
         return F.regexp_replace(column, BEARER, "Bearer <redacted>")
 
-    masked = assignments(bearers(text)) if bearer_first else bearers(assignments(text))
-    between = F.split(masked, URL_IN_TEXT, -1)
-    found = F.transform(F.regexp_extract_all(masked, F.lit(URL_IN_TEXT), F.lit(0)), urls.parse)
-    cleaned = F.transform(found, clean_url)
-    woven = F.zip_with(between, cleaned, lambda piece, url: F.concat(piece, F.coalesce(url, F.lit(""))))
-    # Most texts hold no URL at all, and then the cheap answer is the whole answer.
-    return F.when(masked.contains("://"), F.array_join(woven, "")).otherwise(masked)
+    def without_url_details(masked: Column) -> Column:
+        between = F.split(masked, URL_IN_TEXT, -1)
+        found = F.transform(F.regexp_extract_all(masked, F.lit(URL_IN_TEXT), F.lit(0)), urls.parse)
+        woven = F.zip_with(
+            between, F.transform(found, clean_url), lambda piece, url: F.concat(piece, F.coalesce(url, F.lit("")))
+        )
+        # Most texts hold no URL at all, and then the masked text is the whole answer.
+        return F.when(masked.contains("://"), F.array_join(woven, "")).otherwise(masked)
+
+    return bound(assignments(bearers(text)) if bearer_first else bearers(assignments(text)), without_url_details)
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate a costly value once and hand it to an expression that reads it several times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def redact_fields(fields: Column) -> Column:

@@ -9,17 +9,15 @@ from pyspark.sql import functions as F
 
 from shelfmark import vocab
 from shelfmark.functions.tables import first_per_key
-from shelfmark.operators.inventory import dataset_sizes, missing_content_summary, payload_markers
+from shelfmark.operators.inventory import inventory_facts, missing_content_summary, payload_markers
 
 UNAVAILABLE = ("missing", "broken")
 
 
 def _check_facts(datasets: DataFrame, inventory: DataFrame, deep: bool) -> DataFrame:
-    """Datasets with what their inventory says; the size join only exists for deep checks."""
-    facts = datasets.join(payload_markers(inventory), "dataset_id", "left")
-    if deep:
-        facts = facts.join(dataset_sizes(inventory), "dataset_id", "left")
-    return facts
+    """Datasets with what their inventory says; sizes are only gathered for deep checks."""
+    facts = inventory_facts(inventory) if deep else payload_markers(inventory)
+    return datasets.join(facts, "dataset_id", "left")
 
 
 def _missing_reason():

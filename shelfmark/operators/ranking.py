@@ -90,14 +90,14 @@ def supplement_shortlist(profiles: DataFrame, real_profiles: DataFrame, size: in
     of each side is all that is ever ordered.
     """
     passing = profiles.filter("successes > 0")
-    target = profiles.agg(F.least(F.lit(size), F.count("*")).alias("target"), F.count_if(F.col("successes") > 0).alias("passing"))
+    open_slots = profiles.agg(F.least(F.lit(size), F.count("*")) - F.count_if(F.col("successes") > 0)).scalar()
     fallback = (
         real_profiles.filter("successes > 0").join(passing.select("node"), "node", "left_anti")
         .orderBy("node_order").limit(size)
     )
+    # The window orders at most ``size`` rows.
     ranked = fallback.withColumn("slot", F.row_number().over(W.orderBy("node_order")))
-    # One row of counts decides how many of at most ``size`` rows stay.
-    kept = ranked.join(F.broadcast(target), F.col("slot") <= F.col("target") - F.col("passing")).select(*profiles.columns)
+    kept = ranked.filter(F.col("slot") <= open_slots).select(*profiles.columns)
     return passing.withColumn("origin", F.lit("probe")).unionByName(kept.withColumn("origin", F.lit("real probe")))
 
 

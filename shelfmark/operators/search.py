@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark import vocab
 from shelfmark.functions import text, urls
 from shelfmark.functions.tables import bounded_lists
+from shelfmark.session import cut_lineage
 
 NEWEST_FIRST = ("created_at", "dataset_id")
 
@@ -217,15 +218,32 @@ def resolve_identifiers(requests: DataFrame, datasets: DataFrame, aliases: DataF
 
 # -- Batch name search ------------------------------------------------------------------------
 
-def _needle_runs(needle: Column) -> Column:
-    return F.split(F.lower(needle), "[%_]+")
+def _needle_pieces(needles: DataFrame) -> DataFrame:
+    """Distinct folded needles with every piece of their search width.
 
+    The width is three letters, or the longest run between wildcards where that is shorter.
+    """
+    runs = needles.select(F.lower("needle").alias("needle")).distinct().select(
+        "needle", F.explode(F.split("needle", "[%_]+")).alias("run")
+    )
+    widths = runs.groupBy("needle").agg(F.least(F.lit(3), F.max(F.length("run"))).alias("width"))
+    cut = runs.join(widths, "needle").filter("length(run) >= width").select(
+        "needle", "width", "run", F.explode(F.expr("sequence(1, greatest(length(run) - width + 1, 1))")).alias("at")
+    )
+    return cut.select("needle", "width", F.expr("substr(run, at, width)").alias("gram")).distinct()
 
-def _grams(value: Column, width: int) -> Column:
-    starts = F.sequence(F.lit(1), F.greatest(F.length(value) - (width - 1), F.lit(1)))
-    return F.when(
-        F.length(value) >= width, F.array_distinct(F.transform(starts, lambda i: value.substr(i, F.lit(width))))
-    ).otherwise(F.array().cast("array<string>"))
+
+def _label_pieces(labels: DataFrame) -> DataFrame:
+    """Names with every piece of one to three letters they hold, and the empty piece."""
+    spots = labels.select("dataset_id", "label", F.lower("label").alias("folded")).select(
+        "dataset_id", "label", "folded", F.explode(F.expr("sequence(1, length(folded) + 1)")).alias("at")
+    )
+    pieces = F.array(*[
+        F.struct(F.lit(width).alias("width"), F.expr(f"substr(folded, at, {width})").alias("gram")) for width in (3, 2, 1)
+    ], F.struct(F.lit(0).alias("width"), F.expr("if(at = 1, '', ' ')").alias("gram")))
+    return spots.select("dataset_id", "label", F.explode(pieces).alias("p")).select(
+        "dataset_id", "label", "p.width", "p.gram"
+    ).filter("length(gram) = width")
 
 
 def search_by_name(needles: DataFrame, datasets: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -235,45 +253,29 @@ def search_by_name(needles: DataFrame, datasets: DataFrame, aliases: DataFrame)
     names are cut into such pieces, joined on them by equality, and only then compared in full.
     No needle meets a name it shares no piece with.
     """
-    labels = name_keys(datasets, aliases).withColumn("folded", F.lower("label"))
-    asked = needles.select("request_id", "needle").withColumn("_runs", _needle_runs(F.col("needle")))
-    width = F.least(F.lit(3), F.array_max(F.transform("_runs", lambda r: F.length(r))))
-    asked = asked.withColumn("width", width)
-    pieces = F.flatten(F.transform("_runs", lambda r: F.when(
-        F.col("width") == 3, _grams(r, 3)).when(F.col("width") == 2, _grams(r, 2)).when(F.col("width") == 1, _grams(r, 1))
-        .otherwise(F.array(F.lit("")))))
-    asked = asked.withColumn("gram", F.explode(F.array_distinct(pieces))).drop("_runs")
+    asked = cut_lineage(_needle_pieces(needles))
     used = asked.select("width", "gram").distinct()
-
-    cut = F.flatten(F.array(
-        F.transform(_grams(F.col("folded"), 3), lambda g: F.struct(F.lit(3).alias("width"), g.alias("gram"))),
-        F.transform(_grams(F.col("folded"), 2), lambda g: F.struct(F.lit(2).alias("width"), g.alias("gram"))),
-        F.transform(_grams(F.col("folded"), 1), lambda g: F.struct(F.lit(1).alias("width"), g.alias("gram"))),
-        F.array(F.struct(F.lit(0).alias("width"), F.lit("").alias("gram"))),
-    ))
-    posted = (
-        labels.select("dataset_id", "label", F.explode(cut).alias("_g"))
-        .select("dataset_id", "label", "_g.width", "_g.gram")
-        .join(used, ["width", "gram"], "left_semi")
+    posted = cut_lineage(
+        _label_pieces(name_keys(datasets, aliases)).join(used, ["width", "gram"], "left_semi").distinct()
     )
     frequency = posted.groupBy("width", "gram").agg(F.count("*").alias("frequency"))
     rarest = (
         asked.join(frequency, ["width", "gram"], "left")
-        .groupBy("request_id", "needle", "width")
+        .groupBy("needle", "width")
         .agg(F.min(F.struct(F.coalesce("frequency", F.lit(0)).alias("frequency"), "gram")).alias("best"))
         .filter("best.frequency > 0")
-        .select("request_id", "needle", "width", F.col("best.gram").alias("gram"))
+        .select("needle", "width", F.col("best.gram").alias("gram"))
     )
     hits = (
         posted.join(rarest, ["width", "gram"])
         .filter(F.ilike("label", F.concat(F.lit("%"), F.replace("needle", F.lit("\\"), F.lit("\\\\")), F.lit("%"))))
-        .select("request_id", "dataset_id").distinct()
+        .select("needle", "dataset_id").distinct()
     )
     newest = datasets.select("dataset_id", "created_at")
-    counted = hits.join(newest, "dataset_id").groupBy("request_id").agg(
+    counted = hits.join(newest, "dataset_id").groupBy(F.col("needle").alias("_folded")).agg(
         F.count("*").alias("match_count"), F.max(F.struct("created_at", "dataset_id")).alias("newest")
     )
-    return needles.join(counted, "request_id", "left").select(
+    return needles.join(counted, F.lower("needle") == F.col("_folded"), "left").select(
         "request_id", "needle", F.coalesce("match_count", F.lit(0)).alias("match_count"),
         F.col("newest.dataset_id").alias("newest_dataset_id"),
     )

@@ -15,20 +15,11 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def fields(rendered: Column) -> Column:
-    """``key=value`` pairs of a rendered event; a value runs up to the next key."""
-    keys = F.regexp_extract_all(rendered, F.lit(text.FIELD), F.lit(1))
-    held = F.regexp_extract_all(rendered, F.lit(text.FIELD), F.lit(2))
-    pairs = F.arrays_zip(keys.alias("key"), held.alias("value"))
-    # A key a value happens to contain may repeat; the first one is the event's own.
-    first = F.filter(pairs, lambda p, i: F.array_position(keys, p["key"]) == i + 1)
-    return F.map_from_entries(first)
-
-
 def parse_run_logs(lines: DataFrame) -> DataFrame:
     """Lines with timestamp, level, event and fields; continuation lines keep a null level.
 
     Diagnostic lines carry a level and an event, intake lines an action; both come out alike.
+    A field's value runs up to the next ``key=``; of a repeated key the first one is the event's own.
     """
     line = F.col("line")
     is_event = line.rlike(text.EVENT_LINE)
@@ -39,14 +30,23 @@ def parse_run_logs(lines: DataFrame) -> DataFrame:
             is_action, F.regexp_extract(line, text.INGEST_LINE, action_group)
         )
 
-    rendered = part(4, 3)
-    return lines.select(
+    staged = lines.select(
         *lines.columns,
         part(1, 1).alias("ts_text"),
-        F.try_to_timestamp(part(1, 1)).alias("ts"),
         F.when(is_event, F.regexp_extract(line, text.EVENT_LINE, 2)).alias("level"),
         part(3, 2).alias("event"),
-        F.when(rendered.isNotNull(), fields(rendered)).alias("fields"),
+        F.split(part(4, 3), text.BEFORE_FIELD).alias("_pieces"),
+    )
+    whole = F.filter("_pieces", lambda p: p.rlike(r"^\w+="))
+    entries = F.transform(whole, lambda p: F.struct(
+        F.substring_index(p, "=", 1).alias("key"), F.regexp_replace(p, r"^\w+=", "").alias("value")
+    ))
+    own = text.bound(entries, lambda held: F.filter(
+        held, lambda e, i: F.array_position(F.transform(held, lambda other: other["key"]), e["key"]) == i + 1
+    ))
+    return staged.select(
+        *lines.columns, "ts_text", F.try_to_timestamp("ts_text").alias("ts"), "level", "event",
+        F.map_from_entries(own).alias("fields"),
     )
 
 

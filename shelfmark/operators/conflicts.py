@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark import vocab
 from shelfmark.functions.tables import top_per_key
-from shelfmark.operators.search import location_keys, name_keys
+from shelfmark.operators.search import identity_claims, location_keys
 from shelfmark.session import counted_cut, cut_lineage
 
 
@@ -17,12 +16,7 @@ def _key(namespace: str, value: Column) -> Column:
 
 def owner_keys(datasets: DataFrame, aliases: DataFrame) -> DataFrame:
     """(key, dataset_id, created_at) for every identity a registered dataset holds."""
-    held = (
-        datasets.select(_key("id", F.col("dataset_id")).alias("key"), "dataset_id")
-        .unionByName(name_keys(datasets, aliases).select(_key("name", F.lower("label")).alias("key"), "dataset_id"))
-        .unionByName(location_keys(datasets, aliases).select(_key("ref", F.col("location")).alias("key"), "dataset_id"))
-    )
-    return held.join(datasets.select("dataset_id", "created_at"), "dataset_id")
+    return identity_claims(datasets, aliases).join(datasets.select("dataset_id", "created_at"), "dataset_id")
 
 
 def newest_owners(datasets: DataFrame, aliases: DataFrame) -> DataFrame:

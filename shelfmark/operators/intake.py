@@ -130,16 +130,23 @@ def _held_in_batch(accepted: DataFrame, dataset_id: Column) -> DataFrame:
 
 
 def register_batch(
-    requests: DataFrame, datasets: DataFrame, aliases: DataFrame, managed_root: str = "/registry/datasets"
+    requests: DataFrame,
+    datasets: DataFrame,
+    aliases: DataFrame,
+    managed_root: str = "/registry/datasets",
+    download: bool = False,
 ) -> RegistryChange:
     """Register a batch of intake requests as if each came alone, in order of request time.
 
+    ``download`` requests follow the stricter rules of downloads and always move their workspace.
+
     Invalid requests and those that clash with the registry or with an earlier accepted request
     leave no row. A source that is no directory and a negative size fail after the clash checks.
     """
     failure = F.when(~F.col("source_is_dir"), "source is not a directory").when(F.col("size_bytes") < 0, "size is negative")
     staged = cut_lineage(
-        validate_intake_requests(requests)
+        validate_intake_requests(requests, download)
+        .withColumn("storage_mode", F.lit("move") if download else F.col("storage_mode"))
         .withColumn("ord", F.struct("requested_at", "request_id")).withColumn("failure", failure)
     )
     valid = staged.filter(F.size("errors") == 0)

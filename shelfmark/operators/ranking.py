@@ -31,7 +31,10 @@ def eligible_nodes(proxies: DataFrame, marker: str = "") -> DataFrame:
 
 
 def discover_selector(connections: DataFrame, proxies: DataFrame, hostname: str) -> DataFrame:
-    """Outermost selector behind the one new connection to a host, per discovery attempt."""
+    """Outermost selector behind the one new connection to a host, per discovery attempt.
+
+    A connection without id, or a matching one without a chain, makes the attempt ``invalid``.
+    """
     key = ["discovery_id", "id"]
     before = connections.filter("snapshot = 'before'").select(*key).distinct()
     host = hostname.lower()
@@ -39,18 +42,20 @@ def discover_selector(connections: DataFrame, proxies: DataFrame, hostname: str)
     for field in ("host", "sniff_host", "destination_ip"):
         matches_host = matches_host | F.coalesce(F.lower(field) == host, F.lit(False))
     fresh = connections.filter((F.col("snapshot") == "after") & matches_host).join(before, key, "left_anti")
-    counted = fresh.groupBy("discovery_id").agg(F.count("*").alias("matches"))
+    bad_chain = (F.size("chains") < 1) | F.exists("chains", lambda hop: hop.isNull() | (hop == ""))
+    counted = fresh.groupBy("discovery_id").agg(F.count("*").alias("matches"), F.bool_or(bad_chain).alias("bad_chain"))
     # Exactly one match per attempt goes on, so "the first" is that one.
     single = fresh.join(counted.filter("matches = 1").select("discovery_id"), "discovery_id", "left_semi")
     selectors = proxies.filter("lower(type) = 'selector'").select(F.col("name").alias("hop"))
     walked = single.select("discovery_id", F.posexplode("chains").alias("pos", "hop")).join(selectors, "hop")
     outer = walked.groupBy("discovery_id").agg(F.max_by("hop", "pos").alias("selector"))
     outcome = (
-        F.when(F.col("matches").isNull(), "none").when(F.col("matches") > 1, "ambiguous")
-        .when(F.col("selector").isNull(), "no selector").otherwise("found")
+        F.when(F.col("nameless") > 0, "invalid").when(F.col("matches").isNull(), "none").when(F.col("matches") > 1, "ambiguous")
+        .when(F.col("bad_chain"), "invalid").when(F.col("selector").isNull(), "no selector").otherwise("found")
     )
     return (
-        connections.select("discovery_id").distinct().join(counted, "discovery_id", "left").join(outer, "discovery_id", "left")
+        connections.groupBy("discovery_id").agg(F.count_if(F.coalesce("id", F.lit("")) == "").alias("nameless"))
+        .join(counted, "discovery_id", "left").join(outer, "discovery_id", "left")
         .select("discovery_id", F.coalesce("matches", F.lit(0)).alias("matches"), outcome.alias("outcome"), "selector")
     )
 

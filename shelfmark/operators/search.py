@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark import vocab
@@ -90,21 +90,18 @@ def url_match_members(datasets: DataFrame, aliases: DataFrame) -> DataFrame:
     keyed = urls.with_parts(location_keys(datasets, aliases), F.col("location")).select(
         "dataset_id", "kind", "location", urls.identity_key(F.col("_u")).alias("identity")
     )
-    by_identity = keyed.filter((F.col("kind") == "url") & F.col("identity").isNotNull()).select(
-        F.concat(F.lit("i|"), "identity").alias("match_key"), "dataset_id"
-    )
-    plain = keyed.filter(F.col("identity").isNull()).select(
-        F.concat(F.lit("x|"), "location").alias("match_key"), "dataset_id"
-    )
-    # A path alias spelled like a remote URL matches exactly; leave out datasets its identity finds anyway.
-    spelled = keyed.filter((F.col("kind") == "path") & F.col("identity").isNotNull()).select(
-        F.concat(F.lit("i|"), "identity").alias("identity_key"), F.concat(F.lit("x|"), "location").alias("match_key"), "dataset_id"
-    )
-    extra = spelled.join(
-        by_identity.withColumnRenamed("match_key", "identity_key"), ["identity_key", "dataset_id"], "left_anti"
-    ).select("match_key", "dataset_id")
+    remote = F.concat(F.lit("i|"), "identity")
+    exact = F.concat(F.lit("x|"), "location")
+    # A path alias spelled like a remote URL matches exactly, but only the datasets its identity does not find.
+    spelled = (F.col("kind") == "path") & F.col("identity").isNotNull()
     # With registered references a dataset may repeat under one key: count it once.
-    return by_identity.unionByName(plain).unionByName(extra).distinct()
+    members = keyed.filter(~spelled).select(F.coalesce(remote, exact).alias("match_key"), "dataset_id").distinct()
+    extra = (
+        keyed.filter(spelled).select(remote.alias("identity_key"), exact.alias("match_key"), "dataset_id").distinct()
+        .join(members.withColumnRenamed("match_key", "identity_key"), ["identity_key", "dataset_id"], "left_anti")
+        .select("match_key", "dataset_id")
+    )
+    return members.unionByName(extra)
 
 
 def url_probe_keys(requests: DataFrame, url: str = "url") -> DataFrame:
@@ -164,14 +161,29 @@ def ambiguous_urls(requests: DataFrame, datasets: DataFrame, aliases: DataFrame)
 
 # -- Identifiers ------------------------------------------------------------------------------
 
+def identity_claims(datasets: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(dataset_id, key) for every id, name, URL and path a dataset answers to, one pass per table."""
+    def key(namespace: str, value) -> Column:
+        return F.concat(F.lit(namespace + "|"), value)
+
+    own = datasets.select(
+        "dataset_id",
+        F.explode(F.array(key("id", F.col("dataset_id")), key("name", F.lower("name")), key("ref", F.col("source_url")))).alias("key"),
+    )
+    named = F.when(F.col("kind").isin(vocab.NAME_KINDS), key("name", F.lower("value"))).when(
+        F.col("kind").isin(vocab.LOCATION_KINDS), key("ref", F.col("value"))
+    )
+    other = aliases.select("dataset_id", named.alias("key"))
+    return own.unionByName(other).filter("key is not null")
+
+
 def identifier_owners(datasets: DataFrame, aliases: DataFrame) -> DataFrame:
     """Lowest and highest dataset id behind every identifier key; equal where the key is unique."""
-    ids = datasets.select(F.concat(F.lit("id|"), "dataset_id").alias("key"), "dataset_id")
-    names = name_keys(datasets, aliases).select(F.concat(F.lit("name|"), F.lower("label")).alias("key"), "dataset_id")
-    refs = location_keys(datasets, aliases).select(F.concat(F.lit("ref|"), "location").alias("key"), "dataset_id")
-    located = url_match_members(datasets, aliases).select(F.col("match_key").alias("key"), "dataset_id")
+    located = urls.with_parts(location_keys(datasets, aliases), F.col("location"))
+    remote = F.when(F.col("kind") == "url", F.concat(F.lit("i|"), urls.identity_key(F.col("_u"))))
+    by_url = located.select("dataset_id", F.explode(F.array(remote, F.concat(F.lit("x|"), "location"))).alias("key"))
     return (
-        ids.unionByName(names).unionByName(refs).unionByName(located)
+        identity_claims(datasets, aliases).unionByName(by_url.filter("key is not null"))
         .groupBy("key").agg(F.min("dataset_id").alias("low"), F.max("dataset_id").alias("high"))
     )
 

@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark import vocab
+from shelfmark.session import fresh_dir
 
 DRIVER_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -444,6 +445,11 @@ ADAPTERS = {
 }
 
 
+# Unions of many parts that jobs read several times: registry tables are files, not views.
+STORED = {"dataset_aliases"}
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
 class Catalog:
     """Catalog tables of one data folder, each built on first use."""
 
@@ -461,9 +467,19 @@ class Catalog:
         if name not in self._built:
             text = ADAPTERS[name](Dialect(spark=True))
             used = {table: self.raw(table) for table in DRIVER_TABLES if "{" + table + "}" in text}
-            self._built[name] = self.spark.sql(text, **used)
+            derived = self.spark.sql(text, **used)
+            self._built[name] = self._stored(name, derived) if name in STORED else derived
         return self._built[name]
 
+    def _stored(self, name: str, derived: DataFrame) -> DataFrame:
+        """Write a registry table once per application and folder, as a registry would hold it."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _WRITTEN:
+            path = fresh_dir(self.spark, name)
+            derived.write.parquet(path)
+            _WRITTEN[key] = path
+        return self.spark.read.schema(derived.schema).parquet(_WRITTEN[key])
+
     @cached_property
     def attempts(self) -> DataFrame:
         """Attempts with their error chain as an array, outermost error first."""

@@ -6,21 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfmark.session import cut_lineage
+
 OCTAVE_BUCKETS = 64
 
 
 def order_statistics(df: DataFrame, key: str, value: str, wanted: dict[str, tuple[float, str]]) -> DataFrame:
     """Exact medians and nearest-rank percentiles of non-null values per key.
 
-    ``wanted`` maps an output name to (fraction, ``"midpoint"`` or ``"nearest"``). Equal values
-    are counted together first; a value's octave bucket then tells which bucket holds a wanted
-    rank, and only the distinct values of those buckets are ordered.
+    ``wanted`` maps an output name to (fraction, ``"midpoint"`` or ``"nearest"``). A first pass
+    counts values per octave bucket, which combines in the map tasks and tells the bucket each
+    wanted rank lies in. A second pass keeps only the values of those buckets, counts equal ones
+    together and orders them. The values as a whole are never shuffled.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
     # Monotone in the value: sign, then the logarithm of the magnitude.
     bucket = F.signum("_v") * F.floor((F.log2(F.abs(F.col("_v")) + 1.0) + 1.0) * OCTAVE_BUCKETS)
-    bucketed = counts.withColumn("_b", bucket.cast("bigint"))
-    totals = bucketed.groupBy(key, "_b").agg(F.sum("_n").alias("_n"))
+    bucketed = df.filter(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("_v")).withColumn(
+        "_b", bucket.cast("bigint")
+    )
+    totals = bucketed.groupBy(key, "_b").agg(F.count("*").alias("_n"))
     running = W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
     positioned = totals.withColumn("_upto", F.sum("_n").over(running)).withColumn(
         "_total", F.sum("_n").over(W.partitionBy(key))
@@ -35,14 +39,16 @@ def order_statistics(df: DataFrame, key: str, value: str, wanted: dict[str, tupl
             ranks.append(F.struct(F.lit(name).alias("name"), (F.floor(position) + 1).cast("bigint").alias("rank")))
             ranks.append(F.struct(F.lit(name).alias("name"), (F.ceil(position) + 1).cast("bigint").alias("rank")))
     before = F.col("_upto") - F.col("_n")
-    targets = positioned.select(
+    # One row per key and wanted rank; written, so that the planner sees how small it is.
+    targets = cut_lineage(positioned.select(
         key, "_b", before.alias("_before"),
         F.explode(F.filter(F.array(*ranks), lambda r: (r["rank"] > before) & (r["rank"] <= F.col("_upto")))).alias("_t"),
-    )
+    ))
     buckets = targets.select(key, "_b", "_before").distinct()
     inside = W.partitionBy(key, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ordered = bucketed.join(buckets, [key, "_b"]).withColumn("_high", F.col("_before") + F.sum("_n").over(inside)).withColumn(
-        "_low", F.col("_high") - F.col("_n")
+    ordered = (
+        bucketed.join(buckets, [key, "_b"]).groupBy(key, "_b", "_before", "_v").agg(F.count("*").alias("_n"))
+        .withColumn("_high", F.col("_before") + F.sum("_n").over(inside)).withColumn("_low", F.col("_high") - F.col("_n"))
     )
     picked = targets.select(key, "_b", "_t.name", "_t.rank").join(ordered, [key, "_b"]).filter(
         (F.col("rank") > F.col("_low")) & (F.col("rank") <= F.col("_high"))

@@ -106,12 +106,10 @@ def server_failure_runs(decided: DataFrame, block: int = SEQUENCE_BLOCK) -> Data
     in_island = W.partitionBy("operation", "_block", "_resets").orderBy("attempt").rowsBetween(W.unboundedPreceding, W.currentRow)
     counted = island.withColumn("_run", F.sum("_server").over(in_island))
     # A block ends with a run of its own length; it only reaches further back if it holds no reset.
-    ends = blocked.groupBy("operation", "_block").agg(
-        F.sum("_server").alias("servers"), F.count("*").alias("rows"),
-        F.max(F.when(F.col("_server") == 0, F.col("attempt"))).alias("last_reset"),
+    per_block = counted.groupBy("operation", "_block").agg(
+        F.sum("_server").alias("servers"), F.max(F.when(F.col("_server") == 0, F.col("attempt"))).alias("last_reset"),
+        F.max_by("_run", "attempt").alias("tail"),
     )
-    tails = counted.groupBy("operation", "_block").agg(F.max_by("_run", "attempt").alias("tail"))
-    per_block = ends.join(tails, ["operation", "_block"])
     back = W.partitionBy("operation").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     grouped = per_block.withColumn("_epoch", F.coalesce(F.sum((F.col("last_reset").isNotNull()).cast("int")).over(back), F.lit(0)))
     in_epoch = W.partitionBy("operation", "_epoch").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)

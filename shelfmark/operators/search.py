@@ -140,7 +140,8 @@ def ambiguous_urls(requests: DataFrame, datasets: DataFrame, aliases: DataFrame)
     requests that share a key share its candidates.
     """
     shown = visible(datasets)
-    members = url_match_members(shown, aliases.join(shown.select("dataset_id"), "dataset_id", "left_semi"))
+    # Read three times below, so written once.
+    members = cut_lineage(url_match_members(shown, aliases.join(shown.select("dataset_id"), "dataset_id", "left_semi")))
     per_key = members.groupBy("match_key").agg(F.count("*").alias("members"))
     probes = url_probe_keys(requests).select("request_id", "match_key").join(per_key, "match_key")
     ambiguous = probes.groupBy("request_id").agg(

@@ -417,7 +417,9 @@ def node_cooldowns(c: Catalog) -> DataFrame:
 
 @query
 def failover_choice(c: Catalog) -> DataFrame:
-    order = ranking.rank_nodes(ranking.latency_profiles(c.node_probes_open), ranking.node_scores(c.node_probes_open), size=10)
+    order = cut_lineage(
+        ranking.rank_nodes(ranking.latency_profiles(c.node_probes_open), ranking.node_scores(c.node_probes_open), size=10)
+    )
     samples = c.node_probes_open.filter("phase = 'throughput'").select("node", "ok")
     resting = ranking.node_cooldowns(c.node_failures, "2024-01-30 12:00:00")
     chosen = ranking.failover_choice(order, resting, samples, failed="node-3")

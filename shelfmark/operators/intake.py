@@ -303,9 +303,13 @@ def update_metadata(requests: DataFrame, datasets: DataFrame, aliases: DataFrame
         "new_url", "new_version", effective.alias("new_provider"), "modalities", "old_modalities",
         values.normalized_aliases(F.col("aliases"), F.col("canonical")).alias("aliases"),
     ))
+    # Rules are met in this order: the request itself, the lookup, replacing the URL, the URL's owner, set values, aliases.
+    late = F.array(F.lit("url cannot be replaced"), F.lit("provider is set"), F.lit("version is set"))
+    early = F.size(F.array_except("errors", late)) > 0
+    keeps_url = F.array_contains("errors", "url cannot be replaced")
     sound = staged.filter((F.col("resolve_outcome") == "found") & (F.size("errors") == 0))
     taken_url = source_reference_conflicts(
-        sound.filter("changes_url").select("request_id", "dataset_id", F.col("new_url").alias("source_reference")), datasets, aliases
+        staged.filter((F.col("resolve_outcome") == "found") & ~early & ~keeps_url & F.col("changes_url")).select("request_id", "dataset_id", F.col("new_url").alias("source_reference")), datasets, aliases
     ).select("request_id", F.col("owner_id").alias("url_owner"))
     taken_alias = alias_conflicts(sound, datasets, aliases).groupBy("request_id").agg(
         F.min(F.struct("pos", "alias", "owner_id")).alias("hit")
@@ -343,11 +347,10 @@ def update_metadata(requests: DataFrame, datasets: DataFrame, aliases: DataFrame
 
     done = applied.select("request_id", F.lit(True).alias("done"))
     taken_turn = free.join(turn, "request_id", "left_anti").select("request_id", F.lit(True).alias("waits"))
-    # Errors that do not need the dataset come before the lookup, the others after it.
-    early = F.exists("errors", lambda e: ~e.isin("url cannot be replaced", "provider is set", "version is set"))
     outcome = (
         F.when(early, "invalid").when(F.col("resolve_outcome") != "found", F.col("resolve_outcome"))
-        .when(F.size("errors") > 0, "rejected").when(F.col("url_owner").isNotNull() | F.col("hit").isNotNull() | F.col("lost"), "conflict")
+        .when(keeps_url, "rejected").when(F.col("url_owner").isNotNull(), "conflict").when(F.size("errors") > 0, "rejected")
+        .when(F.col("hit").isNotNull() | F.col("lost"), "conflict")
         .when(F.col("waits"), "deferred").otherwise("accepted")
     )
     outcomes = (

@@ -611,8 +611,8 @@ err AS (SELECT *, concat_ws(', ', CASE WHEN NOT has_url AND given_provider IS NU
     CASE WHEN effective <> old_provider AND old_provider <> 'other' AND NOT force THEN 'provider is set' END,
     CASE WHEN new_version <> old_version AND old_version <> 'unknown' AND NOT force THEN 'version is set' END) AS late FROM cur),
 sound AS (SELECT * FROM err WHERE found = 'found' AND early = '' AND late = ''),
-taken_url AS (SELECT r.request_id, arg_max(d.dataset_id, (d.created_at, d.dataset_id)) AS owner_id FROM sound r JOIN keys k ON k.key = 'ref|' || r.new_url JOIN datasets d ON d.dataset_id = k.dataset_id
-  WHERE r.changes_url AND d.dataset_id <> r.dataset_id GROUP BY 1),
+taken_url AS (SELECT r.request_id, arg_max(d.dataset_id, (d.created_at, d.dataset_id)) AS owner_id FROM (SELECT * FROM err WHERE found = 'found' AND early = '') r JOIN keys k ON k.key = 'ref|' || r.new_url JOIN datasets d ON d.dataset_id = k.dataset_id
+  WHERE r.changes_url AND NOT r.has_remote AND d.dataset_id <> r.dataset_id GROUP BY 1),
 listed AS (SELECT request_id, dataset_id, CAST(generate_subscripts(al, 1) - 1 AS INT) AS pos, unnest(al) AS alias FROM sound),
 {alias_hits('per_alias', 'listed')},
 hit AS (SELECT request_id, arg_min(owner_id, pos) AS owner_id FROM per_alias WHERE owner_id <> dataset_id GROUP BY 1),
@@ -620,7 +620,7 @@ free AS (SELECT *, row_number() OVER (ORDER BY request_id) AS n, list_transform(
   SELECT request_id, dataset_id, list_concat(list_concat(list_transform(al, lambda v: 'name|' || lower(v)), list_transform(al, lambda v: 'value|' || v)), CASE WHEN changes_url THEN ['value|' || new_url] ELSE [] END) AS keys,
     row_number() OVER (PARTITION BY dataset_id ORDER BY request_id) AS turn FROM sound WHERE request_id NOT IN (SELECT request_id FROM taken_url) AND request_id NOT IN (SELECT request_id FROM hit)) u WHERE turn = 1),
 {WALK_ALIASES}
-SELECT e.request_id, e.dataset_id, CASE WHEN early <> '' THEN 'invalid' WHEN found <> 'found' THEN found WHEN late <> '' THEN 'rejected' WHEN t.owner_id IS NOT NULL OR h.owner_id IS NOT NULL OR NOT w.ok THEN 'conflict' WHEN w.ok THEN 'accepted' ELSE 'deferred' END AS outcome,
+SELECT e.request_id, e.dataset_id, CASE WHEN early <> '' THEN 'invalid' WHEN found <> 'found' THEN found WHEN changes_url AND has_remote THEN 'rejected' WHEN t.owner_id IS NOT NULL THEN 'conflict' WHEN late <> '' THEN 'rejected' WHEN h.owner_id IS NOT NULL OR NOT w.ok THEN 'conflict' WHEN w.ok THEN 'accepted' ELSE 'deferred' END AS outcome,
   concat_ws(', ', nullif(early, ''), nullif(late, '')) AS errors, coalesce(t.owner_id, h.owner_id) AS owner_id
 FROM err e LEFT JOIN taken_url t USING (request_id) LEFT JOIN hit h USING (request_id) LEFT JOIN walk w USING (request_id)""")
 

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark import schemas
 from shelfmark.functions import text, values
 from shelfmark.operators import (
     conflicts,

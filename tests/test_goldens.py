@@ -219,20 +219,32 @@ def test_updates(spark):
     aliases = spark.createDataFrame([("a", "path", "file:///data/a"), ("a", "name", "Update missing")], ALIASES)
     schema = "request_id string, identifier string, url string, provider string, version string, modalities array<string>, aliases array<string>, force boolean"
 
-    def outcome(*row):
-        change = intake.update_metadata(spark.createDataFrame([("r", *row)], schema), datasets, aliases)
-        return change.outcomes.first()["outcome"], [r.asDict() for r in change.datasets.collect()], sorted((r["kind"], r["value"]) for r in change.aliases.collect())
-
-    state, rows, added = outcome("a", "https://openneuro.org/datasets/ds009999", None, "1.0.0", ["meg", "eeg", "meg"], ["Update alias", "Update alias"], False)
-    assert state == "accepted" and added == [("name_alias", "Update alias"), ("url", "https://openneuro.org/datasets/ds009999")]
-    assert (rows[0]["provider"], rows[0]["version"], rows[0]["modalities"]) == ("openneuro", "1.0.0", ["eeg", "meg"])
-    assert outcome("b", None, None, "4.0.0", [], [], False)[0] == "rejected"
-    assert outcome("b", None, "dandi", "4.0.0", [], [], True)[0] == "accepted"
-    assert outcome("b", "https://openneuro.org/datasets/ds000001", None, None, [], [], True)[0] == "rejected"
-    assert outcome("no-such-id", None, None, "1", [], [], False)[0] == "not found"
-    assert outcome("a", "https://openneuro.org/datasets/ds004212", None, None, [], [], False)[0] == "conflict"
-    assert outcome("a", None, None, None, [], [], False)[0] == "invalid"
-    assert outcome("a", " ", None, None, [], [], False)[0] == "invalid"
+    def run(rows):
+        change = intake.update_metadata(spark.createDataFrame(rows, schema), datasets, aliases)
+        return {r["request_id"]: r["outcome"] for r in change.outcomes.collect()}, change
+
+    outcomes, change = run([
+        ("1", "a", "https://openneuro.org/datasets/ds009999", None, "1.0.0", ["meg", "eeg", "meg"], ["Update alias", "Update alias"], False),
+        ("2", "b", None, None, "4.0.0", [], [], False),
+        ("3", "b", "https://openneuro.org/datasets/ds000001", None, None, [], [], True),
+        ("4", "no-such-id", None, None, "1", [], [], False),
+        ("5", "c", "https://openneuro.org/datasets/ds004212", None, None, [], [], False),
+        ("6", "a", None, None, None, [], [], False),
+        ("7", "c", " ", None, None, [], [], False),
+        ("8", "b", None, "dandi", "4.0.0", [], [], True),
+        ("9", "b", None, None, None, ["eeg"], [], False),
+        ("10", "c", None, None, None, [], ["update ALIAS"], False),
+    ])
+    assert outcomes == {
+        "1": "accepted", "2": "rejected", "3": "rejected", "4": "not found", "5": "conflict", "6": "invalid", "7": "invalid",
+        "8": "accepted", "9": "deferred", "10": "conflict",
+    }
+    rows = {r["dataset_id"]: r for r in change.datasets.collect()}
+    assert (rows["a"]["provider"], rows["a"]["version"], rows["a"]["modalities"]) == ("openneuro", "1.0.0", ["eeg", "meg"])
+    assert (rows["b"]["provider"], rows["b"]["version"]) == ("dandi", "4.0.0") and set(rows) == {"a", "b"}
+    assert sorted((r["dataset_id"], r["kind"], r["value"]) for r in change.aliases.collect()) == [
+        ("a", "name_alias", "Update alias"), ("a", "url", "https://openneuro.org/datasets/ds009999"),
+    ]
 
 
 def test_transitions(spark):

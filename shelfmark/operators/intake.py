@@ -152,9 +152,11 @@ def register_batch(
     valid = staged.filter(F.size("errors") == 0)
     probes = identity_probes(valid, "ord")
     registered = cut_lineage(probes.join(newest_owners(datasets, aliases), "key").select("request_id", "role", "pos", "alias", "owner"))
-    able = cut_lineage(
-        valid.filter("failure is null").join(registered.select("request_id").distinct(), "request_id", "left_anti")
-    )
+    free = valid.filter("failure is null").join(registered.select("request_id").distinct(), "request_id", "left_anti")
+    # Stored alias values are unique whatever their kind, so a name may not repeat a stored URL or path either.
+    stored = aliases.select(F.concat(F.lit("value|"), "value").alias("key")).distinct()
+    repeats = _claims(free).join(stored, "key", "left_semi").select("request_id").distinct()
+    able = cut_lineage(free.join(repeats, "request_id", "left_anti"))
     lost = settle_claims(_claims(able)).filter(~F.col("accepted")).select("request_id")
     accepted = cut_lineage(able.join(lost, "request_id", "left_anti"))
 

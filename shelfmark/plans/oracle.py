@@ -559,7 +559,8 @@ FROM datasets d JOIN update_requests u ON d.dataset_id = replace(u.request_id, '
 REGISTER = f"""WITH RECURSIVE {INTAKE}, {OWNERS}, valid AS (SELECT *, CASE WHEN NOT source_is_dir THEN 'source is not a directory' WHEN size_bytes < 0 THEN 'size is negative' END AS failure FROM checked WHERE errors = ''),
 {identity_verdict('valid')},
 able AS (SELECT *, row_number() OVER (ORDER BY requested_at, request_id) AS n, list_concat(list_transform(list_concat([clean_name], aliases), lambda v: 'name|' || lower(v)), list_transform(list_concat([clean_name, source_reference], aliases), lambda v: 'value|' || v)) AS keys
-  FROM valid WHERE failure IS NULL AND request_id NOT IN (SELECT request_id FROM own) AND request_id NOT IN (SELECT request_id FROM other)),
+  FROM valid WHERE failure IS NULL AND request_id NOT IN (SELECT request_id FROM own) AND request_id NOT IN (SELECT request_id FROM other)
+    AND request_id NOT IN (SELECT request_id FROM (SELECT request_id, unnest(list_concat([clean_name, source_reference], aliases)) AS held FROM valid) z WHERE held IN (SELECT value FROM dataset_aliases))),
 walk AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS VARCHAR) AS request_id, false AS ok
   UNION ALL SELECT a.n, CASE WHEN list_has_any(w.taken, a.keys) THEN w.taken ELSE list_concat(w.taken, a.keys) END, a.request_id, NOT list_has_any(w.taken, a.keys) FROM walk w JOIN able a ON a.n = w.n + 1),
 won AS (SELECT v.*, 'ds-' || left(sha256(clean_name || chr(31) || source_reference || chr(31) || version), 32) AS new_id FROM valid v JOIN walk w ON w.request_id = v.request_id AND w.ok),

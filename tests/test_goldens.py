@@ -247,6 +247,45 @@ def test_updates(spark):
     ]
 
 
+def test_register_batch(spark):
+    datasets, aliases = registry_of(spark)
+    schema = (
+        "request_id string, source string, name string, provider string, url string, version string, modalities array<string>, "
+        "storage_mode string, aliases array<string>, size_bytes bigint, source_is_dir boolean, requested_at timestamp"
+    )
+
+    def request(number, name, url=None, version=None, aliases=(), mode="reference", size=5, is_dir=True, modalities=("MEG",)):
+        return (f"r{number:02d}", f"/in/{number}", name, "other", url, version, list(modalities), mode, list(aliases), size, is_dir,
+                T0 + dt.timedelta(days=1, minutes=number))
+
+    change = intake.register_batch(spark.createDataFrame([
+        request(1, " First ", aliases=["One", "one", "first"]), request(2, "FIRST"), request(3, "Third", aliases=["x", "ONE"]),
+        request(4, "Fourth", url="https://openneuro.org/datasets/ds1/versions/1.0.1", mode="move", size=None),
+        request(5, "Fifth", url="https://openneuro.org/datasets/ds1/versions/1.0.1"), request(6, "things-meg"), request(7, " "),
+        request(8, "Eighth", size=-1), request(9, "Ninth", is_dir=False), request(10, "Tenth", modalities=["xray"]),
+        request(11, "/registered/local/path"), request(12, "Third"),
+    ], schema), datasets, aliases)
+    got = {r["request_id"]: (r["outcome"], r["reason"]) for r in change.outcomes.collect()}
+    assert got == {
+        "r01": ("accepted", None), "r02": ("conflict", "name"), "r03": ("conflict", "name alias"), "r04": ("accepted", None),
+        "r05": ("conflict", "source URL/path"), "r06": ("conflict", "name"), "r07": ("invalid", "name is blank"), "r08": ("failed", "size is negative"),
+        "r09": ("failed", "source is not a directory"), "r10": ("invalid", "unknown modality"), "r11": ("conflict", "stored value repeats"),
+        "r12": ("accepted", None),
+    }
+    rows = {r["name"]: r for r in change.datasets.collect()}
+    assert set(rows) == {"First", "Fourth", "Third"} and rows["First"]["storage_path"] == "/in/1" and rows["First"]["source_url"] == "file:///in/1"
+    fourth = rows["Fourth"]
+    assert (fourth["provider"], fourth["version"], fourth["size_bytes"], fourth["size_bytes_known"]) == ("openneuro", "1.0.1", 0, False)
+    assert fourth["storage_path"] == f"/registry/datasets/fourth-1.0.1-{fourth['dataset_id']}"
+    held = sorted((r["kind"], r["value"]) for r in change.aliases.collect() if r["dataset_id"] == rows["First"]["dataset_id"])
+    assert held == [("name", "First"), ("name_alias", "One"), ("path", "file:///in/1")]
+    problems = conflicts.constraint_violations(
+        datasets.unionByName(change.datasets), aliases.unionByName(change.aliases), change.jobs,
+        spark.createDataFrame([("root",)], "dataset_id string"),
+    )
+    assert problems.isEmpty()
+
+
 def test_transitions(spark):
     datasets = spark.createDataFrame([dataset("a", "Set A"), dataset("b", "Set B", mode="move")], DATASETS)
     sizes = spark.createDataFrame([("a", 29)], "dataset_id string, total_bytes bigint")

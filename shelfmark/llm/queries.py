@@ -22,3 +22,27 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     from shelfmark.llm import secret_scan
 
     return secret_scan.digest(secret_scan.scan_secrets(table(spark, folder, "documents")))
+
+
+@query
+def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Byte-level BPE ids of every document, and the text decoded from them."""
+    import public_tokenizers
+
+    from shelfmark.llm import byte_bpe
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+    return byte_bpe.digest(byte_bpe.decode(encoded, path))
+
+
+@query
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document in the word-level vocabulary."""
+    import public_tokenizers
+
+    from shelfmark.llm import token_counts
+
+    return token_counts.token_counts(
+        table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048
+    )

@@ -14,14 +14,13 @@ from pyspark.sql import functions as F
 from shelfmark.llm.common import id_and_text
 
 #: What a worker keeps before it starts afresh; this bounds memory and costs time only.
-KEPT_STATES, KEPT_PIECES = 400_000, 400_000
+KEPT_PAIRS, KEPT_PIECES = 1_000_000, 250_000
+#: Bytes of one piece that are held before certain tokens are emitted.
+HELD_BYTES = 4096
 #: Texts longer than this are split piece by piece instead of into one list.
 LONG_TEXT = 1_000_000
 
 
-BYTES = [bytes([b]) for b in range(256)]
-
-
 class Ranks:
     """The vocabulary of a rank file: token bytes by id, ids by bytes, and all prefixes of tokens."""
 
@@ -29,7 +28,7 @@ class Ranks:
         with open(path, "rb") as file:
             self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.bytes = {i: token for token, i in self.rank.items()}
-        self.prefixes = {token[:k] for token in self.rank for k in range(len(token))}
+        self.prefixes = {token[:k] for token in self.rank for k in range(len(token) + 1)}
 
         self.halves: dict[int, tuple[int, int] | None] = {}
 
@@ -55,42 +54,56 @@ class Ranks:
 
 
 class Transducer:
-    """Merges compiled, as texts need them, into a deterministic transducer over bytes.
+    """Merges compiled, as texts need them, into a transducer over bytes.
 
     BPE of a text is the one split into tokens whose neighbours are each left alone by merging,
     so the last token of every prefix follows from the last tokens of shorter prefixes. A state
-    is what later bytes can still depend on: the bytes since the oldest position where a token
-    may be under way, the tokens up to each such position, and the token before them. Tokens
-    that all of these positions have in common are certain and are emitted; the lookahead is
-    less than the longest token.
+    is the longest end of the input that begins some token; states and transitions are made
+    deterministic when a text first needs them, and there are no more than prefixes of tokens.
+    A state knows the tokens that may end there, longest first. The output remembers the last
+    token of the latest prefixes; tokens that every position still open has behind it are
+    certain and are emitted, so the lookahead is less than the longest token.
     """
 
     def __init__(self, ranks: Ranks) -> None:
         self.ranks = ranks
-        self.left_alone: dict[tuple[int, int], bool] = {}
-        self.reset()
-
-    def reset(self) -> None:
-        start = (b"", ((0, ()),), -1)
-        self.states, self.ids = [start], {start: 0}
-        self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
-        self.left_alone.clear()
+        self.names, self.ids = [b""], {b"": 0}
+        self.ending: list[list[tuple[int, int]]] = [[]]
+        self.steps: dict[int, int] = {}
+        self.pairs: dict[int, bool] = {}
+
+    def step(self, state: int, byte: int) -> int:
+        """Make one transition: drop bytes from the front until the rest begins a token."""
+        grown = self.names[state] + bytes([byte])
+        while grown not in self.ranks.prefixes:
+            grown = grown[1:]
+        if not grown:
+            raise ValueError("the rank file lacks a byte, so this text has no encoding")
+        to = self.ids.get(grown)
+        if to is None:
+            to = self.ids[grown] = len(self.names)
+            self.names.append(grown)
+            ends = (self.ranks.rank.get(grown[k:]) for k in range(len(grown)))
+            self.ending.append([
+                (len(self.ranks.bytes[token]), token) for token in ends if token is not None and self.reachable(token)
+            ])
+        self.steps[state << 8 | byte] = to
+        return to
 
     def reachable(self, token: int) -> bool:
         """Whether merging the bytes of a token gives that token."""
         return len(self.ranks.bytes[token]) == 1 or self.ranks.split(token) is not None
 
-    def neighbours(self, left: int, right: int) -> bool:
+    def left_alone(self, left: int, right: int) -> bool:
         """Whether merging leaves these two tokens as they are; -1 is the start of the piece.
 
-        Merging both sides proceeds by rank. Undoing it from the highest rank down, the pair is
-        left alone if no token across the border would have been made before its parts were used.
+        Undoing the merges of both sides from the highest rank down, the pair is left alone if
+        no token across the border would have been made before its parts were used.
         """
-        known = self.left_alone.get((left, right))
-        if known is None:
-            known = self.reachable(right) and (left < 0 or not self.crosses(left, right))
-            self.left_alone[left, right] = known
-        return known
+        if len(self.pairs) > KEPT_PAIRS:
+            self.pairs.clear()
+        self.pairs[left << 32 | right] = alone = left < 0 or not self.crosses(left, right)
+        return alone
 
     def crosses(self, left: int, right: int) -> bool:
         rank, data, split = self.ranks.rank, self.ranks.bytes, self.ranks.split
@@ -108,54 +121,49 @@ class Transducer:
             else:
                 return False
 
-    def compile(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Work out one transition: the next state and the tokens that became certain."""
-        tail, alive, before = self.states[state]
-        rank, prefixes, left_alone = self.ranks.rank, self.ranks.prefixes, self.left_alone
-        grown = tail + BYTES[byte]
-        chain, still = None, []
-        for at, tokens in alive:
-            rest = grown[at:] if at else grown
-            if chain is None and rest in rank:
-                pair = (tokens[-1] if tokens else before, rank[rest])
-                if left_alone[pair] if pair in left_alone else self.neighbours(*pair):
-                    chain = (*tokens, pair[1])
-            if rest in prefixes:
-                still.append((at, tokens))
-        if chain is None:
-            raise ValueError("the rank file lacks a byte, so this text has no encoding")
-        still.append((len(grown), chain))
-        cut, first = still[0]
-        sure = 0
-        for token in first:
-            if any(len(tokens) <= sure or tokens[sure] != token for _, tokens in still):
-                break
-            sure += 1
-        emitted = first[:sure]
-        key = (grown[cut:], tuple([(at - cut, tokens[sure:]) for at, tokens in still]), first[sure - 1] if sure else before)
-        to = self.ids.get(key)
-        if to is None:
-            to = self.ids[key] = len(self.states)
-            self.states.append(key)
-            self.steps.append({})
-        self.steps[state][byte] = step = to, emitted
-        return step
-
     def encode(self, piece: bytes) -> list[int]:
         """Token ids of one piece of text."""
         whole = self.ranks.rank.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > KEPT_STATES:
-            self.reset()
         ids: list[int] = []
-        state = 0
+        state, last, sizes, held = 0, [-1], [0], HELD_BYTES
+        steps, ending, pairs = self.steps, self.ending, self.pairs
         for byte in piece:
-            step = self.steps[state].get(byte) or self.compile(state, byte)
-            state = step[0]
-            if step[1]:
-                ids += step[1]
-        return ids + list(self.states[state][1][-1][1])
+            state = steps.get(state << 8 | byte) or self.step(state, byte)
+            for size, token in ending[state]:
+                left = last[-size]
+                alone = pairs.get(left << 32 | token)
+                if alone or (alone is None and self.left_alone(left, token)):
+                    break
+            else:
+                raise ValueError("two ranks contradict each other")
+            last.append(token)
+            sizes.append(size)
+            if len(last) > held:
+                last, sizes = self.emit(len(self.names[state]), last, sizes, ids)
+                held = HELD_BYTES + 2 * len(last)
+        return ids + self.path(len(last) - 1, 0, last, sizes)
+
+    @staticmethod
+    def path(end: int, begin: int, last: list[int], sizes: list[int]) -> list[int]:
+        """Tokens from one position to a later one, following the last tokens back."""
+        tokens = []
+        while end > begin:
+            tokens.append(last[end])
+            end -= sizes[end]
+        return tokens[::-1]
+
+    def emit(self, open_bytes: int, last: list[int], sizes: list[int], ids: list[int]) -> tuple[list[int], list[int]]:
+        """Emit what all positions a token may still begin at have behind them, and forget it."""
+        reached = set(range(len(last) - 1 - open_bytes, len(last)))
+        while len(reached) > 1:
+            farthest = max(reached)
+            reached.remove(farthest)
+            reached.add(farthest - sizes[farthest])
+        sure = reached.pop()
+        ids += self.path(sure, 0, last, sizes)
+        return last[sure:], [0, *sizes[sure + 1 :]]
 
 
 class Pieces(dict):
@@ -240,30 +248,44 @@ def compiled(path: str) -> Pieces:
     return Pieces(Transducer(load(path)))
 
 
+def encode_text(text: str, pieces: Pieces, split: regex.Pattern) -> bytes:
+    if len(text) < LONG_TEXT:
+        return b"".join(map(pieces.__getitem__, split.findall(text)))
+    return b"".join(pieces[match[0]] for match in split.finditer(text))
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and ``ids`` (little-endian unsigned 32-bit, binary) of every whole text.
 
     ``path`` names the rank file, which every worker can open; ``pattern`` splits a text into
     pieces that are encoded separately. A null or empty text has no ids. Rows are encoded one by
     one, so repeated rows repeat; columns other than doc_id and text are not read. A worker keeps
-    a bounded number of states and pieces.
+    a bounded number of states, token pairs and pieces.
     """
+    return _run(docs, path, pattern).drop("text")
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Like ``encode``, with the ``text`` decoded from the ids, in one pass through the workers."""
+    return _run(docs, path, pattern)
+
 
+def _run(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = compiled(path)
+        machine = Utf8Machine(load(path).bytes)
         split = regex.compile(pattern)
         for batch in batches:
-            ids = [
-                b"".join(
-                    map(pieces.__getitem__, split.findall(text)) if len(text) < LONG_TEXT
-                    else (pieces[match[0]] for match in split.finditer(text))
-                )
-                for text in batch.column("text").to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            ids = [encode_text(text, pieces, split) for text in batch.column("text").to_pylist()]
+            yield _rows(batch.column("doc_id"), pa.array(ids, pa.binary()), machine)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return id_and_text(docs).mapInArrow(run, f"doc_id {kind}, ids binary")
+    return id_and_text(docs).mapInArrow(run, f"doc_id {kind}, ids binary, text string")
+
+
+def _rows(doc_ids: pa.Array, ids: pa.Array, machine: Utf8Machine) -> pa.RecordBatch:
+    texts = [machine.decode(memoryview(row).cast("I")) if row else "" for row in ids.to_pylist()]
+    return pa.RecordBatch.from_arrays([doc_ids, ids, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -272,12 +294,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Utf8Machine(load(path).bytes)
         for batch in batches:
-            texts = [
-                machine.decode(memoryview(ids).cast("I")) if ids else "" for ids in batch.column("ids").to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"]
-            )
+            yield _rows(batch.column("doc_id"), batch.column("ids"), machine)
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     given = encoded.select("doc_id", F.coalesce("ids", F.lit(b"")).alias("ids"))

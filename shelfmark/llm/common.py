@@ -2,14 +2,41 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import shelfmark
 from shelfmark.session import configure, fresh_dir
 
 
+_shipped: list[object] = []
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers of this application the package, as ``--py-files`` would, once."""
+    context = spark.sparkContext
+    if context in _shipped:
+        return
+    home = Path(shelfmark.__file__).parent
+    packed = Path(tempfile.mkdtemp()) / "shelfmark.zip"
+    with zipfile.ZipFile(packed, "w") as archive:
+        for file in sorted(home.rglob("*.py")):
+            archive.write(file, file.relative_to(home.parent))
+    context.addPyFile(str(packed))  # the driver serves it; no task reads this path
+    _shipped[:] = [context]
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the given tables, read by Spark from wherever the folder lies."""
+    ship_package(spark)
+    # Batches by size, so that a run of long texts takes a worker no more memory than short ones.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return configure(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -51,3 +78,49 @@ def joined_spans(spans: Column, order: list[str]) -> Column:
         ),
         ",",
     )
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of an Arrow string column without nulls, and the offsets of its texts in them."""
+    wide = column.cast(pa.large_string())
+    _, offsets, data = wide.buffers()
+    places = np.frombuffer(offsets, np.int64, len(wide) + 1 + wide.offset)[wide.offset :] if len(wide) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), places
+
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Spread the bits of 64-bit numbers; distinct numbers stay distinct."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(data: np.ndarray, places: np.ndarray, byte_map: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, in order, and where each text's words begin.
+
+    ``byte_map`` sends a byte to the byte that is hashed, 0 for bytes between words. Texts are
+    hashed whole; the second array has one entry more than there are texts.
+    """
+    start, end = int(places[0]), int(places[-1])
+    mapped = byte_map[data[start:end]]
+    inside = mapped != 0
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    edges = (places[:-1] - start)[places[:-1] < places[1:]]
+    begins[edges] = inside[edges]  # a word never runs on into the next text
+    at = np.flatnonzero(begins)
+    first = np.searchsorted(at, places - start)
+    if not len(at):
+        return np.zeros(0, np.uint64), first
+    kept = np.flatnonzero(inside)
+    number = np.cumsum(begins)[kept] - 1
+    rank = (kept - at[number]).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        # Each byte is hashed together with its place in the word; a word is the sum.
+        values = mixed((rank << np.uint64(8) | mapped[kept].astype(np.uint64)) * _STEP + _STEP)
+        sums = np.add.reduceat(values, np.searchsorted(number, np.arange(len(at))))
+    return mixed(sums), first

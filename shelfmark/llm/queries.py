@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfmark.llm.common import table
 
@@ -32,8 +33,7 @@ def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     from shelfmark.llm import byte_bpe
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = byte_bpe.encode(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
-    return byte_bpe.digest(byte_bpe.decode(encoded, path))
+    return byte_bpe.digest(byte_bpe.round_trip(table(spark, folder, "documents"), path, public_tokenizers.PATTERN))
 
 
 @query
@@ -46,3 +46,14 @@ def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(
         table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048
     )
+
+
+@query
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document, learnt from the labels that are not held out."""
+    from shelfmark.llm import quality
+    from shelfmark.llm.common import held_out
+
+    docs = table(spark, folder, "documents")
+    scored = quality.score(docs, quality.learn(docs, table(spark, folder, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "score", "predicted")

@@ -57,3 +57,11 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     scored = quality.score(docs, quality.learn(docs, table(spark, folder, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "score", "predicted")
+
+
+@query
+def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    from shelfmark.llm import order_minhash
+
+    return order_minhash.near_duplicates(table(spark, folder, "documents")).drop("node")

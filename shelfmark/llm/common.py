@@ -124,3 +124,23 @@ def word_hashes(data: np.ndarray, places: np.ndarray, byte_map: np.ndarray) -> t
         values = mixed((rank << np.uint64(8) | mapped[kept].astype(np.uint64)) * _STEP + _STEP)
         sums = np.add.reduceat(values, np.searchsorted(number, np.arange(len(at))))
     return mixed(sums), first
+
+
+#: Bits of the filter below: 16 MB once sent to the executors, whatever the data.
+FILTER_BITS = 1 << 27
+
+
+def met_by(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose 64-bit ``key`` is among the keys of ``wanted`` (one column), joined on it.
+
+    The wanted keys first become a bitmap of fixed size, which every task tests before the join,
+    so rows that cannot match are not shuffled. A full bitmap lets rows through; none is lost.
+    """
+    place = lambda column: F.pmod(column, F.lit(FILTER_BITS)) + 1
+    number, bit = lambda c: F.bitmap_bucket_number(place(c)), lambda c: F.bitmap_bit_position(place(c))
+    maps = wanted.groupBy(number(F.col(key)).alias("_part")).agg(F.bitmap_construct_agg(bit(F.col(key))).alias("_bits"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (bit(F.col(key)) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    tested = rows.withColumn("_part", number(F.col(key))).join(F.broadcast(maps), "_part").where(
+        F.call_function("getbit", byte, (bit(F.col(key)) % 8).cast("int")) == 1
+    )
+    return tested.drop("_part", "_bits").join(wanted.select(key).distinct(), key)

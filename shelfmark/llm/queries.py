@@ -65,3 +65,12 @@ def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     from shelfmark.llm import order_minhash
 
     return order_minhash.near_duplicates(table(spark, folder, "documents")).drop("node")
+
+
+@query
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the lines that repeat, exactly or nearly, an earlier line."""
+    from shelfmark.llm import line_dedup
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs)

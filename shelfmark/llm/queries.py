@@ -74,3 +74,11 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs)
+
+
+@query
+def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Spot-signature fingerprints of every document and of its edited text."""
+    from shelfmark.llm import spot_signatures
+
+    return spot_signatures.digest(spot_signatures.edited_fingerprints(table(spark, folder, "documents")))

@@ -301,9 +301,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return given.mapInArrow(run, f"doc_id {kind}, ids binary, text string")
 
 
-def digest(decoded: DataFrame) -> DataFrame:
-    """Counts and hashes of ``decode`` rows."""
+def digest(decoded: DataFrame, *more: str) -> DataFrame:
+    """Counts and hashes of ``decode`` rows; ``more`` names columns to keep beside them."""
     return decoded.select(
-        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        "doc_id", *more, (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
     )

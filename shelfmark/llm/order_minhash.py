@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import mixed, stored, text_bytes, word_hashes
@@ -136,3 +137,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         (F.col("doc_id") == F.col("first.doc_id")) & (F.col("node") == F.col("first.node"))
     )
     return placed.join(classes, "root").select("doc_id", "class_id", "class_size", F.coalesce(chosen, F.lit(False)).alias("keep"), "node")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows, with all their columns, of one document of each class; of repeated rows one stays."""
+    kept = near_duplicates(docs).where("keep").select(
+        F.col("doc_id").alias("_id"), F.hex("node").alias("_node")
+    ).distinct()
+    hashed = docs.withColumn("_text", F.upper(F.md5(F.coalesce("text", F.lit("")))))
+    joined = hashed.join(kept, hashed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_node")), "left_semi")
+    # Rows with the same id and text differ in other columns at most; the least of those stays.
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = [F.to_json(F.struct(*others))] if others else [F.lit(1)]
+    ranked = joined.withColumn("_rank", F.row_number().over(W.partitionBy("doc_id", "_text").orderBy(*order)))
+    return ranked.where("_rank = 1").select(*docs.columns)

@@ -82,3 +82,11 @@ def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     from shelfmark.llm import spot_signatures
 
     return spot_signatures.digest(spot_signatures.edited_fingerprints(table(spark, folder, "documents")))
+
+
+@query
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold an exact or edited copy of a benchmark item, one row per document and item."""
+    from shelfmark.llm import decontaminate
+
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

@@ -90,3 +90,12 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     from shelfmark.llm import decontaminate
 
     return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document."""
+    from shelfmark.llm import pii
+
+    docs = table(spark, folder, "documents")
+    return pii.digest(pii.find_personal_data(docs, pii.learn(docs)))

@@ -99,3 +99,11 @@ def op8_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = table(spark, folder, "documents")
     return pii.digest(pii.find_personal_data(docs, pii.learn(docs)))
+
+
+@query
+def op7_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document under a model learnt from those not held out."""
+    from shelfmark.llm import kneser_ney
+
+    return kneser_ney.score_held_out(table(spark, folder, "documents"))

@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PART_SIZE = 1000
-
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Keep the first row of every key; map tasks already drop the others before the shuffle."""
@@ -24,23 +22,6 @@ def top_per_key(
     return ranked.filter(F.col(rank) <= count)
 
 
-def bounded_lists(df: DataFrame, keys: Sequence[str], value: str, part_size: int = PART_SIZE) -> DataFrame:
-    """Sorted distinct values per key as lists of bounded length.
-
-    A key with up to ``part_size`` values gets one list, part 0 of 1. A larger key is split by
-    value hash into as many parts as it needs, so no task ever holds a whole hot key; the parts
-    together are the full list.
-    """
-    distinct = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.lit(1).alias("_one"))
-    totals = distinct.groupBy(*keys).agg(
-        F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(part_size)).cast("int")).alias("parts")
-    )
-    parted = distinct.join(totals, list(keys)).withColumn(
-        "part", F.pmod(F.xxhash64(value), F.col("parts").cast("bigint")).cast("int")
-    )
-    return parted.groupBy(*keys, "part", "parts").agg(F.sort_array(F.collect_list(value)).alias("values"))
-
-
 def reason_list(*checks: tuple[Column, str]) -> Column:
     """Names of the checks that fail, in the given order."""
     return F.array_compact(F.array(*[F.when(failed, F.lit(reason)) for failed, reason in checks]))

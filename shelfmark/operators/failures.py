@@ -8,9 +8,16 @@ from pyspark.sql import functions as F
 
 from shelfmark import vocab
 from shelfmark.functions.text import redact
+from shelfmark.functions.values import strip
 
 SEQUENCE_BLOCK = 4096
 
+# Fixed value: an HTTP date, day name and seconds optional, year of two or four digits, then a zone.
+HTTP_DATE = (
+    r"^(?:[A-Za-z]+,\s*)?(\d{1,2})[ -]([A-Za-z]{3})[ -](\d{4}|\d{2})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?"
+    r"(?:\s+([+-]\d{4}|[A-Za-z]+))?$"
+)
+
 
 def any_of(markers: list[str]) -> str:
     """Pattern that finds any of the markers; they hold no special characters."""
@@ -23,11 +30,24 @@ def _chain_has(chain: Column, test) -> Column:
 
 def retry_after_seconds(value: Column, now: str) -> Column:
     """Delay a Retry-After header asks for: a number, or an HTTP date seen from ``now``; never negative."""
-    stripped = F.regexp_replace(value, r"^\s*[A-Za-z]+,\s*", "")
-    date_text = F.regexp_extract(stripped, r"^(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2})", 1)
-    at = F.try_to_timestamp(date_text, F.lit("d MMM yyyy HH:mm:ss"))
-    until = F.unix_timestamp(at) - F.unix_timestamp(F.lit(now).cast("timestamp"))
-    number = F.trim(value).try_cast("double")
+    part = lambda group: F.regexp_extract(strip(value), HTTP_DATE, group)
+    short = part(3).cast("int")
+    # Two-digit years from 69 on are of the last century.
+    year = F.when(F.length(part(3)) > 2, short).when(short >= 69, short + 1900).otherwise(short + 2000)
+    second = F.when(part(6) == "", "00").otherwise(part(6))
+    at = F.try_to_timestamp(
+        F.concat_ws(" ", part(1), F.initcap(part(2)), year.cast("string"), F.concat_ws(":", part(4), part(5), second)),
+        F.lit("d MMM yyyy HH:mm:ss"),
+    )
+    zone = F.when(part(7).rlike(r"^[+-]\d{4}$"), F.concat(F.left(part(7), F.lit(1)), F.lit("1")).cast("int") * (
+        F.substring(part(7), 2, 2).cast("int") * 3600 + F.substring(part(7), 4, 2).cast("int") * 60
+    )).otherwise(0)
+    dated = F.when(strip(value).rlike(HTTP_DATE), F.unix_timestamp(at) - zone)
+    until = dated - F.unix_timestamp(F.lit(now).cast("timestamp"))
+    plain = F.lower(strip(value))
+    number = F.when(plain.rlike(r"^[+-]?nan$"), F.lit(0.0)).when(
+        plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"), plain.try_cast("double")
+    )
     return F.when(number.isNotNull(), F.greatest(F.lit(0.0), number)).when(
         until.isNotNull(), F.greatest(F.lit(0.0), until.cast("double"))
     )
@@ -75,7 +95,7 @@ def classify_failures(attempts: DataFrame, now: str) -> DataFrame:
 def classify_command_output(outputs: DataFrame) -> DataFrame:
     """Network or terminal failure of a provider command, with its redacted detail text."""
     message = redact(F.col("output"))
-    staged = outputs.withColumn("_message", F.btrim(message)).withColumn(
+    staged = outputs.withColumn("_message", strip(message)).withColumn(
         "_message", F.when(F.col("_message") == "", "command produced no diagnostic output").otherwise(F.col("_message"))
     )
     folded = F.lower("_message")
@@ -85,7 +105,7 @@ def classify_command_output(outputs: DataFrame) -> DataFrame:
         .when(folded.rlike(any_of(vocab.NETWORK_COMMAND_TEXTS)), "network").otherwise("terminal")
     )
     detail = F.concat("command", F.lit(" exited with status "), F.col("exit_code").cast("string"), F.lit(": "), "_message")
-    raw = F.btrim("output")
+    raw = strip("output")
     kept = F.when(raw == "", F.concat(F.lit("exit status "), F.col("exit_code").cast("string"))).otherwise(
         F.right(raw, F.lit(vocab.COMMAND_TEXT_LIMIT))
     )

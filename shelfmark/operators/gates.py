@@ -3,18 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfmark import vocab
-from shelfmark.session import counted_cut, fresh_dir
-
-BLOCKS_PER_JOB = 6
-FOLD_LIMIT = 10_000
-
-
-def environment_key(environment):
-    """Short stable id of an environment path."""
-    return F.left(F.sha2(environment, 256), F.lit(20))
+from shelfmark.session import counted_cut, cut_lineage
 
 
 def cooldown_gate(
@@ -23,74 +16,61 @@ def cooldown_gate(
     ts: str = "ts",
     cooldown: int = vocab.HEALTH_COOLDOWN_SECONDS,
     previous: DataFrame | None = None,
-    fold_limit: int = FOLD_LIMIT,
 ) -> DataFrame:
     """Events kept when each must lie a full cooldown after the last *kept* event of its key.
 
-    A key with at most ``fold_limit`` distinct event times is folded in one pass over its sorted
-    times. A larger key takes the way of ``_gate_in_blocks``, where it never meets in one task.
-    ``previous`` (key, last) is what earlier batches kept.
+    Each event points to the first event at least a cooldown later; kept are those that can be
+    reached from a key's first event. They are marked by pointer doubling: round k knows the
+    first 2^k of them, so the rounds grow with the logarithm of the number kept, and no round
+    brings the events of a key together. ``previous`` (key, last) is what earlier batches kept.
     """
-    times = events.filter(F.col(ts).isNotNull()).select(key, F.unix_micros(F.col(ts)).alias("at")).distinct()
     width = cooldown * 1_000_000
-    before = None if previous is None else previous.groupBy(key).agg(F.max(F.unix_micros("last")).alias("last"))
-    busy, many = counted_cut(times.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > fold_limit).select(key))
-    rest = times.join(busy, key, "left_anti") if many else times
-    folded = _gate_by_fold(rest, key, width, before)
-    if many:
-        folded = folded.unionByName(_gate_in_blocks(times.join(busy, key, "left_semi"), key, width, before))
-    return folded.select(key, F.timestamp_micros("at").alias(ts))
-
-
-def _gate_by_fold(times: DataFrame, key: str, width: int, before: DataFrame | None) -> DataFrame:
-    lists = times.groupBy(key).agg(F.sort_array(F.collect_list("at")).alias("times"))  # fold_limit at most
-    if before is None:
-        lists = lists.withColumn("last", F.lit(None).cast("bigint"))
-    else:
-        lists = lists.join(before, key, "left")
-    empty = F.array().cast("array<bigint>")
-    state = F.struct(F.col("last").alias("last"), empty.alias("kept"))
-    kept = F.aggregate(
-        "times", state,
-        lambda acc, at: F.when(acc["last"].isNotNull() & (at < acc["last"] + width), acc).otherwise(
-            F.struct(at.alias("last"), F.concat(acc["kept"], F.array(at)).alias("kept"))
-        ),
-        lambda acc: acc["kept"],
-    )
-    return lists.select(key, F.explode(kept).alias("at"))
-
-
-def _gate_in_blocks(times: DataFrame, key: str, width: int, before: DataFrame | None) -> DataFrame:
-    """Cut time into blocks one cooldown long: a key keeps at most one event per block, and which
-    one depends on the block before only. Each block is one small minimum over its own slice.
+    times = cut_lineage(events.filter(F.col(ts).isNotNull()).select(F.col(key).alias("key"), F.unix_micros(F.col(ts)).alias("at")).distinct())
+    open_times = times
+    if previous is not None:
+        before = previous.groupBy(F.col(key).alias("key")).agg(F.max(F.unix_micros("last")).alias("last"))
+        open_times = times.join(before, "key", "left").filter(F.col("last").isNull() | (F.col("at") >= F.col("last") + width)).drop("last")
+    reached = cut_lineage(open_times.groupBy("key").agg(F.min("at").alias("at")))
+    jumps, left = counted_cut(_next_events(times, width).filter("next is not null"))
+    while left:
+        ahead, new = counted_cut(
+            reached.join(jumps, ["key", "at"]).select("key", F.col("next").alias("at")).join(reached, ["key", "at"], "left_anti")
+        )
+        if not new:
+            break
+        reached = cut_lineage(reached.unionByName(ahead))
+        further = jumps.select("key", F.col("at").alias("next"), F.col("next").alias("after"))
+        jumps, left = counted_cut(jumps.join(further, ["key", "next"]).select("key", "at", F.col("after").alias("next")))
+    return reached.select(F.col("key").alias(key), F.timestamp_micros("at").alias(ts))
+
+
+def _next_events(times: DataFrame, width: int) -> DataFrame:
+    """(key, at, next): the first event at least ``width`` later.
+
+    With blocks one width long, the event at ``at + width`` or later is in the next block or, if
+    that has none, the first one of the next block that has any. Windows run over one block of a
+    key, and over one row per block.
     """
-    spark = times.sparkSession
-    slices, kept_path = fresh_dir(spark, "gate-events"), fresh_dir(spark, "gate-kept")
-    times.withColumn("block", F.floor(F.col("at") / F.lit(width)).cast("bigint")).write.partitionBy("block").parquet(slices)
-    sliced = spark.read.schema(f"{key} string, at bigint, block bigint").parquet(slices)
-    # One number per cooldown of the covered time span: control data, not rows.
-    blocks = sorted(row[0] for row in sliced.select("block").distinct().collect())
-    kept_schema = f"{key} string, at bigint, block bigint"
-
-    def keep(block: int, earlier: DataFrame | None) -> DataFrame:
-        current = sliced.filter(F.col("block") == block)
-        bounds = earlier if before is None else (before if earlier is None else earlier.unionByName(before))
-        if bounds is not None:
-            last = bounds.groupBy(key).agg(F.max("last").alias("last"))
-            current = current.join(last, key, "left").filter(F.col("last").isNull() | (F.col("at") >= F.col("last") + width))
-        return current.groupBy(key).agg(F.min("at").alias("at")).withColumn("block", F.lit(block).cast("bigint"))
+    blocked = times.withColumn("block", F.floor(F.col("at") / F.lit(width)).cast("bigint"))
+    marks = blocked.select("key", "block", "at", F.lit(None).cast("bigint").alias("asker")).unionByName(
+        blocked.select(
+            "key", (F.col("block") + 1).alias("block"), (F.col("at") + width).alias("at"), F.col("at").alias("asker")
+        )
+    )
+    # Backwards in time the last event seen is the next one; an event at the very time counts.
+    back = W.partitionBy("key", "block").orderBy(F.desc("at"), F.col("asker").isNotNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    event = F.when(F.col("asker").isNull(), F.col("at"))
+    found = marks.withColumn("inside", F.last(event, ignorenulls=True).over(back)).filter("asker is not null")
+    firsts = _block_firsts(blocked)
+    return found.join(firsts, ["key", "block"], "left").select(
+        "key", F.col("asker").alias("at"), F.coalesce("inside", "later").alias("next")
+    )
 
-    def written() -> DataFrame:
-        return spark.read.schema(kept_schema).parquet(kept_path)
 
-    earlier: DataFrame | None = None
-    for start in range(0, len(blocks), BLOCKS_PER_JOB):
-        chunk = blocks[start : start + BLOCKS_PER_JOB]
-        union: DataFrame | None = None
-        for block in chunk:
-            kept = keep(block, earlier)
-            union = kept if union is None else union.unionByName(kept)
-            earlier = kept.select(key, F.col("at").alias("last"))
-        union.write.mode("append").parquet(kept_path)
-        earlier = written().filter(F.col("block") == chunk[-1]).select(key, F.col("at").alias("last"))
-    return written().select(key, "at")
+def _block_firsts(blocked: DataFrame) -> DataFrame:
+    """(key, block, later) for every block that follows an event: the first event of a later block."""
+    asked = blocked.select("key", (F.col("block") + 1).alias("block")).distinct()
+    known = blocked.groupBy("key", "block").agg(F.min("at").alias("first"))
+    every = asked.join(known, ["key", "block"], "full")
+    after = W.partitionBy("key").orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)
+    return every.select("key", "block", F.last("first", ignorenulls=True).over(after).alias("later"))

@@ -39,13 +39,15 @@ def _markers(flagged: DataFrame, *others: str) -> DataFrame:
 
 
 def dataset_sizes(inventory: DataFrame) -> DataFrame:
-    """Bytes per dataset: regular files behind every entry, each inode once.
+    """Bytes per dataset: regular files behind every entry, each inode once; 0 where there are none.
 
     The inodes are made distinct first, on (dataset, device, inode), so a dataset that holds a
     third of all files is spread over all tasks; the sum per dataset then runs on partial sums.
     """
-    inodes = inventory.filter(_is_regular()).groupBy("dataset_id", "dev", "ino").agg(F.max("size").alias("size"))
-    return inodes.groupBy("dataset_id").agg(F.sum("size").alias("total_bytes"), F.count("*").alias("inodes"))
+    inodes = inventory.groupBy("dataset_id", "dev", "ino").agg(F.max(F.when(_is_regular(), F.col("size"))).alias("size"))
+    return inodes.groupBy("dataset_id").agg(
+        F.coalesce(F.sum("size"), F.lit(0)).alias("total_bytes"), F.count("size").alias("inodes")
+    )
 
 
 def payload_markers(inventory: DataFrame) -> DataFrame:

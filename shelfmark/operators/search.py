@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from shelfmark import vocab
 from shelfmark.functions import text, urls
-from shelfmark.functions.tables import bounded_lists
 from shelfmark.session import cut_lineage
 
 NEWEST_FIRST = ("created_at", "dataset_id")
@@ -39,12 +38,13 @@ def location_keys(datasets: DataFrame, aliases: DataFrame) -> DataFrame:
 def find_datasets(
     datasets: DataFrame,
     aliases: DataFrame,
+    *,
     query: str | None = None,
     url: str | None = None,
-    modality: str | None = None,
     provider: str | None = None,
-    show_all: bool = False,
+    modality: str | None = None,
     exact_modality: bool = False,
+    show_all: bool = False,
 ) -> DataFrame:
     """Datasets that pass every given filter, newest first.
 
@@ -56,10 +56,9 @@ def find_datasets(
     if provider:
         found = found.filter(F.col("provider") == provider)
     if modality:
-        if exact_modality:
-            found = found.filter(F.array_contains("modalities", modality.lower()))
-        else:
-            found = found.filter(F.array_join("modalities", ",").ilike(f"%{modality}%"))
+        wanted = F.lit(modality.lower())
+        whole = F.array_contains("modalities", wanted)
+        found = found.filter(whole if exact_modality else F.lower(F.array_join("modalities", ",")).contains(wanted))
     if query:
         escaped = query.replace("\\", "\\\\")
         pattern = f"%{escaped}%"
@@ -297,26 +296,23 @@ def search_by_name(needles: DataFrame, datasets: DataFrame, aliases: DataFrame)
 # -- Serialized records -----------------------------------------------------------------------
 
 def alias_rollup(aliases: DataFrame) -> DataFrame:
-    """Sorted alias values per dataset and kind, in lists of bounded length."""
-    return bounded_lists(aliases, ["dataset_id", "kind"], "value")
+    """Every alias of a dataset once per kind, one row each; ``write_documents`` puts them in order."""
+    return aliases.filter(F.col("value").isNotNull()).select("dataset_id", "kind", "value").distinct()
 
 
 def serialize_datasets(datasets: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Public records: hidden columns gone, unknown sizes null, aliases grouped by kind.
+    """Public records, one per dataset: hidden columns gone, unknown sizes null, aliases counted by kind.
 
-    A record has one row (part 0) unless a dataset has more aliases than one bounded list
-    holds; further parts repeat the record with the next lists.
+    The aliases themselves are the rows of ``alias_rollup``, so a record has one form however
+    many aliases its dataset has.
     """
     public_kinds = {"name_alias": "aliases", "url": "url_aliases", "path": "path_aliases"}
-    lists = alias_rollup(aliases.filter(F.col("kind").isin(list(public_kinds))))
-    per_part = lists.groupBy("dataset_id", "part").agg(
-        *[F.first(F.when(F.col("kind") == kind, F.col("values")), ignorenulls=True).alias(name) for kind, name in public_kinds.items()]
+    counts = alias_rollup(aliases).groupBy("dataset_id").agg(
+        *[F.count(F.when(F.col("kind") == kind, True)).alias(name) for kind, name in public_kinds.items()]
     )
-    empty = F.array().cast("array<string>")
     size = F.when(F.col("size_bytes_known"), F.col("size_bytes"))
-    return datasets.join(per_part, "dataset_id", "left").select(
+    return datasets.join(counts, "dataset_id", "left").select(
         "dataset_id", "name", "provider", "source_url", "version", "modalities", size.alias("size_bytes"), "status",
-        "storage_path", "storage_mode", F.coalesce("part", F.lit(0)).alias("part"),
-        *[F.coalesce(name, empty).alias(name) for name in public_kinds.values()],
+        "storage_path", "storage_mode", *[F.coalesce(name, F.lit(0)).alias(name) for name in public_kinds.values()],
         text.size_label(size).alias("size_label"),
     )

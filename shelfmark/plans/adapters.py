@@ -337,7 +337,7 @@ def attempts_flat(d: Dialect) -> str:
       {_error_column(0, False, index)} AS outer_type, {_error_column(1, False, index)} AS outer_message,
       CAST({_error_column(2, True, index)} AS INT) AS outer_status, {_error_column(3, False, index)} AS outer_retry_after,
       CASE event_type WHEN 'error' THEN 'ConnectionResetError' WHEN 'signup' THEN 'ValueError' WHEN 'purchase' THEN 'PermissionError' END AS inner_type,
-      CASE event_type WHEN 'error' THEN 'reset at https://cdn.example/file?token=hidden' WHEN 'signup' THEN 'bad value' WHEN 'purchase' THEN 'network share denied' END AS inner_message
+      CASE event_type WHEN 'error' THEN 'reset at https://cdn.example/file?token=hidden' WHEN 'signup' THEN 'bad value' WHEN 'purchase' THEN 'shared drive refused' END AS inner_message
     FROM {d.table('events')}"""
 
 

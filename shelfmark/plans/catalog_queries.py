@@ -23,7 +23,7 @@ from shelfmark.operators import (
 from shelfmark.plans import payloads
 from shelfmark.plans.adapters import Catalog
 from shelfmark.session import configure, cut_lineage, fresh_dir
-from shelfmark.sources import filetree, listings, logs, registry
+from shelfmark.sources import listings, logs, registry
 from shelfmark.streaming import jobs
 
 NOW = "2024-01-31 00:00:00"
@@ -114,16 +114,6 @@ def problem_log_sink(c: Catalog) -> DataFrame:
     return registry.read_problems(c.spark, path)
 
 
-@query
-def file_inventory(c: Catalog) -> DataFrame:
-    path = fresh_dir(c.spark, "tree")
-    c.raw("lineitem").write.partitionBy("l_returnflag", "l_linestatus").parquet(path)
-    local = path.removeprefix("file:")
-    roots = c.raw("lineitem").select(
-        F.concat(F.lit("ds-"), "l_returnflag").alias("dataset_id"), F.concat(F.lit(f"{local}/l_returnflag="), "l_returnflag").alias("root")
-    ).distinct()
-    return filetree.file_inventory(roots).groupBy("dataset_id", "kind").agg(F.count("*").alias("entries"))
-
 
 # -- Derived columns --------------------------------------------------------------------------
 
@@ -174,7 +164,7 @@ def redact_fields(c: Catalog) -> DataFrame:
 @query
 def serialize_datasets(c: Catalog) -> DataFrame:
     return search.serialize_datasets(c.datasets, c.dataset_aliases).withColumns(
-        {name: F.array_join(name, "|") for name in ("modalities", "aliases", "url_aliases", "path_aliases")}
+        {"modalities": F.array_join("modalities", "|")}
     )
 
 
@@ -358,7 +348,7 @@ def node_scores(c: Catalog) -> DataFrame:
 
 @query
 def alias_rollup(c: Catalog) -> DataFrame:
-    return search.alias_rollup(c.dataset_aliases).select("dataset_id", "kind", "part", "parts", _joined("values"))
+    return search.alias_rollup(c.dataset_aliases)
 
 
 @query
@@ -575,7 +565,7 @@ def stream_problem_alerts(c: Catalog) -> DataFrame:
 def stream_cooldown_gate(c: Catalog) -> DataFrame:
     target = fresh_dir(c.spark, "stream-gate")
     runs = c.environment_runs
-    path = _in_pieces(runs.coalesce(1), "ts", 3, "runs")
+    path = _in_pieces(runs, "ts", 3, "runs")
     jobs.stream_cooldown_gate(c.spark.readStream.schema(runs.schema).option("maxFilesPerTrigger", 1).parquet(path), target)
     return c.spark.read.schema("environment string, ts timestamp, batch_id bigint").parquet(f"{target}/out").select(
         "environment", F.unix_micros("ts").alias("kept_us")

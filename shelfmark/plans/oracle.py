@@ -111,19 +111,20 @@ def listed(kind: str) -> str:
 
 
 oracle("manifest_documents", f"""
-SELECT dataset_id, CAST(to_json({{'dataset_id': dataset_id, 'name': name, 'provider': provider, 'source_url': source_url, 'version': version, 'modalities': modalities,
-  'size_bytes': {SIZE}, 'status': status, 'storage_path': storage_path, 'storage_mode': storage_mode, 'aliases': {listed('name_alias')}}}) AS VARCHAR) AS document FROM datasets d""")
+SELECT dataset_id, CAST(to_json({{'record': 'dataset', 'dataset_id': dataset_id, 'name': name, 'provider': provider, 'source_url': source_url, 'version': version, 'modalities': modalities,
+  'size_bytes': {SIZE}, 'status': status, 'storage_path': storage_path, 'storage_mode': storage_mode}}) AS VARCHAR) AS document FROM datasets d
+UNION ALL SELECT DISTINCT dataset_id, CAST(to_json({{'record': 'alias', 'dataset_id': dataset_id, 'kind': kind, 'value': value}}) AS VARCHAR) AS document
+FROM dataset_aliases WHERE value IS NOT NULL""")
 
 oracle("serialize_datasets", f"""
 SELECT dataset_id, name, provider, source_url, version, array_to_string(modalities, '|') AS modalities, size_bytes, status, storage_path, storage_mode,
-  CAST(0 AS INT) AS part, array_to_string(aliases, '|') AS aliases, array_to_string(url_aliases, '|') AS url_aliases, array_to_string(path_aliases, '|') AS path_aliases,
+  len(aliases) AS aliases, len(url_aliases) AS url_aliases, len(path_aliases) AS path_aliases,
   {LABEL} AS size_label
 FROM (SELECT dataset_id, name, provider, source_url, version, modalities, {SIZE} AS size_bytes, status, storage_path, storage_mode,
   {listed('name_alias')} AS aliases, {listed('url')} AS url_aliases, {listed('path')} AS path_aliases FROM datasets d) r""")
 
 oracle("alias_rollup", """
-SELECT dataset_id, kind, CAST(0 AS INT) AS part, CAST(1 AS INT) AS parts, string_agg(DISTINCT value, '|' ORDER BY value) AS values
-FROM dataset_aliases WHERE value IS NOT NULL GROUP BY dataset_id, kind""")
+SELECT DISTINCT dataset_id, kind, value FROM dataset_aliases WHERE value IS NOT NULL""")
 
 # -- Derived columns --------------------------------------------------------------------------
 
@@ -428,8 +429,9 @@ SELECT request_id, workspace, action, CASE WHEN action = 'reject' THEN CASE WHEN
 
 # -- Aggregations -----------------------------------------------------------------------------
 
-SIZES = """sizes AS (SELECT dataset_id, CAST(sum(size) AS BIGINT) AS total_bytes, count(*) AS inodes FROM (SELECT dataset_id, dev, ino, max(size) AS size FROM file_inventory
-  WHERE NOT is_dangling AND (kind = 'file' OR (kind = 'symlink' AND target_kind = 'file')) GROUP BY 1, 2, 3) i GROUP BY 1)"""
+SIZES = """sizes AS (SELECT d.dataset_id, CAST(coalesce(sum(size), 0) AS BIGINT) AS total_bytes, count(size) AS inodes FROM (SELECT DISTINCT dataset_id FROM file_inventory) d
+  LEFT JOIN (SELECT dataset_id, dev, ino, max(size) AS size FROM file_inventory
+  WHERE NOT is_dangling AND (kind = 'file' OR (kind = 'symlink' AND target_kind = 'file')) GROUP BY 1, 2, 3) i USING (dataset_id) GROUP BY 1)"""
 oracle("dataset_sizes", f"WITH {SIZES} SELECT * FROM sizes")
 
 MARKERS = """markers AS (SELECT dataset_id, count(*) AS entries,

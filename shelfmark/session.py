@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -46,8 +46,9 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
 def shared_root(spark: SparkSession) -> str:
     """Return the folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in a
-    single-machine test, a fresh temporary folder is taken and set as checkpoint folder.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, a folder of this
+    application below the warehouse is taken, set as checkpoint folder and removed when the
+    application ends; a warehouse on one machine's disk is refused unless the master is local.
     """
     configured = spark.conf.get(CHECKPOINT_SETTING, None)
     if not configured:
@@ -58,11 +59,22 @@ def shared_root(spark: SparkSession) -> str:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shelfmark-"))
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/work-{spark.sparkContext.applicationId}"
+        check_shared(folder, spark.sparkContext.master)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        spark.sparkContext.setCheckpointDir(folder)
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
 
 
+def check_shared(folder: str, master: str) -> None:
+    """Refuse a folder on one machine's disk for an application that runs on several machines."""
+    one_machine = folder.startswith(("file:", "/"))
+    if one_machine and not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that all executors share; {folder} is on one machine")
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """Return a new path below the shared folder; nothing exists there yet."""
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"

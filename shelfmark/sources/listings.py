@@ -9,13 +9,13 @@ from shelfmark import vocab
 from shelfmark.session import counted_cut, cut_lineage
 
 OSF_PAGE = (
-    "data array<struct<attributes: struct<kind: string, materialized_path: string, size: string>, "
+    "data array<struct<attributes: struct<kind: string, materialized_path: string, size: variant>, "
     "links: struct<download: string>, "
     "relationships: struct<files: struct<links: struct<related: string>>>>>, "
     "links struct<next: string>"
 )
-ZENODO_FILE = "struct<key: string, filename: string, size: string, checksum: string, links: struct<content: string, self: string>>"
-HUB_RECORD = "array<struct<filename: string, file_size: string, will_download: boolean>>"
+ZENODO_FILE = "struct<key: string, filename: string, size: variant, checksum: string, links: struct<content: string, self: string>>"
+HUB_RECORD = "array<struct<filename: string, file_size: variant, will_download: boolean>>"
 
 
 def page_address(url):
@@ -26,9 +26,14 @@ def page_address(url):
     )
 
 
-def _whole_number(text):
-    """Non-negative JSON integer, null for anything else (also for booleans and texts)."""
-    return F.when(text.rlike(r"^-?[0-9]+\z"), text.try_cast("bigint"))
+def _integer(value):
+    """JSON integer, null for anything else (also for booleans and texts)."""
+    return F.when(F.schema_of_variant(value) == "BIGINT", F.try_variant_get(value, "$", "bigint"))
+
+
+def _whole_number(value):
+    """Non-negative JSON integer, null for anything else."""
+    return F.when(_integer(value) >= 0, _integer(value))
 
 
 def osf_entries(pages: DataFrame) -> DataFrame:
@@ -127,7 +132,7 @@ def zenodo_manifest(records: DataFrame) -> DataFrame:
 
 def hub_listing(listings: DataFrame) -> DataFrame:
     """Pending files of dry-run listings (source_id, body); a bad size is named."""
-    size = _whole_number(F.col("r.file_size"))
+    size = _integer(F.col("r.file_size"))
     return listings.select("source_id", F.explode(F.from_json("body", HUB_RECORD)).alias("r")).filter("r.will_download").select(
         "source_id", F.col("r.filename").alias("relative_path"), size.alias("size"),
         F.when(size.isNull() | (size < 0), "bad size").alias("problem"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark import schemas
-from shelfmark.operators.search import serialize_datasets
+from shelfmark.operators.search import alias_rollup, serialize_datasets
 
 
 def write_version(tables: dict[str, DataFrame], root: str, version: int) -> str:
@@ -81,18 +81,24 @@ def append_to_reconciled(reconciled: DataFrame, added: DataFrame) -> DataFrame:
 
 
 def manifest_documents(datasets: DataFrame, aliases: DataFrame) -> DataFrame:
-    """One JSON document per dataset (and alias-list part), nulls written out."""
-    records = serialize_datasets(datasets, aliases)
+    """JSON documents of two kinds, nulls written out: one per dataset, and one per alias of it."""
+    written = {"ignoreNullFields": "false"}
     fields = ["dataset_id", "name", "provider", "source_url", "version", "modalities", "size_bytes", "status",
-              "storage_path", "storage_mode", "aliases"]
-    return records.select(
-        "dataset_id", "part", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("document")
+              "storage_path", "storage_mode"]
+    records = serialize_datasets(datasets, aliases).select(
+        "dataset_id", F.to_json(F.struct(F.lit("dataset").alias("record"), *fields), written).alias("document"),
+        F.lit("").alias("kind"), F.lit("").alias("value"),
     )
+    return records.unionByName(alias_rollup(aliases).select(
+        "dataset_id", F.to_json(F.struct(F.lit("alias").alias("record"), "dataset_id", "kind", "value"), written).alias("document"),
+        "kind", "value",
+    ))
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
-    """Write documents as JSON lines, ordered by dataset over range partitions."""
-    documents.repartitionByRange("dataset_id", "part").sortWithinPartitions("dataset_id", "part").select(
+    """Write documents as JSON lines over range partitions: each dataset, then its aliases in order."""
+    order = ["dataset_id", "kind", "value"]
+    documents.repartitionByRange(*order).sortWithinPartitions(*order).select(
         F.col("document").alias("value")
     ).write.mode("errorifexists").text(path)
 

@@ -6,10 +6,10 @@ import pytest
 from compare import connect, first_difference, spark_rows, sql_rows
 
 import __spark_entry__ as registered
+from shelfmark.plans.catalog_queries import QUERIES
+from shelfmark.plans.oracle import ORACLES
 
 FOLDER = "/root/testdata/sf0.001"
-# The listed tree depends on how many files the writer makes, so its rows have no SQL.
-WITHOUT_SQL = {"file_inventory"}
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +18,7 @@ def database():
 
 
 def test_every_query_has_a_check():
-    assert set(registered.queries()) - set(registered.oracle_sql()) == WITHOUT_SQL
+    assert set(QUERIES) == set(ORACLES) and set(QUERIES) <= set(registered.queries())
 
 
 def test_entry(spark):
@@ -26,7 +26,7 @@ def test_entry(spark):
     assert {row["provider"] for row in rows} >= {"openneuro", "osf", "zenodo", "other"}
 
 
-@pytest.mark.parametrize("name", sorted(registered.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, database, name):
     difference = first_difference(
         spark_rows(registered.queries()[name](spark, FOLDER)), sql_rows(database, registered.oracle_sql()[name])

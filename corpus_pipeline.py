@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from shelfmark.llm import byte_bpe, decontaminate, line_dedup, order_minhash, quality
 from shelfmark.llm.common import stored, table
@@ -15,16 +14,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat an earlier line; ``n_chars`` follows the text.
-
-    A document of which no line is left goes; one that never had a line with letters or digits stays.
-    """
-    kept = line_dedup.dedup_lines(docs)
-    emptied = (F.col("removed_lines") > 0) & (F.regexp_replace("text", r"[^\p{L}\p{N}]+", "") == "")
-    kept = kept.where(~F.coalesce(emptied, F.lit(False)))
-    return kept.select(*[
-        F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns
-    ])
+    """Documents without lines that repeat an earlier line; those of which nothing is left go."""
+    return line_dedup.keep_documents(docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import zipfile
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +24,8 @@ def ship_package(spark: SparkSession) -> None:
     if context in _shipped:
         return
     home = Path(shelfmark.__file__).parent
-    packed = Path(tempfile.mkdtemp()) / "shelfmark.zip"
+    packed = Path(SparkFiles.getRootDirectory()) / "packed" / "shelfmark.zip"
+    packed.parent.mkdir(exist_ok=True)
     with zipfile.ZipFile(packed, "w") as archive:
         for file in sorted(home.rglob("*.py")):
             archive.write(file, file.relative_to(home.parent))
@@ -130,11 +131,11 @@ def word_hashes(data: np.ndarray, places: np.ndarray, byte_map: np.ndarray) -> t
 FILTER_BITS = 1 << 27
 
 
-def met_by(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """Rows whose 64-bit ``key`` is among the keys of ``wanted`` (one column), joined on it.
+def sifted(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose 64-bit ``key`` may be among the keys of ``wanted`` (one column).
 
-    The wanted keys first become a bitmap of fixed size, which every task tests before the join,
-    so rows that cannot match are not shuffled. A full bitmap lets rows through; none is lost.
+    The wanted keys become a bitmap of fixed size, which every task tests, so that rows without
+    a match need not be shuffled for a join. A full bitmap lets rows through; none that matches is lost.
     """
     place = lambda column: F.pmod(column, F.lit(FILTER_BITS)) + 1
     number, bit = lambda c: F.bitmap_bucket_number(place(c)), lambda c: F.bitmap_bit_position(place(c))
@@ -143,4 +144,9 @@ def met_by(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     tested = rows.withColumn("_part", number(F.col(key))).join(F.broadcast(maps), "_part").where(
         F.call_function("getbit", byte, (bit(F.col(key)) % 8).cast("int")) == 1
     )
-    return tested.drop("_part", "_bits").join(wanted.select(key).distinct(), key)
+    return tested.drop("_part", "_bits")
+
+
+def met_by(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose 64-bit ``key`` is among the keys of ``wanted`` (one column); other rows are not shuffled."""
+    return sifted(rows, key, wanted).join(wanted.select(key).distinct(), key)

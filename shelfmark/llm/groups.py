@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import stored
+from shelfmark.llm.common import met_by, stored
 from shelfmark.session import fresh_dir
 
 
@@ -49,16 +49,26 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionByName(pairs.select(F.col("m").alias("node"), F.col("m").alias("root")).distinct())
 
 
-def similar_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def crowded(members: DataFrame) -> DataFrame:
+    """The distinct (bucket, node) rows of buckets, 64-bit numbers, that more than one row falls into."""
+    full = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    return stored(met_by(members, "bucket", stored(full, "full")).select("bucket", "node").distinct(), "members")
+
+
+def similar_groups(
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame],
+    traits: Callable[[DataFrame], DataFrame] | None = None, fit: Callable[[Column, Column], Column] | None = None,
+) -> DataFrame:
     """Connected groups of nodes that meet in a bucket and are similar: ``node`` and ``root``.
 
-    ``members`` has one row per (bucket, node); ``verify`` takes pairs (a, b) and returns the
+    ``members`` are rows of ``crowded``; ``verify`` takes pairs (a, b) and returns the
     similar ones. First each member is compared with the least node of its bucket, so a bucket
     of copies costs one comparison a member. Then the members of a bucket that are not yet
     connected are compared across the groups that have formed. Two similar members of one
     bucket thus always end up in one group, and no bucket emits pairs inside a group.
+    ``traits`` (nodes to node, trait) and ``fit`` tell, without a text, that two nodes cannot be
+    similar; such pairs are left out of the second comparison and cost no row.
     """
-    members = stored(members, "members")
     least = members.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a != most")
     stars = members.join(least.select("bucket", "a"), "bucket").where("node != a").select("a", F.col("node").alias("b")).distinct()
     stars = stored(stars, "stars")
@@ -71,11 +81,16 @@ def similar_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame])
     )
     apart = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
     loose = stored(placed.join(apart.select("bucket"), "bucket", "left_semi"), "loose")
+    if traits is None:
+        loose, fit = loose.withColumn("trait", F.lit(0)), lambda a, b: F.lit(True)
+    else:
+        loose = loose.join(traits(stored(loose.select("node").distinct(), "nodes")), "node")
+    left = loose.select("bucket", F.col("node").alias("a"), F.col("root").alias("a_root"), F.col("trait").alias("a_trait"))
+    right = loose.select(F.col("bucket").alias("b_bucket"), F.col("node").alias("b"), F.col("root").alias("b_root"), F.col("trait").alias("b_trait"))
     across = (
-        loose.select("bucket", F.col("node").alias("a"), F.col("root").alias("a_root"))
-        .join(loose.select("bucket", F.col("node").alias("b"), F.col("root").alias("b_root")), "bucket")
-        .where("a_root < b_root").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        left.join(right, (F.col("bucket") == F.col("b_bucket")) & (F.col("a_root") < F.col("b_root")) & fit(F.col("a_trait"), F.col("b_trait")))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         .join(stars, ["a", "b"], "left_anti")
     )
-    more = verify(across)
+    more = verify(stored(across, "across"))
     return components(links.select("a", "b").unionByName(more.select("a", "b")))

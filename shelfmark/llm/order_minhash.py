@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import mixed, stored, text_bytes, word_hashes
-from shelfmark.llm.groups import similar_groups
+from shelfmark.llm.common import mixed, sifted, stored, text_bytes, word_hashes
+from shelfmark.llm.groups import crowded, similar_groups
 
 #: Words in a k-mer; sketches of a text; k-mers in a sketch.
 WORDS, SKETCHES, TAKEN = 5, 16, 3
@@ -29,6 +29,10 @@ WORD_BYTES = np.where(
 WORD_BYTES[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
 
 _SALTS = mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Salted hashes of one text that are held at once.
+AT_ONCE = 1 << 20
+#: Classes of words whose counts are compared before texts are aligned.
+BAG = 256
 _FIRST_CODE, _CODES = 0x100, 0xD600
 
 
@@ -64,15 +68,36 @@ def sketches(words: np.ndarray) -> np.ndarray:
     if not len(labelled):
         return labelled
     taken = min(TAKEN, len(labelled))
-    out = np.empty(SKETCHES, np.uint64)
+    rows = max(1, AT_ONCE // len(labelled))
+    places = [
+        np.argpartition(mixed(labelled ^ _SALTS[k : k + rows, None]), taken - 1, axis=1)[:, :taken]
+        for k in range(0, SKETCHES, rows)
+    ]
+    values = labelled[np.sort(np.concatenate(places), axis=1)]
+    total = _SALTS
     with np.errstate(over="ignore"):
-        for i, salt in enumerate(_SALTS):
-            least = np.argpartition(mixed(labelled ^ salt), taken - 1)[:taken]
-            total = salt
-            for value in labelled[np.sort(least)]:
-                total = mixed(np.array([total + value], np.uint64))[0]
-            out[i] = total
-    return out
+        for k in range(taken):
+            total = mixed(total + values[:, k])
+    return np.unique(total)
+
+
+def bag(words: np.ndarray) -> np.ndarray:
+    """How many words fall into each of ``BAG`` classes of hashes, 127 at most."""
+    return np.minimum(np.bincount((words % np.uint64(BAG)).astype(np.int64), minlength=BAG), 127).astype(np.int8)
+
+
+def may_align(a: Column, b: Column) -> Column:
+    """Whether lengths and bags leave it open that two texts are aligned closely enough.
+
+    An edit changes two counts of a bag by one at most, so bags that differ by more than twice
+    the allowed edits rule the pair out.
+    """
+    longest, shortest = F.greatest(a["n"], b["n"]), F.least(a["n"], b["n"])
+    allowed = F.floor(longest * (1 - SIMILARITY) + 1e-9)
+    apart = F.aggregate(
+        F.zip_with(a["bag"], b["bag"], lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x
+    )
+    return (longest - shortest <= allowed) & (apart <= 2 * allowed)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,8 +108,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("node"),
              pa.array([codes[part].tobytes().decode("utf-16-le") for part in parts], pa.string()),
-             pa.array([sketches(words[part]).view(np.int64) for part in parts], pa.list_(pa.int64()))],
-            ["doc_id", "node", "codes", "keys"],
+             pa.array([sketches(words[part]).view(np.int64) for part in parts], pa.list_(pa.int64())),
+             pa.array([bag(words[part]) for part in parts], pa.list_(pa.int8()))],
+            ["doc_id", "node", "codes", "keys", "bag"],
         )
 
 
@@ -104,27 +130,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ``SIMILARITY`` of them in place. Classes are the connected groups; equal texts are one node.
     ``keep`` marks one document of each class, the one with the least id (rows without id last).
     A null text counts as empty; all empty texts are equal; texts without words are alike only
-    where equal. Of repeated rows (same id and text) one is kept; every input row has a row.
+    where equal. Every input row has a row; repeated rows (same id and text) are marked alike, and
+    ``keep_one`` keeps one of them.
     Columns other than doc_id and text are not read.
     """
     given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.unhex(F.md5("text")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     sketched = stored(
-        given.mapInArrow(_sketch, f"doc_id {kind}, node binary, codes string, keys array<bigint>"), "sketches"
+        given.mapInArrow(_sketch, f"doc_id {kind}, node binary, codes string, keys array<bigint>, bag array<tinyint>"), "sketches"
     )
-    members = sketched.select("node", F.explode("keys").alias("bucket")).distinct()
-    texts = sketched.select("node", "codes").groupBy("node").agg(F.first("codes").alias("codes"))
+    members = sketched.select("node", F.explode("keys").alias("bucket"))
+
+    def of_nodes(nodes: DataFrame, *columns: Column) -> DataFrame:
+        """The given columns of the wanted nodes, once each; other rows are not shuffled."""
+        keyed = sketched.select("node", F.xxhash64("node").alias("key"), *columns)
+        near = sifted(keyed, "key", nodes.select(F.xxhash64("node").alias("key"))).drop("key")
+        chosen = near.join(nodes, "node", "left_semi")
+        return chosen.groupBy("node").agg(*[F.first(c).alias(c) for c in chosen.columns if c != "node"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        known = stored(texts.join(wanted, "node", "left_semi"), "texts")
+        wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
+        known = stored(of_nodes(wanted, F.col("codes")), "texts")
         return (
             pairs.join(known.select(F.col("node").alias("a"), F.col("codes").alias("a_codes")), "a")
             .join(known.select(F.col("node").alias("b"), F.col("codes").alias("b_codes")), "b")
             .where(aligned(F.col("a_codes"), F.col("b_codes"))).select("a", "b")
         )
 
-    grouped = similar_groups(members, verify)
+    def traits(nodes: DataFrame) -> DataFrame:
+        return of_nodes(nodes, F.struct(F.length("codes").alias("n"), "bag").alias("trait"))
+
+    grouped = similar_groups(crowded(members), verify, traits, may_align)
     placed = (
         sketched.select("doc_id", "node").join(grouped, "node", "left")
         .select("doc_id", "node", F.coalesce("root", "node").alias("root"))
@@ -140,14 +176,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows, with all their columns, of one document of each class; of repeated rows one stays."""
-    kept = near_duplicates(docs).where("keep").select(
-        F.col("doc_id").alias("_id"), F.hex("node").alias("_node")
-    ).distinct()
-    hashed = docs.withColumn("_text", F.upper(F.md5(F.coalesce("text", F.lit("")))))
-    joined = hashed.join(kept, hashed["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_node")), "left_semi")
-    # Rows with the same id and text differ in other columns at most; the least of those stays.
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    order = [F.to_json(F.struct(*others))] if others else [F.lit(1)]
-    ranked = joined.withColumn("_rank", F.row_number().over(W.partitionBy("doc_id", "_text").orderBy(*order)))
-    return ranked.where("_rank = 1").select(*docs.columns)
+    """The rows, with all their columns, of one document of each class; of repeated rows one stays.
+
+    Of rows with the same id and text, which differ in other columns at most, the one that comes
+    first in the order of those columns stays.
+    """
+    kept = near_duplicates(docs).where("keep").select("doc_id", "node").distinct()
+    node = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), node.alias("hash"))
+    chosen = packed.join(kept, packed["id"].eqNullSafe(kept["doc_id"]) & (packed["hash"] == kept["node"]), "left_semi")
+    others = [F.col("row")[c] for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*others)) if others else F.lit(1)
+    ranked = chosen.withColumn("place", F.row_number().over(W.partitionBy("id", "hash").orderBy(order)))
+    return ranked.where("place = 1").select("row.*")

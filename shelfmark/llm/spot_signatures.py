@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import id_and_text, stored
-from shelfmark.llm.groups import similar_groups
+from shelfmark.llm.groups import crowded, similar_groups
 
 # Common words of English, French, Spanish and German that open a chain. Words of
 # one or two letters open one as well, which serves other languages in Latin letters.
@@ -155,7 +155,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     length = F.floor(F.log("n") / math.log(1 / least)).cast("int")
     members = rare.select(
         "node", F.explode(F.array(length, length + 1)).alias("part"), "sign"
-    ).select("node", F.xxhash64("part", "sign").alias("bucket")).distinct()
+    ).select("node", F.xxhash64("part", "sign").alias("bucket"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         return (
@@ -164,5 +164,5 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
             .where(surely_alike(F.col("a_signs"), F.col("b_signs"), least)).select("a", "b")
         )
 
-    placed = signed.join(similar_groups(members, verify), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = signed.join(similar_groups(crowded(members), verify), "node", "left").withColumn("root", F.coalesce("root", "node"))
     return placed.join(placed.groupBy("root").agg(F.min("doc_id").alias("class_id")), "root").select("doc_id", "class_id")

@@ -131,8 +131,8 @@ def word_hashes(data: np.ndarray, places: np.ndarray, byte_map: np.ndarray) -> t
 FILTER_BITS = 1 << 27
 
 
-def sifted(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """Rows whose 64-bit ``key`` may be among the keys of ``wanted`` (one column).
+def sifted(rows: DataFrame, key: str, wanted: DataFrame, met: bool = True) -> DataFrame:
+    """Rows whose 64-bit ``key`` may be among the keys of ``wanted`` (one column), or the other rows.
 
     The wanted keys become a bitmap of fixed size, which every task tests, so that rows without
     a match need not be shuffled for a join. A full bitmap lets rows through; none that matches is lost.
@@ -141,10 +141,9 @@ def sifted(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     number, bit = lambda c: F.bitmap_bucket_number(place(c)), lambda c: F.bitmap_bit_position(place(c))
     maps = wanted.groupBy(number(F.col(key)).alias("_part")).agg(F.bitmap_construct_agg(bit(F.col(key))).alias("_bits"))
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (bit(F.col(key)) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    tested = rows.withColumn("_part", number(F.col(key))).join(F.broadcast(maps), "_part").where(
-        F.call_function("getbit", byte, (bit(F.col(key)) % 8).cast("int")) == 1
-    )
-    return tested.drop("_part", "_bits")
+    is_set = F.call_function("getbit", byte, (bit(F.col(key)) % 8).cast("int")) == 1
+    joined = rows.withColumn("_part", number(F.col(key))).join(F.broadcast(maps), "_part", "inner" if met else "left")
+    return joined.where(is_set if met else ~F.coalesce(is_set, F.lit(False))).drop("_part", "_bits")
 
 
 def met_by(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:

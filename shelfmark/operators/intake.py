@@ -23,7 +23,7 @@ from shelfmark.operators.conflicts import (
     source_reference_conflicts,
 )
 from shelfmark.operators.search import resolve_identifiers
-from shelfmark.session import cut_lineage
+from shelfmark.session import counted_cut, cut_lineage
 
 
 class RegistryChange(NamedTuple):
@@ -267,9 +267,30 @@ def update_metadata(requests: DataFrame, datasets: DataFrame, aliases: DataFrame
     """Enrich registered metadata; a request that breaks one rule changes nothing.
 
     A remote URL is never replaced and decides the provider. Provider and version are filled when
-    missing and replaced only with ``force``. Modalities and aliases only grow. Of several
-    requests for one dataset the first is applied and the others come back as ``deferred``.
+    missing and replaced only with ``force``. Modalities and aliases only grow. Every sound
+    request is applied: of several for one dataset the first goes in this round, the others in
+    later rounds, each against what the rounds before left. There are as many rounds as one
+    dataset has sound requests, over the shrinking rest.
     """
+    columns = datasets.columns
+    changed = new_aliases = outcomes = None
+    while True:
+        turn = _update_turn(requests, datasets, aliases)
+        told = cut_lineage(turn.outcomes)
+        rows, more = cut_lineage(turn.datasets), cut_lineage(turn.aliases)
+        changed = rows if changed is None else changed.join(rows, "dataset_id", "left_anti").unionByName(rows)
+        new_aliases = more if new_aliases is None else new_aliases.unionByName(more)
+        settled = told.filter("outcome <> 'deferred'")
+        outcomes = settled if outcomes is None else outcomes.unionByName(settled)
+        requests, waiting = counted_cut(requests.join(told.filter("outcome = 'deferred'").select("request_id"), "request_id", "left_semi"))
+        if not waiting:
+            return RegistryChange(changed, new_aliases, None, outcomes)
+        datasets = cut_lineage(datasets.join(rows, "dataset_id", "left_anti").unionByName(rows.select(*columns)))
+        aliases = cut_lineage(aliases.select(*more.columns).unionByName(more))
+
+
+def _update_turn(requests: DataFrame, datasets: DataFrame, aliases: DataFrame) -> RegistryChange:
+    """One round of updates: the first sound request of each dataset; the others are ``deferred``."""
     current = datasets.select(
         "dataset_id", F.col("name").alias("canonical"), F.col("provider").alias("old_provider"),
         F.col("source_url").alias("old_url"), F.col("version").alias("old_version"), F.col("modalities").alias("old_modalities"),

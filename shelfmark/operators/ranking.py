@@ -12,16 +12,16 @@ from shelfmark.functions.statistics import order_statistics
 
 def eligible_nodes(proxies: DataFrame, marker: str = "") -> DataFrame:
     """Direct members of every group that carry the marker, or the reason a group has none."""
-    groups = proxies.filter(F.size("members") > 0).select(
+    groups = proxies.select(
         F.col("name").alias("group"), F.lower("type").alias("group_type"), "members"
     ).filter(F.col("group_type").isin(vocab.GROUP_PROXY_TYPES))
     refused = groups.filter("group_type <> 'selector'").select(
         "group", F.lit(None).cast("int").alias("position"), F.lit(None).cast("string").alias("node"), F.lit("not a selector").alias("problem")
     )
     types = proxies.select(F.col("name").alias("node"), F.lower("type").alias("node_type"))
-    members = groups.filter("group_type = 'selector'").select("group", F.posexplode("members").alias("position", "node"))
+    members = groups.filter("group_type = 'selector'").select("group", F.posexplode_outer("members").alias("position", "node"))
     judged = members.join(types, "node", "left").withColumn(
-        "fits", F.contains("node", F.lit(marker)) & ~F.coalesce(F.col("node_type").isin(vocab.GROUP_PROXY_TYPES), F.lit(False))
+        "fits", F.coalesce(F.contains("node", F.lit(marker)), F.lit(False)) & ~F.coalesce(F.col("node_type").isin(vocab.GROUP_PROXY_TYPES), F.lit(False))
     )
     fitting = judged.filter("fits").select("group", "position", "node", F.lit(None).cast("string").alias("problem"))
     empty = judged.groupBy("group").agg(F.bool_or("fits").alias("any")).filter("not any").select(

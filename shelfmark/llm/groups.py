@@ -63,24 +63,40 @@ def similar_groups(
 
     ``members`` are rows of ``crowded``; ``verify`` takes pairs (a, b) and returns the
     similar ones. First each member is compared with the least node of its bucket, so a bucket
-    of copies costs one comparison a member. Then the members of a bucket that are not yet
-    connected are compared across the groups that have formed. Two similar members of one
-    bucket thus always end up in one group, and no bucket emits pairs inside a group.
+    of copies costs one comparison a member. Members that are not connected by that are compared
+    with another node of the bucket, and so on, as long as buckets hold more pairs of different
+    groups than members and a round lessens them. At last all pairs of different groups in a
+    bucket are compared. Two similar members of one bucket thus always end up in one group,
+    whatever the rounds did, and no bucket emits pairs inside a group.
     ``traits`` (nodes to node, trait) and ``fit`` tell, without a text, that two nodes cannot be
     similar; such pairs are left out of the second comparison and cost no row.
     """
-    least = members.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a != most")
-    stars = members.join(least.select("bucket", "a"), "bucket").where("node != a").select("a", F.col("node").alias("b")).distinct()
-    stars = stored(stars, "stars")
-    links = stored(verify(stars), "verified")
-    grouped = components(links)
-    shared = members.join(least.select("bucket"), "bucket", "left_semi")
-    placed = (
-        shared.join(grouped, "node", "left")
-        .select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    )
-    apart = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    loose = stored(placed.join(apart.select("bucket"), "bucket", "left_semi"), "loose")
+    known = members.count()
+    placed = members.withColumn("root", F.col("node"))
+    tried = links = None
+    open_before = None
+    while True:
+        loose = stored(_several_groups(placed), "loose")
+        open_pairs = _pairs_across(loose)
+        if links is not None and (open_pairs <= known or open_pairs > 0.9 * open_before):
+            break
+        # The least node first, so that many buckets share it; later any member, the same for all buckets.
+        rank = F.col("node") if links is None else F.xxhash64("node", F.lit(open_pairs))
+        first = loose.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "node", "root")).alias("first"))
+        stars = loose.join(first, "bucket").where(F.col("root") != F.col("first.root")).select(
+            F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b")
+        ).distinct()
+        stars = stored(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), "stars")
+        found = stored(verify(stars).select("a", "b"), "verified")
+        tried = stars if tried is None else tried.unionByName(stars)
+        links = found if links is None else links.unionByName(found)
+        grouped = components(links)
+        placed = members.join(grouped, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+        open_before = open_pairs
+        if not open_pairs:
+            return grouped
+    if not open_pairs:
+        return grouped
     if traits is None:
         loose, fit = loose.withColumn("trait", F.lit(0)), lambda a, b: F.lit(True)
     else:
@@ -90,7 +106,20 @@ def similar_groups(
     across = (
         left.join(right, (F.col("bucket") == F.col("b_bucket")) & (F.col("a_root") < F.col("b_root")) & fit(F.col("a_trait"), F.col("b_trait")))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        .join(stars, ["a", "b"], "left_anti")
+        .join(tried, ["a", "b"], "left_anti")
     )
     more = verify(stored(across, "across"))
-    return components(links.select("a", "b").unionByName(more.select("a", "b")))
+    return components(links.unionByName(more.select("a", "b")))
+
+
+def _several_groups(placed: DataFrame) -> DataFrame:
+    """The rows of buckets whose nodes are not all in one group."""
+    apart = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    return placed.join(apart.select("bucket"), "bucket", "left_semi")
+
+
+def _pairs_across(loose: DataFrame) -> float:
+    """How many pairs of different groups the buckets hold."""
+    groups = loose.groupBy("bucket", "root").agg(F.count("*").cast("double").alias("n"))
+    buckets = groups.groupBy("bucket").agg((F.pow(F.sum("n"), 2) - F.sum(F.col("n") * F.col("n"))).alias("twice"))
+    return buckets.agg(F.coalesce(F.sum("twice"), F.lit(0.0)).alias("twice")).first()["twice"] / 2

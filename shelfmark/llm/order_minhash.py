@@ -149,13 +149,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return chosen.groupBy("node").agg(*[F.first(c).alias(c) for c in chosen.columns if c != "node"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "wanted")
-        known = stored(of_nodes(wanted, F.col("codes")), "texts")
-        return (
-            pairs.join(known.select(F.col("node").alias("a"), F.col("codes").alias("a_codes")), "a")
-            .join(known.select(F.col("node").alias("b"), F.col("codes").alias("b_codes")), "b")
-            .where(aligned(F.col("a_codes"), F.col("b_codes"))).select("a", "b")
-        )
+        side = lambda name: of_nodes(
+            pairs.select(F.col(name).alias("node")).distinct(), F.col("codes")
+        ).select(F.col("node").alias(name), F.col("codes").alias(f"{name}_codes"))
+        return pairs.join(side("b"), "b").join(side("a"), "a").where(aligned(F.col("a_codes"), F.col("b_codes"))).select("a", "b")
 
     def traits(nodes: DataFrame) -> DataFrame:
         return of_nodes(nodes, F.struct(F.length("codes").alias("n"), "bag").alias("trait"))

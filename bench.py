@@ -30,8 +30,10 @@ def main() -> None:
 
     chosen = os.environ.get("BENCH_QUERIES", "")
     names = list(QUERIES) if chosen == "all" else [n for n in chosen.split(",") if n] or HEADLINE
-    # The first job of a session pays for starting it; that is not a query's time.
-    QUERIES["ingest_audit"](spark, folder).write.format("noop").mode("overwrite").save()
+    # The first job of a session pays for starting it, and the first that reads the registry for
+    # writing its alias table; neither is a query's time.
+    for name in ("ingest_audit", "alias_rollup"):
+        QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
     for name in names:
         start = time.perf_counter()

@@ -178,11 +178,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of rows with the same id and text, which differ in other columns at most, the one that comes
     first in the order of those columns stays.
     """
-    kept = near_duplicates(docs).where("keep").select("doc_id", "node").distinct()
+    found = stored(near_duplicates(docs), "classes")
+    kept = found.where("keep").select("doc_id", "node").distinct()
     node = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), node.alias("hash"))
-    chosen = packed.join(kept, packed["id"].eqNullSafe(kept["doc_id"]) & (packed["hash"] == kept["node"]), "left_semi")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), node.alias("hash")).withColumn(
+        "key", F.xxhash64("hash")
+    )
+    # Rows that are alone in their class stay as they are, without a shuffle.
+    shared = found.where("class_size > 1").select(F.xxhash64("node").alias("key"))
+    alone = sifted(packed, "key", shared, met=False)
+    among = sifted(packed, "key", shared)
+    chosen = among.join(kept, among["id"].eqNullSafe(kept["doc_id"]) & (among["hash"] == kept["node"]), "left_semi")
     others = [F.col("row")[c] for c in docs.columns if c not in ("doc_id", "text")]
     order = F.to_json(F.struct(*others)) if others else F.lit(1)
     ranked = chosen.withColumn("place", F.row_number().over(W.partitionBy("id", "hash").orderBy(order)))
-    return ranked.where("place = 1").select("row.*")
+    return alone.select("row.*").unionByName(ranked.where("place = 1").select("row.*"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -19,6 +20,18 @@ COMMON = (
     "los las del por con para una como pero sus más este esta son muy sin sobre también hay fue "
     "der die das und den dem ein eine einer eines ist nicht mit sich auf für von auch als wie bei aus nach oder"
 ).split()
+def _opening() -> str:
+    """Pattern of a common word after a blank; words are grouped by their first two letters to be tried fast."""
+    groups: dict[str, dict[str, list[str]]] = {}
+    for word in sorted(set(COMMON)):
+        groups.setdefault(word[0], {}).setdefault(word[1], []).append(word[2:])
+    firsts = [
+        f"{a}(?:" + "|".join(f"{b}(?:{'|'.join(rests)})" for b, rests in seconds.items()) + ")" for a, seconds in groups.items()
+    ]
+    return rf" (?:\p{{L}}{{1,2}}(?= )|(?:{'|'.join(firsts)})(?= ))"
+
+
+OPENING = _opening()
 #: Content words in a chain.
 CHAIN = 2
 #: Least likeness of near duplicates.
@@ -34,15 +47,26 @@ def signatures(text: Column) -> Column:
     text without words has no signature.
     """
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    marked = F.regexp_replace(words, rf" (?:{'|'.join(COMMON)}|\p{{L}}{{1,2}})(?= )", " \u0001")
     more = r"(?: \x01)* [^ \x01]+"
-    chains = F.regexp_extract_all(marked, F.lit(rf"\x01(?=( [^ \x01]+(?:{more}){{{CHAIN - 1}}}))"), F.lit(1))
-    plain = F.regexp_extract_all(words, F.lit(rf"(?= ([^ ]+(?: [^ ]+){{{CHAIN}}}) )"), F.lit(1))
-    whole = F.filter(F.array(F.trim(words)), lambda w: w != "")
-    taken = F.when(F.size(chains) > 0, chains).when(F.size(plain) > 0, plain).otherwise(whole)
+
+    def chains_of(w: Column) -> Column:
+        marked = F.regexp_replace(w, OPENING, " \u0001")
+        return F.regexp_extract_all(marked, F.lit(rf"\x01(?=( [^ \x01]+(?:{more}){{{CHAIN - 1}}}))"), F.lit(1))
+
+    def otherwise(w: Column) -> Column:
+        plain = F.regexp_extract_all(w, F.lit(rf"(?= ([^ ]+(?: [^ ]+){{{CHAIN}}}) )"), F.lit(1))
+        return F.when(F.size(plain) > 0, plain).otherwise(F.filter(F.array(F.trim(w)), lambda x: x != ""))
+
+    # Through arrays of one, so that words and chains are worked out once.
+    taken = once(words, lambda w: once(chains_of(w), lambda found: F.when(F.size(found) > 0, found).otherwise(otherwise(w))))
     return F.array_sort(F.array_distinct(F.transform(taken, lambda c: F.hash(F.regexp_replace(c, "[ \x01]+", " ")))))
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate a costly value once for an expression that reads it several times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fingerprint(signs: Column) -> Column:
     """The signatures as one string of eight hexadecimal digits each."""
     return F.array_join(

@@ -40,31 +40,36 @@ def runs(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def benchmark_seeds(benchmark: DataFrame) -> DataFrame:
-    """item_id, the item's words (hashes), and for each seed its hash, place and words."""
+    """item_id, key, the text's words (hashes), and for each seed its hash, place and words.
+
+    ``key`` tells the texts of one id apart; each is searched on its own.
+    """
     kind = benchmark.schema["item_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, first = _words(batch.column("text"))
-            ids, seeds, parts, places, items = [], [], [], [], []
-            for i, item in enumerate(batch.column("item_id").to_pylist()):
+            ids, keys, seeds, parts, places, items = [], [], [], [], [], []
+            for i, (item, key) in enumerate(zip(batch.column("item_id").to_pylist(), batch.column("key").to_pylist())):
                 own = words[first[i] : first[i + 1]]
                 size = min(SEED_WORDS, len(own))
                 for place, seed in enumerate(runs(own, size).view(np.int64) if size else []):
                     ids.append(item)
+                    keys.append(key)
                     seeds.append(seed)
                     places.append(place)
                     parts.append(own[place : place + size].view(np.int64))
                     items.append(own.view(np.int64))
             numbers = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, batch.column("item_id").type), pa.array(items, numbers), pa.array(seeds, pa.int64()),
-                 pa.array(places, pa.int32()), pa.array(parts, numbers)],
-                ["item_id", "item", "seed", "place", "parts"],
+                [pa.array(ids, batch.column("item_id").type), pa.array(keys, pa.int64()), pa.array(items, numbers),
+                 pa.array(seeds, pa.int64()), pa.array(places, pa.int32()), pa.array(parts, numbers)],
+                ["item_id", "key", "item", "seed", "place", "parts"],
             )
 
     given = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).where("item_id IS NOT NULL").distinct()
-    return given.mapInArrow(run, f"item_id {kind}, item array<bigint>, seed bigint, place int, parts array<bigint>")
+    keyed = given.withColumn("key", F.xxhash64("item_id", "text"))
+    return keyed.mapInArrow(run, f"item_id {kind}, key bigint, item array<bigint>, seed bigint, place int, parts array<bigint>")
 
 
 def _counter(wanted: np.ndarray):
@@ -110,14 +115,14 @@ def rare_seeds(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     total = max((row["n"] for row in tallied.where("is_total").collect()), default=0) or 1
     share = tallied.where("NOT is_total").select("word", F.log(F.col("n") / F.lit(float(total))).alias("share"))
     # A word that no document has makes its seeds impossible; they stay, and match nothing.
-    each = seeds.select("item_id", "place", "seed", F.explode("parts").alias("word"))
+    each = seeds.select("key", "place", F.explode("parts").alias("word"))
     chance = (
-        each.join(share, "word", "left").groupBy("item_id", "place")
+        each.join(share, "word", "left").groupBy("key", "place")
         .agg((F.sum(F.coalesce("share", F.lit(-30.0))) + F.log(F.lit(float(total)))).alias("places"))
     )
-    rarest = chance.groupBy("item_id").agg(F.min("places").alias("least"))
-    kept = chance.join(rarest, "item_id").where((F.col("places") <= F.log(F.lit(CHANCE_PLACES))) | (F.col("places") <= F.col("least")))
-    return seeds.join(kept.select("item_id", "place"), ["item_id", "place"])
+    rarest = chance.groupBy("key").agg(F.min("places").alias("least"))
+    kept = chance.join(rarest, "key").where((F.col("places") <= F.log(F.lit(CHANCE_PLACES))) | (F.col("places") <= F.col("least")))
+    return seeds.join(kept.select("key", "place"), ["key", "place"])
 
 
 def blocks(values: DataFrame, column: str) -> Iterator[np.ndarray]:
@@ -160,7 +165,7 @@ def smith_waterman(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     return best, best_begin, best_end
 
 
-def _searcher(kind: str, seeds: np.ndarray, entries: list[tuple[object, int]], start: np.ndarray, items: dict, sizes: list[int]):
+def _searcher(kind: str, seeds: np.ndarray, entries: list[tuple[int, int]], start: np.ndarray, items: dict, sizes: list[int]):
     """Finds seeds in texts and aligns each item at the places its seeds point to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,18 +190,18 @@ def item_type(kind: str) -> pa.DataType:
 
 
 def _hits(own: np.ndarray, seeds: np.ndarray, entries: list, start: np.ndarray, items: dict, sizes: list[int]) -> list[tuple]:
-    """Best alignment per item: (item, score, first word, end word) from ``LEAST_SCORE`` on."""
-    origins: dict[object, set[int]] = {}
+    """Best alignment per item, over all its texts: (item, score, first word, end word) from ``LEAST_SCORE`` on."""
+    origins: dict[int, set[int]] = {}
     for size in sizes:
         found = runs(own, size)
         at = np.searchsorted(seeds, found)
         at[at == len(seeds)] = 0
         for where in np.flatnonzero(seeds[at] == found):
-            for item, place in entries[start[at[where]] : start[at[where] + 1]]:
-                origins.setdefault(item, set()).add(int(where) - place)
-    hits = []
-    for item, begins in sorted(origins.items(), key=lambda x: x[0]):
-        words = items[item]
+            for key, place in entries[start[at[where]] : start[at[where] + 1]]:
+                origins.setdefault(key, set()).add(int(where) - place)
+    hits: dict[object, tuple] = {}
+    for key, begins in sorted(origins.items()):
+        item, words = items[key]
         margin = len(words)
         best = (0.0, 0, 0)
         # Places that point to overlapping stretches are aligned in one go.
@@ -211,8 +216,8 @@ def _hits(own: np.ndarray, seeds: np.ndarray, entries: list, start: np.ndarray,
                 low = begin - margin if low is None else low
                 high = begin + 2 * margin
         if best[0] >= LEAST_SCORE:
-            hits.append((item, *best))
-    return hits
+            hits[item] = max(hits.get(item, best), best, key=lambda x: (x[0], -x[1], -x[2]))
+    return [(item, *hits[item]) for item in sorted(hits)]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -222,7 +227,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``LEAST_SCORE`` of the item's best possible score, so edited copies count as well. One row
     per document and item, with the best passage (words counted from 0, end exclusive). Null texts, texts and items without words and rows of the
     benchmark without id match nothing; repeated rows repeat; an item text that occurs under
-    several ids is reported under each. Other columns are not read.
+    several ids is reported under each, and of several texts under one id each is searched. Other columns are not read.
     """
     ids = {name: frame.schema[name].dataType.simpleString() for frame, name in ((docs, "doc_id"), (benchmark, "item_id"))}
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -243,17 +248,19 @@ def item_blocks(seeds: DataFrame) -> Iterator[tuple]:
     """The rare seeds of a bounded number of items at a time, as sorted arrays for the workers."""
     parts = max(1, -(-seeds.count() // SEEDS_AT_ONCE) * 2 - 1)
     for part in range(parts):
-        rows = seeds.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).select("seed", "item_id", "place", "item", F.size("parts").alias("size"))
+        rows = seeds.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).select(
+            "seed", "item_id", "key", "place", "item", F.size("parts").alias("size")
+        )
         table = rows.toArrow()
         if not table.num_rows:
             continue
-        listed = sorted(zip(*[table.column(name).to_pylist() for name in ("seed", "item_id", "place", "size")]), key=lambda r: (r[0] % (1 << 64), r[2]))
+        listed = sorted(zip(*[table.column(name).to_pylist() for name in ("seed", "key", "place", "size")]), key=lambda r: (r[0] % (1 << 64), r[2]))
         values = np.array([row[0] for row in listed], np.int64).view(np.uint64)
         seeds_at, start = np.unique(values, return_index=True)
         items = {}
-        for item, words in zip(table.column("item_id").to_pylist(), table.column("item").to_pylist()):
-            if item not in items:
-                items[item] = np.array(words, np.int64).view(np.uint64)
+        for key, item, words in zip(*[table.column(name).to_pylist() for name in ("key", "item_id", "item")]):
+            if key not in items:
+                items[key] = item, np.array(words, np.int64).view(np.uint64)
         yield seeds_at, [(row[1], row[2]) for row in listed], np.append(start, len(listed)), items, sorted({row[3] for row in listed})
 
 

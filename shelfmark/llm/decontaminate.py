@@ -16,6 +16,8 @@ from shelfmark.llm.order_minhash import WORD_BYTES
 SEED_WORDS = 3
 #: A seed is rare if so few places would hold it by chance, were words drawn independently.
 CHANCE_PLACES = 1.0
+#: In every stretch of so many places of an item, the rarest seed is kept however common it is.
+STRETCH = 3
 #: Alignment score of an equal word, an unequal pair and a skipped word.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an item's best possible score from which a passage counts as a copy.
@@ -94,11 +96,13 @@ def _counter(wanted: np.ndarray):
 
 
 def rare_seeds(docs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """The seeds that chance would put in at most ``CHANCE_PLACES`` places of the documents.
+    """The seeds that chance would put in at most ``CHANCE_PLACES`` places of the documents, and one per stretch.
 
     Word counts are taken over all documents, for the words of the benchmark. Chance goes by
     words, not by how often the run itself occurs, so a passage that very many documents copy
-    keeps its seeds. An item without a rare seed keeps its rarest one.
+    keeps its seeds. Of every ``STRETCH`` places of an item the rarest seed stays, whatever the size
+    of the documents, so that edited copies meet seeds all over the item. Seeds with a word that
+    no document has can match nothing and are left out first.
     """
     words = seeds.select(F.explode("parts").alias("word")).distinct()
     counted = []
@@ -114,14 +118,16 @@ def rare_seeds(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     tallied = stored(tallied, "words")
     total = max((row["n"] for row in tallied.where("is_total").collect()), default=0) or 1
     share = tallied.where("NOT is_total").select("word", F.log(F.col("n") / F.lit(float(total))).alias("share"))
-    # A word that no document has makes its seeds impossible; they stay, and match nothing.
     each = seeds.select("key", "place", F.explode("parts").alias("word"))
     chance = (
         each.join(share, "word", "left").groupBy("key", "place")
-        .agg((F.sum(F.coalesce("share", F.lit(-30.0))) + F.log(F.lit(float(total)))).alias("places"))
+        .agg((F.sum("share") + F.log(F.lit(float(total)))).alias("places"), F.bool_or(F.col("share").isNull()).alias("impossible"))
+        .where("NOT impossible").withColumn("stretch", F.floor(F.col("place") / STRETCH))
+    )
+    rarest = chance.groupBy("key", "stretch").agg(F.min(F.struct("places", "place"))["place"].alias("rarest"))
+    kept = chance.join(rarest, ["key", "stretch"]).where(
+        (F.col("places") <= F.log(F.lit(CHANCE_PLACES))) | (F.col("place") == F.col("rarest"))
     )
-    rarest = chance.groupBy("key").agg(F.min("places").alias("least"))
-    kept = chance.join(rarest, "key").where((F.col("places") <= F.log(F.lit(CHANCE_PLACES))) | (F.col("places") <= F.col("least")))
     return seeds.join(kept.select("key", "place"), ["key", "place"])
 
 
@@ -209,8 +215,10 @@ def _hits(own: np.ndarray, seeds: np.ndarray, entries: list, start: np.ndarray,
         for begin in [*sorted(begins), None]:
             if low is not None and (begin is None or begin - margin > high):
                 a, b = max(0, low), min(len(own), high)
-                score, s, e = smith_waterman(words, own[a:b])
-                best = max(best, (score / (MATCH * len(words)), a + s, a + e), key=lambda x: x[0])
+                # No score exceeds that of all words the stretch holds; common seeds mostly end here.
+                if np.isin(words, own[a:b]).sum() >= LEAST_SCORE * len(words):
+                    score, s, e = smith_waterman(words, own[a:b])
+                    best = max(best, (score / (MATCH * len(words)), a + s, a + e), key=lambda x: x[0])
                 low = None
             if begin is not None:
                 low = begin - margin if low is None else low

@@ -17,3 +17,19 @@ def test_all_texts_of_one_benchmark_id_are_searched(spark):
     got = sorted((r["doc_id"], r["item_id"], r["score"], r["first_word"], r["end_word"]) for r in rows)
     assert got == [(0, "q", 1.0, 0, 30), (1, "q", 1.0, 1, 13), (2, "q", 1.0, 2, 22), (9, "q", 1.0, 0, 30)]
     assert decontaminate.keep_clean(frame, bench).count() == 0
+
+
+def test_items_of_common_words_keep_seeds_that_documents_can_hold(spark):
+    draw = random.Random(22)
+    common = [f"c{i}" for i in range(40)]
+    item = [draw.choice(common) for _ in range(30)]
+    item[14] = "onlyhere"  # a word that every copy has changed
+    copy = [*item[:14], "other", *item[15:]]
+    docs = [[draw.choice(common) for _ in range(4000)] for _ in range(50)]
+    for k, at in ((0, 5), (1, 2000)):
+        docs[k][at:at] = copy
+    frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    rows = decontaminate.contaminated(frame, bench).collect()
+    found = {(r["doc_id"], r["first_word"], r["end_word"]) for r in rows if r["score"] > 0.8}
+    assert found == {(0, 5, 35), (1, 2000, 2030)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from shelfmark.llm import decontaminate
+from shelfmark.llm import decontaminate, quality
 
 
 def test_all_texts_of_one_benchmark_id_are_searched(spark):
@@ -33,3 +33,12 @@ def test_items_of_common_words_keep_seeds_that_documents_can_hold(spark):
     rows = decontaminate.contaminated(frame, bench).collect()
     found = {(r["doc_id"], r["first_word"], r["end_word"]) for r in rows if r["score"] > 0.8}
     assert found == {(0, 5, 35), (1, 2000, 2030)}
+
+
+def test_quality_sample_holds_one_row_of_an_id(spark):
+    docs = [(i, f"text number {i} of some words") for i in range(20)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id bigint, quality int")
+    once = quality.learn(spark.createDataFrame(docs, "doc_id bigint, text string"), labels)
+    often = docs + [docs[3]] * 200 + [docs[4]] * 50
+    again = quality.learn(spark.createDataFrame(often, "doc_id bigint, text string"), labels)
+    assert (again.weights == once.weights).all() and again.least == once.least

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from shelfmark.llm import decontaminate, quality
+from shelfmark.llm import decontaminate, line_dedup, quality
 
 
 def test_all_texts_of_one_benchmark_id_are_searched(spark):
@@ -42,3 +42,11 @@ def test_quality_sample_holds_one_row_of_an_id(spark):
     often = docs + [docs[3]] * 200 + [docs[4]] * 50
     again = quality.learn(spark.createDataFrame(often, "doc_id bigint, text string"), labels)
     assert (again.weights == once.weights).all() and again.least == once.least
+
+
+def test_fingerprints_of_very_long_lines_move_with_the_edit(spark):
+    words = [f"word{i}" for i in range(17_000)]
+    lines = [(1, " ".join(words)), (2, " ".join(["inserted", *words]))]
+    rows = line_dedup.with_simhash(spark.createDataFrame(lines, "doc_id int, normal string")).collect()
+    a, b = (r["fingerprint"] % (1 << 64) for r in rows)
+    assert (a ^ b).bit_count() <= 4

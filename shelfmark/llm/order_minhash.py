@@ -14,7 +14,7 @@ from shelfmark.llm.common import mixed, sifted, stored, text_bytes, word_hashes
 from shelfmark.llm.groups import crowded, similar_groups
 
 #: Words in a k-mer; sketches of a text; k-mers in a sketch.
-WORDS, SKETCHES, TAKEN = 5, 16, 3
+WORDS, SKETCHES, TAKEN = 3, 48, 2
 #: Least share of words that an alignment leaves in place.
 SIMILARITY = 0.8
 #: Part of the allowed edits that is tried first; most copies need no wider band.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from shelfmark.llm import decontaminate, line_dedup, quality
+from shelfmark.llm import decontaminate, line_dedup, order_minhash, quality
 
 
 def test_all_texts_of_one_benchmark_id_are_searched(spark):
@@ -50,3 +50,20 @@ def test_fingerprints_of_very_long_lines_move_with_the_edit(spark):
     rows = line_dedup.with_simhash(spark.createDataFrame(lines, "doc_id int, normal string")).collect()
     a, b = (r["fingerprint"] % (1 << 64) for r in rows)
     assert (a ^ b).bit_count() <= 4
+
+
+def test_copies_with_spread_edits_meet(spark):
+    draw = random.Random(23)
+    docs = []
+    for share in (0.1, 0.15, 0.19):
+        for n in (60, 300, 1000):
+            for _ in range(10):
+                words = [f"v{draw.randrange(10**5)}" for _ in range(n)]
+                copy = list(words)
+                for at in draw.sample(range(n), int(n * share)):
+                    copy[at] = f"w{draw.randrange(10**6)}"
+                docs += [words, copy]
+    frame = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id int, text string")
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(frame).collect()}
+    linked = [got[i] == got[i + 1] == i for i in range(0, len(docs), 2)]
+    assert sum(linked) >= 0.95 * len(linked)

@@ -107,3 +107,26 @@ def op7_language_model(spark: SparkSession, folder: str) -> DataFrame:
     from shelfmark.llm import kneser_ney
 
     return kneser_ney.score_held_out(table(spark, folder, "documents"))
+
+
+@query
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    from shelfmark.llm import impact_search
+
+    ranked = impact_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return ranked.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
+@query
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """How the tokens of two vocabularies meet in every document, and how usual those meetings are."""
+    import public_tokenizers as files
+
+    from shelfmark.llm import token_alignment
+
+    aligned = token_alignment.align(
+        table(spark, folder, "documents"), files.path("byte_bpe_50k.json"), files.path("piece_bpe_32k.model"),
+        files.path("byte_bpe_50k.tiktoken"), files.PATTERN,
+    )
+    return aligned.withColumn("doc_id", F.col("doc_id").cast("bigint"))

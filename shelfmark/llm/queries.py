@@ -130,3 +130,12 @@ def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
         files.path("byte_bpe_50k.tiktoken"), files.PATTERN,
     )
     return aligned.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
+@query
+def op12_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licences that every document names or is under."""
+    from shelfmark.llm import license_scan
+
+    scanned = license_scan.digest(license_scan.scan_licences(table(spark, folder, "documents")))
+    return scanned.withColumn("doc_id", F.col("doc_id").cast("bigint"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from shelfmark.operators import (
 from shelfmark.plans import payloads
 from shelfmark.plans.adapters import Catalog
 from shelfmark.session import configure, cut_lineage, fresh_dir
+from shelfmark.sources import listing_problems as listing_problems_of
 from shelfmark.sources import listings, logs, registry
 from shelfmark.streaming import jobs
 
@@ -88,6 +90,39 @@ def hub_listing(c: Catalog) -> DataFrame:
     return listings.hub_listing(payloads.hub_listings(c.raw("orders")))
 
 
+def _listings(c: Catalog) -> dict[str, tuple[DataFrame, DataFrame, DataFrame]]:
+    """(manifest, problems, verdicts) of faulty listings, by provider."""
+    orders = c.raw("orders")
+    pages, roots = payloads.broken_osf_pages(orders)
+    return {
+        "osf": listing_problems_of.read_osf(cut_lineage(pages), roots),
+        "zenodo": listing_problems_of.read_zenodo(payloads.broken_zenodo_records(orders)),
+        "huggingface": listing_problems_of.read_hub(payloads.broken_hub_listings(orders)),
+    }
+
+
+def _of_all_providers(parts: dict[str, DataFrame]) -> DataFrame:
+    named = [rows.withColumn("provider", F.lit(provider)) for provider, rows in parts.items()]
+    return reduce(DataFrame.unionByName, named)
+
+
+@query
+def listing_problems(c: Catalog) -> DataFrame:
+    return _of_all_providers({provider: problems for provider, (_, problems, _) in _listings(c).items()})
+
+
+@query
+def listing_verdicts(c: Catalog) -> DataFrame:
+    return _of_all_providers({provider: verdicts for provider, (_, _, verdicts) in _listings(c).items()})
+
+
+@query
+def listing_outcomes(c: Catalog) -> DataFrame:
+    orders = c.raw("orders")
+    manifest, _, verdicts = listing_problems_of.read_zenodo(payloads.broken_zenodo_records(orders))
+    return listing_problems_of.listing_outcomes(manifest, verdicts, payloads.zenodo_local_files(orders))
+
+
 @query
 def parse_run_logs(c: Catalog) -> DataFrame:
     return logs.parse_run_logs(c.log_lines).select(

@@ -87,6 +87,64 @@ SELECT 'hub' || CAST(o_orderkey // 25 AS VARCHAR) AS source_id, 'shard-' || CAST
   CASE WHEN o_orderkey % 71 = 1 THEN CAST(-1 AS BIGINT) ELSE CAST(floor(o_totalprice) AS BIGINT) END AS size,
   CASE WHEN o_orderkey % 71 = 1 THEN 'bad size' END AS problem FROM orders WHERE o_orderkey % 3 <> 0""")
 
+BROKEN_PAGES = """placed AS (SELECT o_orderkey, o_orderkey // 1000 AS src, (o_orderkey // 1000) % 8 AS fault, (o_orderkey // 20) % 50 AS page, CAST(floor(o_totalprice) AS BIGINT) AS size FROM orders),
+pages AS (SELECT DISTINCT src, fault, page FROM placed WHERE NOT (fault = 3 AND page = 12) AND NOT (fault = 4 AND page = 0)),
+links AS (
+  SELECT src, page, CASE WHEN page = 19 THEN 15 WHEN page % 5 <> 4 THEN page + 1 END AS target, 'next page is not stored' AS problem FROM pages WHERE NOT (fault = 6 AND page = 2)
+  UNION ALL SELECT src, page, (page // 5 * 2 + 1) * 5, 'folder page is not stored' FROM pages WHERE page % 5 = 0 AND page // 5 * 2 + 1 < 10 AND NOT (page // 5 * 2 + 1 = 4 AND src % 3 = 1)
+  UNION ALL SELECT src, page, (page // 5 * 2 + 2) * 5, 'folder page is not stored' FROM pages WHERE page % 5 = 0 AND page // 5 * 2 + 2 < 10 AND NOT (page // 5 * 2 + 2 = 4 AND src % 3 = 1)
+  UNION ALL SELECT src, page, 0, 'folder page is not stored' FROM pages WHERE page = 45),
+sound_links AS (SELECT * FROM links WHERE target IS NOT NULL AND NOT (src % 8 = 1 AND page = 3) AND NOT (src % 8 = 2 AND page = 7) AND NOT (src % 8 = 7 AND page = 0)),
+reach AS (SELECT src, CAST(0 AS BIGINT) AS page FROM pages WHERE page = 0
+  UNION SELECT l.src, CAST(l.target AS BIGINT) FROM reach r JOIN sound_links l ON l.src = r.src AND l.page = r.page JOIN pages p ON p.src = l.src AND p.page = l.target),
+osf_files AS (SELECT p.src, p.page, p.o_orderkey, p.size FROM placed p JOIN reach r ON r.src = p.src AND r.page = p.page
+  WHERE NOT (fault = 1 AND p.page = 3) AND NOT (fault = 2 AND p.page = 7) AND NOT (fault = 7 AND p.page = 0)),
+osf_found AS (
+  SELECT r.src, r.page, CAST(NULL AS BIGINT) AS entry, CASE r.src % 8 WHEN 1 THEN 'page is no object' WHEN 2 THEN 'data is no list' ELSE 'next page is no address' END AS problem
+    FROM reach r WHERE (r.src % 8 = 1 AND r.page = 3) OR (r.src % 8 = 2 AND r.page = 7) OR (r.src % 8 = 6 AND r.page = 2)
+  UNION ALL SELECT r.src, r.page, (SELECT count(*) FROM placed p WHERE p.src = r.src AND p.page = r.page) + k.i, k.problem FROM reach r,
+    (VALUES (0, 'entry is neither file nor folder'), (1, 'entry is no object')) k(i, problem) WHERE r.src % 8 = 5 AND r.page = 1
+  UNION ALL SELECT DISTINCT l.src, l.page, NULL, l.problem FROM sound_links l JOIN reach r ON r.src = l.src AND r.page = l.page
+    LEFT JOIN pages p ON p.src = l.src AND p.page = l.target WHERE p.page IS NULL
+  UNION ALL SELECT s.src, 0, NULL, 'first page is not stored' FROM (SELECT DISTINCT src FROM placed) s LEFT JOIN pages p ON p.src = s.src AND p.page = 0 WHERE p.page IS NULL
+  UNION ALL SELECT p.src, p.page, NULL, 'stored page is not reachable' FROM pages p LEFT JOIN reach r ON r.src = p.src AND r.page = p.page WHERE r.page IS NULL
+  UNION ALL SELECT s.src, NULL, NULL, 'listing has no files' FROM (SELECT DISTINCT src FROM placed) s WHERE s.src NOT IN (SELECT src FROM osf_files)),
+zenodo_cases(fault, entry, problem) AS (VALUES (1, NULL, 'record is no object'), (2, NULL, 'files are neither list nor object'), (3, NULL, 'entries are no object'), (4, NULL, 'listing has no files'), (5, 0, 'file is no object')),
+zenodo_found AS (SELECT record, entry, problem FROM (SELECT DISTINCT o_orderkey // 10 AS record FROM orders) r JOIN zenodo_cases ON fault = record % 9),
+hub_records AS (SELECT o_orderkey // 25 AS listing, o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS size, o_orderkey % 71 = 1 AS bad, o_orderkey % 3 <> 0 AS pending,
+  row_number() OVER (PARTITION BY o_orderkey // 25 ORDER BY 'shard-' || CAST(o_orderkey AS VARCHAR) || '.fif') - 1 AS entry FROM orders),
+hub_found AS (SELECT DISTINCT listing, CAST(NULL AS BIGINT) AS entry, 'listing is no list' AS problem FROM hub_records WHERE listing % 7 = 1
+  UNION ALL SELECT listing, entry, 'bad size' FROM hub_records WHERE listing % 7 <> 1 AND bad AND pending)"""
+
+oracle("listing_problems", f"""WITH RECURSIVE {BROKEN_PAGES}
+SELECT 'osf' AS provider, 'osf' || CAST(src AS VARCHAR) AS source_id, 'https://api.osf.io/v2/nodes/osf' || CAST(src AS VARCHAR) || '/files/osfstorage/p' || CAST(page AS VARCHAR) || '/?page%5Bsize%5D=100' AS place, entry, problem FROM osf_found
+UNION ALL SELECT 'zenodo', 'zen' || CAST(record AS VARCHAR), NULL, entry, problem FROM zenodo_found
+UNION ALL SELECT 'huggingface', 'hub' || CAST(listing AS VARCHAR), NULL, entry, problem FROM hub_found""")
+
+oracle("listing_verdicts", f"""WITH RECURSIVE {BROKEN_PAGES},
+osf_ranked AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY page IS NULL, CAST(page AS VARCHAR) || '/', coalesce(entry, -1), problem) AS n FROM osf_found WHERE problem <> 'stored page is not reachable'),
+osf_counts AS (SELECT s.src, (SELECT count(*) FROM osf_files f WHERE f.src = s.src) AS files, (SELECT count(*) FROM osf_ranked p WHERE p.src = s.src) AS problems,
+  (SELECT count(*) FROM osf_found p WHERE p.src = s.src AND p.problem = 'stored page is not reachable') AS notes,
+  (SELECT coalesce(sum(size), 0) FROM osf_files f WHERE f.src = s.src) AS bytes, (SELECT problem FROM osf_ranked p WHERE p.src = s.src AND n = 1) AS first_problem
+  FROM (SELECT DISTINCT src FROM placed) s),
+zenodo_counts AS (SELECT r.record, CASE WHEN f.problem IS NULL THEN r.files WHEN r.record % 9 = 5 THEN 1 ELSE 0 END AS files, CASE WHEN r.record % 9 = 5 THEN 1 ELSE 0 END AS rejected,
+  CASE WHEN f.problem IS NULL THEN r.bytes ELSE 0 END AS bytes, f.problem
+  FROM (SELECT o_orderkey // 10 AS record, count(*) AS files, sum(CAST(floor(o_totalprice) AS BIGINT)) AS bytes FROM orders GROUP BY 1) r LEFT JOIN zenodo_found f ON f.record = r.record),
+hub_counts AS (SELECT listing, CASE WHEN listing % 7 = 1 THEN 0 ELSE count(*) FILTER (pending) END AS files, CASE WHEN listing % 7 = 1 THEN 0 ELSE coalesce(sum(size) FILTER (pending AND NOT bad), 0) END AS bytes,
+  (SELECT count(*) FROM hub_found f WHERE f.listing = r.listing) AS problems, (SELECT max(problem) FROM hub_found f WHERE f.listing = r.listing) AS first_problem FROM hub_records r GROUP BY listing)
+SELECT 'osf' AS provider, 'osf' || CAST(src AS VARCHAR) AS source_id, files, 0::BIGINT AS rejected, problems, notes, CAST(bytes AS BIGINT) AS bytes, first_problem, problems = 0 AS usable FROM osf_counts
+UNION ALL SELECT 'zenodo', 'zen' || CAST(record AS VARCHAR), files, rejected, CASE WHEN problem IS NULL THEN 0 ELSE 1 END, 0, CAST(bytes AS BIGINT), problem, problem IS NULL FROM zenodo_counts
+UNION ALL SELECT 'huggingface', 'hub' || CAST(listing AS VARCHAR), files, 0, problems, 0, CAST(bytes AS BIGINT), first_problem, problems = 0 FROM hub_counts""")
+
+oracle("listing_outcomes", f"""WITH RECURSIVE {BROKEN_PAGES},
+sound AS (SELECT o_orderkey // 10 AS record, o_orderkey AS k, CAST(floor(o_totalprice) AS BIGINT) AS size,
+  (o_orderkey // 10) % 2 = 1 AND o_orderkey % 2 = 1 AS pending FROM orders),
+per AS (SELECT record, count(*) AS files, count(*) FILTER (pending) AS pending, coalesce(sum(size) FILTER (pending), 0) AS bytes, min('data/' || CAST(k AS VARCHAR) || '.bin') FILTER (pending) AS first_pending FROM sound GROUP BY record)
+SELECT 'zen' || CAST(p.record AS VARCHAR) AS source_id, CASE WHEN f.problem IS NOT NULL THEN 'reject' WHEN pending > 0 THEN 'transfer' ELSE 'complete' END AS action,
+  CASE WHEN f.problem IS NULL THEN files WHEN p.record % 9 = 5 THEN 1 ELSE 0 END AS files, f.problem AS first_problem,
+  CASE WHEN f.problem IS NULL THEN pending ELSE 0 END AS pending, CAST(CASE WHEN f.problem IS NULL THEN bytes ELSE 0 END AS BIGINT) AS pending_bytes, CASE WHEN f.problem IS NULL THEN first_pending END AS first_pending
+FROM per p LEFT JOIN zenodo_found f ON f.record = p.record""")
+
 EVENT = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[^ ]*)Z (DEBUG|INFO|WARNING|ERROR|CRITICAL) ([^ ]+)(?: (.*))?$"
 ACTION = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[^ ]*) (START|FAILED|SUCCEEDED)(?: (.*))?$"
 # The checking engine has no look-ahead: cut the text before every " key=" and split each piece.

@@ -100,5 +100,49 @@ def hub_listings(orders: DataFrame) -> DataFrame:
         F.when(F.col("o_orderkey") % 71 == 1, F.lit(-1)).otherwise(F.floor("o_totalprice")).cast("bigint").alias("file_size"),
         (F.col("o_orderkey") % 3 != 0).alias("will_download"),
     )
-    grouped = orders.groupBy(F.expr("o_orderkey div 25").alias("listing")).agg(F.collect_list(record).alias("records"))
+    grouped = orders.groupBy(F.expr("o_orderkey div 25").alias("listing")).agg(F.array_sort(F.collect_list(record)).alias("records"))
     return grouped.select(F.concat(F.lit("hub"), F.col("listing").cast("string")).alias("source_id"), F.to_json("records").alias("body"))
+
+
+def broken_osf_pages(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pages of ``osf_pages`` with one fault in seven of eight sources, by the number of the source."""
+    pages, roots = osf_pages(orders)
+    fault = F.substring("source_id", 4, 20).cast("bigint") % 8
+    number = F.regexp_extract("page_url", r"/p(\d+)/", 1).cast("int")
+    at = lambda case, page: (F.col("fault") == case) & (F.col("number") == page)
+    body = F.col("body")
+    # After the files of page 1, which holds no folders: an entry of a kind nobody knows, and one that is no object.
+    odd = F.regexp_replace(body, r"\],\"links\":\{", ',{"attributes":{"kind":"link"}},7],"links":{')
+    faulty = (
+        F.when(at(1, 3), F.lit("<html>")).when(at(2, 7), F.lit('{"data":5}')).when(at(5, 1), odd)
+        .when(at(6, 2), F.regexp_replace(body, r'"links":\{"next":"[^"]*"\}\}\z', '"links":{"next":7}}'))
+        .when(at(7, 0), F.lit('{"data":[],"links":{"next":null}}')).otherwise(body)
+    )
+    marked = pages.withColumn("fault", fault).withColumn("number", number)
+    return marked.filter(~at(3, 12) & ~at(4, 0)).select("source_id", "page_url", faulty.alias("body")), roots
+
+
+def broken_zenodo_records(orders: DataFrame) -> DataFrame:
+    """The records of ``zenodo_records`` with a fault in five of nine, by the number of the record."""
+    fault = F.substring("source_id", 4, 20).cast("bigint") % 9
+    bodies = {1: "oops", 2: '{"files":3}', 3: '{"files":{"entries":4}}', 4: '{"files":[]}', 5: '{"files":[7]}'}
+    body = F.col("body")
+    for case, text in bodies.items():
+        body = F.when(fault == case, F.lit(text)).otherwise(body)
+    return zenodo_records(orders).select("source_id", body.alias("body"))
+
+
+def broken_hub_listings(orders: DataFrame) -> DataFrame:
+    """The listings of ``hub_listings``, one of seven without a list."""
+    fault = F.substring("source_id", 4, 20).cast("bigint") % 7 == 1
+    return hub_listings(orders).select("source_id", F.when(fault, F.lit("{}")).otherwise(F.col("body")).alias("body"))
+
+
+def zenodo_local_files(orders: DataFrame) -> DataFrame:
+    """Files already fetched from the records: all of every other record, and of the others those with even keys."""
+    key = F.col("o_orderkey").cast("string")
+    record = F.expr("o_orderkey div 10")
+    return orders.filter((record % 2 == 0) | (F.col("o_orderkey") % 2 == 0)).select(
+        F.concat(F.lit("zen"), record.cast("string")).alias("source_id"), F.concat(F.lit("data/"), key, F.lit(".bin")).alias("relative_path"),
+        F.lit("file").alias("kind"), F.floor("o_totalprice").cast("bigint").alias("size"), F.concat(F.lit("md5:"), F.md5(key)).alias("checksum"),
+    )

@@ -8,14 +8,43 @@ from pyspark.sql import functions as F
 from shelfmark import vocab
 from shelfmark.session import counted_cut, cut_lineage
 
-OSF_PAGE = (
-    "data array<struct<attributes: struct<kind: string, materialized_path: string, size: variant>, "
-    "links: struct<download: string>, "
-    "relationships: struct<files: struct<links: struct<related: string>>>>>, "
-    "links struct<next: string>"
-)
-ZENODO_FILE = "struct<key: string, filename: string, size: variant, checksum: string, links: struct<content: string, self: string>>"
-HUB_RECORD = "array<struct<filename: string, file_size: variant, will_download: boolean>>"
+
+def json_value(body):
+    """A JSON text as a value to look into, null where it is none."""
+    return F.try_parse_json(body)
+
+
+def json_list(value):
+    """The elements of a JSON array, null for anything else."""
+    return F.try_variant_get(value, "$", "array<variant>")
+
+
+def json_object(value):
+    """The members of a JSON object, null for anything else."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def json_member(value, *names: str):
+    """What a path of names leads to inside JSON objects, null where it leads nowhere."""
+    return F.try_variant_get(value, "$." + ".".join(names), "variant")
+
+
+def json_text(value):
+    """A JSON text, null for anything else."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
+def json_integer(value):
+    """A JSON integer, null for anything else (also for booleans and texts)."""
+    return F.when(F.schema_of_variant(value) == "BIGINT", F.try_variant_get(value, "$", "bigint"))
+
+
+def by_name(members):
+    """The values of a map of JSON members, by ascending name."""
+    ordered = F.array_sort(
+        F.map_entries(members), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+    )
+    return F.transform(ordered, lambda entry: entry["value"])
 
 
 def page_address(url):
@@ -26,27 +55,34 @@ def page_address(url):
     )
 
 
-def _integer(value):
-    """JSON integer, null for anything else (also for booleans and texts)."""
-    return F.when(F.schema_of_variant(value) == "BIGINT", F.try_variant_get(value, "$", "bigint"))
-
-
 def _whole_number(value):
     """Non-negative JSON integer, null for anything else."""
-    return F.when(_integer(value) >= 0, _integer(value))
+    return F.when(json_integer(value) >= 0, json_integer(value))
+
+
+def folder_address(entry):
+    """The related link of a folder entry: a plain text or an object with an href."""
+    related = json_member(entry, "relationships", "files", "links", "related")
+    return F.coalesce(json_text(related), json_text(json_member(related, "href")))
+
+
+def next_page(page):
+    """Address of the page after a page, null where there is none."""
+    return F.nullif(json_text(json_member(page, "links", "next")), F.lit(""))
 
 
 def osf_entries(pages: DataFrame) -> DataFrame:
-    """Entries of stored pages (source_id, page_url, body): kind, path, size and links."""
-    parsed = pages.select("source_id", "page_url", F.from_json("body", OSF_PAGE).alias("b"))
-    return parsed.select("source_id", "page_url", F.explode("b.data").alias("e")).select(
-        "source_id", "page_url", F.col("e.attributes.kind").alias("kind"),
-        F.col("e.attributes.materialized_path").alias("relative_path"),
-        _whole_number(F.col("e.attributes.size")).alias("size"), F.col("e.links.download").alias("download_url"),
-        # The related link is a plain string or an object with an href; as text both parse.
-        F.coalesce(
-            F.get_json_object("e.relationships.files.links.related", "$.href"), F.col("e.relationships.files.links.related")
-        ).alias("folder_url"),
+    """Entries of stored pages (source_id, page_url, body): number on the page, kind, path, size and links.
+
+    Each entry is read on its own, so an odd one takes nothing of its neighbours with it.
+    """
+    listed = json_list(json_member(json_value(F.col("body")), "data"))
+    e = F.col("e")
+    return pages.select("source_id", "page_url", F.posexplode(listed).alias("entry", "e")).select(
+        "source_id", "page_url", "entry", json_text(json_member(e, "attributes", "kind")).alias("kind"),
+        json_text(json_member(e, "attributes", "materialized_path")).alias("relative_path"),
+        _whole_number(json_member(e, "attributes", "size")).alias("size"),
+        json_text(json_member(e, "links", "download")).alias("download_url"), folder_address(e).alias("folder_url"),
     )
 
 
@@ -60,7 +96,7 @@ def reachable_pages(pages: DataFrame, roots: DataFrame, entries: DataFrame) -> D
     """
     keys = ["source_id", "page_url"]
     stored = cut_lineage(
-        pages.select(*keys, F.from_json("body", OSF_PAGE)["links"]["next"].alias("next_url")).dropDuplicates(keys)
+        pages.select(*keys, next_page(json_value(F.col("body"))).alias("next_url")).dropDuplicates(keys)
     )
     known = stored.select(*keys)
     follows = stored.filter("next_url is not null").select("source_id", "page_url", F.col("next_url").alias("target"))
@@ -117,23 +153,29 @@ def osf_manifest(pages: DataFrame, roots: DataFrame) -> DataFrame:
     )
 
 
+def zenodo_items(body):
+    """The files of a record in the list layout or the older entries layout (by name), null where it has neither."""
+    record = json_value(body)
+    return F.coalesce(json_list(json_member(record, "files")), by_name(json_object(json_member(record, "files", "entries"))))
+
+
 def zenodo_manifest(records: DataFrame) -> DataFrame:
     """Files of record payloads (source_id, body) in the list layout or the older entries layout."""
-    listed = F.from_json("body", f"files array<{ZENODO_FILE}>")["files"]
-    mapped = F.map_values(F.from_json("body", f"files struct<entries: map<string, {ZENODO_FILE}>>")["files"]["entries"])
-    items = F.when(F.get_json_object("body", "$.files").startswith("["), listed).otherwise(mapped)
-    return records.select("source_id", F.explode(items).alias("f")).select(
-        "source_id", F.coalesce(F.nullif("f.key", F.lit("")), "f.filename").alias("relative_path"),
-        _whole_number(F.col("f.size")).alias("size"),
-        F.coalesce(F.nullif("f.links.content", F.lit("")), "f.links.self").alias("download_url"),
-        F.nullif("f.checksum", F.lit("")).alias("checksum"),
+    f = F.col("f")
+    either = lambda *paths: F.coalesce(*[F.nullif(json_text(json_member(f, *p)), F.lit("")) for p in paths])
+    return records.select("source_id", F.explode(zenodo_items(F.col("body"))).alias("f")).select(
+        "source_id", either(["key"], ["filename"]).alias("relative_path"), _whole_number(json_member(f, "size")).alias("size"),
+        either(["links", "content"], ["links", "self"]).alias("download_url"), either(["checksum"]).alias("checksum"),
     )
 
 
 def hub_listing(listings: DataFrame) -> DataFrame:
     """Pending files of dry-run listings (source_id, body); a bad size is named."""
-    size = _integer(F.col("r.file_size"))
-    return listings.select("source_id", F.explode(F.from_json("body", HUB_RECORD)).alias("r")).filter("r.will_download").select(
-        "source_id", F.col("r.filename").alias("relative_path"), size.alias("size"),
+    r = F.col("r")
+    size = json_integer(json_member(r, "file_size"))
+    return listings.select("source_id", F.explode(json_list(json_value(F.col("body")))).alias("r")).filter(
+        F.try_variant_get(r, "$.will_download", "boolean")
+    ).select(
+        "source_id", json_text(json_member(r, "filename")).alias("relative_path"), size.alias("size"),
         F.when(size.isNull() | (size < 0), "bad size").alias("problem"),
     )

@@ -100,31 +100,56 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+#: Bytes of text whose words are hashed at once; what a task holds beyond it is 8 bytes a word.
+SLICE = 1 << 18
+#: Hashes of a byte at each of the first places of a word, which most words do not go beyond.
+_BYTE_HASHES = mixed(np.arange(64 << 8, dtype=np.uint64) * _STEP + _STEP)
+
+
 def word_hashes(data: np.ndarray, places: np.ndarray, byte_map: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts, in order, and where each text's words begin.
 
     ``byte_map`` sends a byte to the byte that is hashed, 0 for bytes between words. Texts are
-    hashed whole; the second array has one entry more than there are texts.
+    hashed whole, slice by slice; a word's hash is made of a sum over its bytes, so a word of any
+    length goes on from slice to slice. The second array has one entry more than there are texts.
     """
-    start, end = int(places[0]), int(places[-1])
-    mapped = byte_map[data[start:end]]
-    inside = mapped != 0
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    edges = (places[:-1] - start)[places[:-1] < places[1:]]
-    begins[edges] = inside[edges]  # a word never runs on into the next text
-    at = np.flatnonzero(begins)
-    first = np.searchsorted(at, places - start)
-    if not len(at):
-        return np.zeros(0, np.uint64), first
-    kept = np.flatnonzero(inside)
-    number = np.cumsum(begins)[kept] - 1
-    rank = (kept - at[number]).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        # Each byte is hashed together with its place in the word; a word is the sum.
-        values = mixed((rank << np.uint64(8) | mapped[kept].astype(np.uint64)) * _STEP + _STEP)
-        sums = np.add.reduceat(values, np.searchsorted(number, np.arange(len(at))))
-    return mixed(sums), first
+    end = int(places[-1])
+    parts: list[np.ndarray] = []
+    first = np.zeros(len(places), np.int64)
+    found = grown = 0  # words so far, and the length so far of a word that the next slice goes on with
+    for low in range(int(places[0]), end, SLICE):
+        high = min(low + SLICE, end)
+        mapped = byte_map[data[low:high]]
+        inside = mapped != 0
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        begins[0] &= not grown
+        here = slice(*np.searchsorted(places, [low, high]))
+        edges = places[here] - low
+        begins[edges] = inside[edges]  # a word never runs on into the next text
+        at = np.flatnonzero(begins)
+        first[here] = found + np.searchsorted(at, edges)
+        kept = np.flatnonzero(inside)
+        if len(kept):
+            bounds = np.searchsorted(kept, at)
+            carried = int(bounds[0]) if len(at) else len(kept)
+            starts = np.repeat(at, np.diff(np.append(bounds, len(kept))))
+            rank = np.concatenate([kept[:carried] + grown, kept[carried:] - starts])
+            # Each byte is hashed together with its place in the word.
+            placed = rank << 8 | mapped[kept]
+            with np.errstate(over="ignore"):
+                if int(rank.max()) < len(_BYTE_HASHES) >> 8:
+                    values = _BYTE_HASHES[placed]
+                else:
+                    values = mixed(placed.astype(np.uint64) * _STEP + _STEP)
+                if carried:
+                    parts[-1][-1] += np.add.reduce(values[:carried])
+                if len(at):
+                    parts.append(np.add.reduceat(values, bounds))
+        found += len(at)
+        grown = int(rank[-1]) + 1 if inside[-1] else 0
+    first[np.searchsorted(places, end) :] = found
+    return mixed(np.concatenate(parts)) if parts else np.zeros(0, np.uint64), first
 
 
 #: Bits of the filter below: 16 MB once sent to the executors, whatever the data.

@@ -6,6 +6,7 @@ returns them beside an outcome report; ``sources.registry`` writes them as the n
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -143,6 +144,26 @@ def register_batch(
     Invalid requests and those that clash with the registry or with an earlier accepted request
     leave no row. A source that is no directory and a negative size fail after the clash checks.
     """
+    def held(keys: DataFrame) -> DataFrame:
+        # Stored alias values are unique whatever their kind, so a name may not repeat a stored URL or path either.
+        stored = aliases.select(F.concat(F.lit("value|"), "value").alias("key")).distinct()
+        owners = newest_owners(datasets, aliases)
+        return owners.unionByName(stored.withColumn("owner", F.lit(None).cast(owners.schema["owner"].dataType)))
+
+    return register_against(requests, held, managed_root, download)
+
+
+def register_against(
+    requests: DataFrame,
+    held: Callable[[DataFrame], DataFrame],
+    managed_root: str = "/registry/datasets",
+    download: bool = False,
+) -> RegistryChange:
+    """Like ``register_batch``, with the registry known only by a lookup.
+
+    ``held`` takes keys (column key) and returns at least those of them that the registry holds,
+    with their newest ``owner``: identities, and stored alias values below ``value|``.
+    """
     failure = F.when(~F.col("source_is_dir"), "source is not a directory").when(F.col("size_bytes") < 0, "size is negative")
     staged = cut_lineage(
         validate_intake_requests(requests, download)
@@ -151,11 +172,13 @@ def register_batch(
     )
     valid = staged.filter(F.size("errors") == 0)
     probes = identity_probes(valid, "ord")
-    registered = cut_lineage(probes.join(newest_owners(datasets, aliases), "key").select("request_id", "role", "pos", "alias", "owner"))
+    values_claimed = _claims(valid).filter(F.col("key").startswith("value|"))
+    asked = cut_lineage(probes.select("key").unionByName(values_claimed.select("key")).distinct())
+    known = cut_lineage(asked.join(held(asked), "key"))
+    identities, stored = known.filter(~F.col("key").startswith("value|")), known.filter(F.col("key").startswith("value|"))
+    registered = cut_lineage(probes.join(identities, "key").select("request_id", "role", "pos", "alias", "owner"))
     free = valid.filter("failure is null").join(registered.select("request_id").distinct(), "request_id", "left_anti")
-    # Stored alias values are unique whatever their kind, so a name may not repeat a stored URL or path either.
-    stored = aliases.select(F.concat(F.lit("value|"), "value").alias("key")).distinct()
-    repeats = _claims(free).join(stored, "key", "left_semi").select("request_id").distinct()
+    repeats = values_claimed.join(stored, "key", "left_semi").select("request_id").distinct()
     able = cut_lineage(free.join(repeats, "request_id", "left_anti"))
     lost = settle_claims(_claims(able)).filter(~F.col("accepted")).select("request_id")
     accepted = cut_lineage(able.join(lost, "request_id", "left_anti"))

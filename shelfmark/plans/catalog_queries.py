@@ -562,8 +562,11 @@ def retry_plan(c: Catalog) -> DataFrame:
 
 # -- Streams ----------------------------------------------------------------------------------
 
-def _in_pieces(df: DataFrame, order: str, pieces: int, label: str) -> str:
-    """Write a table as consecutive slices of its order column, the way an append-only log grows."""
+def _in_pieces(df: DataFrame, order: str, pieces: int, label: str, files: int | None = None) -> str:
+    """Write a table as consecutive slices of its order column, the way an append-only log grows.
+
+    With ``files`` each slice is so many files.
+    """
     spark = df.sparkSession
     path = fresh_dir(spark, label)
     bounds = df.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
@@ -572,7 +575,7 @@ def _in_pieces(df: DataFrame, order: str, pieces: int, label: str) -> str:
         piece = df.filter(F.col(order) >= F.lit(bounds["low"] + step * i))
         if i < pieces - 1:
             piece = piece.filter(F.col(order) < F.lit(bounds["low"] + step * (i + 1)))
-        piece.write.mode("append").parquet(path)
+        (piece if files is None else piece.repartition(files)).write.mode("append").parquet(path)
     return path
 
 
@@ -596,13 +599,17 @@ def stream_problem_alerts(c: Catalog) -> DataFrame:
     return c.spark.read.schema("check_id string, dataset_id string, message string, result string").json(f"{target}/out")
 
 
+def _arriving(df: DataFrame, order: str, pieces: int, label: str, files: int = 4) -> DataFrame:
+    """A stream that takes one slice of a table, in several files, per batch."""
+    path = _in_pieces(df, order, pieces, label, files)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 @query
 def stream_cooldown_gate(c: Catalog) -> DataFrame:
     target = fresh_dir(c.spark, "stream-gate")
-    runs = c.environment_runs
-    path = _in_pieces(runs, "ts", 3, "runs")
-    jobs.stream_cooldown_gate(c.spark.readStream.schema(runs.schema).option("maxFilesPerTrigger", 1).parquet(path), target)
-    return c.spark.read.schema("environment string, ts timestamp, batch_id bigint").parquet(f"{target}/out").select(
+    jobs.stream_cooldown_gate(_arriving(c.environment_runs, "ts", 3, "runs"), target)
+    return c.spark.read.schema("environment string, ts timestamp").parquet(f"{target}/out").select(
         "environment", F.unix_micros("ts").alias("kept_us")
     )
 
@@ -611,9 +618,7 @@ def stream_cooldown_gate(c: Catalog) -> DataFrame:
 def stream_intake_gate(c: Catalog) -> DataFrame:
     target = fresh_dir(c.spark, "stream-intake")
     jobs.seed_intake_registry(c.datasets, c.dataset_aliases, target)
-    requests = c.intake_requests
-    path = _in_pieces(requests.coalesce(1), "requested_at", 2, "requests")
-    jobs.stream_intake_gate(c.spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(path), target)
+    jobs.stream_intake_gate(_arriving(c.intake_requests, "requested_at", 2, "requests"), target)
     return c.spark.read.schema(
         "request_id string, outcome string, reason string, owner_id string, dataset_id string, batch_id bigint"
     ).parquet(f"{target}/outcomes").drop("batch_id")

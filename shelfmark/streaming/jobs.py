@@ -11,13 +11,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark import schemas, vocab
-from shelfmark.operators.gates import cooldown_gate
-from shelfmark.operators.intake import register_batch
-
+from shelfmark import vocab
+from shelfmark.operators.intake import register_against
+from shelfmark.session import cut_lineage, ship_package
 from shelfmark.sources.logs import redacted_events
+from shelfmark.streaming.keyed import Cooldown
+from shelfmark.streaming.owner_index import OwnerIndex
 
-
+#: How much later than newer events an event may come.
+LATE = "7 days"
 
 
 def _run(stream: DataFrame, target: str, each_batch: Callable[[DataFrame, int], None], trigger: dict | None = None):
@@ -57,56 +59,66 @@ def stream_problem_alerts(history: DataFrame, target: str, trigger: dict | None
     return query
 
 
-def _written_before(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
-    """Rows of earlier micro-batches; a batch that runs again never reads its own first try."""
-    return spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path).filter(F.col("batch_id") < batch_id)
-
-
 def _batch_folder(path: str, batch_id: int) -> str:
     return f"{path}/batch_id={batch_id}"
 
 
-def stream_cooldown_gate(events: DataFrame, target: str, cooldown: int = vocab.HEALTH_COOLDOWN_SECONDS, trigger: dict | None = None):
-    """Keep an event per environment and cooldown, batch after batch."""
-    path = f"{target}/out"
+def stream_cooldown_gate(
+    events: DataFrame, target: str, cooldown: int = vocab.HEALTH_COOLDOWN_SECONDS, late: str = LATE, trigger: dict | None = None
+):
+    """Keep an event per environment and cooldown: ``environment`` and ``ts``, appended below ``out``.
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        previous = None
-        if batch_id > 0:
-            earlier = _written_before(spark, path, "environment string, ts timestamp, batch_id bigint", batch_id)
-            previous = earlier.groupBy("environment").agg(F.max("ts").alias("last"))
-        cooldown_gate(batch, cooldown=cooldown, previous=previous).write.mode("overwrite").parquet(_batch_folder(path, batch_id))
+    State is one time per environment, dropped when the watermark has passed the cooldown after it,
+    as no event can then be refused for it. Events that come more than ``late`` after newer ones are
+    not considered, and none at or before the epoch is. A batch reads its own events and the state of
+    their environments, and a batch that runs again after a failure writes the same rows.
+    """
+    _keyed_state(events.sparkSession)
+    kept = (
+        events.select("environment", "ts").filter("ts is not null").withWatermark("ts", late).groupBy("environment")
+        .transformWithStateInPandas(Cooldown(cooldown), "environment string, ts timestamp", "Append", "EventTime")
+    )
+    query = (
+        kept.writeStream.format("parquet").option("path", f"{target}/out").option("checkpointLocation", f"{target}/_progress")
+        .outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
+    )
+    if trigger is None:
+        query.awaitTermination()
+    return query
 
-    return _run(events, target, each, trigger)
+
+def _keyed_state(spark: SparkSession) -> None:
+    """State off the heap, one store per shuffle partition; the workers get the package that runs on it."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    )
+    ship_package(spark)
 
 
 def stream_intake_gate(requests: DataFrame, target: str, trigger: dict | None = None):
     """Register a stream of intake requests; every batch meets the registry its forerunners left.
 
-    Each batch writes its registry additions under its own number, so a batch that is run again
+    The registry is met through the index of who holds which key, so a batch reads the buckets of
+    its own keys. Each batch writes its additions under its own number, so a batch that is run again
     after a failure replaces its first try.
     """
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        datasets = _written_before(spark, f"{target}/datasets", _with_batch(schemas.DATASETS), batch_id).drop("batch_id")
-        aliases = _written_before(spark, f"{target}/dataset_aliases", _with_batch(schemas.DATASET_ALIASES), batch_id).drop("batch_id")
-        change = register_batch(batch, datasets, aliases)
-        change.datasets.write.mode("overwrite").parquet(_batch_folder(f"{target}/datasets", batch_id))
-        change.aliases.write.mode("overwrite").parquet(_batch_folder(f"{target}/dataset_aliases", batch_id))
+        index = OwnerIndex(batch.sparkSession, f"{target}/owners")
+        change = register_against(batch, lambda keys: index.lookup(keys, batch_id))
+        datasets, aliases = cut_lineage(change.datasets), cut_lineage(change.aliases)
+        datasets.write.mode("overwrite").parquet(_batch_folder(f"{target}/datasets", batch_id))
+        aliases.write.mode("overwrite").parquet(_batch_folder(f"{target}/dataset_aliases", batch_id))
         change.outcomes.write.mode("overwrite").parquet(_batch_folder(f"{target}/outcomes", batch_id))
+        index.append(datasets, aliases, batch_id)
 
     return _run(requests, target, each, trigger)
 
 
 def seed_intake_registry(datasets: DataFrame, aliases: DataFrame, target: str) -> None:
-    """Put the registry an intake stream starts from below its target, before batch 0."""
+    """Put the registry an intake stream starts from below its target, before batch 0, and index its keys."""
     datasets.write.mode("overwrite").parquet(_batch_folder(f"{target}/datasets", -1))
     aliases.write.mode("overwrite").parquet(_batch_folder(f"{target}/dataset_aliases", -1))
-
-
-def _with_batch(schema) -> str:
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", batch_id bigint"
+    OwnerIndex(datasets.sparkSession, f"{target}/owners").seed(datasets, aliases)
 
 
 def stream_latest_status(history: DataFrame, target: str, trigger: dict | None = None):

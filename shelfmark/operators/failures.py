@@ -115,37 +115,30 @@ def classify_command_output(outputs: DataFrame) -> DataFrame:
 def server_failure_runs(decided: DataFrame, block: int = SEQUENCE_BLOCK) -> DataFrame:
     """Consecutive server failures of an operation up to every attempt, and whether to rotate the node.
 
-    ``decided`` has (operation, attempt, category). The run is counted inside blocks of attempts
-    and carried from block to block, so one endless operation is spread over many tasks: the only
-    window over a whole operation sees one row per block.
+    ``decided`` has operation, attempt and category; its other columns stay. The run is counted
+    inside blocks of attempts and carried from block to block, so one endless operation is spread
+    over many tasks: the only window over a whole operation sees one summary per block (server
+    failures, where the last reset is, the run at its end), and only those summaries are shuffled again.
     """
     is_server = (F.col("category") == "server").cast("int")
     blocked = decided.withColumn("_block", F.floor(F.col("attempt") / F.lit(block)).cast("bigint")).withColumn("_server", is_server)
     inside = W.partitionBy("operation", "_block").orderBy("attempt").rowsBetween(W.unboundedPreceding, W.currentRow)
-    island = blocked.withColumn("_resets", F.sum(1 - F.col("_server")).over(inside))
-    in_island = W.partitionBy("operation", "_block", "_resets").orderBy("attempt").rowsBetween(W.unboundedPreceding, W.currentRow)
-    counted = island.withColumn("_run", F.sum("_server").over(in_island))
-    # A block ends with a run of its own length; it only reaches further back if it holds no reset.
-    per_block = counted.groupBy("operation", "_block").agg(
-        F.sum("_server").alias("servers"), F.max(F.when(F.col("_server") == 0, F.col("attempt"))).alias("last_reset"),
-        F.max_by("_run", "attempt").alias("tail"),
-    )
+    # Server failures so far less those up to the last reset; they never fall, so the latter is a maximum.
+    so_far = F.sum("_server").over(inside)
+    at_reset = F.max(F.when(F.col("_server") == 0, F.col("_so_far"))).over(inside)
+    counted = blocked.withColumn("_so_far", so_far).withColumn("_at_reset", at_reset)
+    per_block = counted.groupBy("operation", "_block").agg(F.max("_so_far").alias("servers"), F.max("_at_reset").alias("at_reset"))
     back = W.partitionBy("operation").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    grouped = per_block.withColumn("_epoch", F.coalesce(F.sum((F.col("last_reset").isNotNull()).cast("int")).over(back), F.lit(0)))
-    in_epoch = W.partitionBy("operation", "_epoch").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    carry = grouped.select(
-        "operation", "_block", "_epoch",
-        F.coalesce(F.sum(F.when(F.col("last_reset").isNull(), F.col("servers"))).over(in_epoch), F.lit(0)).alias("_whole"),
-    ).join(
-        grouped.filter("last_reset is not null").select(
-            "operation", (F.col("_epoch") + 1).alias("_epoch"), F.col("tail").alias("_opening")
-        ), ["operation", "_epoch"], "left",
-    ).select("operation", "_block", (F.col("_whole") + F.coalesce("_opening", F.lit(0))).alias("_carry"))
-    return counted.join(carry, ["operation", "_block"]).select(
-        "operation", "attempt", "category",
-        F.when(F.col("category") != "server", 0)
-        .when(F.col("_resets") == 0, F.col("_run") + F.col("_carry")).otherwise(F.col("_run")).cast("bigint").alias("server_run"),
-    ).withColumn("rotate", F.when(F.col("category") == "server", F.col("server_run") >= 2).otherwise(F.col("category") == "network"))
+    # Counted over the whole operation: the failures before a block, and those up to the last reset before it.
+    before = F.coalesce(F.sum("servers").over(back), F.lit(0))
+    summed = per_block.withColumn("_before", before)
+    reset = F.max(F.col("_before") + F.col("at_reset")).over(back)
+    carry = summed.select("operation", "_block", (F.col("_before") - F.coalesce(reset, F.lit(0))).alias("_carry"))
+    run = F.col("_so_far") - F.coalesce("_at_reset", -F.col("_carry"))
+    joined = counted.join(carry, ["operation", "_block"]).withColumn("server_run", F.when(F.col("_server") == 0, 0).otherwise(run).cast("bigint"))
+    return joined.select(*decided.columns, "server_run").withColumn(
+        "rotate", F.when(F.col("category") == "server", F.col("server_run") >= 2).otherwise(F.col("category") == "network")
+    )
 
 
 def backoff(attempt: Column, base: float, cap: float) -> Column:
@@ -166,9 +159,7 @@ def retry_schedule(
 
 def retry_plan(attempts: DataFrame, now: str) -> DataFrame:
     """Classification, failure runs and schedule of every attempt in one plan."""
-    decided = with_decision(attempts, now)
-    runs = server_failure_runs(decided.select("operation", "attempt", "category")).select("operation", "attempt", "server_run", "rotate")
-    scheduled = retry_schedule(decided).join(runs, ["operation", "attempt"])
+    scheduled = retry_schedule(server_failure_runs(with_decision(attempts, now)))
     return scheduled.select(
         "operation", "attempt", "category", "action", "delay_seconds", "server_run",
         F.when(F.col("action") == "retry", F.col("rotate")).otherwise(False).alias("rotate_node"),

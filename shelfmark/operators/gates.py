@@ -30,15 +30,15 @@ def cooldown_gate(
     if previous is not None:
         before = previous.groupBy(F.col(key).alias("key")).agg(F.max(F.unix_micros("last")).alias("last"))
         open_times = times.join(before, "key", "left").filter(F.col("last").isNull() | (F.col("at") >= F.col("last") + width)).drop("last")
-    reached = cut_lineage(open_times.groupBy("key").agg(F.min("at").alias("at")))
+    front = cut_lineage(open_times.groupBy("key").agg(F.min("at").alias("at")))
+    reached = front
     jumps, left = counted_cut(_next_events(times, width).filter("next is not null"))
     while left:
-        ahead, new = counted_cut(
-            reached.join(jumps, ["key", "at"]).select("key", F.col("next").alias("at")).join(reached, ["key", "at"], "left_anti")
-        )
+        # After k rounds the first 2^k kept events are known and jumps are 2^k long, so what they reach is new.
+        ahead, new = counted_cut(reached.join(jumps, ["key", "at"]).select("key", F.col("next").alias("at")))
         if not new:
             break
-        reached = cut_lineage(reached.unionByName(ahead))
+        reached = reached.unionByName(ahead)
         further = jumps.select("key", F.col("at").alias("next"), F.col("next").alias("after"))
         jumps, left = counted_cut(jumps.join(further, ["key", "next"]).select("key", "at", F.col("after").alias("next")))
     return reached.select(F.col("key").alias(key), F.timestamp_micros("at").alias(ts))
@@ -47,30 +47,22 @@ def cooldown_gate(
 def _next_events(times: DataFrame, width: int) -> DataFrame:
     """(key, at, next): the first event at least ``width`` later.
 
-    With blocks one width long, the event at ``at + width`` or later is in the next block or, if
-    that has none, the first one of the next block that has any. Windows run over one block of a
-    key, and over one row per block.
+    Events and the times they ask for are sorted together, by key and time, into slices of the
+    whole, so a key with all its events in one cooldown lies in as many slices as it fills. Inside a
+    slice the next event follows; a time with none after it there takes the first event of the key
+    in a later slice, for which each slice of a key gives one row.
     """
-    blocked = times.withColumn("block", F.floor(F.col("at") / F.lit(width)).cast("bigint"))
-    marks = blocked.select("key", "block", "at", F.lit(None).cast("bigint").alias("asker")).unionByName(
-        blocked.select(
-            "key", (F.col("block") + 1).alias("block"), (F.col("at") + width).alias("at"), F.col("at").alias("asker")
-        )
-    )
+    asked = times.select("key", (F.col("at") + width).alias("time"), F.col("at").alias("asker"))
+    marks = times.select("key", F.col("at").alias("time"), F.lit(None).cast("bigint").alias("asker")).unionByName(asked)
+    slices = int(times.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sliced = cut_lineage(marks.repartitionByRange(slices, "key", "time", "asker").withColumn("slice", F.spark_partition_id()))
     # Backwards in time the last event seen is the next one; an event at the very time counts.
-    back = W.partitionBy("key", "block").orderBy(F.desc("at"), F.col("asker").isNotNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    event = F.when(F.col("asker").isNull(), F.col("at"))
-    found = marks.withColumn("inside", F.last(event, ignorenulls=True).over(back)).filter("asker is not null")
-    firsts = _block_firsts(blocked)
-    return found.join(firsts, ["key", "block"], "left").select(
+    event = F.when(F.col("asker").isNull(), F.col("time"))
+    back = W.partitionBy("slice", "key").orderBy(F.desc("time"), F.col("asker").isNotNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = sliced.withColumn("inside", F.last(event, ignorenulls=True).over(back)).filter("asker is not null")
+    firsts = sliced.groupBy("key", "slice").agg(F.min(event).alias("first"))
+    after = W.partitionBy("key").orderBy(F.desc("slice")).rowsBetween(W.unboundedPreceding, -1)
+    later = firsts.select("key", "slice", F.last("first", ignorenulls=True).over(after).alias("later"))
+    return found.join(later, ["key", "slice"]).select(
         "key", F.col("asker").alias("at"), F.coalesce("inside", "later").alias("next")
     )
-
-
-def _block_firsts(blocked: DataFrame) -> DataFrame:
-    """(key, block, later) for every block that follows an event: the first event of a later block."""
-    asked = blocked.select("key", (F.col("block") + 1).alias("block")).distinct()
-    known = blocked.groupBy("key", "block").agg(F.min("at").alias("first"))
-    every = asked.join(known, ["key", "block"], "full")
-    after = W.partitionBy("key").orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)
-    return every.select("key", "block", F.last("first", ignorenulls=True).over(after).alias("later"))

@@ -91,6 +91,51 @@ def test_order_statistics_are_exact(spark):
     assert "none" not in got
 
 
+def test_order_statistics_of_a_crowded_bucket(spark, monkeypatch):
+    from shelfmark.functions import statistics as module
+
+    monkeypatch.setattr(module, "CROWDED", 50)
+    monkeypatch.setattr(module, "FANOUT", 7)
+    rng = random.Random(19)
+    # All in one octave bucket: many distinct values, many equal ones, and two apart by the last bit.
+    rows = [("wide", 100 + rng.random() / 100) for _ in range(4000)] + [("flat", 7.5)] * 500
+    rows += [("bits", rng.choice([1.0, 1.0 + 2**-52])) for _ in range(500)] + [("mixed", rng.choice([3.0, 3.0 + rng.random() / 1000])) for _ in range(900)]
+    rows += [("signs", rng.choice([-1, 1]) * (5 + rng.random() / 100)) for _ in range(700)]
+    got = {r["node"]: r for r in order_statistics(
+        spark.createDataFrame(rows, "node string, value double"), "node", "value", {"median": (0.5, "midpoint"), "p95": (0.95, "nearest"), "least": (0.0, "nearest")}
+    ).collect()}
+    for key in ("wide", "flat", "bits", "mixed", "signs"):
+        held = sorted(v for k, v in rows if k == key)
+        assert got[key]["median"] == (held[(len(held) - 1) // 2] + held[len(held) // 2]) / 2
+        assert (got[key]["p95"], got[key]["least"]) == (held[-(-95 * len(held) // 100) - 1], held[0])
+
+
+def test_failure_runs_keep_columns_and_classify_once(spark):
+    rng = random.Random(20)
+    rows = [("op", k, rng.choice(["server", "server", "server", "network"]), f"x{k}") for k in range(300)]
+    frame = spark.createDataFrame(rows, "operation string, attempt int, category string, more string")
+    got = {r["attempt"]: (r["server_run"], r["more"]) for r in failures.server_failure_runs(frame, 8).collect()}
+    run = 0
+    for _, attempt, category, more in rows:
+        run = run + 1 if category == "server" else 0
+        assert got[attempt] == (run, more)
+
+
+def test_cooldown_gate_of_one_key_inside_one_cooldown(spark):
+    rng = random.Random(21)
+    rows = [("hot", rng.randrange(1000)) for _ in range(3000)] + [("long", rng.randrange(100_000)) for _ in range(2000)] + [("once", 5)]
+    events = spark.createDataFrame(rows, "environment string, s bigint").selectExpr("environment", "timestamp_seconds(s) ts")
+    got = sorted((r["environment"], int(r["ts"].timestamp())) for r in gates.cooldown_gate(events, cooldown=1000).collect())
+    expected = []
+    for key in ("hot", "long", "once"):
+        last = None
+        for at in sorted({s for k, s in rows if k == key}):
+            if last is None or at >= last + 1000:
+                expected.append((key, at))
+                last = at
+    assert got == sorted(expected)
+
+
 def test_one_record_however_many_aliases(spark):
     datasets = spark.createDataFrame([("d", "set", "other", None, "unknown", ["eeg"], 1, True, "available", None, None)], (
         "dataset_id string, name string, provider string, source_url string, version string, modalities array<string>, "

@@ -14,7 +14,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +30,33 @@ CHUNK = 32_768
 BITMAP_BYTES = CHUNK // 8
 #: A chunk ends early with the document that brings it beyond so many postings.
 CHUNK_POSTINGS = 1 << 20
-#: Characters that are encoded at once; longer texts are cut where no token can lie across.
+#: A single blank between two characters that are none. In both vocabularies a token that holds a
+#: blank begins with it or is all blanks, and a blank before a word goes with the word, so no token
+#: lies across such a place.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Characters of a text that are encoded at once; longer texts are cut at such places.
 TEXT_AT_ONCE = 1 << 17
-#: A cut between words; in both vocabularies a token holds a blank at its beginning or is all blanks.
-_CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 #: Characters that both libraries for the first vocabulary take apart alike, which tests hold them
 #: to; texts with others go to the slower one that the vocabulary file is made for.
 _ALIKE = re.compile("[\t-\r\x20-\x7e\xa1-\xffĀ-ſΑ-ΡΣ-ϿА-я‐-‧ぁ-ゖァ-ヺ一-龥가-힣]*")
 
 
+class Spellings:
+    """Texts by number, one after another in one array, so that a row of them is spelled by gathering bytes."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        self.flat = np.frombuffer(b"".join(texts), np.uint8)
+        self.sizes = np.array([len(text) for text in texts], np.int32)
+        self.starts = (np.cumsum(self.sizes) - self.sizes).astype(np.int32)
+
+    def spelled(self, numbers: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1] if len(ends) else 0)
+        at += np.repeat(self.starts[numbers] - (ends - sizes), sizes)
+        return self.flat[at]
+
+
 @dataclass
 class Encoders:
     """Both tokenizers and the bytes of their tokens; ``ranks`` states the first vocabulary a second time."""
@@ -47,8 +65,6 @@ class Encoders:
     second: str
     ranks: str
     pattern: str
-    first_bytes: list[bytes] = field(init=False)
-    second_bytes: list[bytes] = field(init=False)
 
     def __post_init__(self) -> None:
         import base64
@@ -61,14 +77,15 @@ class Encoders:
         byte_of = {letter: b for b, letter in enumerate(byte_letters())}
         by_id = {number: token for token, number in stated["model"]["vocab"].items()}
         by_id |= {token["id"]: token["content"] for token in stated["added_tokens"]}
-        self.first_bytes = [bytes(byte_of[c] for c in by_id[i]) if i in by_id else b"" for i in range(max(by_id) + 1)]
+        self.first_tokens = Spellings([bytes(byte_of[c] for c in by_id.get(i, "")) for i in range(max(by_id) + 1)])
         with open(self.ranks, "rb") as file:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
         self.quick = tiktoken.Encoding("pairs", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=self.second)
-        self.second_bytes = [piece_bytes(self.pieces.id_to_piece(i)) for i in range(self.pieces.get_piece_size())]
-        self.first_sizes = np.array([len(b) for b in self.first_bytes])
-        self.second_sizes = np.array([len(b) for b in self.second_bytes])
+        self.second_tokens = Spellings([piece_bytes(self.pieces.id_to_piece(i)) for i in range(self.pieces.get_piece_size())])
+        # Every id with whatever may stand after it: the next id, the other side, the next group, the end.
+        ids = max(len(self.first_tokens.sizes), len(self.second_tokens.sizes))
+        self.written = Spellings([str(i).encode() + mark for i in range(ids) for mark in (b",", b"|", b";", b"")])
 
     @functools.cached_property
     def exact(self):
@@ -88,13 +105,17 @@ class Encoders:
             return None
         a, b = [], []
         for part in parts(text):
-            ids = self.quick.encode_ordinary(" " + part) if _ALIKE.fullmatch(part) else self.exact.encode(" " + part, add_special_tokens=False).ids
-            pieces = self.pieces.encode(part, num_threads=1)
-            whole = b" " + part.encode()
-            if b"".join(map(self.first_bytes.__getitem__, ids)) != whole or b"".join(map(self.second_bytes.__getitem__, pieces)) != whole:
+            whole = " " + part
+            if _ALIKE.fullmatch(part):
+                ids = self.quick.encode_to_numpy(whole, disallowed_special=()).astype(np.int64)
+            else:
+                ids = np.array(self.exact.encode(whole, add_special_tokens=False).ids, np.int64)
+            others = np.array(self.pieces.encode(part, num_threads=1), np.int64)
+            spelling = np.frombuffer(whole.encode(), np.uint8)
+            if not (np.array_equal(self.first_tokens.spelled(ids), spelling) and np.array_equal(self.second_tokens.spelled(others), spelling)):
                 return None
-            a.append(np.array(ids, np.int64))
-            b.append(np.array(pieces, np.int64))
+            a.append(ids)
+            b.append(others)
         return np.concatenate(a), np.concatenate(b)
 
 
@@ -123,20 +144,25 @@ def load(first: str, second: str, ranks: str, pattern: str) -> Encoders:
 
 def aligned(a: np.ndarray, b: np.ndarray, encoders: Encoders) -> tuple[np.ndarray, np.ndarray]:
     """Places in ``a`` and in ``b`` of the tokens that end together."""
-    _, at_a, at_b = np.intersect1d(
-        np.cumsum(encoders.first_sizes[a]), np.cumsum(encoders.second_sizes[b]), assume_unique=True, return_indices=True
-    )
-    return at_a, at_b
+    ends, others = np.cumsum(encoders.first_tokens.sizes[a]), np.cumsum(encoders.second_tokens.sizes[b])
+    at = np.searchsorted(ends, others)
+    met = np.flatnonzero(ends[np.minimum(at, len(ends) - 1)] == others) if len(ends) else at
+    return at[met], met
 
 
-def group_text(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> str:
+def group_text(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, encoders: Encoders) -> bytes:
     """``a1,a2|b1;a3|b2,b3``: the ids of both sides of every group, in order."""
-    left, right = list(map(str, a.tolist())), list(map(str, b.tolist()))
-    out, i, j = [], 0, 0
-    for x, y in zip(at_a.tolist(), at_b.tolist()):
-        out.append(f"{','.join(left[i : x + 1])}|{','.join(right[j : y + 1])}")
-        i, j = x + 1, y + 1
-    return ";".join(out)
+    # A token of the first side stands after all groups before its own, one of the second after its group's first side as well.
+    before = np.append(0, at_b + 1)[np.searchsorted(at_a, np.arange(len(a)))]
+    beside = (at_a + 1)[np.searchsorted(at_b, np.arange(len(b)))]
+    left, right = a * 4, b * 4
+    left[at_a] += 1
+    right[at_b] += 2
+    right[-1] += 1
+    codes = np.empty(len(a) + len(b), np.int64)
+    codes[np.arange(len(a)) + before] = left
+    codes[np.arange(len(b)) + beside] = right
+    return encoders.written.spelled(codes).tobytes()
 
 
 def pair_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -281,7 +307,7 @@ def postings(docs: DataFrame, first: str, second: str, ranks: str, pattern: str)
                 else:
                     a, b = encoded
                     at_a, at_b = aligned(a, b, encoders)
-                    mark = hashlib.sha256(group_text(a, b, at_a, at_b).encode()).hexdigest()
+                    mark = hashlib.sha256(group_text(a, b, at_a, at_b, encoders)).hexdigest()
                 chunk, place, closed = chunks.add(pair_of(a[at_a], b[at_b]))
                 yield from (widened(c, schema) for c in closed)
                 for name, value in zip(rows, (chunk, place, len(a), len(b), len(at_a), len(at_a), mark)):

@@ -318,14 +318,23 @@ def test_alignment_of_odd_input(spark):
     assert token_alignment.align(docs.limit(0), *paths, files.PATTERN).count() == 0
 
 
-def test_parts_of_a_long_text_give_the_tokens_of_the_whole(monkeypatch):
+def test_parts_of_a_text_give_the_tokens_of_the_whole(monkeypatch):
     encoders = public_encoders()
     draw = random.Random(3)
-    text = "".join(draw.choice(["one two ", "a  b", "c d\n", "é f ", "1 2 ", "it's ", "<|endoftext|>"]) for _ in range(3000))
-    whole = [x.tolist() for x in encoders.encode(text)]
-    monkeypatch.setattr(token_alignment, "TEXT_AT_ONCE", 50)
+    words = ["one two ", "a  b", "c d\n", "é f ", "1 2 ", "it's ", "<|endoftext|>", "\x1f ", "　", "\xa0 x", ". ", "▁ ", " ▁", "<s> ", "\t", "漢 字", "\u200b "]
+    for n in (1, 3, 40, 3000):
+        for _ in range(40 if n < 3000 else 3):
+            text = "".join(draw.choice(words) for _ in range(n))
+            for at_once in (1 << 17, 50):
+                monkeypatch.setattr(token_alignment, "TEXT_AT_ONCE", at_once)
+                encoded = encoders.encode(text)
+                a, b = encoded or (np.zeros(0, np.int64),) * 2
+                at_a, at_b = token_alignment.aligned(a, b, encoders)
+                groups = token_alignment.group_text(a, b, at_a, at_b, encoders) if len(a) else b""
+                ((_, n_a, n_b, n_links, _, _, _, mark),) = aligned_by_hand([(1, text)])
+                assert (len(a), len(b), len(at_a)) == (n_a, n_b, n_links)
+                assert (hashlib.sha256(groups).hexdigest() if len(a) else "") == mark
     assert len(list(token_alignment.parts(text))) > 20
-    assert [x.tolist() for x in encoders.encode(text)] == whole
 
 
 def test_both_libraries_take_these_characters_apart_alike():
@@ -369,5 +378,6 @@ def test_pair_table(spark):
     docs = spark.createDataFrame([(1, "the cat the cat the"), (2, "the dog"), (3, "the")], "doc_id bigint, text string")
     rows = token_alignment.pair_counts(token_alignment.postings(docs, *paths, files.PATTERN)).collect()
     encoders = public_encoders()
-    the = [r for r in rows if encoders.first_bytes[r["a"]] == b" the"]
-    assert [(r["n_docs"], r["n_links"], r["best"], encoders.second_bytes[r["b"]]) for r in the] == [(3, 5, True, b" the")]
+    spelled = lambda table, i: table.spelled(np.array([i])).tobytes()
+    the = [r for r in rows if spelled(encoders.first_tokens, r["a"]) == b" the"]
+    assert [(r["n_docs"], r["n_links"], r["best"], spelled(encoders.second_tokens, r["b"])) for r in the] == [(3, 5, True, b" the")]

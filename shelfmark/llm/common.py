@@ -2,35 +2,12 @@
 
 from __future__ import annotations
 
-import zipfile
-from pathlib import Path
-
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import shelfmark
-from shelfmark.session import configure, fresh_dir
-
-
-_shipped: list[object] = []
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Give the workers of this application the package, as ``--py-files`` would, once."""
-    context = spark.sparkContext
-    if context in _shipped:
-        return
-    home = Path(shelfmark.__file__).parent
-    packed = Path(SparkFiles.getRootDirectory()) / "packed" / "shelfmark.zip"
-    packed.parent.mkdir(exist_ok=True)
-    with zipfile.ZipFile(packed, "w") as archive:
-        for file in sorted(home.rglob("*.py")):
-            archive.write(file, file.relative_to(home.parent))
-    context.addPyFile(str(packed))  # the driver serves it; no task reads this path
-    _shipped[:] = [context]
+from shelfmark.session import configure, fresh_dir, ship_package
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -16,6 +16,8 @@ from shelfmark.llm.common import held_out, text_bytes, word_hashes
 LABELLED_PER_CLASS = 4000
 #: Preference pairs drawn from them.
 PAIRS = 40_000
+#: Pairs whose feature differences the driver holds at once.
+PAIRS_AT_ONCE = 4_000
 PENALTY = 1e-3
 ROUNDS = 25
 #: The score that the chosen quantile of the raw scores is mapped to.
@@ -93,12 +95,15 @@ def fit(x: np.ndarray, good: np.ndarray, seed: int = 7) -> Model:
     scale = np.where(scale > 1e-9, scale, 1.0)
     z = (x - mean) / scale
     draw = np.random.default_rng(seed)
-    difference = z[draw.choice(better, PAIRS)] - z[draw.choice(worse, PAIRS)]
+    left, right = draw.choice(better, PAIRS), draw.choice(worse, PAIRS)
     weights = np.zeros(width)
     for _ in range(ROUNDS):  # Newton steps; the penalty keeps separable pairs finite
-        wins = 1 / (1 + np.exp(-np.clip(difference @ weights, -30, 30)))
-        slope = difference.T @ (1 - wins) / PAIRS - PENALTY * weights
-        bend = (difference * (wins * (1 - wins))[:, None]).T @ difference / PAIRS + PENALTY * np.eye(width)
+        slope, bend = -PENALTY * weights, PENALTY * np.eye(width)
+        for at in range(0, PAIRS, PAIRS_AT_ONCE):
+            difference = z[left[at : at + PAIRS_AT_ONCE]] - z[right[at : at + PAIRS_AT_ONCE]]
+            wins = 1 / (1 + np.exp(-np.clip(difference @ weights, -30, 30)))
+            slope += difference.T @ (1 - wins) / PAIRS
+            bend += (difference * (wins * (1 - wins))[:, None]).T @ difference / PAIRS
         step = np.linalg.solve(bend, slope)
         weights = weights + step * min(1.0, 5.0 / max(1e-9, float(np.linalg.norm(step))))
         if float(np.abs(step).max()) < 1e-8:
@@ -141,7 +146,7 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 4, per_class: int =
     rows = sample.mapInArrow(run, f"doc_id {kinds['doc_id']}, quality {kinds['quality']}, x array<double>").toArrow()
     if not rows.num_rows:
         return fit(np.zeros((0, WIDTH)), np.zeros(0, bool))
-    x = np.array(rows.column("x").to_pylist())
+    x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, WIDTH)
     good = np.array(rows.column("quality").to_pylist()) == 1
     order = np.lexsort((*x.T[::16], good, np.array([str(v) for v in rows.column("doc_id").to_pylist()])))
     return fit(x[order], good[order])

@@ -96,7 +96,7 @@ def classify_command_output(outputs: DataFrame) -> DataFrame:
     """Network or terminal failure of a provider command, with its redacted detail text."""
     message = redact(F.col("output"))
     staged = outputs.withColumn("_message", strip(message)).withColumn(
-        "_message", F.when(F.col("_message") == "", "command produced no diagnostic output").otherwise(F.col("_message"))
+        "_message", F.when(F.col("_message") == "", vocab.NO_DIAGNOSTICS).otherwise(F.col("_message"))
     )
     folded = F.lower("_message")
     category = (

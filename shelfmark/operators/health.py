@@ -14,30 +14,41 @@ from shelfmark.operators.inventory import inventory_facts, missing_content_summa
 UNAVAILABLE = ("missing", "broken")
 
 
-def _check_facts(datasets: DataFrame, inventory: DataFrame, deep: bool) -> DataFrame:
-    """Datasets with what their inventory says; sizes are only gathered for deep checks."""
-    facts = inventory_facts(inventory) if deep else payload_markers(inventory)
-    return datasets.join(facts, "dataset_id", "left")
+def _check_facts(datasets: DataFrame, inventory: DataFrame, deep: bool, roots: DataFrame | None) -> DataFrame:
+    """Datasets with what their inventory says; sizes are only gathered for deep checks.
+
+    ``is_directory`` is what ``roots`` (dataset_id, is_directory) says of the storage path; without
+    it, a path is a directory if anything is listed below it.
+    """
+    facts = datasets.join(inventory_facts(inventory) if deep else payload_markers(inventory), "dataset_id", "left")
+    listed = F.col("entries").isNotNull()
+    if roots is None:
+        return facts.withColumn("is_directory", listed)
+    known = roots.select("dataset_id", F.col("is_directory").alias("root_is_directory"))
+    return facts.join(known, "dataset_id", "left").withColumn("is_directory", F.coalesce("root_is_directory", listed))
 
 
 def _missing_reason():
     return (
-        F.when(F.col("storage_path").isNull(), "Dataset has no registered storage path.")
-        .when(F.col("entries").isNull(), F.concat(F.lit("Dataset path does not exist or is not a directory: "), "storage_path"))
-        .when(~F.col("has_payload"), F.concat(F.lit("Dataset directory has no non-hidden payload files: "), "storage_path"))
+        F.when(F.col("storage_path").isNull(), vocab.NO_STORAGE_PATH)
+        .when(~F.col("is_directory"), F.concat(F.lit(vocab.NO_DIRECTORY), "storage_path"))
+        .when(~F.coalesce("has_payload", F.lit(False)), F.concat(F.lit(vocab.NO_PAYLOAD), "storage_path"))
     )
 
 
-def health_check(datasets: DataFrame, inventory: DataFrame, inspections: DataFrame, repairs: DataFrame | None = None) -> DataFrame:
+def health_check(
+    datasets: DataFrame, inventory: DataFrame, inspections: DataFrame, repairs: DataFrame | None = None, roots: DataFrame | None = None
+) -> DataFrame:
     """Deep check of every dataset: result, next status, size and message.
 
     ``inspections`` is (dataset_id, tool_present, error, size_error): whether the annex tool ran
     and whether sizes could be read. ``repairs`` is (dataset_id, tool_present, exit_code, error,
-    missing_after, recheck_error) for checkouts with missing content; without it such a checkout
-    is ``broken`` with repair still to come.
+    missing_after, recheck_error) for checkouts with missing content, perhaps with the ``remaining``
+    paths that the message then names; without it such a checkout is ``broken`` with repair still to
+    come. ``roots`` is (dataset_id, is_directory): an empty directory is told from an absent one.
     """
     facts = (
-        _check_facts(datasets, inventory, deep=True)
+        _check_facts(datasets, inventory, deep=True, roots=roots)
         .join(missing_content_summary(inventory).select("dataset_id", "missing", F.col("message").alias("missing_message")), "dataset_id", "left")
         .join(inspections, "dataset_id", "left")
     )
@@ -52,7 +63,7 @@ def health_check(datasets: DataFrame, inventory: DataFrame, inspections: DataFra
         judged = judged.join(
             repairs.select(
                 "dataset_id", F.col("tool_present").alias("repair_tool"), "exit_code", F.col("error").alias("repair_error"),
-                "missing_after", "recheck_error",
+                "missing_after", "recheck_error", (F.col("remaining") if "remaining" in repairs.columns else F.lit(None).cast("string")).alias("remaining"),
             ), "dataset_id", "left",
         )
         repair = (
@@ -65,7 +76,7 @@ def health_check(datasets: DataFrame, inventory: DataFrame, inspections: DataFra
         judged = judged.withColumn("repair", F.when(F.col("verdict") == "incomplete", repair))
     else:
         judged = judged.withColumn("repair", F.lit(None).cast("string")).withColumn("repair_error", F.lit(None).cast("string")).withColumn(
-            "recheck_error", F.lit(None).cast("string"))
+            "recheck_error", F.lit(None).cast("string")).withColumn("remaining", F.lit(None).cast("string"))
     return _decided(judged)
 
 
@@ -89,17 +100,18 @@ def _decided(judged: DataFrame) -> DataFrame:
     )
     message = (
         F.when(verdict == "missing", F.col("gone"))
-        .when(size_failed, F.concat(F.lit("Dataset size calculation failed: "), "size_error"))
-        .when(verdict == "plain", "Dataset path contains payload files.")
-        .when(verdict == "no tool", "Health check could not run because git-annex is missing.")
-        .when(verdict == "uninspected", F.concat(F.lit("Annex availability could not be determined: git-annex availability check failed: "), "error"))
-        .when(verdict == "complete", "git-annex reports all annexed content is present locally.")
-        .when(repaired, "DataLad repaired all locally missing annexed content.")
-        .when(repair == "no repair tool", F.concat("missing_message", F.lit("; DataLad repair could not start: datalad is missing.")))
-        .when(repair == "repair failed", F.concat("missing_message", F.lit("; DataLad retrieval failed: "), F.coalesce("repair_error", F.lit(""))))
+        .when(size_failed, F.concat(F.lit(vocab.SIZE_FAILED), "size_error"))
+        .when(verdict == "plain", vocab.HAS_PAYLOAD)
+        .when(verdict == "no tool", vocab.NO_INSPECTION_TOOL)
+        .when(verdict == "uninspected", F.concat(F.lit(vocab.NOT_INSPECTED), "error"))
+        .when(verdict == "complete", vocab.CONTENT_PRESENT)
+        .when(repaired, vocab.REPAIRED)
+        .when(repair == "no repair tool", F.concat("missing_message", F.lit(vocab.NO_REPAIR_TOOL)))
+        .when(repair == "repair failed", F.concat("missing_message", F.lit(vocab.REPAIR_FAILED), F.coalesce("repair_error", F.lit(""))))
         .when(repair == "recheck failed", F.concat(
-            "missing_message", F.lit("; post-repair annex availability could not be determined: "), "recheck_error"))
-        .when(repair == "still missing", F.concat("missing_message", F.lit("; annexed content is still absent after repair")))
+            "missing_message", F.lit(vocab.RECHECK_FAILED), "recheck_error"))
+        .when(repair == "still missing", F.concat(
+            "missing_message", F.lit(vocab.STILL_ABSENT), F.coalesce(F.concat(F.lit(": "), "remaining"), F.lit(""))))
         .otherwise(F.col("missing_message"))
     )
     refreshed = sound & ~size_failed
@@ -112,19 +124,21 @@ def _decided(judged: DataFrame) -> DataFrame:
     ).withColumn("log_problem", F.col("result").isin(vocab.PROBLEM_RESULTS))
 
 
-def repair_outcomes(datasets: DataFrame, inventory: DataFrame, inspections: DataFrame, repairs: DataFrame) -> DataFrame:
+def repair_outcomes(
+    datasets: DataFrame, inventory: DataFrame, inspections: DataFrame, repairs: DataFrame, roots: DataFrame | None = None
+) -> DataFrame:
     """Checks that went into a repair, with its outcome."""
-    return health_check(datasets, inventory, inspections, repairs).filter(
+    return health_check(datasets, inventory, inspections, repairs, roots).filter(
         "repair_attempted or message like '%repair could not start%'"
     )
 
 
-def quick_check_flags(datasets: DataFrame, inventory: DataFrame, running: DataFrame) -> DataFrame:
+def quick_check_flags(datasets: DataFrame, inventory: DataFrame, running: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """Query-time check without sizes: immediate result, warning and whether repair is under way.
 
     ``running`` is (dataset_id): checks of these meet another worker and are ``skipped``.
     """
-    facts = _check_facts(datasets, inventory, deep=False).join(
+    facts = _check_facts(datasets, inventory, deep=False, roots=roots).join(
         running.select("dataset_id").distinct().withColumn("busy", F.lit(True)), "dataset_id", "left"
     )
     gone = _missing_reason()
@@ -138,7 +152,7 @@ def quick_check_flags(datasets: DataFrame, inventory: DataFrame, running: DataFr
     status = F.when(F.col("gone").isNotNull(), "missing").when(~F.col("is_checkout") & unavailable, "available").otherwise(F.col("status"))
     warning = F.coalesce("gone", F.when(
         deferred & unavailable,
-        "Dataset is unavailable; DataLad verification and repair are in process. Please try again later.",
+        vocab.VERIFYING,
     ))
     return judged.select(
         "dataset_id", result.alias("result"), status.alias("status"), warning.alias("warning"),

@@ -291,29 +291,32 @@ def update_metadata(requests: DataFrame, datasets: DataFrame, aliases: DataFrame
 
     A remote URL is never replaced and decides the provider. Provider and version are filled when
     missing and replaced only with ``force``. Modalities and aliases only grow. Every sound
-    request is applied: of several for one dataset the first goes in this round, the others in
-    later rounds, each against what the rounds before left. There are as many rounds as one
-    dataset has sound requests, over the shrinking rest.
+    request is applied, those of one dataset in the order of their ids. Requests that only add
+    modalities or aliases commute, so all of a dataset up to its first other request are applied in
+    one round; other requests go one a round, each against what the rounds before left. Rounds run
+    over the shrinking rest and lay their changes over the registry, which is read but never written.
     """
     columns = datasets.columns
+    now_datasets, now_aliases = datasets, aliases
     changed = new_aliases = outcomes = None
     while True:
-        turn = _update_turn(requests, datasets, aliases)
+        turn = _update_turn(requests, now_datasets, now_aliases)
         told = cut_lineage(turn.outcomes)
         rows, more = cut_lineage(turn.datasets), cut_lineage(turn.aliases)
-        changed = rows if changed is None else changed.join(rows, "dataset_id", "left_anti").unionByName(rows)
+        # What has changed so far, small beside the registry.
+        changed = rows if changed is None else cut_lineage(changed.join(rows, "dataset_id", "left_anti").unionByName(rows))
         new_aliases = more if new_aliases is None else new_aliases.unionByName(more)
         settled = told.filter("outcome <> 'deferred'")
         outcomes = settled if outcomes is None else outcomes.unionByName(settled)
         requests, waiting = counted_cut(requests.join(told.filter("outcome = 'deferred'").select("request_id"), "request_id", "left_semi"))
         if not waiting:
             return RegistryChange(changed, new_aliases, None, outcomes)
-        datasets = cut_lineage(datasets.join(rows, "dataset_id", "left_anti").unionByName(rows.select(*columns)))
-        aliases = cut_lineage(aliases.select(*more.columns).unionByName(more))
+        now_datasets = datasets.join(changed.select("dataset_id"), "dataset_id", "left_anti").unionByName(changed.select(*columns))
+        now_aliases = aliases.select(*new_aliases.columns).unionByName(new_aliases)
 
 
 def _update_turn(requests: DataFrame, datasets: DataFrame, aliases: DataFrame) -> RegistryChange:
-    """One round of updates: the first sound request of each dataset; the others are ``deferred``."""
+    """One round of updates; sound requests of a dataset that have to wait for others of it are ``deferred``."""
     current = datasets.select(
         "dataset_id", F.col("name").alias("canonical"), F.col("provider").alias("old_provider"),
         F.col("source_url").alias("old_url"), F.col("version").alias("old_version"), F.col("modalities").alias("old_modalities"),
@@ -348,6 +351,7 @@ def _update_turn(requests: DataFrame, datasets: DataFrame, aliases: DataFrame) -
         "request_id", "dataset_id", "resolve_outcome", "canonical", errors.alias("errors"), changes_url.alias("changes_url"),
         "new_url", "new_version", effective.alias("new_provider"), "modalities", "old_modalities",
         values.normalized_aliases(F.col("aliases"), F.col("canonical")).alias("aliases"),
+        (F.col("url").isNull() & F.col("provider").isNull() & F.col("version").isNull()).alias("only_adds"),
     ))
     # Rules are met in this order: the request itself, the lookup, replacing the URL, the URL's owner, set values, aliases.
     late = F.array(F.lit("url cannot be replaced"), F.lit("provider is set"), F.lit("version is set"))
@@ -363,7 +367,12 @@ def _update_turn(requests: DataFrame, datasets: DataFrame, aliases: DataFrame) -
     free = cut_lineage(
         sound.join(taken_url.select("request_id"), "request_id", "left_anti").join(taken_alias.select("request_id"), "request_id", "left_anti")
     )
-    turn = first_per_key(free.select("request_id", "dataset_id"), ["dataset_id"], [F.col("request_id")]).select("request_id")
+    # The first request of a dataset, and all that only add before the first one that does not.
+    bounds = free.groupBy("dataset_id").agg(
+        F.min("request_id").alias("first"), F.min(F.when(~F.col("only_adds"), F.col("request_id"))).alias("other")
+    )
+    in_turn = (F.col("request_id") == F.col("first")) | (F.col("only_adds") & F.coalesce(F.col("request_id") < F.col("other"), F.lit(True)))
+    turn = cut_lineage(free.select("request_id", "dataset_id", "only_adds").join(bounds, "dataset_id").filter(in_turn).select("request_id"))
     current_turn = cut_lineage(free.join(turn, "request_id", "left_semi"))
     wanted = current_turn.select("request_id", "dataset_id", F.posexplode("aliases").alias("pos", "alias"))
     url_claims = current_turn.filter("changes_url").select(
@@ -374,9 +383,12 @@ def _update_turn(requests: DataFrame, datasets: DataFrame, aliases: DataFrame) -
     )
     applied = cut_lineage(current_turn.join(lost.select("request_id"), "request_id", "left_anti"))
 
-    changes = applied.select(
-        "dataset_id", "new_url", "new_version", "new_provider",
-        values.merged_modalities(F.col("old_modalities"), F.col("modalities")).alias("merged"),
+    # At most one request of a dataset sets a URL, provider or version in a round; sets of modalities are small.
+    added = applied.select("dataset_id", F.explode_outer("modalities").alias("added")).groupBy("dataset_id").agg(F.collect_set("added").alias("modalities"))
+    changes = applied.groupBy("dataset_id").agg(
+        *[F.max(c).alias(c) for c in ("new_url", "new_version", "new_provider")], F.first("old_modalities").alias("old_modalities")
+    ).join(added, "dataset_id").withColumn("merged", values.merged_modalities(F.col("old_modalities"), F.col("modalities"))).drop(
+        "old_modalities", "modalities"
     )
     next_rows = datasets.join(changes, "dataset_id").select(
         "dataset_id", "name", F.coalesce("new_provider", "provider").alias("provider"),

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark import vocab
 from shelfmark.functions import paths
 from shelfmark.functions.tables import top_per_key
+from shelfmark.session import cut_lineage
 
 EXAMPLES = 5
 
@@ -95,7 +97,56 @@ def missing_content_summary(inventory: DataFrame) -> DataFrame:
     )
     return counts.join(examples, "dataset_id").select(
         "dataset_id", "missing", "examples",
-        F.concat(F.lit("Annexed content is not present locally: "), "examples").alias("message"),
+        F.concat(F.lit(vocab.CONTENT_MISSING), "examples").alias("message"),
+    )
+
+
+#: Facts of an entry that make it another one when they change.
+ENTRY_FACTS = ("kind", "target_kind", "size", "is_dangling", "content_present", "checksum")
+
+
+def inventory_digests(inventory: DataFrame) -> DataFrame:
+    """(dataset_id, entries, digest): a sum of entry hashes, which tells inventories apart whatever their order."""
+    mark = F.xxhash64("relative_path", *ENTRY_FACTS).cast("decimal(38,0)")
+    return inventory.groupBy("dataset_id").agg(F.count("*").alias("entries"), F.sum(mark).alias("digest"))
+
+
+def changed_datasets(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(dataset_id) of datasets whose inventories differ, those that one side lacks among them."""
+    old, new = inventory_digests(before), inventory_digests(after).select("dataset_id", F.struct("entries", "digest").alias("new"))
+    joined = old.select("dataset_id", F.struct("entries", "digest").alias("old")).join(new, "dataset_id", "full")
+    return joined.filter(~F.col("old").eqNullSafe(F.col("new"))).select("dataset_id")
+
+
+def inventory_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(dataset_id, relative_path, change) of entries that were ``added``, ``removed`` or ``changed``.
+
+    Only rows of datasets whose digests differ are compared. Entries listed more than once count as
+    one with all their facts, so an entry changes as soon as one of them does.
+    """
+    touched = cut_lineage(changed_datasets(before, after))
+
+    def entries(inventory: DataFrame, name: str) -> DataFrame:
+        mark = F.sum(F.xxhash64(*ENTRY_FACTS).cast("decimal(38,0)"))
+        return inventory.join(touched, "dataset_id", "left_semi").groupBy("dataset_id", "relative_path").agg(mark.alias(name))
+
+    joined = entries(before, "old").join(entries(after, "new"), ["dataset_id", "relative_path"], "full")
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed")
+    return joined.select("dataset_id", "relative_path", change.alias("change")).filter("change is not null")
+
+
+def repair_evidence(before: DataFrame, after: DataFrame, repairs: DataFrame) -> DataFrame:
+    """Repairs with what inventories before and after them tell: ``missing_after`` and ``remaining`` paths.
+
+    ``repairs`` is (dataset_id, tool_present, exit_code, error, recheck_error). The later inventory
+    is only searched for missing content where it differs; elsewhere what was missing still is.
+    """
+    touched = cut_lineage(changed_datasets(before, after))
+    same = missing_content_summary(before.join(touched, "dataset_id", "left_anti"))
+    other = missing_content_summary(after.join(touched, "dataset_id", "left_semi"))
+    left = same.unionByName(other).select("dataset_id", F.col("missing").alias("missing_after"), F.col("examples").alias("remaining"))
+    return repairs.select("dataset_id", "tool_present", "exit_code", "error", "recheck_error").join(left, "dataset_id", "left").withColumn(
+        "missing_after", F.coalesce("missing_after", F.lit(0).cast("bigint"))
     )
 
 

@@ -230,6 +230,10 @@ def resolve_identifiers(requests: DataFrame, datasets: DataFrame, aliases: DataF
 
 # -- Batch name search ------------------------------------------------------------------------
 
+#: Names of one piece that meet its needles in one place.
+POSTED_TOGETHER = 20_000
+
+
 def _needle_pieces(needles: DataFrame) -> DataFrame:
     """Distinct folded needles with every piece of their search width.
 
@@ -245,48 +249,78 @@ def _needle_pieces(needles: DataFrame) -> DataFrame:
     return cut.select("needle", "width", F.expr("substr(run, at, width)").alias("gram")).distinct()
 
 
-def _label_pieces(labels: DataFrame) -> DataFrame:
-    """Names with every piece of one to three letters they hold, and the empty piece."""
-    spots = labels.select("dataset_id", "label", F.lower("label").alias("folded")).select(
-        "dataset_id", "label", "folded", F.explode(F.expr("sequence(1, length(folded) + 1)")).alias("at")
+def _label_pieces(label: Column) -> Column:
+    """The distinct pieces of one to three letters that a name holds, with their width."""
+    folded = F.lower(label)
+    spots = F.sequence(F.lit(1), F.length(folded))
+
+    def of_width(width: int) -> Column:
+        return F.transform(spots, lambda at: F.struct(F.lit(width).alias("width"), F.substring(folded, at, F.lit(width)).alias("gram")))
+
+    pieces = [of_width(width) for width in (1, 2, 3)]
+    return F.filter(F.array_distinct(F.concat(*pieces)), lambda p: F.length(p["gram"]) == p["width"])
+
+
+def _wildcard_counts(needles: DataFrame, labels: DataFrame, created: DataFrame) -> DataFrame:
+    """Matches of needles of wildcards only: names with at least as many letters as they have ``_``.
+
+    Datasets are counted by the length of their longest name, so a needle meets lengths, not names.
+    """
+    longest = labels.groupBy("dataset_id").agg(F.max(F.length("label")).alias("letters")).join(created, "dataset_id")
+    lengths = longest.groupBy("letters").agg(F.count("*").alias("datasets"), F.max(F.struct("created_at", "dataset_id")).alias("newest"))
+    asked = needles.select(F.lower("needle").alias("needle")).distinct().filter(F.col("needle").rlike(r"^[%_]*$")).select(
+        "needle", F.length(F.replace("needle", F.lit("%"), F.lit(""))).alias("least")
     )
-    pieces = F.array(*[
-        F.struct(F.lit(width).alias("width"), F.expr(f"substr(folded, at, {width})").alias("gram")) for width in (3, 2, 1)
-    ], F.struct(F.lit(0).alias("width"), F.expr("if(at = 1, '', ' ')").alias("gram")))
-    return spots.select("dataset_id", "label", F.explode(pieces).alias("p")).select(
-        "dataset_id", "label", "p.width", "p.gram"
-    ).filter("length(gram) = width")
+    kinds = asked.select("least").distinct()
+    counted = kinds.join(lengths, F.col("letters") >= F.col("least")).groupBy("least").agg(
+        F.sum("datasets").alias("match_count"), F.max("newest").alias("newest")
+    )
+    return asked.join(counted, "least").select(F.col("needle").alias("_folded"), "match_count", "newest")
 
 
 def search_by_name(needles: DataFrame, datasets: DataFrame, aliases: DataFrame) -> DataFrame:
     """Count the datasets every needle finds in names and name aliases, and name the newest.
 
-    A needle is looked up by its rarest piece of three letters (or its longest shorter piece):
-    names are cut into such pieces, joined on them by equality, and only then compared in full.
-    No needle meets a name it shares no piece with.
+    A needle is looked up by its rarest piece of three letters (or its longest shorter piece).
+    Pieces are counted first, without the names that hold them; then names are cut into the pieces
+    that were chosen only. A needle that is nothing but its piece takes the datasets of the piece as
+    they are counted, and one of wildcards takes them by the length of their names; all others are
+    compared in full with the names of their piece. The names of a piece that many hold are split
+    into parts of ``POSTED_TOGETHER``, each of which meets the needles of the piece in a place of its own.
     """
-    asked = cut_lineage(_needle_pieces(needles))
+    labels = name_keys(datasets, aliases).select("dataset_id", "label")
+    created = datasets.select("dataset_id", "created_at")
+    asked = cut_lineage(_needle_pieces(needles).filter("width > 0"))
     used = asked.select("width", "gram").distinct()
-    posted = cut_lineage(
-        _label_pieces(name_keys(datasets, aliases)).join(used, ["width", "gram"], "left_semi").distinct()
+    cut = labels.select("dataset_id", "label", F.explode(_label_pieces(F.col("label"))).alias("p")).select("dataset_id", "label", "p.*")
+    frequency = cut.select("width", "gram").groupBy("width", "gram").agg(F.count("*").alias("frequency")).join(used, ["width", "gram"], "left_semi")
+    chosen = cut_lineage(
+        asked.join(frequency, ["width", "gram"])
+        .groupBy("needle", "width").agg(F.min(F.struct("frequency", "gram")).alias("best"), F.count("*").alias("found"))
+        .join(asked.groupBy("needle").agg(F.count("*").alias("pieces")), "needle").filter("found = pieces")
+        .select("needle", "width", "best.gram", "best.frequency", (F.col("needle") == F.col("best.gram")).alias("whole"))
     )
-    frequency = posted.groupBy("width", "gram").agg(F.count("*").alias("frequency"))
-    rarest = (
-        asked.join(frequency, ["width", "gram"], "left")
-        .groupBy("needle", "width")
-        .agg(F.min(F.struct(F.coalesce("frequency", F.lit(0)).alias("frequency"), "gram")).alias("best"))
-        .filter("best.frequency > 0")
-        .select("needle", "width", F.col("best.gram").alias("gram"))
+    posted = cut.join(chosen.select("width", "gram").distinct(), ["width", "gram"], "left_semi")
+    of_piece = (
+        posted.join(chosen.filter("whole").select("width", "gram").distinct(), ["width", "gram"], "left_semi")
+        .select("width", "gram", "dataset_id").distinct().join(created, "dataset_id")
+        .groupBy("width", "gram").agg(F.count("*").alias("match_count"), F.max(F.struct("created_at", "dataset_id")).alias("newest"))
     )
+    plain = chosen.filter("whole").join(of_piece, ["width", "gram"]).select(F.col("needle").alias("_folded"), "match_count", "newest")
+
+    compared = chosen.filter("not whole").withColumn("parts", F.ceil(F.col("frequency") / POSTED_TOGETHER))
+    parts = compared.select("width", "gram", "parts").distinct()
+    split = posted.join(parts, ["width", "gram"]).withColumn("part", F.pmod(F.xxhash64("dataset_id", "label"), F.col("parts")))
+    spread = compared.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
     hits = (
-        posted.join(rarest, ["width", "gram"])
+        split.drop("parts").join(spread.select("width", "gram", "part", "needle"), ["width", "gram", "part"])
         .filter(F.ilike("label", F.concat(F.lit("%"), F.replace("needle", F.lit("\\"), F.lit("\\\\")), F.lit("%"))))
         .select("needle", "dataset_id").distinct()
     )
-    newest = datasets.select("dataset_id", "created_at")
-    counted = hits.join(newest, "dataset_id").groupBy(F.col("needle").alias("_folded")).agg(
+    full = hits.join(created, "dataset_id").groupBy(F.col("needle").alias("_folded")).agg(
         F.count("*").alias("match_count"), F.max(F.struct("created_at", "dataset_id")).alias("newest")
     )
+    counted = full.unionByName(plain).unionByName(_wildcard_counts(needles, labels, created))
     return needles.join(counted, F.lower("needle") == F.col("_folded"), "left").select(
         "request_id", "needle", F.coalesce("match_count", F.lit(0)).alias("match_count"),
         F.col("newest.dataset_id").alias("newest_dataset_id"),

@@ -256,6 +256,18 @@ def file_inventory(d: Dialect) -> str:
             (l_orderkey * 7 + l_linenumber * 3) % 20 AS k, l_quantity, l_suppkey FROM {d.table('lineitem')}) base"""
 
 
+def file_inventory_after(d: Dialect) -> str:
+    """The inventory after repairs: content fetched in three of four datasets, some entries gone."""
+    dataset = "CAST(substr(dataset_id, 4) AS BIGINT)"
+    return f"""SELECT dataset_id, relative_path, kind, target_kind, dev, ino, size, mode, uid, is_dangling,
+      content_present OR ({dataset} % 4 <> 1 AND ({dataset} % 4 = 2 OR ino % 3 = 0)) AS content_present, checksum
+    FROM ({file_inventory(d)}) listed WHERE ino % 501 <> 7"""
+
+
+def storage_roots(d: Dialect) -> str:
+    return f"SELECT 'ds-' || {s('doc_id')} AS dataset_id, doc_id % 9 <> 4 AS is_directory FROM {d.table('documents')}"
+
+
 def annex_inspections(d: Dialect) -> str:
     return f"""SELECT 'ds-' || {s('doc_id')} AS dataset_id, doc_id % 14 <> 0 AS tool_present,
       CASE WHEN doc_id % 10 = 9 THEN 'exit status 128' END AS error, CASE WHEN doc_id % 25 = 7 THEN 'Permission denied' END AS size_error
@@ -438,6 +450,7 @@ ADAPTERS = {
     for function in (
         datasets, dataset_aliases, source_urls, identifier_requests, needles, intake_requests, alias_requests,
         update_requests, transition_requests, ingestion_jobs, health_history, environment_runs, file_inventory,
+        file_inventory_after, storage_roots,
         annex_inspections, repairs, manifest_files, local_files, attempts_flat, command_outputs, node_probes,
         node_probes_open, node_failures, proxies, connections, log_lines, log_texts, workspaces,
         download_requests, source_paths, stream_chunks,

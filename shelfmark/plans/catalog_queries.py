@@ -538,6 +538,23 @@ def repair_outcomes(c: Catalog) -> DataFrame:
     return health.repair_outcomes(c.datasets, c.file_inventory, c.annex_inspections, c.repairs).drop("name", "storage_path")
 
 
+@query
+def inventory_changes(c: Catalog) -> DataFrame:
+    return inventory.inventory_changes(c.file_inventory, c.file_inventory_after)
+
+
+@query
+def repair_evidence(c: Catalog) -> DataFrame:
+    evidence = inventory.repair_evidence(c.file_inventory, c.file_inventory_after, c.repairs)
+    return health.health_check(c.datasets, c.file_inventory, c.annex_inspections, evidence, c.storage_roots).drop("name", "storage_path")
+
+
+@query
+def quick_check_roots(c: Catalog) -> DataFrame:
+    running = c.repairs.filter("exit_code <> 0").select("dataset_id")
+    return health.quick_check_flags(c.datasets, c.file_inventory, running, c.storage_roots).select("dataset_id", "result", "status", "warning")
+
+
 @query
 def quick_check_flags(c: Catalog) -> DataFrame:
     return health.quick_check_flags(c.datasets, c.file_inventory, c.repairs.filter("exit_code <> 0").select("dataset_id"))

@@ -696,16 +696,23 @@ oracle("ingest_audit", "SELECT mode, status, count(*) AS jobs, CAST(epoch(min(cr
 # -- Health -----------------------------------------------------------------------------------
 
 
-def checked_health(with_repairs: bool) -> str:
+def checked_health(with_repairs: bool, evidence: bool = False) -> str:
+    """SQL of the deep check; ``evidence`` takes the state after repairs from the later inventory, and knows the roots."""
     joins = "LEFT JOIN repairs r ON r.dataset_id = d.dataset_id" if with_repairs else ""
     repair = (
         "CASE WHEN verdict0 <> 'incomplete' THEN NULL WHEN NOT r_tool THEN 'no repair tool' WHEN exit_code <> 0 OR repair_error IS NOT NULL THEN 'repair failed' WHEN recheck_error IS NOT NULL THEN 'recheck failed' WHEN missing_after > 0 THEN 'still missing' ELSE 'repaired' END"
         if with_repairs else "CAST(NULL AS VARCHAR)"
     )
     extra = "r.tool_present AS r_tool, r.exit_code, r.error AS repair_error, r.missing_after, r.recheck_error" if with_repairs else "CAST(NULL AS VARCHAR) AS repair_error, CAST(NULL AS VARCHAR) AS recheck_error"
-    return f"""{MISSING_SUMMARY}, {SIZES}, {MARKERS},
+    missing_after, remaining, root, after = "r.missing_after", "''", "m.entries IS NOT NULL", ""
+    if evidence:
+        missing_after, remaining, root = "coalesce(y.missing, 0)", "coalesce(': ' || y.examples, '')", "coalesce(o.is_directory, m.entries IS NOT NULL)"
+        after = f", {MISSING_SUMMARY.replace('missing_summary', 'after_summary').replace('first_five', 'after_five').replace('missing AS', 'missing_later AS').replace('FROM missing)', 'FROM missing_later)').replace('file_inventory', 'file_inventory_after')}"
+        joins += " LEFT JOIN after_summary y ON y.dataset_id = d.dataset_id LEFT JOIN storage_roots o ON o.dataset_id = d.dataset_id"
+    extra = extra.replace("r.missing_after", f"{missing_after} AS missing_after") + f", {remaining} AS remaining"
+    return f"""{MISSING_SUMMARY}{after}, {SIZES}, {MARKERS},
 facts AS (SELECT d.*, m.entries, m.has_payload, m.is_checkout, s.total_bytes, x.missing, 'Annexed content is not present locally: ' || x.examples AS mm, coalesce(i.tool_present, true) AS tool, i.error, i.size_error, {extra},
-  CASE WHEN d.storage_path IS NULL THEN 'Dataset has no registered storage path.' WHEN m.entries IS NULL THEN 'Dataset path does not exist or is not a directory: ' || d.storage_path WHEN NOT m.has_payload THEN 'Dataset directory has no non-hidden payload files: ' || d.storage_path END AS gone
+  CASE WHEN d.storage_path IS NULL THEN 'Dataset has no registered storage path.' WHEN NOT {root} THEN 'Dataset path does not exist or is not a directory: ' || d.storage_path WHEN NOT coalesce(m.has_payload, false) THEN 'Dataset directory has no non-hidden payload files: ' || d.storage_path END AS gone
   FROM datasets d LEFT JOIN markers m USING (dataset_id) LEFT JOIN sizes s USING (dataset_id) LEFT JOIN missing_summary x USING (dataset_id) LEFT JOIN annex_inspections i USING (dataset_id) {joins}),
 verdicts AS (SELECT *, CASE WHEN gone IS NOT NULL THEN 'missing' WHEN NOT is_checkout THEN 'plain' WHEN NOT tool THEN 'no tool' WHEN error IS NOT NULL THEN 'uninspected' WHEN missing IS NULL THEN 'complete' ELSE 'incomplete' END AS verdict0 FROM facts),
 repaired AS (SELECT *, {repair} AS repair FROM verdicts),
@@ -719,7 +726,7 @@ checks AS (SELECT dataset_id, status AS previous_status, name, storage_path,
     WHEN verdict0 = 'no tool' THEN 'Health check could not run because git-annex is missing.' WHEN verdict0 = 'uninspected' THEN 'Annex availability could not be determined: git-annex availability check failed: ' || error
     WHEN verdict0 = 'complete' THEN 'git-annex reports all annexed content is present locally.' WHEN repair = 'repaired' THEN 'DataLad repaired all locally missing annexed content.'
     WHEN repair = 'no repair tool' THEN mm || '; DataLad repair could not start: datalad is missing.' WHEN repair = 'repair failed' THEN mm || '; DataLad retrieval failed: ' || coalesce(repair_error, '')
-    WHEN repair = 'recheck failed' THEN mm || '; post-repair annex availability could not be determined: ' || recheck_error WHEN repair = 'still missing' THEN mm || '; annexed content is still absent after repair' ELSE mm END AS message,
+    WHEN repair = 'recheck failed' THEN mm || '; post-repair annex availability could not be determined: ' || recheck_error WHEN repair = 'still missing' THEN mm || '; annexed content is still absent after repair' || remaining ELSE mm END AS message,
   coalesce(repair <> 'no repair tool', false) AS repair_attempted, CASE WHEN repair <> 'no repair tool' THEN repair = 'repaired' END AS repair_succeeded FROM sound)"""
 
 
@@ -730,6 +737,23 @@ oracle("apply_health", f"WITH {checked_health(True)} SELECT dataset_id, resultin
 oracle("problem_log_sink", f"""WITH {checked_health(True)} SELECT dataset_id, 'run1-' || dataset_id AS health_check_id, message, name, result, storage_path, '2024-01-31T00:00:00Z' AS timestamp
 FROM checks WHERE result IN ('missing', 'broken', 'error')""")
 
+oracle("repair_evidence", f"WITH {checked_health(True, evidence=True)} SELECT {CHECK_COLUMNS} FROM checks")
+
+oracle("inventory_changes", """WITH facts AS (SELECT dataset_id, relative_path, kind, target_kind, size, is_dangling, content_present, checksum FROM file_inventory),
+later AS (SELECT dataset_id, relative_path, kind, target_kind, size, is_dangling, content_present, checksum FROM file_inventory_after),
+old AS (SELECT dataset_id, relative_path, list_sort(list(CAST(row(kind, target_kind, size, is_dangling, content_present, checksum) AS VARCHAR))) AS held FROM facts GROUP BY 1, 2),
+new AS (SELECT dataset_id, relative_path, list_sort(list(CAST(row(kind, target_kind, size, is_dangling, content_present, checksum) AS VARCHAR))) AS held FROM later GROUP BY 1, 2)
+SELECT coalesce(o.dataset_id, n.dataset_id) AS dataset_id, coalesce(o.relative_path, n.relative_path) AS relative_path,
+  CASE WHEN o.held IS NULL THEN 'added' WHEN n.held IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM old o FULL JOIN new n ON o.dataset_id = n.dataset_id AND o.relative_path = n.relative_path WHERE o.held IS DISTINCT FROM n.held""")
+
+oracle("quick_check_roots", f"""WITH {MARKERS}, facts AS (SELECT d.*, m.is_checkout, (SELECT count(*) FROM repairs r WHERE r.dataset_id = d.dataset_id AND r.exit_code <> 0) > 0 AS busy,
+  CASE WHEN d.storage_path IS NULL THEN 'Dataset has no registered storage path.' WHEN NOT o.is_directory THEN 'Dataset path does not exist or is not a directory: ' || d.storage_path WHEN NOT coalesce(m.has_payload, false) THEN 'Dataset directory has no non-hidden payload files: ' || d.storage_path END AS gone
+  FROM datasets d LEFT JOIN markers m USING (dataset_id) JOIN storage_roots o USING (dataset_id))
+SELECT dataset_id, CASE WHEN gone IS NOT NULL THEN 'missing' WHEN NOT is_checkout THEN 'healthy' WHEN busy THEN 'skipped' ELSE 'running' END AS result,
+  CASE WHEN gone IS NOT NULL THEN 'missing' WHEN NOT is_checkout AND status IN ('missing', 'broken') THEN 'available' ELSE status END AS status,
+  coalesce(gone, CASE WHEN is_checkout AND status IN ('missing', 'broken') THEN 'Dataset is unavailable; DataLad verification and repair are in process. Please try again later.' END) AS warning FROM facts""")
+
 oracle("quick_check_flags", f"""WITH {MARKERS}, facts AS (SELECT d.*, m.is_checkout, (SELECT count(*) FROM repairs r WHERE r.dataset_id = d.dataset_id AND r.exit_code <> 0) > 0 AS busy,
   CASE WHEN d.storage_path IS NULL THEN 'Dataset has no registered storage path.' WHEN m.entries IS NULL THEN 'Dataset path does not exist or is not a directory: ' || d.storage_path WHEN NOT m.has_payload THEN 'Dataset directory has no non-hidden payload files: ' || d.storage_path END AS gone
   FROM datasets d LEFT JOIN markers m USING (dataset_id))

@@ -112,3 +112,21 @@ PUBLIC_FILE_BITS = 0o004
 
 # Checksum algorithms and their hexadecimal digest lengths.
 CHECKSUM_HEX_LENGTHS = {"md5": 32, "sha1": 40, "sha256": 64, "sha512": 128}
+
+# Texts of health checks, which readers of the history and of problem logs rely on.
+NO_STORAGE_PATH = "Dataset has no registered storage path."
+NO_DIRECTORY = "Dataset path does not exist or is not a directory: "
+NO_PAYLOAD = "Dataset directory has no non-hidden payload files: "
+SIZE_FAILED = "Dataset size calculation failed: "
+HAS_PAYLOAD = "Dataset path contains payload files."
+NO_INSPECTION_TOOL = "Health check could not run because git-annex is missing."
+NOT_INSPECTED = "Annex availability could not be determined: git-annex availability check failed: "
+CONTENT_PRESENT = "git-annex reports all annexed content is present locally."
+CONTENT_MISSING = "Annexed content is not present locally: "
+REPAIRED = "DataLad repaired all locally missing annexed content."
+NO_REPAIR_TOOL = "; DataLad repair could not start: datalad is missing."
+REPAIR_FAILED = "; DataLad retrieval failed: "
+RECHECK_FAILED = "; post-repair annex availability could not be determined: "
+STILL_ABSENT = "; annexed content is still absent after repair"
+VERIFYING = "Dataset is unavailable; DataLad verification and repair are in process. Please try again later."
+NO_DIAGNOSTICS = "command produced no diagnostic output"

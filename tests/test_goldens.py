@@ -245,6 +245,49 @@ def test_updates(spark):
     ]
 
 
+def test_updates_that_only_add_take_one_round(spark, monkeypatch):
+    datasets = spark.createDataFrame([dataset("b", "THINGS-MEG", "https://openneuro.org/datasets/ds004212")], DATASETS)
+    aliases = spark.createDataFrame([("b", "name", "THINGS-MEG")], ALIASES)
+    schema = "request_id string, identifier string, url string, provider string, version string, modalities array<string>, aliases array<string>, force boolean"
+    adds = [(f"{k:03d}", "b", None, None, None, ["meg"] if k % 2 else [], [f"added {k % 30}"], False) for k in range(60)]
+    rows = adds[:40] + [("040x", "b", None, "dandi", "9.0", [], ["with version"], True)] + adds[40:]
+    rounds, turn = [], intake._update_turn
+    monkeypatch.setattr(intake, "_update_turn", lambda *given: rounds.append(1) or turn(*given))
+    change = intake.update_metadata(spark.createDataFrame(rows, schema), datasets, aliases)
+    assert len(rounds) == 3  # those before the one that sets values, that one, those after it
+    assert {r["outcome"] for r in change.outcomes.collect()} == {"accepted"} and change.outcomes.count() == 61
+    (b,) = [r for r in change.datasets.collect() if r["dataset_id"] == "b"]
+    assert (b["provider"], b["version"]) == ("dandi", "9.0") and "meg" in b["modalities"]
+    assert sorted(r["value"] for r in change.aliases.collect()) == sorted({f"added {k}" for k in range(30)} | {"with version"})
+
+
+def test_repairs_are_judged_by_the_inventories_before_and_after(spark):
+    entry = "dataset_id string, relative_path string, kind string, target_kind string, dev bigint, ino bigint, size bigint, is_dangling boolean, content_present boolean, checksum string"
+
+    def listing(*rows):
+        made = [(d, p, k, "file" if k == "symlink" else None, 1, n, 5, False, present, None) for n, (d, p, k, present) in enumerate(rows)]
+        return spark.createDataFrame(made, entry)
+
+    base = [(d, p, "file", True) for d in "abc" for p in (".git/config", ".datalad/x", "sub/data")]
+    missing = [("a", f"sub/f{k}", "symlink", False) for k in range(9)] + [("b", "sub/g", "symlink", False), ("c", "sub/h", "symlink", False)]
+    later = [(d, p, k, p in ("sub/f0", "sub/h")) for d, p, k, _ in missing]
+    before, after = listing(*base, *missing), listing(*reversed(base), *reversed(later))
+    assert sorted(r["dataset_id"] for r in inventory.changed_datasets(before, after).collect()) == ["a", "c"]
+    changes = sorted(tuple(r) for r in inventory.inventory_changes(before, listing(*base[1:], *later, ("c", "new", "file", True))).collect())
+    assert changes == [("a", ".git/config", "removed"), ("a", "sub/f0", "changed"), ("c", "new", "added"), ("c", "sub/h", "changed")]
+    datasets = spark.createDataFrame([(d, d, "missing", f"/r/{d}", 1, True) for d in "abcde"], (
+        "dataset_id string, name string, status string, storage_path string, size_bytes bigint, size_bytes_known boolean"
+    ))
+    repairs = spark.createDataFrame([(d, True, 0, None, None) for d in "abc"], "dataset_id string, tool_present boolean, exit_code int, error string, recheck_error string")
+    roots = spark.createDataFrame([("d", True), ("e", False)], "dataset_id string, is_directory boolean")
+    tools = spark.createDataFrame([(d, True, None, None) for d in "abc"], "dataset_id string, tool_present boolean, error string, size_error string")
+    evidence = inventory.repair_evidence(before, after, repairs)
+    checks = {r["dataset_id"]: r for r in health.health_check(datasets, before, tools, evidence, roots).collect()}
+    assert checks["a"]["message"].endswith("still absent after repair: sub/f1, sub/f2, sub/f3, sub/f4, sub/f5") and checks["a"]["result"] == "broken"
+    assert checks["b"]["message"].endswith("still absent after repair: sub/g") and checks["c"]["result"] == "healthy"
+    assert checks["d"]["message"].startswith("Dataset directory has no") and checks["e"]["message"].startswith("Dataset path does not exist")
+
+
 def test_register_batch(spark):
     datasets, aliases = registry_of(spark)
     schema = (

@@ -136,6 +136,29 @@ def test_cooldown_gate_of_one_key_inside_one_cooldown(spark):
     assert got == sorted(expected)
 
 
+def test_name_search_with_pieces_that_all_names_hold(spark, monkeypatch):
+    monkeypatch.setattr(search, "POSTED_TOGETHER", 40)
+    rng = random.Random(23)
+    names = {f"d{i}": rng.choice(["data set", "DataSet", "set"]) + rng.choice([" ", "_", "%", "\\"]) + str(rng.randrange(60)) for i in range(400)}
+    names |= {"e1": "s", "e2": "äß", "e3": "set"}
+    rows = [(k, n, "other", None, "1", ["eeg"], 1, True, "available", None, "copy", T0 + dt.timedelta(minutes=i % 50)) for i, (k, n) in enumerate(names.items())]
+    datasets = spark.createDataFrame(rows, (
+        "dataset_id string, name string, provider string, source_url string, version string, modalities array<string>, "
+        "size_bytes bigint, size_bytes_known boolean, status string, storage_path string, storage_mode string, created_at timestamp"
+    ))
+    aliases = spark.createDataFrame([(k, "name_alias", f"alias {n}") for k, n in list(names.items())[:30]], "dataset_id string, kind string, value string")
+    asked = ["set", "SET", "et", "s", "a set", "t_1", "%", "__", "___%_", "_", "t%7", "\\", "ß", "absent", "ali", "as d", "", "set 1", "%%", "s__3"]
+    needles = spark.createDataFrame([(f"q{i}", n) for i, n in enumerate(asked)], "request_id string, needle string")
+    created = {r[0]: r[-1] for r in rows}
+    held = [(k, n) for k, n in names.items()] + [(k, f"alias {n}") for k, n in list(names.items())[:30]]
+    got = {r["needle"]: (r["match_count"], r["newest_dataset_id"]) for r in search.search_by_name(needles, datasets, aliases).collect()}
+    for needle in asked:
+        pattern = "".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in needle.lower())
+        hits = {k for k, n in held if re.search(pattern, n.lower(), re.DOTALL)}
+        newest = max(((created[k], k) for k in hits), default=(None, None))[1]
+        assert got[needle] == (len(hits), newest), needle
+
+
 def test_one_record_however_many_aliases(spark):
     datasets = spark.createDataFrame([("d", "set", "other", None, "unknown", ["eeg"], 1, True, "available", None, None)], (
         "dataset_id string, name string, provider string, source_url string, version string, modalities array<string>, "

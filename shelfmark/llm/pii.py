@@ -22,13 +22,13 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: Every kind has one of these characters, so windows are laid around them only.
-TRIGGER = re.compile(r"[0-9@]")
+#: Every kind has one of these, so windows are laid around them only.
+TRIGGER = re.compile(r"[0-9@]|[\[(]at[\])]")
 #: Characters of a window, of the overlap of neighbouring ones, and around a trigger.
 WINDOW, OVERLAP, AROUND = 96, 48, 24
 #: Documents that labelled windows are taken from, at most (least id hashes), windows taken, and
 #: windows with made-up data in given text.
-SAMPLE_DOCS, SAMPLE_WINDOWS, MADE_WINDOWS = 6000, 1500, 500
+SAMPLE_DOCS, SAMPLE_WINDOWS, MADE_WINDOWS = 6000, 1500, 1200
 #: Windows that are decoded at once.
 AT_ONCE = 2048
 
@@ -70,20 +70,27 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def is_ip(value: str) -> bool:
-    return all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in value.split("."))
+    # Zeros before a part do not count, however many there are.
+    return all(len(own := part.lstrip("0")) <= 3 and int(own or "0") <= 255 for part in value.split("."))
 
 
 def is_card(value: str) -> bool:
     return 14 <= len(digits := digits_of(value)) <= 19 and luhn(digits)
 
 
-# What a span that the tagger proposes must look like to be added: as strict as the base rules,
-# but open to other separators and missing signs.
+def _parts_of_ip(value: str) -> bool:
+    parts = re.findall(r"[0-9]+", value)
+    return len(parts) == 4 and all(len(part) <= 3 and int(part) <= 255 for part in parts)
+
+
+# What a span that the tagger proposes must look like to be added: the checks of the base rules,
+# but other letters, blanks and separators, and phone numbers without a country's sign.
 PLAUSIBLE = {
-    "email": lambda s: re.fullmatch(r"[^\s@]+@[^\s@]+\.[^\s@.,;]+", s) is not None,
-    "ip": lambda s: re.fullmatch(r"\d{1,3}([. ]{1,3}\d{1,3}){3}", s) is not None and all(int(p) <= 255 for p in re.findall(r"\d+", s)),
-    "card": lambda s: re.fullmatch(r"\d[\d ./-]+\d", s) is not None and is_card(s),
-    "phone": lambda s: re.fullmatch(r"[+(]{1,2}\d[\d ()./-]+\d", s) is not None and 10 <= len(digits_of(s)) <= 15,
+    "email": lambda s: re.fullmatch(r"[^\s@]+ ?(?:@|\[at\]|\(at\)) ?[^\s@]+(?:\.| ?\[dot\] ?)[^\s@.,;]+", s) is not None,
+    "ip": lambda s: re.fullmatch(r"[0-9]{1,3}(?:(?: ?\. ?|\[\.\]|, )[0-9]{1,3}){3}", s) is not None and _parts_of_ip(s),
+    "card": lambda s: re.fullmatch(r"[0-9][0-9 ./-]+[0-9]", s) is not None and is_card(s),
+    "phone": lambda s: re.fullmatch(r"[+(]{0,2}[0-9][0-9 ()./-]+[0-9]", s) is not None and 10 <= len(digits_of(s)) <= 15
+    and len(re.findall(r"[ ()./-]+", s)) in range(1, 6),
 }
 
 
@@ -152,28 +159,67 @@ def reconciled(laid: list[tuple[int, int]], tags: list[np.ndarray]) -> list[tupl
     return spans
 
 
+class Maker:
+    """Made-up personal data: of every kind forms that the base rules find, and forms that they miss."""
+
+    def __init__(self, draw: np.random.Generator) -> None:
+        self.draw = draw
+
+    def number(self, size: int) -> str:
+        return "".join(str(d) for d in self.draw.integers(0, 10, size))
+
+    def word(self, size: int) -> str:
+        return "".join(chr(97 + d) for d in self.draw.integers(0, 26, size))
+
+    def one(self, *choices: str) -> str:
+        return choices[int(self.draw.integers(0, len(choices)))]
+
+    def value(self, kind: str, missed: bool) -> str:
+        return getattr(self, kind)(missed)
+
+    def email(self, missed: bool) -> str:
+        name = self.one(f"{self.word(5)}.{self.number(2)}", self.word(7), f"{self.word(1)}{self.number(3)}", f"{self.word(4)}.{self.word(6)}")
+        host, end = self.word(int(self.draw.integers(3, 9))), self.one("com", "org", "net", "de", "example")
+        if not missed:
+            return f"{name}@{host}.{end}"
+        form = self.one("{n} @ {h}.{e}", "{n}[at]{h}.{e}", "{n} (at) {h}.{e}", "{n}[at]{h}[dot]{e}", "{n}@{h}\u00e4{h}.{e}")
+        return form.format(n=name, h=host, e=end)
+
+    def ip(self, missed: bool) -> str:
+        return (self.one(" . ", "[.]", ", ") if missed else ".").join(str(v) for v in self.draw.integers(0, 256, 4))
+
+    def card(self, missed: bool) -> str:
+        body = self.number(15)
+        digits = next(v for d in "0123456789" if luhn(v := body + d))
+        return (self.one(".", "/", "  ") if missed else self.one("", "-", " ")).join(digits[k : k + 4] for k in range(0, 16, 4))
+
+    def phone(self, missed: bool) -> str:
+        area, first, last = self.number(3), self.number(3), self.number(4)
+        if not missed:
+            return self.one("+", "+1", "+4") + self.number(1) + self.one(f" ({area}) {first}-{last}", f" {area} {first} {last}", f"-{area}-{first}-{last}")
+        return self.one(f"({area}) {first}-{last}", f"0{area}/{first}{last}", f"00{self.number(2)} {area} {first}{last}", f"0{area} {first} {last}-{self.number(2)}")
+
+    def other(self) -> str:
+        """What looks like data and is none."""
+        day = f"20{self.number(2)}-{self.draw.integers(1, 13):02d}-{self.draw.integers(1, 29):02d}"
+        return self.one(
+            self.number(int(self.draw.integers(1, 9))), "".join("0123456789abcdef"[d] for d in self.draw.integers(0, 16, 40)), day,
+            f"{day} {self.number(2)}:{self.number(2)}:{self.number(2)}", f"{self.number(1)},{self.number(3)}.{self.number(2)}",
+            f"{self.number(1)}.{self.number(2)}.{self.number(1)}", f"{self.number(2)}/{self.number(2)}/{self.number(4)}", f"@{self.word(6)}",
+            f"{self.number(3)}, {self.number(2)} and {self.number(4)}", f"id {self.number(12)}", f"{self.number(4)}-{self.number(4)}",
+        )
+
+
 def made_windows(plain: list[str], count: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of given text with made-up personal data put in, and their tags."""
+    """Windows of given text with made-up personal data put in, and their tags; half of the data is such as the base rules miss."""
     draw = np.random.default_rng(seed)
-    number = lambda n: "".join(str(d) for d in draw.integers(0, 10, n))
-    word = lambda n: "".join(chr(97 + d) for d in draw.integers(0, 26, n))
+    make = Maker(draw)
     x, y = np.zeros((count, WINDOW), np.int64), np.zeros((count, WINDOW), np.int64)
     for i in range(count):
         kind = KINDS[i % 5] if i % 5 < 4 else None
-        text = plain[int(draw.integers(0, len(plain)))] if plain else " ".join(word(int(draw.integers(2, 9))) for _ in range(12))
-        head, tail = text[: int(draw.integers(0, 33))] + " ", " " + text[40:70]
-        if kind == "email":
-            value = f"{word(5)}.{number(2)}@{word(6)}.{word(3)}.com"
-        elif kind == "ip":
-            value = ".".join(str(v) for v in draw.integers(0, 256, 4))
-        elif kind == "card":
-            body = number(15)
-            value = next(v for d in "0123456789" if luhn(v := body + d))
-            value = "-- "[i % 3].join([value[:4], value[4:8], value[8:12], value[12:]]) if i % 2 else value
-        elif kind == "phone":
-            value = f"+{number(1)} ({number(3)}) {number(3)}-{number(4)}"
-        else:
-            value = number(int(draw.integers(1, 9))) if i % 2 else "".join("0123456789abcdef"[d] for d in draw.integers(0, 16, 40))
+        text = plain[int(draw.integers(0, len(plain)))] if plain else " ".join(make.word(int(draw.integers(2, 9))) for _ in range(12))
+        head, tail = text[: int(draw.integers(0, 33))] + " ", make.one(" ", ", ", ". ") + text[40:70]
+        value = make.value(kind, i // 5 % 2 == 1) if kind else make.other()
         whole = (head + value + tail)[:WINDOW]
         x[i] = symbols(whole, WINDOW)
         if kind:
@@ -222,8 +268,9 @@ def find_personal_data(docs: DataFrame, tagger: Tagger) -> DataFrame:
     """Personal data of every whole text: doc_id, ``base`` and ``added`` arrays of (start, end, kind).
 
     ``base`` holds the checked pattern matches. ``added`` holds spans that the tagger finds over
-    overlapping windows, that overlap no base span and look like their kind. All kinds hold a
-    digit or an @, so windows lie around those, wherever in the text they are. Offsets count code
+    overlapping windows, that overlap no base span and look like their kind: addresses with blanks,
+    [at] or other letters, split numbers, phone numbers without a sign. All kinds hold a digit, an @
+    or an [at], so windows lie around those, wherever in the text they are. Offsets count code
     points. A null or empty text has none; each row stands for itself, so repeated rows repeat;
     columns other than doc_id and text are not read.
     """
@@ -263,6 +310,6 @@ def digest(found: DataFrame) -> DataFrame:
         return F.size(F.filter(F.col("base"), lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
     return found.select(
-        "doc_id", *[count(kind) for kind in KINDS], F.sha2(joined_spans(F.col("base"), KINDS), 256).alias("base_sha256"),
+        "doc_id", *[count(kind) for kind in KINDS], F.size("added").cast("bigint").alias("n_added"), F.sha2(joined_spans(F.col("base"), KINDS), 256).alias("base_sha256"),
         joined_spans(F.concat("base", "added"), KINDS).alias("spans"),
     )

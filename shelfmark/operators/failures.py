@@ -17,6 +17,10 @@ HTTP_DATE = (
     r"^(?:[A-Za-z]+,\s*)?(\d{1,2})[ -]([A-Za-z]{3})[ -](\d{4}|\d{2})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?"
     r"(?:\s+([+-]\d{4}|[A-Za-z]+))?$"
 )
+# Fixed value: the same moment in the order of C's asctime, which has no zone.
+ASCTIME_DATE = r"^(?:[A-Za-z]+,?\s+)?([A-Za-z]{3})\s+(\d{1,2})\s+(\d{1,2}):(\d{2})(?::(\d{2}))?\s+(\d{4}|\d{2})$"
+# Hours of the zone names that mail and HTTP dates know; other names count as UTC.
+ZONE_HOURS = {"AST": -4, "ADT": -3, "EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7}
 
 
 def any_of(markers: list[str]) -> str:
@@ -30,22 +34,31 @@ def _chain_has(chain: Column, test) -> Column:
 
 def retry_after_seconds(value: Column, now: str) -> Column:
     """Delay a Retry-After header asks for: a number, or an HTTP date seen from ``now``; never negative."""
-    part = lambda group: F.regexp_extract(strip(value), HTTP_DATE, group)
-    short = part(3).cast("int")
+    text = strip(value)
+    is_asctime = text.rlike(ASCTIME_DATE)
+
+    def part(group: int, of_asctime: int | None) -> Column:
+        usual = F.regexp_extract(text, HTTP_DATE, group)
+        return usual if of_asctime is None else F.when(is_asctime, F.regexp_extract(text, ASCTIME_DATE, of_asctime)).otherwise(usual)
+
+    day, month, written = part(1, 2), part(2, 1), part(3, 6)
+    hour, minute, second, zone = part(4, 3), part(5, 4), part(6, 5), part(7, None)
+    short = written.try_cast("int")
     # Two-digit years from 69 on are of the last century.
-    year = F.when(F.length(part(3)) > 2, short).when(short >= 69, short + 1900).otherwise(short + 2000)
-    second = F.when(part(6) == "", "00").otherwise(part(6))
+    year = F.when(F.length(written) > 2, short).when(short >= 69, short + 1900).otherwise(short + 2000)
     at = F.try_to_timestamp(
-        F.concat_ws(" ", part(1), F.initcap(part(2)), year.cast("string"), F.concat_ws(":", part(4), part(5), second)),
+        F.concat_ws(" ", day, F.initcap(month), year.cast("string"), F.concat_ws(":", hour, minute, F.when(second == "", "00").otherwise(second))),
         F.lit("d MMM yyyy HH:mm:ss"),
     )
-    zone = F.when(part(7).rlike(r"^[+-]\d{4}$"), F.concat(F.left(part(7), F.lit(1)), F.lit("1")).cast("int") * (
-        F.substring(part(7), 2, 2).cast("int") * 3600 + F.substring(part(7), 4, 2).cast("int") * 60
-    )).otherwise(0)
-    dated = F.when(strip(value).rlike(HTTP_DATE), F.unix_timestamp(at) - zone)
+    named = F.coalesce(*[F.when(F.upper(zone) == name, F.lit(hours * 3600)) for name, hours in ZONE_HOURS.items()], F.lit(0))
+    offset = F.when(zone.rlike(r"^[+-]\d{4}$"), F.concat(F.left(zone, F.lit(1)), F.lit("1")).try_cast("int") * (
+        F.substring(zone, 2, 2).try_cast("int") * 3600 + F.substring(zone, 4, 2).try_cast("int") * 60
+    )).otherwise(named)
+    dated = F.when(is_asctime | text.rlike(HTTP_DATE), F.unix_timestamp(at) - offset)
     until = dated - F.unix_timestamp(F.lit(now).cast("timestamp"))
     plain = F.lower(strip(value))
     number = F.when(plain.rlike(r"^[+-]?nan$"), F.lit(0.0)).when(
+        plain.rlike(r"^[+]?inf(inity)?$"), F.lit(float("inf"))).when(plain.rlike(r"^-inf(inity)?$"), F.lit(0.0)).when(
         plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?$"), plain.try_cast("double")
     )
     return F.when(number.isNotNull(), F.greatest(F.lit(0.0), number)).when(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import vocab
 from shelfmark.functions.statistics import order_statistics
+from shelfmark.session import cut_lineage
 
 
 def eligible_nodes(proxies: DataFrame, marker: str = "") -> DataFrame:
@@ -132,6 +133,87 @@ def probe_throughput(chunks: DataFrame, limit: int = vocab.THROUGHPUT_SAMPLE_BYT
     )
 
 
+def capped_samples(chunks: DataFrame, limit: int = vocab.THROUGHPUT_SAMPLE_BYTES) -> DataFrame:
+    """Rate of every throughput sample up to the byte limit: (node, sample_id, ok, mib_per_second).
+
+    ``chunks`` has node, sample_id, chunk_no, bytes and the seconds since the sample began. A
+    sample ends with the chunk that brings it to the limit; what came after it does not count.
+    Samples without bytes or time are not ok.
+    """
+    up_to = W.partitionBy("node", "sample_id").orderBy("chunk_no").rowsBetween(W.unboundedPreceding, -1)
+    read = chunks.withColumn("_before", F.coalesce(F.sum("bytes").over(up_to), F.lit(0))).filter(F.col("_before") < limit)
+    ended = read.groupBy("node", "sample_id").agg(F.least(F.sum("bytes"), F.lit(limit)).alias("bytes"), F.max("seconds").alias("seconds"))
+    ok = F.coalesce((F.col("bytes") > 0) & (F.col("seconds") > 0), F.lit(False))
+    rate = F.when(ok, F.col("bytes") / F.lit(float(vocab.MIB)) / F.col("seconds"))
+    return ended.select("node", "sample_id", ok.alias("ok"), rate.alias("mib_per_second"))
+
+
+def benchmark_groups(
+    proxies: DataFrame, marker: str, cooldowns: DataFrame, probes: DataFrame, chunks: DataFrame, size: int = vocab.SHORTLIST_SIZE
+) -> DataFrame:
+    """Benchmark the nodes of every group: its ranking, or why it has none.
+
+    Members that carry the marker and do not rest are candidates, in the order of the group. Those
+    that passed the cheap probes (phase ``latency``) go on; where fewer than ``size`` did, candidates
+    that passed a real probe (``real_latency``) fill up, in order. The ``size`` with the best success
+    ratio and median latency are sampled for throughput under the byte limit and ranked as in
+    ``rank_nodes``. Nodes are measured once, whatever the number of groups they are in; windows over
+    a group keep no more than ``size`` rows beyond the map tasks.
+    """
+    by_group = lambda *order: F.row_number().over(W.partitionBy("group").orderBy(*order))
+    eligible = eligible_nodes(proxies, marker)
+    members = eligible.filter("node is not null").groupBy("group", "node").agg(F.min("position").alias("position"))
+    resting = cooldowns.filter("not available").select("node")
+    candidates = cut_lineage(members.join(resting, "node", "left_anti"))
+    known = candidates.select("node").distinct()
+    cheap = latency_profiles(probes.join(known, "node", "left_semi"))
+    real = probes.filter("phase = 'real_latency' and ok").join(known, "node", "left_semi").groupBy("node").agg(F.min("value").alias("real_latency"))
+    judged = cut_lineage(
+        candidates.join(cheap.select("node", "successes", "attempts", "success_ratio", "median_latency"), "node", "left")
+        .withColumn("passed", F.coalesce(F.col("successes") > 0, F.lit(False))).join(real, "node", "left")
+    )
+    open_slots = judged.groupBy("group").agg(
+        (F.least(F.lit(size), F.count("*")) - F.count_if("passed")).alias("slots")
+    ).filter("slots > 0")
+    filling = judged.filter("not passed and real_latency is not null").withColumn("slot", by_group("position")).filter(F.col("slot") <= size)
+    filled = filling.join(open_slots, "group").filter("slot <= slots").select(
+        "group", "node", "position", F.lit(1.0).alias("ratio"), F.col("real_latency").alias("latency"),
+        F.lit(1).cast("bigint").alias("latency_successes"), F.lit(1).cast("bigint").alias("latency_attempts"),
+    )
+    passing = judged.filter("passed").select(
+        "group", "node", "position", F.col("success_ratio").alias("ratio"), F.col("median_latency").alias("latency"),
+        F.col("successes").alias("latency_successes"), F.col("attempts").alias("latency_attempts"),
+    ).unionByName(filled)
+    shortlist = cut_lineage(
+        passing.withColumn("place", by_group(F.desc("ratio"), F.asc("latency"), F.asc("position"))).filter(F.col("place") <= size).drop("place")
+    )
+    listed = shortlist.select("node").distinct()
+    samples = cut_lineage(capped_samples(chunks.join(listed, "node", "left_semi")))
+    counted = samples.groupBy("node").agg(F.count_if("ok").alias("throughput_successes"), F.count("*").alias("throughput_attempts"))
+    speed = order_statistics(samples.filter("ok"), "node", "mib_per_second", {"median_throughput": (0.5, "midpoint")})
+    timed = probes.filter("phase = 'latency' and ok").join(listed, "node", "left_semi")
+    slow = order_statistics(timed, "node", "value", {"p95_latency": (0.95, "nearest")})
+    scored = (
+        shortlist.join(counted, "node").join(speed, "node").join(slow, "node", "left")
+        .withColumn("p95_latency", F.coalesce("p95_latency", "latency"))
+        .withColumn("overall_ratio", (F.col("latency_successes") + F.col("throughput_successes")) / (F.col("latency_attempts") + F.col("throughput_attempts")))
+    )
+    place = by_group(F.desc("throughput_successes"), F.desc("overall_ratio"), F.desc("median_throughput"), F.asc("p95_latency"), F.asc("position"))
+    ranked = cut_lineage(scored.withColumn("rank", place).select("group", "rank", "node", "throughput_successes", "overall_ratio", "median_throughput", "p95_latency"))
+    without = (
+        eligible.groupBy("group").agg(F.max("problem").alias("refused"))
+        .join(candidates.select("group").distinct().withColumn("awake", F.lit(True)), "group", "left")
+        .join(shortlist.select("group").distinct().withColumn("probed", F.lit(True)), "group", "left")
+        .join(ranked.select("group").distinct(), "group", "left_anti")
+    )
+    problem = F.coalesce(
+        "refused", F.when(F.col("awake").isNull(), "all nodes rest").when(F.col("probed").isNull(), "no node passed the probes").otherwise("no node passed a speed test")
+    )
+    return ranked.withColumn("problem", F.lit(None).cast("string")).unionByName(
+        without.select("group", problem.alias("problem")), allowMissingColumns=True
+    )
+
+
 def node_cooldowns(failures: DataFrame, now: str, cooldown: int = vocab.NODE_COOLDOWN_SECONDS) -> DataFrame:
     """Until when every failed node rests, and whether it is available at ``now``."""
     at = F.lit(now).cast("timestamp")

@@ -387,6 +387,32 @@ def proxies(d: Dialect) -> str:
       FROM (SELECT s_suppkey, {d.unnest(d.array(*[f's_suppkey * 4 + {m}' for m in (2, 3, 5, 7)]))} AS member FROM {d.table('supplier')}) m"""
 
 
+def _member(k: str, pick_m: str) -> str:
+    return f"'node-' || {s(f'({k}) * 4 + {pick_m}')} || {pick(f'({k}) % 3', ['', '-cheap', '-cheap'])}"
+
+
+def group_probes(d: Dialect) -> str:
+    m = "CASE event_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 5 ELSE 7 END"
+    phase = "CASE WHEN event_id % 7 = 0 THEN 'real_latency' ELSE 'latency' END"
+    return f"""SELECT {_member('1 + user_id % 40', m)} AS node, CAST(0 AS BIGINT) AS node_order, {phase} AS phase,
+      event_type <> 'error' AND NOT (user_id % 5 = 1 AND event_id % 7 <> 0) AND user_id % 6 <> 2 AS ok, value, {d.as_ts('ts')} AS ts
+    FROM {d.table('events')}"""
+
+
+def group_failures(d: Dialect) -> str:
+    m = "CASE event_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 5 ELSE 7 END"
+    return f"""SELECT {_member('1 + user_id % 40', m)} AS node, {d.as_ts('ts')} AS failed_at
+    FROM {d.table('events')} WHERE event_type = 'error' AND user_id % 3 <> 0"""
+
+
+def sample_chunks(d: Dialect) -> str:
+    m = "CASE l_orderkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 5 ELSE 7 END"
+    return f"""SELECT {_member('1 + l_orderkey % 40', m)} AS node, 'sample-' || {s('l_orderkey')} AS sample_id, CAST(l_linenumber AS BIGINT) AS chunk_no,
+      CASE WHEN l_orderkey % 13 = 0 OR l_orderkey % 40 = 8 THEN CAST(0 AS BIGINT) ELSE CAST(floor(l_extendedprice) AS BIGINT) * 8 END AS bytes,
+      CAST(l_linenumber AS DOUBLE) * (1 + l_orderkey % 6) AS seconds
+    FROM {d.table('lineitem')}"""
+
+
 def connections(d: Dialect) -> str:
     return f"""SELECT 'k-' || {s('event_id')} AS connection_id, 'w-' || {s(d.div('event_id', 6))} AS discovery_id,
       CASE WHEN event_id % 6 < 2 THEN 'before' ELSE 'after' END AS snapshot,
@@ -453,7 +479,7 @@ ADAPTERS = {
         file_inventory_after, storage_roots,
         annex_inspections, repairs, manifest_files, local_files, attempts_flat, command_outputs, node_probes,
         node_probes_open, node_failures, proxies, connections, log_lines, log_texts, workspaces,
-        download_requests, source_paths, stream_chunks,
+        download_requests, source_paths, stream_chunks, group_probes, group_failures, sample_chunks,
     )
 }
 

@@ -429,6 +429,13 @@ def rank_nodes(c: Catalog) -> DataFrame:
     return ranking.rank_nodes(ranking.latency_profiles(c.node_probes_open), ranking.node_scores(c.node_probes_open))
 
 
+@query
+def benchmark_groups(c: Catalog) -> DataFrame:
+    resting = ranking.node_cooldowns(c.group_failures, NOW, cooldown=24 * 60 * 60)
+    ranked = ranking.benchmark_groups(c.proxies, "-cheap", resting, c.group_probes, c.sample_chunks)
+    return ranked.withColumns({name: F.round(name, 6) for name in ("overall_ratio", "median_throughput", "p95_latency")})
+
+
 @query
 def cooldown_gate(c: Catalog) -> DataFrame:
     return gates.cooldown_gate(c.environment_runs).select("environment", F.unix_micros("ts").alias("kept_us"))

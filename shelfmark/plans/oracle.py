@@ -529,6 +529,30 @@ ranked AS (SELECT row_number() OVER (ORDER BY throughput_successes DESC, overall
 
 oracle("rank_nodes", f"""WITH {ranking(3)} SELECT CAST(rank AS INT) AS rank, node, throughput_successes, round(overall_ratio, 6) AS overall_ratio, round(median_throughput, 6) AS median_throughput, round(p95_latency, 6) AS p95_latency FROM ranked""")
 
+oracle("benchmark_groups", f"""WITH all_members AS (
+  SELECT g.name AS "group", CAST(generate_subscripts(g.members, 1) - 1 AS INT) AS position, unnest(g.members) AS node FROM proxies g WHERE lower(g.type) = 'selector'),
+fitting AS (SELECT m."group", m.node, min(m.position) AS position FROM all_members m LEFT JOIN proxies p ON p.name = m.node WHERE contains(m.node, '-cheap') AND coalesce(lower(p.type), '') NOT IN ({quoted(vocab.GROUP_PROXY_TYPES)}) GROUP BY 1, 2),
+resting AS (SELECT node FROM group_failures WHERE failed_at <= TIMESTAMP '{NOW}' GROUP BY node HAVING epoch_us(max(failed_at)) + 86400000000 > epoch_us(TIMESTAMP '{NOW}')),
+candidates AS (SELECT * FROM fitting WHERE node NOT IN (SELECT node FROM resting)),
+cheap AS ({profiles('group_probes', 'latency')}), real_probe AS (SELECT node, min(value) AS real_latency FROM group_probes WHERE phase = 'real_latency' AND ok GROUP BY 1),
+judged AS (SELECT c.*, p.successes, p.attempts, p.success_ratio, p.median_latency, coalesce(p.successes > 0, false) AS passed, r.real_latency FROM candidates c LEFT JOIN cheap p USING (node) LEFT JOIN real_probe r USING (node)),
+slots AS (SELECT "group", least(3, count(*)) - count(*) FILTER (passed) AS slots FROM judged GROUP BY 1),
+filling AS (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY position) AS slot FROM judged WHERE NOT passed AND real_latency IS NOT NULL),
+passing AS (SELECT "group", node, position, success_ratio AS ratio, median_latency AS latency, successes, attempts FROM judged WHERE passed
+  UNION ALL SELECT f."group", node, position, 1.0, real_latency, 1, 1 FROM filling f JOIN slots s ON s."group" = f."group" WHERE slot <= slots),
+shortlist AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY ratio DESC, latency, position) AS place FROM passing) p WHERE place <= 3),
+read AS (SELECT * FROM (SELECT *, coalesce(sum(bytes) OVER (PARTITION BY node, sample_id ORDER BY chunk_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sample_chunks) c WHERE before < {vocab.THROUGHPUT_SAMPLE_BYTES}),
+samples AS (SELECT node, sample_id, least(sum(bytes), {vocab.THROUGHPUT_SAMPLE_BYTES}) AS bytes, max(seconds) AS seconds FROM read GROUP BY 1, 2),
+speeds AS (SELECT node, count(*) FILTER (bytes > 0 AND seconds > 0) AS throughput_successes, count(*) AS throughput_attempts, quantile_cont(bytes / 1048576.0 / seconds, 0.5) FILTER (bytes > 0 AND seconds > 0) AS median_throughput FROM samples GROUP BY 1),
+slow AS (SELECT node, quantile_disc(value, 0.95) AS p95 FROM group_probes WHERE phase = 'latency' AND ok GROUP BY 1),
+scored AS (SELECT s.*, t.throughput_successes, t.median_throughput, (s.successes + t.throughput_successes) / (s.attempts + t.throughput_attempts) AS overall_ratio, coalesce(l.p95, s.latency) AS p95_latency
+  FROM shortlist s JOIN speeds t USING (node) LEFT JOIN slow l USING (node) WHERE t.throughput_successes > 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY throughput_successes DESC, overall_ratio DESC, median_throughput DESC, p95_latency, position) AS rank FROM scored)
+SELECT "group", CAST(rank AS INT) AS rank, node, throughput_successes, round(overall_ratio, 6) AS overall_ratio, round(median_throughput, 6) AS median_throughput, round(p95_latency, 6) AS p95_latency, NULL AS problem FROM ranked
+UNION ALL SELECT name, NULL, NULL, NULL, NULL, NULL, NULL, CASE WHEN lower(type) <> 'selector' THEN 'not a selector' WHEN name NOT IN (SELECT "group" FROM fitting) THEN 'no direct node'
+  WHEN name NOT IN (SELECT "group" FROM candidates) THEN 'all nodes rest' WHEN name NOT IN (SELECT "group" FROM shortlist) THEN 'no node passed the probes' ELSE 'no node passed a speed test' END
+FROM proxies WHERE lower(type) IN ({quoted(vocab.GROUP_PROXY_TYPES)}) AND name NOT IN (SELECT "group" FROM ranked)""")
+
 oracle("supplement_shortlist", f"""WITH cheap AS ({profiles('node_probes', 'latency')}), real_probe AS ({profiles('node_probes', 'real_latency')}),
 need AS (SELECT least(3, count(*)) - count(*) FILTER (WHERE successes > 0) AS slots FROM cheap),
 fill AS (SELECT *, row_number() OVER (ORDER BY node_order) AS slot FROM real_probe WHERE successes > 0 AND node NOT IN (SELECT node FROM cheap WHERE successes > 0))

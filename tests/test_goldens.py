@@ -548,3 +548,49 @@ def test_machine_local_work_folder_is_refused_on_a_cluster():
     for folder in ("file:/tmp/x", "/tmp/x"):
         with pytest.raises(ValueError):
             check_shared(folder, "spark://host:7077")
+
+
+def test_retry_dates_of_all_spellings(spark):
+    from email.utils import parsedate_to_datetime
+
+    now = dt.datetime(2024, 1, 31, tzinfo=dt.timezone.utc)
+    texts = [
+        "Wed, 31 Jan 2024 00:10:00 GMT", "Wed Jan 31 00:10:00 2024", "Wed Jan  3 00:10:00 2024", "31 Jan 2024 00:10:00 EST", "Thu, 01 Feb 2024 03:00:00 PDT",
+        "1 Feb 2024 03:00 ADT", "31 Jan 24 00:10:00 XYZ", "Wed, 31 Jan 2024 00:10:00 +0100", "Wed, 31 Jan 2024 02:10:00 -0330", "31-Jan-2024 00:10:00 utc",
+    ]
+    plain = {"inf": float("inf"), "-inf": 0.0, "Infinity": float("inf"), "nan": 0.0, "7.5": 7.5, "-3": 0.0, "soon": None, "": None}
+    rows = spark.createDataFrame([(t,) for t in [*texts, *plain]], "t string").select(
+        "t", failures.retry_after_seconds(F.col("t"), "2024-01-31 00:00:00").alias("s")
+    )
+    got = {r["t"]: r["s"] for r in rows.collect()}
+    for text in texts:
+        at = parsedate_to_datetime(text)
+        at = at.replace(tzinfo=dt.timezone.utc) if at.tzinfo is None else at
+        assert got[text] == max(0.0, (at - now).total_seconds()), text
+    assert {t: got[t] for t in plain} == plain
+
+
+def test_benchmark_of_groups(spark):
+    def node(k):
+        return f"n{k}-cheap"
+
+    proxies = spark.createDataFrame([
+        ("g", "Selector", [node(k) for k in range(1, 7)] + ["dear", "h"]), ("h", "URLTest", [node(1)]), ("rest", "Selector", [node(9)]),
+        ("deaf", "Selector", [node(7)]), ("mute", "Selector", [node(8)]), ("none", "Selector", ["dear"]),
+        *[(node(k), "Shadowsocks", None) for k in range(1, 10)], ("dear", "Shadowsocks", None),
+    ], "name string, type string, members array<string>")
+    probes = [(node(2), "latency", True, 30.0), (node(2), "latency", False, 0.0), (node(3), "latency", False, 0.0), (node(8), "latency", True, 5.0)]
+    probes += [(node(k), "real_latency", k != 4, 10.0 * k) for k in (1, 3, 4, 5, 6)]
+    events = spark.createDataFrame([(n, 0, *rest) for n, *rest in probes], "node string, node_order bigint, phase string, ok boolean, value double")
+    cooldowns = spark.createDataFrame([(node(1), False), (node(9), False), (node(2), True)], "node string, available boolean")
+    chunks = spark.createDataFrame([
+        (node(2), "a", 1, 300_000, 1.0), (node(2), "a", 2, 300_000, 2.0), (node(2), "a", 3, 300_000, 9.0),  # the third lies beyond the limit
+        (node(3), "b", 1, 524_288, 1.0), (node(5), "c", 1, 0, 1.0), (node(6), "d", 1, 524_288, 0.1), (node(8), "e", 1, 10, 0.0),
+    ], "node string, sample_id string, chunk_no bigint, bytes bigint, seconds double")
+    rows = ranking.benchmark_groups(proxies, "-cheap", cooldowns, events, chunks).collect()
+    ranked = {(r["group"], r["rank"]): (r["node"], round(r["median_throughput"], 3)) for r in rows if r["rank"]}
+    # Node 1 rests, node 4 failed its real probe, nodes 3 and 5 fill up, node 6 comes too late, node 5 gives no bytes.
+    assert ranked == {("g", 1): (node(3), 0.5), ("g", 2): (node(2), 0.25)}
+    assert {r["group"]: r["problem"] for r in rows if not r["rank"]} == {
+        "h": "not a selector", "none": "no direct node", "rest": "all nodes rest", "deaf": "no node passed the probes", "mute": "no node passed a speed test",
+    }

@@ -234,6 +234,18 @@ def find_datasets(c: Catalog) -> DataFrame:
     )
 
 
+@query
+def find_by_url(c: Catalog) -> DataFrame:
+    found = search.find_datasets(c.datasets, c.dataset_aliases, url="https://zenodo.org/records/1", show_all=True)
+    return found.select("dataset_id", "name", "provider", "status")
+
+
+@query
+def find_of_provider(c: Catalog) -> DataFrame:
+    found = search.find_datasets(c.datasets, c.dataset_aliases, provider="openneuro", modality="meg", exact_modality=True, show_all=True)
+    return found.select("dataset_id", "name", "status", _joined("modalities", ","))
+
+
 @query
 def eligible_nodes(c: Catalog) -> DataFrame:
     return ranking.eligible_nodes(c.proxies, marker="-cheap")
@@ -499,6 +511,38 @@ def register_batch(c: Catalog) -> DataFrame:
     return outcomes
 
 
+def _plain_datasets(df: DataFrame) -> DataFrame:
+    """Dataset rows with the list as text and the time as a number, which compare alike everywhere."""
+    return df.withColumns({"modalities": F.array_join("modalities", ","), "created_at": F.unix_timestamp("created_at")})
+
+
+@query
+def registered_datasets(c: Catalog) -> DataFrame:
+    return _plain_datasets(intake.register_batch(c.intake_requests, c.datasets, c.dataset_aliases).datasets)
+
+
+@query
+def registered_aliases(c: Catalog) -> DataFrame:
+    return intake.register_batch(c.intake_requests, c.datasets, c.dataset_aliases).aliases
+
+
+@query
+def registered_jobs(c: Catalog) -> DataFrame:
+    jobs_ = intake.register_batch(c.intake_requests, c.datasets, c.dataset_aliases).jobs
+    return jobs_.withColumn("created_at", F.unix_timestamp("created_at"))
+
+
+@query
+def moved_datasets(c: Catalog) -> DataFrame:
+    change = intake.storage_transitions(c.transition_requests, c.datasets, inventory.dataset_sizes(c.file_inventory))
+    return _plain_datasets(change.datasets)
+
+
+@query
+def transition_jobs(c: Catalog) -> DataFrame:
+    return intake.storage_transitions(c.transition_requests, c.datasets, inventory.dataset_sizes(c.file_inventory)).jobs
+
+
 @query
 def add_aliases(c: Catalog) -> DataFrame:
     return intake.add_aliases(c.alias_requests, c.datasets, c.dataset_aliases).outcomes
@@ -521,6 +565,12 @@ def apply_health(c: Catalog) -> DataFrame:
     )
 
 
+@query
+def health_history(c: Catalog) -> DataFrame:
+    rows = health.apply_health(c.datasets, _checks(c), "run1", NOW).history
+    return rows.withColumns({name: F.unix_timestamp(name) for name in ("started_at", "completed_at")})
+
+
 @query
 def ingest_audit(c: Catalog) -> DataFrame:
     return intake.ingest_audit(c.ingestion_jobs).withColumns(

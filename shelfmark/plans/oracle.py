@@ -360,6 +360,14 @@ FROM needles q LEFT JOIN hits h ON h.request_id = q.request_id LEFT JOIN dataset
 
 LOCATED = f"""located AS (SELECT dataset_id, kind, location, {IDENT} AS ident FROM {parts("(SELECT dataset_id, 'url' AS kind, source_url AS location FROM datasets WHERE source_url IS NOT NULL UNION ALL SELECT dataset_id, kind, value FROM dataset_aliases WHERE kind IN ('url', 'path'))", 'location')} p)"""
 
+oracle("find_by_url", f"""WITH {LOCATED},
+asked AS (SELECT {IDENT} AS ident FROM {parts("(SELECT 'https://zenodo.org/records/1' AS url)")} p)
+SELECT dataset_id, name, provider, status FROM datasets WHERE dataset_id IN (
+  SELECT dataset_id FROM located l, asked a WHERE l.location = 'https://zenodo.org/records/1' OR (l.kind = 'url' AND l.ident = a.ident))""")
+
+oracle("find_of_provider", """SELECT dataset_id, name, status, array_to_string(modalities, ',') AS modalities FROM datasets
+WHERE provider = 'openneuro' AND list_contains(modalities, 'meg')""")
+
 oracle("match_urls", f"""WITH {LOCATED},
 asked AS (SELECT request_id, url, {IDENT} AS ident FROM {parts('source_urls')} p),
 pairs AS (SELECT DISTINCT a.request_id, l.dataset_id FROM asked a JOIN located l ON l.kind = 'url' AND l.ident = a.ident
@@ -664,6 +672,16 @@ FROM (SELECT *, CASE WHEN errors <> '' THEN 'invalid' WHEN new_id IS NOT NULL TH
 oracle("register_batch", REGISTER)
 oracle("stream_intake_gate", REGISTER)
 
+WON = REGISTER.split("batch_keys AS")[0].rstrip().rstrip(",")
+oracle("registered_datasets", f"""{WON} SELECT new_id AS dataset_id, clean_name AS name, provider, source_reference AS source_url, version, array_to_string(modalities, ',') AS modalities,
+  coalesce(size_bytes, 0) AS size_bytes, size_bytes IS NOT NULL AS size_bytes_known, 'available' AS status,
+  CASE WHEN storage_mode = 'reference' THEN source ELSE '/registry/datasets/' || {slug('clean_name')} || '-' || {slug('version')} || '-' || new_id END AS storage_path,
+  storage_mode, CAST(epoch(requested_at) AS BIGINT) AS created_at FROM won""")
+oracle("registered_aliases", f"""{WON} SELECT new_id AS dataset_id, CASE WHEN has_remote_url THEN 'url' ELSE 'path' END AS kind, source_reference AS value FROM won
+  UNION ALL SELECT new_id, 'name', clean_name FROM won UNION ALL SELECT new_id, 'name_alias', unnest(aliases) FROM won""")
+oracle("registered_jobs", f"""{WON} SELECT 'job-' || request_id AS job_id, new_id AS dataset_id, 'succeeded' AS status, 'local' AS mode, CAST(NULL AS VARCHAR) AS message,
+  CAST(epoch(requested_at) AS BIGINT) AS created_at FROM won""")
+
 WALK_ALIASES = """walk AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS VARCHAR) AS request_id, false AS ok
   UNION ALL SELECT a.n, CASE WHEN blocked THEN a.taken ELSE list_concat(a.taken, a.held) END, a.request_id, NOT blocked
     FROM (SELECT f.n, w.taken, f.request_id, f.held, len(list_filter(w.taken, lambda t: list_contains(f.keys, split_part(t, chr(31), 2)) AND split_part(t, chr(31), 1) <> f.dataset_id)) > 0 AS blocked FROM walk w JOIN free f ON f.n = w.n + 1) a)"""
@@ -715,6 +733,15 @@ turns AS (SELECT *, row_number() OVER (PARTITION BY dataset_id, problem IS NULL
 SELECT request_id, dataset_id, mode, coalesce(problem, CASE WHEN turn = 1 THEN 'ok' ELSE 'conflict' END) AS outcome,
   CASE WHEN problem IS NULL AND turn = 1 THEN '/registry/datasets/' || {slug('name')} || '-' || {slug('version')} || '-' || dataset_id END AS new_path FROM turns""")
 
+MOVED = f"""judged AS (SELECT r.request_id, r.mode, d.*, CASE WHEN r.mode NOT IN ('move', 'copy') OR d.dataset_id IS NULL OR d.storage_mode <> 'reference' OR d.storage_path IS NULL OR NOT r.path_is_dir OR r.destination_exists THEN 1 END AS problem
+  FROM transition_requests r LEFT JOIN datasets d USING (dataset_id)),
+moved AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY request_id) AS turn FROM judged WHERE problem IS NULL) t WHERE turn = 1)"""
+oracle("moved_datasets", f"""WITH {MOVED}, {SIZES}
+SELECT m.dataset_id, name, provider, source_url, version, array_to_string(modalities, ',') AS modalities, coalesce(s.total_bytes, 0) AS size_bytes, true AS size_bytes_known, status,
+  '/registry/datasets/' || {slug('name')} || '-' || {slug('version')} || '-' || m.dataset_id AS storage_path, mode AS storage_mode, CAST(epoch(created_at) AS BIGINT) AS created_at
+FROM moved m LEFT JOIN sizes s ON s.dataset_id = m.dataset_id""")
+oracle("transition_jobs", f"WITH {MOVED} SELECT 'job-' || request_id AS job_id, dataset_id, 'succeeded' AS status, 'storage-transition-' || mode AS mode FROM moved")
+
 oracle("ingest_audit", "SELECT mode, status, count(*) AS jobs, CAST(epoch(min(created_at)) AS BIGINT) AS first_at, CAST(epoch(max(created_at)) AS BIGINT) AS last_at FROM ingestion_jobs GROUP BY 1, 2")
 
 # -- Health -----------------------------------------------------------------------------------
@@ -758,6 +785,8 @@ CHECK_COLUMNS = "dataset_id, previous_status, result, resulting_status, size_byt
 oracle("health_check", f"WITH {checked_health(False)} SELECT {CHECK_COLUMNS} FROM checks")
 oracle("repair_outcomes", f"WITH {checked_health(True)} SELECT {CHECK_COLUMNS} FROM checks WHERE repair_attempted OR contains(message, 'repair could not start')")
 oracle("apply_health", f"WITH {checked_health(True)} SELECT dataset_id, resulting_status AS status, size_bytes, size_bytes_known, storage_path FROM checks")
+oracle("health_history", f"""WITH {checked_health(True)} SELECT 'run1-' || dataset_id AS check_id, dataset_id, result, previous_status, resulting_status, message, repair_attempted, repair_succeeded,
+  CAST(epoch(TIMESTAMP '{NOW}') AS BIGINT) AS started_at, CAST(epoch(TIMESTAMP '{NOW}') AS BIGINT) AS completed_at FROM checks""")
 oracle("problem_log_sink", f"""WITH {checked_health(True)} SELECT dataset_id, 'run1-' || dataset_id AS health_check_id, message, name, result, storage_path, '2024-01-31T00:00:00Z' AS timestamp
 FROM checks WHERE result IN ('missing', 'broken', 'error')""")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ ALLOWED = [
     r"(?i)example|placeholder|changeme|dummy|your[_-]|xxxx|0123456789|abcdefgh",
 ]
 
+#: Matches that are placed one after another in one pass; longer rows are placed block by block.
+BLOCK = 256
 _SPAN = "array<struct<start:bigint,end:bigint,kind:string,value:string>>"
 _SCALE = 1 << 20
 
@@ -46,16 +49,39 @@ def found_spans(text: Column, pattern: str, kind: str, value_group: int = 0) ->
         F.transform(pieces, F.length).alias("gap"), F.transform(whole, F.length).alias("size"), value.alias("value")
     )
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        end = start + x["size"]
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
-
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(_SPAN).alias("spans"))
     # The piece after the last match has no match beside it.
     matched = F.filter(steps, lambda x: x["size"].isNotNull())
-    return F.when(text.rlike(pattern), F.aggregate(matched, begin, step)["spans"]).otherwise(F.array().cast(_SPAN))
+
+    def placed(begin: Column, block: Column) -> Column:
+        def step(state: Column, x: Column) -> Column:
+            start = state["at"] + x["gap"]
+            end = start + x["size"]
+            span = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"))
+            return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
+
+        return F.aggregate(block, F.struct(begin.alias("at"), F.array().cast(_SPAN).alias("spans")), step)["spans"]
+
+    def in_blocks(all_steps: Column) -> Column:
+        """Where each block begins is a running sum over blocks, so no array grows beyond the square root of many matches by much."""
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(all_steps) - 1) / BLOCK).cast("int")), lambda b: F.slice(all_steps, b * BLOCK + 1, F.lit(BLOCK))
+        )
+
+        def begins(given: Column) -> Column:
+            total = lambda block: F.aggregate(block, F.lit(0).cast("bigint"), lambda n, x: n + x["gap"] + x["size"])
+            start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("all"))
+            return F.aggregate(
+                given, start, lambda s, block: F.struct((s["at"] + total(block)).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all"))
+            )["all"]
+
+        return _bound(blocks, lambda given: F.flatten(F.zip_with(given, begins(given), lambda block, at: placed(at, block))))
+
+    return F.when(text.rlike(pattern), _bound(matched, in_blocks)).otherwise(F.array().cast(_SPAN))
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _weights(window: int) -> Column:
@@ -66,39 +92,41 @@ def _weights(window: int) -> Column:
 def hot_range(value: Column, least_bits: Column, window: int = WINDOW) -> Column:
     """First start and last end of the windows of a string whose entropy reaches ``least_bits``.
 
-    One pass keeps a count per character and the sum of ``c log c``; a step adds the entering
-    character and takes away the leaving one. Null fields where no window reaches the bound.
+    One pass keeps a count per character and the sum of ``c log c``. Its steps are characters that
+    leave and characters that enter the window, which change one count each; nothing is looked up
+    by position in the string. Null fields where no window reaches the bound.
     """
-    code = lambda at: F.instr(F.lit(ALPHABET), F.substring(value, at, F.lit(1)))
-    most = ((math.log2(window) - least_bits) * window * _SCALE).cast("bigint")
+    codes = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c))
     weights = _weights(window)
 
-    def step(state: Column, at: Column) -> Column:
-        enters = code(at)
-        leaves = F.when(at > window, code(at - window)).otherwise(F.lit(0))
-        in_count, out_count = F.get(state["counts"], enters), F.get(state["counts"], leaves)
-        changed = (
-            F.get(weights, in_count + 1) - F.get(weights, in_count)
-            + F.when(leaves > 0, F.get(weights, out_count - 1) - F.get(weights, out_count)).otherwise(F.lit(0))
-        )
-        same = enters == leaves
-        total = state["total"] + F.when(same, F.lit(0)).otherwise(changed)
-        counts = F.when(same, state["counts"]).otherwise(
-            F.transform(state["counts"], lambda c, i: c + (i == enters).cast("int") - ((i == leaves) & (i > 0)).cast("int"))
+    def changes(entering: Column) -> Column:
+        leaving = F.concat(F.array_repeat(F.lit(0), window), entering)
+        pairs = F.zip_with(entering, F.slice(leaving, 1, F.size(entering)), lambda e, x: F.array(
+            F.struct(x.alias("code"), F.lit(-1).alias("by")), F.struct(e.alias("code"), F.lit(1).alias("by"))
+        ))
+        return F.filter(F.flatten(pairs), lambda x: x["code"] > 0)
+
+    def step(state: Column, x: Column) -> Column:
+        before = F.get(state["counts"], x["code"])
+        total = state["total"] + F.get(weights, before + x["by"]) - F.get(weights, before)
+        counts = F.concat(
+            F.slice(state["counts"], F.lit(1), x["code"]), F.array(before + x["by"]), F.slice(state["counts"], x["code"] + 2, F.lit(len(ALPHABET)))
         )
-        hot = (at >= window) & (total <= most)
+        at = state["at"] + F.when(x["by"] > 0, 1).otherwise(0)
+        hot = (x["by"] > 0) & (at >= window) & (total <= state["most"])
         return F.struct(
-            counts.alias("counts"), total.alias("total"),
-            F.coalesce(state["first"], F.when(hot, at - window)).alias("first"),
-            F.when(hot, at).otherwise(state["last"]).alias("last"),
+            state["most"].alias("most"), counts.alias("counts"), total.alias("total"), at.alias("at"),
+            F.coalesce(state["first"], F.when(hot, at - window)).alias("first"), F.when(hot, at).otherwise(state["last"]).alias("last"),
         )
 
     begin = F.struct(
-        F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0).cast("bigint").alias("total"),
+        ((math.log2(window) - least_bits) * window * _SCALE).cast("bigint").alias("most"),
+        F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), F.lit(0).cast("bigint").alias("total"), F.lit(0).alias("at"),
         F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"),
     )
-    end = F.aggregate(F.sequence(F.lit(1), F.length(value)), begin, step)
-    return F.struct(end["first"].alias("first"), end["last"].alias("last"))
+    return _bound(
+        F.aggregate(_bound(codes, changes), begin, step), lambda end: F.struct(end["first"].alias("first"), end["last"].alias("last"))
+    )
 
 
 def entropy_spans(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,17 +31,50 @@ def held_out(doc_id: Column, modulus: int, remainder: int = 2) -> Column:
     return F.coalesce(crc % modulus == remainder, F.lit(False))
 
 
+#: Folders written by the steps that are under way, innermost last.
+_working: list[list[str]] = []
+
+
+def working_dir(spark: SparkSession, label: str) -> str:
+    """A new path below the shared folder; it goes when the ``finished`` step around it has its result."""
+    path = fresh_dir(spark, label)
+    if _working:
+        _working[-1].append(path)
+    return path
+
+
+def removed_dirs(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Remove folders that no table in use reads."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write a frame once below the shared folder and go on from its files.
 
     Later steps then start from files that every executor sees, so a lost executor costs no
     replay of what came before.
     """
-    path = fresh_dir(df.sparkSession, label)
+    path = working_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def finished(spark: SparkSession, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The stored result of a step; what the step stored on its way is removed."""
+    _working.append([])
+    try:
+        result = build()
+        path = fresh_dir(spark, label)
+        result.write.parquet(path)
+    finally:
+        removed_dirs(spark, _working.pop())
+    if _working:
+        _working[-1].append(path)
+    return spark.read.schema(result.schema).parquet(path)
+
+
 def joined_spans(spans: Column, order: list[str]) -> Column:
     """``kind:start:end`` of every span by start, then kind as listed, comma-joined."""
     ranked = F.transform(

@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import met_by, stored
-from shelfmark.session import fresh_dir
+from shelfmark.llm.common import met_by, removed_dirs, stored, working_dir
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,14 +22,17 @@ def components(links: DataFrame) -> DataFrame:
     spark = links.sparkSession
     pairs = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct()
     seen: tuple | None = None
+    path = before = None
     while True:
-        path = fresh_dir(spark, "links")
+        before, path = path, working_dir(spark, "links")
         look = Observation()
         pairs.observe(
             look, F.count("*").alias("rows"), F.sum(F.xxhash64("v", "m").cast("decimal(38,0)")).alias("mark")
         ).write.parquet(path)
         now = (look.get["rows"], look.get["mark"])
         pairs = spark.read.schema(pairs.schema).parquet(path)
+        if before is not None:
+            removed_dirs(spark, [before])  # this round no longer reads it
         if now == seen or not now[0]:
             break
         seen = now
@@ -49,41 +51,57 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionByName(pairs.select(F.col("m").alias("node"), F.col("m").alias("root")).distinct())
 
 
-def crowded(members: DataFrame) -> DataFrame:
-    """The distinct (bucket, node) rows of buckets, 64-bit numbers, that more than one row falls into."""
-    full = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    return stored(met_by(members, "bucket", stored(full, "full")).select("bucket", "node").distinct(), "members")
+def crowded(members: DataFrame, fit: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """The distinct (bucket, node) rows of buckets, 64-bit numbers, that more than one row falls into.
+
+    Rows may carry a ``trait`` of their node, with which ``fit`` tells that two nodes cannot be
+    similar. A bucket of two such nodes, as chance makes them, is left out at once.
+    """
+    if fit is None:
+        full = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    else:
+        one = F.struct("node", "trait")
+        full = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(one).alias("low"), F.max(one).alias("high")).where(
+            (F.col("n") > 2) | ((F.col("n") == 2) & fit(F.col("low.trait"), F.col("high.trait")))
+        )
+    return stored(met_by(members, "bucket", stored(full.select("bucket"), "full")).select(*members.columns).distinct(), "members")
 
 
 def similar_groups(
     members: DataFrame, verify: Callable[[DataFrame], DataFrame],
-    traits: Callable[[DataFrame], DataFrame] | None = None, fit: Callable[[Column, Column], Column] | None = None,
+    fit: Callable[[Column, Column], Column] | None = None, traits: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Connected groups of nodes that meet in a bucket and are similar: ``node`` and ``root``.
 
     ``members`` are rows of ``crowded``; ``verify`` takes pairs (a, b) and returns the
     similar ones. First each member is compared with the least node of its bucket, so a bucket
     of copies costs one comparison a member. Members that are not connected by that are compared
-    with another node of the bucket, and so on, as long as buckets hold more pairs of different
-    groups than members and a round lessens them. At last all pairs of different groups in a
+    with another node of the bucket, and so on, as long as open buckets hold more pairs of different
+    groups than nodes and a round lessens them. At last all pairs of different groups in a
     bucket are compared. Two similar members of one bucket thus always end up in one group,
     whatever the rounds did, and no bucket emits pairs inside a group.
-    ``traits`` (nodes to node, trait) and ``fit`` tell, without a text, that two nodes cannot be
-    similar; such pairs are left out of the second comparison and cost no row.
+    ``fit`` tells by traits, without a text, that two nodes cannot be similar; such pairs cost no
+    row. Traits are a column of ``members``, or ``traits`` (nodes to node, trait) gives them for the
+    last comparison only; without ``fit`` all pairs of different groups are compared.
     """
-    known = members.count()
+    if fit is None:
+        fit, members = lambda a, b: F.lit(True), members.withColumn("trait", F.lit(0))
+    carried = "trait" in members.columns
     placed = members.withColumn("root", F.col("node"))
     tried = links = None
     open_before = None
     while True:
         loose = stored(_several_groups(placed), "loose")
         open_pairs = _pairs_across(loose)
-        if links is not None and (open_pairs <= known or open_pairs > 0.9 * open_before):
+        if links is not None and (open_pairs > 0.9 * open_before or open_pairs <= loose.select("node").distinct().count()):
             break
         # The least node first, so that many buckets share it; later any member, the same for all buckets.
         rank = F.col("node") if links is None else F.xxhash64("node", F.lit(open_pairs))
-        first = loose.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "node", "root")).alias("first"))
-        stars = loose.join(first, "bucket").where(F.col("root") != F.col("first.root")).select(
+        first = loose.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), *[c for c in loose.columns if c != "bucket"])).alias("first"))
+        chosen = F.col("root") != F.col("first.root")
+        if carried:
+            chosen = chosen & fit(F.col("trait"), F.col("first.trait"))
+        stars = loose.join(first, "bucket").where(chosen).select(
             F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b")
         ).distinct()
         stars = stored(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), "stars")
@@ -91,21 +109,19 @@ def similar_groups(
         tried = stars if tried is None else tried.unionByName(stars)
         links = found if links is None else links.unionByName(found)
         grouped = components(links)
-        placed = members.join(grouped, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+        placed = members.join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node")).select(*members.columns, "root")
         open_before = open_pairs
         if not open_pairs:
             return grouped
     if not open_pairs:
         return grouped
-    if traits is None:
-        loose, fit = loose.withColumn("trait", F.lit(0)), lambda a, b: F.lit(True)
-    else:
+    if not carried:
         loose = loose.join(traits(stored(loose.select("node").distinct(), "nodes")), "node")
-    left = loose.select("bucket", F.col("node").alias("a"), F.col("root").alias("a_root"), F.col("trait").alias("a_trait"))
-    right = loose.select(F.col("bucket").alias("b_bucket"), F.col("node").alias("b"), F.col("root").alias("b_root"), F.col("trait").alias("b_trait"))
+    left = loose.select("bucket", *[F.col(c).alias(f"a_{c}") for c in ("node", "root", "trait")])
+    right = loose.select(*[F.col(c).alias(f"b_{c}") for c in ("bucket", "node", "root", "trait")])
     across = (
         left.join(right, (F.col("bucket") == F.col("b_bucket")) & (F.col("a_root") < F.col("b_root")) & fit(F.col("a_trait"), F.col("b_trait")))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        .select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
         .join(tried, ["a", "b"], "left_anti")
     )
     more = verify(stored(across, "across"))

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import met_by, sifted, stored
+from shelfmark.llm.common import finished, met_by, sifted, stored
 from shelfmark.llm.groups import crowded, similar_groups
 
 #: Least edit similarity of two lines that count as the same.
@@ -114,34 +114,25 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         ),
         "known",
     )
-    blocks = known.select("node", F.explode(buckets(F.col("fingerprint"))).alias("bucket"))
-    members = crowded(blocks)
+    trait = F.struct("fingerprint", "size").alias("trait")
+    blocks = known.select("node", trait, F.explode(buckets(F.col("fingerprint"))).alias("bucket"))
+    members = crowded(blocks, near_enough)
     wanted = stored(
-        known.join(members.select("node").distinct(), "node", "left_semi").select("node", "raw", "fingerprint", "size"), "wanted"
+        known.join(members.select("node").distinct(), "node", "left_semi").select("node", "raw"), "wanted"
     )
     raw_lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.xxhash64("line").alias("raw"), "line")
     found = met_by(raw_lines, "raw", wanted.select("raw")).join(wanted.select("node", "raw"), "raw")
     # A line is its raw text here; of equal ones any does.
     texts = stored(found.groupBy("node").agg(F.first(normalised(F.col("line"))).alias("normal")), "texts")
 
-    trait = F.struct("fingerprint", "size").alias("trait")
-
-    def traits(nodes: DataFrame) -> DataFrame:
-        return wanted.join(nodes, "node", "left_semi").select("node", trait)
-
     def verify(pairs: DataFrame) -> DataFrame:
-        near = (
-            pairs.join(wanted.select(F.col("node").alias("a"), trait.alias("a_trait")), "a")
-            .join(wanted.select(F.col("node").alias("b"), trait.alias("b_trait")), "b")
-            .where(near_enough(F.col("a_trait"), F.col("b_trait"))).select("a", "b")
-        )
         return (
-            near.join(texts.select(F.col("node").alias("a"), F.col("normal").alias("a_text")), "a")
+            pairs.join(texts.select(F.col("node").alias("a"), F.col("normal").alias("a_text")), "a")
             .join(texts.select(F.col("node").alias("b"), F.col("normal").alias("b_text")), "b")
             .where(alike(F.col("a_text"), F.col("b_text"))).select("a", "b")
         )
 
-    grouped = similar_groups(members, verify, traits, near_enough)
+    grouped = similar_groups(members, verify, near_enough)
     placed = known.join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = placed.where((F.col("times") > 1) | F.col("root").isNotNull())
     kept = several.groupBy("root").agg(F.min("first").alias("kept"), F.sum("times").alias("times")).where("times > 1")
@@ -181,7 +172,8 @@ def _columns(docs: DataFrame) -> list[Column]:
 
 def _deduped(docs: DataFrame) -> DataFrame:
     """Each row packed as ``row``, its new ``text`` and ``removed_lines``; untouched rows are not shuffled."""
-    removed = stored(repeated_lines(docs.select("doc_id", "text").where("text IS NOT NULL")), "removed")
+    given = docs.select("doc_id", "text").where("text IS NOT NULL")
+    removed = finished(docs.sparkSession, "removed", lambda: repeated_lines(given))
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
     touched = removed.select(F.col("doc").alias("hash"))
     maybe = sifted(packed, "hash", touched)

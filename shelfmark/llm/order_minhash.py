@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import mixed, sifted, stored, text_bytes, word_hashes
+from shelfmark.llm.common import finished, mixed, sifted, stored, text_bytes, word_hashes
 from shelfmark.llm.groups import crowded, similar_groups
 
 #: Words in a k-mer; sketches of a text; k-mers in a sketch.
@@ -134,6 +134,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ``keep_one`` keeps one of them.
     Columns other than doc_id and text are not read.
     """
+    return finished(docs.sparkSession, "classes", lambda: _classes(docs))
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """The rows of ``near_duplicates``, which read tables that are still in use."""
     given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.unhex(F.md5("text")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     sketched = stored(
@@ -157,7 +162,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def traits(nodes: DataFrame) -> DataFrame:
         return of_nodes(nodes, F.struct(F.length("codes").alias("n"), "bag").alias("trait"))
 
-    grouped = similar_groups(crowded(members), verify, traits, may_align)
+    grouped = similar_groups(crowded(members), verify, may_align, traits)
     placed = (
         sketched.select("doc_id", "node").join(grouped, "node", "left")
         .select("doc_id", "node", F.coalesce("root", "node").alias("root"))
@@ -178,7 +183,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of rows with the same id and text, which differ in other columns at most, the one that comes
     first in the order of those columns stays.
     """
-    found = stored(near_duplicates(docs), "classes")
+    found = near_duplicates(docs)
     kept = found.where("keep").select("doc_id", "node").distinct()
     node = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), node.alias("hash")).withColumn(

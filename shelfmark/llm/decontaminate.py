@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from shelfmark.llm.common import mixed, stored, text_bytes, word_hashes
 from shelfmark.llm.order_minhash import WORD_BYTES
@@ -41,8 +42,8 @@ def runs(words: np.ndarray, size: int) -> np.ndarray:
     return total
 
 
-def benchmark_seeds(benchmark: DataFrame) -> DataFrame:
-    """item_id, key, the text's words (hashes), and for each seed its hash, place and words.
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """item_id, key and the ``words`` (hashes) of every text of the benchmark.
 
     ``key`` tells the texts of one id apart; each is searched on its own.
     """
@@ -51,27 +52,37 @@ def benchmark_seeds(benchmark: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, first = _words(batch.column("text"))
-            ids, keys, seeds, parts, places, items = [], [], [], [], [], []
-            for i, (item, key) in enumerate(zip(batch.column("item_id").to_pylist(), batch.column("key").to_pylist())):
-                own = words[first[i] : first[i + 1]]
-                size = min(SEED_WORDS, len(own))
-                for place, seed in enumerate(runs(own, size).view(np.int64) if size else []):
-                    ids.append(item)
-                    keys.append(key)
-                    seeds.append(seed)
-                    places.append(place)
-                    parts.append(own[place : place + size].view(np.int64))
-                    items.append(own.view(np.int64))
-            numbers = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, batch.column("item_id").type), pa.array(keys, pa.int64()), pa.array(items, numbers),
-                 pa.array(seeds, pa.int64()), pa.array(places, pa.int32()), pa.array(parts, numbers)],
-                ["item_id", "key", "item", "seed", "place", "parts"],
-            )
+            lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(words.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), batch.column("key"), lists], ["item_id", "key", "words"])
 
     given = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).where("item_id IS NOT NULL").distinct()
     keyed = given.withColumn("key", F.xxhash64("item_id", "text"))
-    return keyed.mapInArrow(run, f"item_id {kind}, key bigint, item array<bigint>, seed bigint, place int, parts array<bigint>")
+    return keyed.mapInArrow(run, f"item_id {kind}, key bigint, words array<bigint>")
+
+
+def benchmark_seeds(items: DataFrame) -> DataFrame:
+    """For each seed of the items its item_id, key, hash, place and words."""
+    kind = items.schema["item_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, seeds, places, parts = [], [], [], []
+            for i, own in enumerate(batch.column("words")):
+                words = own.values.to_numpy().view(np.uint64)
+                size = min(SEED_WORDS, len(words))
+                found = runs(words, size) if size else words
+                rows.append(np.full(len(found), i))
+                seeds.append(found.view(np.int64))
+                places.append(np.arange(len(found), dtype=np.int32))
+                parts += [words[place : place + size].view(np.int64) for place in range(len(found))]
+            at = pa.array(np.concatenate(rows)) if rows else pa.array([], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("item_id").take(at), batch.column("key").take(at), pa.array(np.concatenate(seeds) if seeds else [], pa.int64()),
+                 pa.array(np.concatenate(places) if places else [], pa.int32()), pa.array(parts, pa.list_(pa.int64()))],
+                ["item_id", "key", "seed", "place", "parts"],
+            )
+
+    return items.mapInArrow(run, f"item_id {kind}, key bigint, seed bigint, place int, parts array<bigint>")
 
 
 def _counter(wanted: np.ndarray):
@@ -171,7 +182,7 @@ def smith_waterman(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     return best, best_begin, best_end
 
 
-def _searcher(kind: str, seeds: np.ndarray, entries: list[tuple[int, int]], start: np.ndarray, items: dict, sizes: list[int]):
+def _searcher(kind: pa.DataType, seeds: np.ndarray, entries: list[tuple[int, int]], start: np.ndarray, items: dict, sizes: list[int]):
     """Finds seeds in texts and aligns each item at the places its seeds point to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +194,7 @@ def _searcher(kind: str, seeds: np.ndarray, entries: list[tuple[int, int]], star
                 out += [(doc, *hit) for hit in _hits(own, seeds, entries, start, items, sizes)]
             columns = list(zip(*out)) or [[]] * 5
             yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], batch.column("doc_id").type), pa.array(columns[1], item_type(kind)),
+                [pa.array(columns[0], batch.column("doc_id").type), pa.array(columns[1], kind),
                  pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64())],
                 ["doc_id", "item_id", "score", "first_word", "end_word"],
             )
@@ -191,10 +202,6 @@ def _searcher(kind: str, seeds: np.ndarray, entries: list[tuple[int, int]], star
     return run
 
 
-def item_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def _hits(own: np.ndarray, seeds: np.ndarray, entries: list, start: np.ndarray, items: dict, sizes: list[int]) -> list[tuple]:
     """Best alignment per item, over all its texts: (item, score, first word, end word) from ``LEAST_SCORE`` on."""
     origins: dict[int, set[int]] = {}
@@ -239,11 +246,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     ids = {name: frame.schema[name].dataType.simpleString() for frame, name in ((docs, "doc_id"), (benchmark, "item_id"))}
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    seeds = stored(rare_seeds(texts, stored(benchmark_seeds(benchmark), "seeds")), "rare")
+    items = stored(benchmark_items(benchmark), "items")
+    seeds = stored(rare_seeds(texts, stored(benchmark_seeds(items), "seeds")), "rare")
+    kind = to_arrow_type(benchmark.schema["item_id"].dataType)
     schema = f"doc_id {ids['doc_id']}, item_id {ids['item_id']}, score double, first_word bigint, end_word bigint"
     passes = []
-    for block in item_blocks(seeds):
-        passes.append(texts.mapInArrow(_searcher(ids["item_id"], *block), schema))
+    for block in item_blocks(seeds, items):
+        passes.append(texts.mapInArrow(_searcher(kind, *block), schema))
     if not passes:
         return docs.sparkSession.createDataFrame([], schema)
     found = passes[0]
@@ -252,32 +261,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found
 
 
-def item_blocks(seeds: DataFrame) -> Iterator[tuple]:
-    """The rare seeds of a bounded number of items at a time, as sorted arrays for the workers."""
+def item_blocks(seeds: DataFrame, items: DataFrame) -> Iterator[tuple]:
+    """The rare seeds of a bounded number of items at a time, as sorted arrays for the workers, and the words of those items once each."""
     parts = max(1, -(-seeds.count() // SEEDS_AT_ONCE) * 2 - 1)
     for part in range(parts):
-        rows = seeds.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).select(
-            "seed", "item_id", "key", "place", "item", F.size("parts").alias("size")
-        )
-        table = rows.toArrow()
+        chosen = F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part
+        table = seeds.where(chosen).select("seed", "key", "place", F.size("parts").alias("size")).toArrow()
         if not table.num_rows:
             continue
-        listed = sorted(zip(*[table.column(name).to_pylist() for name in ("seed", "key", "place", "size")]), key=lambda r: (r[0] % (1 << 64), r[2]))
+        listed = sorted(zip(*[column.to_pylist() for column in table.columns]), key=lambda r: (r[0] % (1 << 64), r[2]))
         values = np.array([row[0] for row in listed], np.int64).view(np.uint64)
         seeds_at, start = np.unique(values, return_index=True)
-        items = {}
-        for key, item, words in zip(*[table.column(name).to_pylist() for name in ("key", "item_id", "item")]):
-            if key not in items:
-                items[key] = item, np.array(words, np.int64).view(np.uint64)
-        yield seeds_at, [(row[1], row[2]) for row in listed], np.append(start, len(listed)), items, sorted({row[3] for row in listed})
+        held = items.where(chosen).toArrow()
+        words = {
+            key: (item, own.values.to_numpy().view(np.uint64))
+            for key, item, own in zip(held["key"].to_pylist(), held["item_id"].to_pylist(), held["words"])
+        }
+        yield seeds_at, [(row[1], row[2]) for row in listed], np.append(start, len(listed)), words, sorted({row[3] for row in listed})
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows, with all their columns, whose text holds no copy of a benchmark item."""
     at, clean = docs.columns.index("text"), docs
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    seeds = stored(rare_seeds(texts, stored(benchmark_seeds(benchmark), "seeds")), "rare")
-    for block in item_blocks(seeds):
+    items = stored(benchmark_items(benchmark), "items")
+    seeds = stored(rare_seeds(texts, stored(benchmark_seeds(items), "seeds")), "rare")
+    for block in item_blocks(seeds, items):
         clean = clean.mapInArrow(_cleaner(at, *block), docs.schema)
     return clean
 

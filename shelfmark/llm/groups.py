@@ -57,14 +57,15 @@ def crowded(members: DataFrame, fit: Callable[[Column, Column], Column] | None =
     Rows may carry a ``trait`` of their node, with which ``fit`` tells that two nodes cannot be
     similar. A bucket of two such nodes, as chance makes them, is left out at once.
     """
+    full = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    met = stored(met_by(members, "bucket", stored(full, "full")).select(*members.columns).distinct(), "members")
     if fit is None:
-        full = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    else:
-        one = F.struct("node", "trait")
-        full = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(one).alias("low"), F.max(one).alias("high")).where(
-            (F.col("n") > 2) | ((F.col("n") == 2) & fit(F.col("low.trait"), F.col("high.trait")))
-        )
-    return stored(met_by(members, "bucket", stored(full.select("bucket"), "full")).select(*members.columns).distinct(), "members")
+        return met
+    one = F.struct("node", "trait")
+    hopeful = met.groupBy("bucket").agg(F.count("*").alias("n"), F.min(one).alias("low"), F.max(one).alias("high")).where(
+        (F.col("n") > 2) | ((F.col("n") == 2) & fit(F.col("low.trait"), F.col("high.trait")))
+    )
+    return stored(met.join(hopeful.select("bucket"), "bucket", "left_semi"), "hopeful")
 
 
 def similar_groups(

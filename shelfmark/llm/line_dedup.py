@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -24,8 +25,8 @@ ONES = sum(1 << at for at in range(0, 64, WIDTH))
 SHORT = 8
 #: Letters of words that are taken for common ones, at most.
 COMMON_LETTERS = 4
-#: Part of the allowed edits that is tried first; most copies need no wider band.
-NARROW = 0.3
+#: Parts of the allowed edits that are tried first; most copies need no wider band.
+NARROW = (0.05, 0.3)
 
 
 def normalised(line: Column) -> Column:
@@ -87,7 +88,9 @@ def alike(a: Column, b: Column) -> Column:
     longest, shortest = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
     allowed = F.floor(longest * (1 - SIMILARITY) + 1e-9).cast("int")
     within = lambda edits: F.call_function("levenshtein", a, b, edits) >= 0
-    return (longest - shortest <= allowed) & F.when(within(F.floor(allowed * NARROW).cast("int")), True).otherwise(within(allowed))
+    return (longest - shortest <= allowed) & functools.reduce(
+        lambda wider, share: F.when(within(F.floor(allowed * share).cast("int")), True).otherwise(wider), reversed(NARROW), within(allowed)
+    )
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +18,8 @@ from shelfmark.llm.groups import crowded, similar_groups
 WORDS, SKETCHES, TAKEN = 3, 48, 2
 #: Least share of words that an alignment leaves in place.
 SIMILARITY = 0.8
-#: Part of the allowed edits that is tried first; most copies need no wider band.
-NARROW = 0.3
+#: Parts of the allowed edits that are tried first; most copies need no wider band.
+NARROW = (0.05, 0.3)
 
 _LETTERS = np.arange(256, dtype=np.uint8)
 #: Words are runs of letters, digits and bytes of longer characters; ASCII case is folded.
@@ -119,7 +120,9 @@ def aligned(a: Column, b: Column) -> Column:
     longest, shortest = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
     allowed = F.floor(longest * (1 - SIMILARITY) + 1e-9).cast("int")
     within = lambda edits: F.call_function("levenshtein", a, b, edits) >= 0
-    return (longest - shortest <= allowed) & F.when(within(F.floor(allowed * NARROW).cast("int")), True).otherwise(within(allowed))
+    return (longest - shortest <= allowed) & functools.reduce(
+        lambda wider, share: F.when(within(F.floor(allowed * share).cast("int")), True).otherwise(wider), reversed(NARROW), within(allowed)
+    )
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -80,7 +80,7 @@ def osf_problems(pages: DataFrame, roots: DataFrame) -> DataFrame:
     """Problems of stored listing pages: ``source_id``, ``place`` (page address), ``entry`` (number from 0 or null), ``problem``.
 
     Only pages that a walk from the roots visits are judged, as only they give files. Links of
-    visited pages that lead to no stored page are problems of the page that holds them, and a
+    visited pages that lead to no stored page are one problem of the page that holds them, and a
     source whose visited pages hold no file is an empty listing. Stored pages that nothing reaches
     are notes. Null bodies count as unreadable; a page stored twice is judged twice.
     """
@@ -96,7 +96,7 @@ def osf_problems(pages: DataFrame, roots: DataFrame) -> DataFrame:
     stored = known.withColumnRenamed("page_url", "target")
 
     def dangling(rows: DataFrame, problem: str) -> DataFrame:
-        lost = rows.distinct().join(stored, ["source_id", "target"], "left_anti")
+        lost = rows.distinct().join(stored, ["source_id", "target"], "left_anti").select(*PAGE_KEYS).distinct()
         return _rows(lost.withColumnRenamed("page_url", "place"), F.lit(problem))
 
     rootless = roots.select(*PAGE_KEYS).distinct().join(known, PAGE_KEYS, "left_anti").withColumnRenamed("page_url", "place")

@@ -118,11 +118,14 @@ def similar_groups(
         return grouped
     if not carried:
         loose = loose.join(traits(stored(loose.select("node").distinct(), "nodes")), "node")
-    left = loose.select("bucket", *[F.col(c).alias(f"a_{c}") for c in ("node", "root", "trait")])
-    right = loose.select(*[F.col(c).alias(f"b_{c}") for c in ("bucket", "node", "root", "trait")])
+    loose = loose.join(loose.groupBy("node").agg(F.collect_set("bucket").alias("buckets")), "node")
+    left = loose.select("bucket", *[F.col(c).alias(f"a_{c}") for c in ("node", "root", "trait", "buckets")])
+    right = loose.select(*[F.col(c).alias(f"b_{c}") for c in ("bucket", "node", "root", "trait", "buckets")])
+    # A pair that meets in many buckets is taken in the least of them.
+    met = (F.col("bucket") == F.col("b_bucket")) & (F.col("a_root") < F.col("b_root")) & fit(F.col("a_trait"), F.col("b_trait"))
+    least = F.col("bucket") == F.array_min(F.array_intersect("a_buckets", "b_buckets"))
     across = (
-        left.join(right, (F.col("bucket") == F.col("b_bucket")) & (F.col("a_root") < F.col("b_root")) & fit(F.col("a_trait"), F.col("b_trait")))
-        .select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+        left.join(right, met & least).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
         .join(tried, ["a", "b"], "left_anti")
     )
     more = verify(stored(across, "across"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,10 @@ WORD_BYTES[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _SALTS = mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 #: Salted hashes of one text that are held at once.
 AT_ONCE = 1 << 20
-#: Classes of words whose counts are compared before texts are aligned.
-BAG = 256
+#: Classes of words whose counts, and of repeated words whose parities, are compared before texts are aligned.
+BAG, MARKS = 256, 4096
+#: Numbers of 64 bits that the parities are laid over each other into.
+FOLDED = 4
 _FIRST_CODE, _CODES = 0x100, 0xD600
 
 
@@ -82,23 +84,56 @@ def sketches(words: np.ndarray) -> np.ndarray:
     return np.unique(total)
 
 
-def bag(words: np.ndarray) -> np.ndarray:
-    """How many words fall into each of ``BAG`` classes of hashes, 127 at most."""
-    return np.minimum(np.bincount((words % np.uint64(BAG)).astype(np.int64), minlength=BAG), 127).astype(np.int8)
+def parities(codes: np.ndarray) -> np.ndarray:
+    """``MARKS`` bits: which classes of hashes an odd number of a text's words falls into, repeated words told apart."""
+    ordered = np.sort(codes).astype(np.uint64)
+    at = np.arange(len(ordered))
+    fresh = np.ones(len(ordered), bool)
+    fresh[1:] = ordered[1:] != ordered[:-1]
+    seen = (at - np.maximum.accumulate(np.where(fresh, at, 0))).astype(np.uint64) if len(at) else ordered
+    places = mixed(ordered ^ mixed(seen * np.uint64(0xD1342543DE82EF95) + np.uint64(1))) % np.uint64(MARKS)
+    odd = np.bincount(places.astype(np.int64), minlength=MARKS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def bag(codes: np.ndarray) -> np.ndarray:
+    """How many words fall into each of ``BAG`` classes, 127 at most."""
+    return np.minimum(np.bincount(codes % BAG, minlength=BAG), 127).astype(np.int8)
+
+
+_TRAIT = "struct<n: int, folded: array<bigint>, marks: array<bigint>, bag: array<tinyint>>"
+
+
+def _traits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [np.frombuffer(text.encode("utf-16-le"), "<u2") for text in batch.column("codes").to_pylist()]
+        marks = [parities(codes) for codes in rows]
+        trait = pa.StructArray.from_arrays(
+            [pa.array([len(codes) for codes in rows], pa.int32()),
+             pa.array([np.bitwise_xor.reduce(m.reshape(-1, FOLDED)) for m in marks], pa.list_(pa.int64())),
+             pa.array(marks, pa.list_(pa.int64())),
+             pa.array([bag(codes) for codes in rows], pa.list_(pa.int8()))],
+            ["n", "folded", "marks", "bag"],
+        )
+        yield pa.RecordBatch.from_arrays([batch.column("node"), trait], ["node", "trait"])
 
 
 def may_align(a: Column, b: Column) -> Column:
-    """Whether lengths and bags leave it open that two texts are aligned closely enough.
+    """Whether lengths, parities and bags leave it open that two texts are aligned closely enough.
 
-    An edit changes two counts of a bag by one at most, so bags that differ by more than twice
-    the allowed edits rule the pair out.
+    All words of the longer text but one for each edit stand in the other too, so the words that
+    only one of the two holds are twice the edits less the difference in length at most, and each
+    changes one parity and one count by one. Texts further apart than the allowed edits leave room
+    for are ruled out; parities laid over each other do so for most at the price of a few operations.
     """
     longest, shortest = F.greatest(a["n"], b["n"]), F.least(a["n"], b["n"])
     allowed = F.floor(longest * (1 - SIMILARITY) + 1e-9)
-    apart = F.aggregate(
-        F.zip_with(a["bag"], b["bag"], lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x
-    )
-    return (longest - shortest <= allowed) & (apart <= 2 * allowed)
+    total = lambda values: F.aggregate(values, F.lit(0), lambda s, x: s + x)
+    folded = functools.reduce(Column.__add__, [F.bit_count(a["folded"][k].bitwiseXOR(b["folded"][k])) for k in range(FOLDED)])
+    odd = total(F.zip_with(a["marks"], b["marks"], lambda x, y: F.bit_count(x.bitwiseXOR(y))))
+    apart = total(F.zip_with(a["bag"], b["bag"], lambda x, y: F.abs(x.cast("int") - y.cast("int"))))
+    room = 2 * allowed - (longest - shortest)
+    return (longest - shortest <= allowed) & (folded <= room) & (odd <= room) & (apart <= room)
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,9 +144,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("node"),
              pa.array([codes[part].tobytes().decode("utf-16-le") for part in parts], pa.string()),
-             pa.array([sketches(words[part]).view(np.int64) for part in parts], pa.list_(pa.int64())),
-             pa.array([bag(words[part]) for part in parts], pa.list_(pa.int8()))],
-            ["doc_id", "node", "codes", "keys", "bag"],
+             pa.array([sketches(words[part]).view(np.int64) for part in parts], pa.list_(pa.int64()))],
+            ["doc_id", "node", "codes", "keys"],
         )
 
 
@@ -145,25 +179,32 @@ def _classes(docs: DataFrame) -> DataFrame:
     given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.unhex(F.md5("text")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     sketched = stored(
-        given.mapInArrow(_sketch, f"doc_id {kind}, node binary, codes string, keys array<bigint>, bag array<tinyint>"), "sketches"
+        given.mapInArrow(_sketch, f"doc_id {kind}, node binary, codes string, keys array<bigint>"), "sketches"
     )
     members = sketched.select("node", F.explode("keys").alias("bucket"))
 
-    def of_nodes(nodes: DataFrame, *columns: Column) -> DataFrame:
-        """The given columns of the wanted nodes, once each; other rows are not shuffled."""
-        keyed = sketched.select("node", F.xxhash64("node").alias("key"), *columns)
-        near = sifted(keyed, "key", nodes.select(F.xxhash64("node").alias("key"))).drop("key")
-        chosen = near.join(nodes, "node", "left_semi")
+    def of_nodes(nodes: DataFrame, of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """What ``of`` makes of node and codes, once for each wanted node; other rows are not shuffled."""
+        keyed = sketched.select("node", F.xxhash64("node").alias("key"), "codes")
+        near = of(sifted(keyed, "key", nodes.select(F.xxhash64("node").alias("key"))).select("node", "codes"))
+        # No semi join: the optimizer would move it before the sieve, and so shuffle all rows.
+        chosen = near.join(nodes, "node")
         return chosen.groupBy("node").agg(*[F.first(c).alias(c) for c in chosen.columns if c != "node"])
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda name: of_nodes(
-            pairs.select(F.col(name).alias("node")).distinct(), F.col("codes")
-        ).select(F.col("node").alias(name), F.col("codes").alias(f"{name}_codes"))
-        return pairs.join(side("b"), "b").join(side("a"), "a").where(aligned(F.col("a_codes"), F.col("b_codes"))).select("a", "b")
-
     def traits(nodes: DataFrame) -> DataFrame:
-        return of_nodes(nodes, F.struct(F.length("codes").alias("n"), "bag").alias("trait"))
+        return of_nodes(nodes, lambda rows: rows.mapInArrow(_traits, f"node binary, trait {_TRAIT}"))
+
+    def where_both(pairs: DataFrame, of: Callable[[DataFrame], DataFrame], test: Callable[[Column, Column], Column]) -> DataFrame:
+        """The pairs whose two nodes pass a test of what ``of`` (nodes) gives for them as second column."""
+        def side(name: str) -> DataFrame:
+            found = of(pairs.select(F.col(name).alias("node")).distinct())
+            return found.toDF(name, f"{name}_value")
+
+        return pairs.join(side("b"), "b").join(side("a"), "a").where(test(F.col("a_value"), F.col("b_value"))).select("a", "b")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        open_pairs = stored(where_both(pairs, traits, may_align), "open")
+        return where_both(open_pairs, lambda nodes: of_nodes(nodes, lambda rows: rows), aligned)
 
     grouped = similar_groups(crowded(members), verify, may_align, traits)
     placed = (
@@ -196,7 +237,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     shared = found.where("class_size > 1").select(F.xxhash64("node").alias("key"))
     alone = sifted(packed, "key", shared, met=False)
     among = sifted(packed, "key", shared)
-    chosen = among.join(kept, among["id"].eqNullSafe(kept["doc_id"]) & (among["hash"] == kept["node"]), "left_semi")
+    # No semi join: the optimizer would move it before the sieve.
+    chosen = among.join(kept, among["id"].eqNullSafe(kept["doc_id"]) & (among["hash"] == kept["node"])).select("row", "id", "hash")
     others = [F.col("row")[c] for c in docs.columns if c not in ("doc_id", "text")]
     order = F.to_json(F.struct(*others)) if others else F.lit(1)
     ranked = chosen.withColumn("place", F.row_number().over(W.partitionBy("id", "hash").orderBy(order)))

@@ -143,10 +143,15 @@ def reachable_pages(pages: DataFrame, roots: DataFrame, entries: DataFrame) -> D
     return placed.join(reached, ["source_id", "head"], "left_semi").select(*keys)
 
 
-def osf_manifest(pages: DataFrame, roots: DataFrame) -> DataFrame:
-    """Files on the listing pages reachable from each source's root page."""
-    entries = osf_entries(pages)
-    visited = reachable_pages(pages, roots, entries)
+def osf_walk(pages: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The entries of all pages and the (source_id, page_url) that a walk visits, both read and stored once."""
+    entries = cut_lineage(osf_entries(pages))
+    return entries, cut_lineage(reachable_pages(pages, roots, entries))
+
+
+def osf_manifest(pages: DataFrame, roots: DataFrame, walk: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Files on the listing pages reachable from each source's root page; ``walk`` is ``osf_walk`` of them."""
+    entries, visited = walk or osf_walk(pages, roots)
     return entries.filter("kind = 'file'").join(visited, ["source_id", "page_url"], "left_semi").select(
         "source_id", F.ltrim("relative_path", F.lit("/")).alias("relative_path"), "size", "download_url",
         F.lit(None).cast("string").alias("checksum"),

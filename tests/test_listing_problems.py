@@ -116,3 +116,15 @@ def test_empty_tables(spark, osf):
     roots = spark.createDataFrame([], "source_id string, page_url string")
     assert [df.count() for df in found.read_osf(pages, roots)] == [0, 0, 0]
     assert [df.count() for df in found.read_zenodo(pages.drop("page_url"))] == [0, 0, 0]
+
+
+def test_pages_are_walked_once_for_manifest_and_problems(spark, monkeypatch):
+    from shelfmark.sources import listings
+
+    walks, walk = [], listings.reachable_pages
+    for module in (listings, found):
+        monkeypatch.setattr(module, "reachable_pages", lambda *args: walks.append(1) or walk(*args), raising=False)
+    pages = spark.createDataFrame([("a", URL % 1, page([file_entry("x"), 5]))], "source_id string, page_url string, body string")
+    manifest, problems, verdicts = found.read_osf(pages, pages.select("source_id", "page_url"))
+    assert (manifest.count(), problems.count(), verdicts.count()) == (1, 1, 1)
+    assert len(walks) == 1

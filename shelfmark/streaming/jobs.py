@@ -20,6 +20,8 @@ from shelfmark.streaming.owner_index import OwnerIndex
 
 #: How much later than newer events an event may come.
 LATE = "7 days"
+#: Groups of environments whose state is kept together; a batch costs a call of the workers for each, not for each environment.
+GROUPS = 4096
 
 
 def _run(stream: DataFrame, target: str, each_batch: Callable[[DataFrame, int], None], trigger: dict | None = None):
@@ -69,13 +71,14 @@ def stream_cooldown_gate(
     """Keep an event per environment and cooldown: ``environment`` and ``ts``, appended below ``out``.
 
     State is one time per environment, dropped when the watermark has passed the cooldown after it,
-    as no event can then be refused for it. Events that come more than ``late`` after newer ones are
+    as no event can then be refused for it; environments share ``GROUPS`` values by their hash. Events that come more than ``late`` after newer ones are
     not considered, and none at or before the epoch is. A batch reads its own events and the state of
     their environments, and a batch that runs again after a failure writes the same rows.
     """
     _keyed_state(events.sparkSession)
     kept = (
-        events.select("environment", "ts").filter("ts is not null").withWatermark("ts", late).groupBy("environment")
+        events.select("environment", "ts").filter("ts is not null").withWatermark("ts", late)
+        .withColumn("group", F.pmod(F.xxhash64("environment"), F.lit(GROUPS))).groupBy("group")
         .transformWithStateInPandas(Cooldown(cooldown), "environment string, ts timestamp", "Append", "EventTime")
     )
     query = (

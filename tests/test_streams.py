@@ -87,6 +87,23 @@ def test_state_is_one_time_and_goes_when_nothing_can_be_refused_for_it():
     assert not handle.value.exists()
 
 
+def test_environments_of_one_group_share_a_call_and_a_state():
+    gate, handle = keyed.Cooldown(10), Handle()
+    gate.init(handle)
+    at = lambda second: pd.to_datetime(second, unit="s")
+    rows = lambda *pairs: iter([pd.DataFrame(pairs, columns=["environment", "ts"]).assign(ts=lambda f: f["ts"].map(at))])
+    passed = lambda frames: [(r.environment, r.ts) for f in frames for r in f.itertuples()]
+    first = gate.handleInputRows((3,), rows(("b", 7), ("a", 5), (None, 9), ("a", 1), ("b", 30), ("a", 1)), None)
+    assert sorted(passed(first), key=str) == sorted([("b", at(7)), ("b", at(30)), ("a", at(1)), (None, at(9))], key=str)
+    assert handle.timers == [40_000]
+    watermark = type("Now", (), {"getCurrentWatermarkInMs": lambda self: 19_000})()
+    second = gate.handleInputRows((3,), rows(("b", 39), ("a", 11), (None, 18), ("c", 12)), watermark)
+    assert passed(second) == [("a", at(11)), ("c", at(12))]
+    assert dict(zip(*handle.value.get())) == {"b": 30_000_000, "a": 11_000_000, "c": 12_000_000}  # a null's is over
+    list(gate.handleExpiredTimer((3,), None, Fired(40_000)))
+    assert not handle.value.exists()
+
+
 @pytest.fixture(scope="module")
 def events(spark):
     draw = random.Random(8)

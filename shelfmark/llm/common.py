@@ -164,17 +164,24 @@ def word_hashes(data: np.ndarray, places: np.ndarray, byte_map: np.ndarray) -> t
     return mixed(np.concatenate(parts)) if parts else np.zeros(0, np.uint64), first
 
 
-#: Bits of the filter below: 16 MB once sent to the executors, whatever the data.
-FILTER_BITS = 1 << 27
+#: Bits of the filter below, at most (16 MB once sent to the executors, whatever the data), at least, and for a key.
+FILTER_BITS, LEAST_BITS, KEY_BITS = 1 << 27, 1 << 20, 64
+
+
+def filter_bits(keys: int) -> int:
+    """The power of two that gives each key ``KEY_BITS`` bits, within the bounds."""
+    return min(FILTER_BITS, max(LEAST_BITS, 1 << (KEY_BITS * keys - 1).bit_length()))
 
 
 def sifted(rows: DataFrame, key: str, wanted: DataFrame, met: bool = True) -> DataFrame:
-    """Rows whose 64-bit ``key`` may be among the keys of ``wanted`` (one column), or the other rows.
+    """Rows whose 64-bit ``key`` may be among the keys of ``wanted`` (one column, stored), or the other rows.
 
-    The wanted keys become a bitmap of fixed size, which every task tests, so that rows without
-    a match need not be shuffled for a join. A full bitmap lets rows through; none that matches is lost.
+    The wanted keys become a bitmap, as large as their number asks for up to a fixed size, which
+    every task tests, so that rows without a match need not be shuffled for a join. A full bitmap
+    lets rows through; none that matches is lost.
     """
-    place = lambda column: F.pmod(column, F.lit(FILTER_BITS)) + 1
+    bits = filter_bits(wanted.count())
+    place = lambda column: F.pmod(F.xxhash64(column), F.lit(bits)) + 1
     number, bit = lambda c: F.bitmap_bucket_number(place(c)), lambda c: F.bitmap_bit_position(place(c))
     maps = wanted.groupBy(number(F.col(key)).alias("_part")).agg(F.bitmap_construct_agg(bit(F.col(key))).alias("_bits"))
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (bit(F.col(key)) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
@@ -186,3 +193,55 @@ def sifted(rows: DataFrame, key: str, wanted: DataFrame, met: bool = True) -> Da
 def met_by(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """Rows whose 64-bit ``key`` is among the keys of ``wanted`` (one column); other rows are not shuffled."""
     return sifted(rows, key, wanted).join(wanted.select(key).distinct(), key)
+
+
+#: Longest run of equal letters that is looked for at once.
+LONGEST_RUN = 1 << 16
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def few_edits(a: Column, b: Column, similarity: float, narrow: tuple[float, ...]) -> Column:
+    """Whether the edit distance of two strings is at most ``1 - similarity`` of the longer one's length.
+
+    Letters that both begin or end with are left out first, which does not change the distance:
+    Spark's ``levenshtein`` walks over all pairs of letters, however narrow its band. Bands of the
+    parts ``narrow`` of the allowed edits are tried before the whole.
+    """
+    longest, shortest = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
+    allowed = F.floor(longest * (1 - similarity) + 1e-9).cast("int")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(LONGEST_RUN.bit_length()))])
+
+    def shared(t: Column, begins: Callable[[str, Column, Column], Column]) -> Column:
+        """How many letters of t.a and t.b are the same, where a run that reaches on begins as given."""
+        least = F.least(t["m"], t["n"])
+        same = lambda at, step: F.substring(t["a"], begins("m", at, step), step) == F.substring(t["b"], begins("n", at, step), step)
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= least) & same(at, step), at + step).otherwise(at))
+
+    def sides(a: Column, b: Column, m: Column, n: Column) -> Column:
+        return F.struct(a.alias("a"), b.alias("b"), m.alias("m"), n.alias("n"), allowed.alias("allowed"))
+
+    def headless(t: Column, k: Column) -> Column:
+        return sides(F.substring(t["a"], k + 1, t["m"]), F.substring(t["b"], k + 1, t["n"]), t["m"] - k, t["n"] - k)
+
+    def judged(t: Column, k: Column) -> Column:
+        cut = F.struct(F.substring(t["a"], F.lit(1), t["m"] - k).alias("a"), F.substring(t["b"], F.lit(1), t["n"] - k).alias("b"))
+        return _let(cut, lambda c: within(c, t["allowed"]))
+
+    def within(c: Column, edits: Column) -> Column:
+        near = lambda band: F.call_function("levenshtein", c["a"], c["b"], band) >= 0
+        tried = near(edits)
+        for share in reversed(narrow):
+            tried = F.when(near(F.floor(edits * share).cast("int")), True).otherwise(tried)
+        return tried
+
+    head = lambda t: shared(t, lambda size, at, step: at + 1)
+    tail = lambda t: shared(t, lambda size, at, step: t[size] - at - step + 1)
+    whole = _let(
+        sides(a, b, F.length(a), F.length(b)),
+        lambda t: _let(head(t), lambda k: _let(headless(t, k), lambda u: _let(tail(u), lambda j: judged(u, j)))),
+    )
+    return (longest - shortest <= allowed) & whole

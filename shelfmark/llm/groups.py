@@ -71,15 +71,19 @@ def crowded(members: DataFrame, fit: Callable[[Column, Column], Column] | None =
 def similar_groups(
     members: DataFrame, verify: Callable[[DataFrame], DataFrame],
     fit: Callable[[Column, Column], Column] | None = None, traits: Callable[[DataFrame], DataFrame] | None = None,
+    verify_fit: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Connected groups of nodes that meet in a bucket and are similar: ``node`` and ``root``.
 
     ``members`` are rows of ``crowded``; ``verify`` takes pairs (a, b) and returns the
-    similar ones. First each member is compared with the least node of its bucket, so a bucket
+    similar ones, ``verify_fit`` (by default the same) does so for pairs that passed ``fit``. First
+    each member is compared with the least node of its bucket, so a bucket
     of copies costs one comparison a member. Members that are not connected by that are compared
     with another node of the bucket, and so on, as long as open buckets hold more pairs of different
-    groups than nodes and a round lessens them. At last all pairs of different groups in a
-    bucket are compared. Two similar members of one bucket thus always end up in one group,
+    groups than nodes and a round lessens them. Where members carry no traits, a node is compared
+    in a round only with that of its buckets' chosen nodes which it meets in the most buckets, so a
+    round has no more pairs than nodes; there are two rounds at least. At last all pairs of
+    different groups in a bucket are compared. Two similar members of one bucket thus always end up in one group,
     whatever the rounds did, and no bucket emits pairs inside a group.
     ``fit`` tells by traits, without a text, that two nodes cannot be similar; such pairs cost no
     row. Traits are a column of ``members``, or ``traits`` (nodes to node, trait) gives them for the
@@ -90,22 +94,28 @@ def similar_groups(
     carried = "trait" in members.columns
     placed = members.withColumn("root", F.col("node"))
     tried = links = None
-    open_before = None
+    open_before, rounds = None, 0
     while True:
         loose = stored(_several_groups(placed), "loose")
         open_pairs = _pairs_across(loose)
-        if links is not None and (open_pairs > 0.9 * open_before or open_pairs <= loose.select("node").distinct().count()):
+        lessened = rounds < (1 if carried else 2) or open_pairs <= 0.9 * open_before
+        if rounds and (not lessened or open_pairs <= loose.select("node").distinct().count()):
             break
+        rounds += 1
         # The least node first, so that many buckets share it; later any member, the same for all buckets.
         rank = F.col("node") if links is None else F.xxhash64("node", F.lit(open_pairs))
         first = loose.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), *[c for c in loose.columns if c != "bucket"])).alias("first"))
         chosen = F.col("root") != F.col("first.root")
         if carried:
             chosen = chosen & fit(F.col("trait"), F.col("first.trait"))
-        stars = loose.join(first, "bucket").where(chosen).select(
-            F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b")
-        ).distinct()
-        stars = stored(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), "stars")
+        both = (F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b"))
+        stars = loose.join(first, "bucket").where(chosen)
+        stars = stars.select(*both).distinct() if carried else stars.groupBy("node", *both).agg(F.count("*").alias("met"))
+        stars = stars if tried is None else stars.join(tried, ["a", "b"], "left_anti")
+        if not carried:
+            best = F.max(F.struct("met", "a", "b")).alias("best")
+            stars = stars.groupBy("node").agg(best).select("best.a", "best.b").distinct()
+        stars = stored(stars, "stars")
         found = stored(verify(stars).select("a", "b"), "verified")
         tried = stars if tried is None else tried.unionByName(stars)
         links = found if links is None else links.unionByName(found)
@@ -128,7 +138,7 @@ def similar_groups(
         left.join(right, met & least).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
         .join(tried, ["a", "b"], "left_anti")
     )
-    more = verify(stored(across, "across"))
+    more = (verify_fit or verify)(stored(across, "across"))
     return components(links.unionByName(more.select("a", "b")))
 
 

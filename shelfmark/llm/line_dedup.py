@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import functools
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import finished, met_by, sifted, stored
+from shelfmark.llm.common import few_edits, finished, met_by, sifted, stored
 from shelfmark.llm.groups import crowded, similar_groups
 
 #: Least edit similarity of two lines that count as the same.
@@ -85,12 +84,7 @@ def near_enough(a: Column, b: Column) -> Column:
 
 def alike(a: Column, b: Column) -> Column:
     """Whether two normalised lines differ by at most the allowed edits."""
-    longest, shortest = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
-    allowed = F.floor(longest * (1 - SIMILARITY) + 1e-9).cast("int")
-    within = lambda edits: F.call_function("levenshtein", a, b, edits) >= 0
-    return (longest - shortest <= allowed) & functools.reduce(
-        lambda wider, share: F.when(within(F.floor(allowed * share).cast("int")), True).otherwise(wider), reversed(NARROW), within(allowed)
-    )
+    return few_edits(a, b, SIMILARITY, NARROW)
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import finished, mixed, sifted, stored, text_bytes, word_hashes
+from shelfmark.llm.common import few_edits, finished, mixed, sifted, stored, text_bytes, word_hashes
 from shelfmark.llm.groups import crowded, similar_groups
 
 #: Words in a k-mer; sketches of a text; k-mers in a sketch.
@@ -151,12 +151,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def aligned(a: Column, b: Column) -> Column:
     """Whether two texts, one letter a word, differ by few enough edits; the band is as wide as those."""
-    longest, shortest = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
-    allowed = F.floor(longest * (1 - SIMILARITY) + 1e-9).cast("int")
-    within = lambda edits: F.call_function("levenshtein", a, b, edits) >= 0
-    return (longest - shortest <= allowed) & functools.reduce(
-        lambda wider, share: F.when(within(F.floor(allowed * share).cast("int")), True).otherwise(wider), reversed(NARROW), within(allowed)
-    )
+    return few_edits(a, b, SIMILARITY, NARROW)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -197,16 +192,18 @@ def _classes(docs: DataFrame) -> DataFrame:
     def where_both(pairs: DataFrame, of: Callable[[DataFrame], DataFrame], test: Callable[[Column, Column], Column]) -> DataFrame:
         """The pairs whose two nodes pass a test of what ``of`` (nodes) gives for them as second column."""
         def side(name: str) -> DataFrame:
-            found = of(pairs.select(F.col(name).alias("node")).distinct())
+            found = of(stored(pairs.select(F.col(name).alias("node")).distinct(), "nodes"))
             return found.toDF(name, f"{name}_value")
 
         return pairs.join(side("b"), "b").join(side("a"), "a").where(test(F.col("a_value"), F.col("b_value"))).select("a", "b")
 
+    def align(pairs: DataFrame) -> DataFrame:
+        return where_both(pairs, lambda nodes: of_nodes(nodes, lambda rows: rows), aligned)
+
     def verify(pairs: DataFrame) -> DataFrame:
-        open_pairs = stored(where_both(pairs, traits, may_align), "open")
-        return where_both(open_pairs, lambda nodes: of_nodes(nodes, lambda rows: rows), aligned)
+        return align(stored(where_both(pairs, traits, may_align), "open"))
 
-    grouped = similar_groups(crowded(members), verify, may_align, traits)
+    grouped = similar_groups(crowded(members), verify, may_align, traits, align)
     placed = (
         sketched.select("doc_id", "node").join(grouped, "node", "left")
         .select("doc_id", "node", F.coalesce("root", "node").alias("root"))

@@ -199,7 +199,7 @@ def met_by(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
 LONGEST_RUN = 1 << 16
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """What ``use`` makes of a value that is computed once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -229,7 +229,7 @@ def few_edits(a: Column, b: Column, similarity: float, narrow: tuple[float, ...]
 
     def judged(t: Column, k: Column) -> Column:
         cut = F.struct(F.substring(t["a"], F.lit(1), t["m"] - k).alias("a"), F.substring(t["b"], F.lit(1), t["n"] - k).alias("b"))
-        return _let(cut, lambda c: within(c, t["allowed"]))
+        return let(cut, lambda c: within(c, t["allowed"]))
 
     def within(c: Column, edits: Column) -> Column:
         near = lambda band: F.call_function("levenshtein", c["a"], c["b"], band) >= 0
@@ -240,8 +240,8 @@ def few_edits(a: Column, b: Column, similarity: float, narrow: tuple[float, ...]
 
     head = lambda t: shared(t, lambda size, at, step: at + 1)
     tail = lambda t: shared(t, lambda size, at, step: t[size] - at - step + 1)
-    whole = _let(
+    whole = let(
         sides(a, b, F.length(a), F.length(b)),
-        lambda t: _let(head(t), lambda k: _let(headless(t, k), lambda u: _let(tail(u), lambda j: judged(u, j)))),
+        lambda t: let(head(t), lambda k: let(headless(t, k), lambda u: let(tail(u), lambda j: judged(u, j)))),
     )
     return (longest - shortest <= allowed) & whole

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import few_edits, finished, met_by, sifted, stored
+from shelfmark.llm.common import few_edits, finished, let, met_by, sifted, stored
 from shelfmark.llm.groups import crowded, similar_groups
 
 #: Least edit similarity of two lines that count as the same.
@@ -20,6 +20,8 @@ NEARBY = 16
 #: Width of a counter, which no line can fill, and a one for each of the counters of a long number.
 WIDTH = 32
 ONES = sum(1 << at for at in range(0, 64, WIDTH))
+#: What a line must hold to be compared.
+LETTER = r"[\p{L}\p{N}]"
 #: Features up to which a line is short.
 SHORT = 8
 #: Letters of words that are taken for common ones, at most.
@@ -44,12 +46,12 @@ def with_simhash(lines: DataFrame) -> DataFrame:
     counted as well if the number of features is even; it alone counts where there is none.
     """
     keys = [c for c in lines.columns if c != "normal"]
-    each = lines.withColumn("whole", F.xxhash64("normal")).withColumn("feature", F.explode(F.split("normal", " ")))
-    telling = F.length("feature") > COMMON_LETTERS
-    each = each.withColumn("h", F.when(telling, F.xxhash64("feature")).otherwise(F.lit(0)))
+    telling = F.regexp_extract_all("normal", F.lit(f"[^ ]{{{COMMON_LETTERS + 1},}}"), F.lit(0))
+    each = lines.select(*keys, F.xxhash64("normal").alias("whole"), F.explode_outer(telling).alias("feature"))
+    each = each.withColumn("h", F.when(F.col("feature").isNotNull(), F.xxhash64("feature")).otherwise(F.lit(0)))
     spread = lambda h, k: F.shiftrightunsigned(h, k).bitwiseAND(F.lit(ONES))
     counted = each.groupBy(*keys, "whole").agg(
-        F.count(F.when(telling, True)).alias("n"), *[F.sum(spread(F.col("h"), k)).alias(f"c{k}") for k in range(WIDTH)]
+        F.count("feature").alias("n"), *[F.sum(spread(F.col("h"), k)).alias(f"c{k}") for k in range(WIDTH)]
     )
     tie = (F.col("n") % 2 == 0) & (F.col("n") < SHORT)
     # Raised by this, a counter reaches its second highest bit where it exceeds half the features.
@@ -99,8 +101,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     split_lines = docs.withColumn("row_no", F.monotonically_increasing_id()).select(
         "row_no", "doc_id", F.xxhash64("text").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     )
-    normal = split_lines.select("row_no", "doc_id", "doc", "line_no", F.xxhash64("line").alias("raw"), normalised(F.col("line")).alias("normal"))
-    hashed = normal.where("normal != ''").withColumn("node", F.xxhash64("normal")).withColumn("size", F.length("normal"))
+    # By the line itself: a test of the normalised text would be moved below and normalise every line twice.
+    normal = split_lines.where(F.lower("line").rlike(LETTER)).select("row_no", "doc_id", "doc", "line_no", F.xxhash64("line").alias("raw"), normalised(F.col("line")).alias("normal"))
+    hashed = normal.withColumn("node", F.xxhash64("normal")).withColumn("size", F.length("normal"))
     lines = stored(with_simhash(hashed).drop("row_no"), "lines")
     # Rows without id come last among equals, so that any id precedes them.
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "doc", "line_no")
@@ -154,7 +157,7 @@ def keep_documents(docs: DataFrame) -> DataFrame:
     A document that lost lines and has no letter or digit left goes; other documents stay.
     """
     deduped = _deduped(docs)
-    emptied = (F.col("removed_lines") > 0) & ~F.col("text").rlike(r"[\p{L}\p{N}]")
+    emptied = (F.col("removed_lines") > 0) & ~F.col("text").rlike(LETTER)
     columns = _columns(docs)
     if "n_chars" in docs.columns:
         columns[docs.columns.index("n_chars")] = F.when(F.col("removed_lines") > 0, F.length("text")).otherwise(
@@ -179,9 +182,11 @@ def _deduped(docs: DataFrame) -> DataFrame:
     )
     others = sifted(packed, "hash", touched, met=False)
     joined = joined.unionByName(others.select("row", F.lit(None).cast("array<int>").alias("removed")))
-    lines = F.split("row.text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
-    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(
-        F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
-    )
+
+    def rebuilt(lines: Column) -> Column:
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
+        return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
+
+    # A text is cut once, not once for each line of it.
+    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(let(F.split("row.text", "\n"), rebuilt))
     return joined.select("row", text.alias("text"), F.coalesce(F.size("removed"), F.lit(0)).alias("removed_lines"))

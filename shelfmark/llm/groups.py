@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.common import met_by, removed_dirs, stored, working_dir
 
+#: Links that one task takes through a round of ``components``, at most.
+FEW_LINKS = 1 << 13
+
 
 def components(links: DataFrame) -> DataFrame:
     """``node`` and the least node reachable over ``links`` (columns a, b) as ``root``.
@@ -17,7 +20,8 @@ def components(links: DataFrame) -> DataFrame:
     downwards, until no link changes; rounds grow with the logarithm of the longest chain. A
     round keeps one row per link and finds least neighbours by aggregates that combine in the
     map tasks, so a node with very many links gathers nowhere. Each round is written to the
-    shared folder. Nodes without links are not listed.
+    shared folder. Nodes without links are not listed. Rounds of at most ``FEW_LINKS`` links are
+    taken by one task, without shuffles, since the driver keeps a record of each stage and task.
     """
     spark = links.sparkSession
     pairs = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct()
@@ -36,17 +40,19 @@ def components(links: DataFrame) -> DataFrame:
         if now == seen or not now[0]:
             break
         seen = now
+        dealt = (lambda rows: rows.coalesce(1)) if now[0] <= FEW_LINKS else (lambda rows: rows)
         both = pairs.select(F.col("v").alias("u"), F.col("m").alias("w")).unionByName(
             pairs.select(F.col("m").alias("u"), F.col("v").alias("w"))
         )
+        both = dealt(both)
         least = both.groupBy("u").agg(F.min("w").alias("low")).select("u", F.least("u", "low").alias("low"))
         hung = both.where("w > u").join(least, "u").select(F.col("w").alias("v"), F.col("low").alias("m")).distinct()
         lowest = hung.groupBy("v").agg(F.min("m").alias("low"))
         raised = hung.join(lowest, "v")
-        pairs = (
+        pairs = dealt(
             raised.where("m != low").select(F.col("m").alias("v"), F.col("low").alias("m"))
-            .unionByName(lowest.select("v", F.col("low").alias("m"))).distinct()
-        )
+            .unionByName(lowest.select("v", F.col("low").alias("m")))
+        ).distinct()
     roots = pairs.select(F.col("v").alias("node"), F.col("m").alias("root"))
     return roots.unionByName(pairs.select(F.col("m").alias("node"), F.col("m").alias("root")).distinct())
 

@@ -52,5 +52,4 @@ def test_a_text_is_cut_once(spark):
     rows = [(k, f"{a}\nthe same line in all of them\n{b}") for k, a, b in ((0, "winter", "river"), (1, "garden", "bottle"), (2, "engine", "yellow"))]
     deduped = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id int, text string"))
     assert {r["doc_id"]: r["text"] for r in deduped.collect()} == {0: rows[0][1], 1: "garden\nbottle", 2: "engine\nyellow"}
-    branch = [line for line in optimized(deduped).split("\n") if "array_except(" in line]
-    assert branch and all(line.count("split(") == 1 for line in branch)
+    assert optimized(deduped).count("split(") == 1

@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.common import met_by, removed_dirs, stored, working_dir
 
-#: Links that one task takes through a round of ``components``, at most.
-FEW_LINKS = 1 << 13
+#: Links, or rows of buckets, that one task takes through a round, at most.
+FEW_LINKS = 1 << 17
+
+
+def dealt(rows: DataFrame, few: bool) -> DataFrame:
+    """Few rows as one partition, so that what follows needs no shuffle; others as they are."""
+    return rows.coalesce(1) if few else rows
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,10 +26,11 @@ def components(links: DataFrame) -> DataFrame:
     round keeps one row per link and finds least neighbours by aggregates that combine in the
     map tasks, so a node with very many links gathers nowhere. Each round is written to the
     shared folder. Nodes without links are not listed. Rounds of at most ``FEW_LINKS`` links are
-    taken by one task, without shuffles, since the driver keeps a record of each stage and task.
+    taken by one task, without shuffles, since each stage and task costs a record of the driver,
+    a piece of the event log and files on disk, however few rows it has.
     """
     spark = links.sparkSession
-    pairs = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).distinct()
+    pairs = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m"))
     seen: tuple | None = None
     path = before = None
     while True:
@@ -40,21 +46,24 @@ def components(links: DataFrame) -> DataFrame:
         if now == seen or not now[0]:
             break
         seen = now
-        dealt = (lambda rows: rows.coalesce(1)) if now[0] <= FEW_LINKS else (lambda rows: rows)
+        few = now[0] <= FEW_LINKS
         both = pairs.select(F.col("v").alias("u"), F.col("m").alias("w")).unionByName(
             pairs.select(F.col("m").alias("u"), F.col("v").alias("w"))
         )
-        both = dealt(both)
+        both = dealt(both, few)
         least = both.groupBy("u").agg(F.min("w").alias("low")).select("u", F.least("u", "low").alias("low"))
         hung = both.where("w > u").join(least, "u").select(F.col("w").alias("v"), F.col("low").alias("m")).distinct()
         lowest = hung.groupBy("v").agg(F.min("m").alias("low"))
         raised = hung.join(lowest, "v")
         pairs = dealt(
             raised.where("m != low").select(F.col("m").alias("v"), F.col("low").alias("m"))
-            .unionByName(lowest.select("v", F.col("low").alias("m")))
+            .unionByName(lowest.select("v", F.col("low").alias("m"))),
+            few,
         ).distinct()
+    pairs = dealt(pairs, (now[0] or 0) <= FEW_LINKS)
     roots = pairs.select(F.col("v").alias("node"), F.col("m").alias("root"))
-    return roots.unionByName(pairs.select(F.col("m").alias("node"), F.col("m").alias("root")).distinct())
+    both = roots.unionByName(pairs.select(F.col("m").alias("node"), F.col("m").alias("root")).distinct())
+    return dealt(both, (now[0] or 0) <= FEW_LINKS)
 
 
 def crowded(members: DataFrame, fit: Callable[[Column, Column], Column] | None = None) -> DataFrame:
@@ -94,15 +103,18 @@ def similar_groups(
     ``fit`` tells by traits, without a text, that two nodes cannot be similar; such pairs cost no
     row. Traits are a column of ``members``, or ``traits`` (nodes to node, trait) gives them for the
     last comparison only; without ``fit`` all pairs of different groups are compared.
+    Where members are few, one task finds the pairs of a round; their texts are compared by all.
     """
     if fit is None:
         fit, members = lambda a, b: F.lit(True), members.withColumn("trait", F.lit(0))
     carried = "trait" in members.columns
-    placed = members.withColumn("root", F.col("node"))
+    few, tasks = members.count() <= FEW_LINKS, members.sparkSession.sparkContext.defaultParallelism
+    placed = dealt(members, few).withColumn("root", F.col("node"))
     tried = links = None
     open_before, rounds = None, 0
     while True:
-        loose = stored(_several_groups(placed), "loose")
+        apart = stored(_several_groups(placed), "loose")
+        loose = dealt(apart, few)
         open_pairs = _pairs_across(loose)
         lessened = rounds < (1 if carried else 2) or open_pairs <= 0.9 * open_before
         if rounds and (not lessened or open_pairs <= loose.select("node").distinct().count()):
@@ -117,21 +129,22 @@ def similar_groups(
         both = (F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b"))
         stars = loose.join(first, "bucket").where(chosen)
         stars = stars.select(*both).distinct() if carried else stars.groupBy("node", *both).agg(F.count("*").alias("met"))
-        stars = stars if tried is None else stars.join(tried, ["a", "b"], "left_anti")
+        stars = stars if tried is None else stars.join(dealt(tried, few), ["a", "b"], "left_anti")
         if not carried:
             best = F.max(F.struct("met", "a", "b")).alias("best")
             stars = stars.groupBy("node").agg(best).select("best.a", "best.b").distinct()
-        stars = stored(stars, "stars")
+        stars = stored(stars.repartition(tasks) if few else stars, "stars")
         found = stored(verify(stars).select("a", "b"), "verified")
         tried = stars if tried is None else tried.unionByName(stars)
         links = found if links is None else links.unionByName(found)
         grouped = components(links)
-        placed = members.join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node")).select(*members.columns, "root")
+        placed = dealt(members, few).join(dealt(grouped, few), "node", "left").withColumn("root", F.coalesce("root", "node")).select(*members.columns, "root")
         open_before = open_pairs
         if not open_pairs:
             return grouped
     if not open_pairs:
         return grouped
+    loose = apart  # few rows may still have many pairs, which all tasks share
     if not carried:
         loose = loose.join(traits(stored(loose.select("node").distinct(), "nodes")), "node")
     loose = loose.join(loose.groupBy("node").agg(F.collect_set("bucket").alias("buckets")), "node")

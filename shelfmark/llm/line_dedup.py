@@ -17,9 +17,8 @@ SIMILARITY = 0.8
 BLOCKS, AGREE = 5, 2
 #: Bits in which the fingerprints of compared lines may differ; unrelated ones differ in 32 on average.
 NEARBY = 16
-#: Width of a counter, which no line can fill, and a one for each of the counters of a long number.
-WIDTH = 32
-ONES = sum(1 << at for at in range(0, 64, WIDTH))
+#: Widths of a counter; a line gets the least that its features cannot fill. None fills the last.
+WIDTHS = (8, 16, 32)
 #: What a line must hold to be compared.
 LETTER = r"[\p{L}\p{N}]"
 #: Features up to which a line is short.
@@ -35,32 +34,40 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
 
+def majority(hashes: Column, n: Column, whole: Column, width: int) -> Column:
+    """The bits that more than half of ``n`` hashes have, counted in counters of ``width`` bits."""
+    ones = sum(1 << at for at in range(0, 64, width))
+    spread = lambda h, k: F.shiftrightunsigned(h, k).bitwiseAND(F.lit(ones))
+    added = lambda k: lambda count, h: count + spread(h, k)
+    tie = (n % 2 == 0) & (n < SHORT)
+    # Raised by this, a counter reaches its second highest bit where it exceeds half the features.
+    raise_by = (F.lit((1 << (width - 2)) - 1) - F.floor((n + tie.cast("int")) / 2)) * F.lit(ones)
+    bits = F.lit(0).cast("bigint")
+    for k in range(width):
+        count = F.aggregate(hashes, F.when(tie, spread(whole, k)).otherwise(F.lit(0).cast("bigint")), added(k))
+        bits = bits.bitwiseOR(F.shiftleft(F.shiftrightunsigned(count + raise_by, width - 2).bitwiseAND(F.lit(ones)), k))
+    return bits
+
+
 def with_simhash(lines: DataFrame) -> DataFrame:
     """Lines (``normal`` and any columns that tell them apart) with a 64-bit ``fingerprint`` for the text.
 
     Each bit is the majority of that bit of the features' hashes. Words of up to
     ``COMMON_LETTERS`` letters are left out: most are common words, which would make all lines
-    of a language look alike. The 64 counters lie side by side in 32 long numbers, so that a
-    feature costs 32 additions in an aggregate that is complete, but for the exchange, in the
-    task that cut the line. In short lines, where many bits tie, the hash of the whole line is
+    of a language look alike. The 64 counters lie side by side in as many long numbers as a
+    counter has bits, so that a feature costs that many additions in the row of its line, and no
+    feature is a row. In short lines, where many bits tie, the hash of the whole line is
     counted as well if the number of features is even; it alone counts where there is none.
     """
     keys = [c for c in lines.columns if c != "normal"]
     telling = F.regexp_extract_all("normal", F.lit(f"[^ ]{{{COMMON_LETTERS + 1},}}"), F.lit(0))
-    each = lines.select(*keys, F.xxhash64("normal").alias("whole"), F.explode_outer(telling).alias("feature"))
-    each = each.withColumn("h", F.when(F.col("feature").isNotNull(), F.xxhash64("feature")).otherwise(F.lit(0)))
-    spread = lambda h, k: F.shiftrightunsigned(h, k).bitwiseAND(F.lit(ONES))
-    counted = each.groupBy(*keys, "whole").agg(
-        F.count("feature").alias("n"), *[F.sum(spread(F.col("h"), k)).alias(f"c{k}") for k in range(WIDTH)]
-    )
-    tie = (F.col("n") % 2 == 0) & (F.col("n") < SHORT)
-    # Raised by this, a counter reaches its second highest bit where it exceeds half the features.
-    raise_by = (F.lit((1 << (WIDTH - 2)) - 1) - F.floor((F.col("n") + tie.cast("int")) / 2)) * F.lit(ONES)
-    bits = F.lit(0).cast("bigint")
-    for k in range(WIDTH):
-        count = F.col(f"c{k}") + F.when(tie, spread(F.col("whole"), k)).otherwise(F.lit(0))
-        bits = bits.bitwiseOR(F.shiftleft(F.shiftrightunsigned(count + raise_by, WIDTH - 2).bitwiseAND(F.lit(ONES)), k))
-    return counted.select(*keys, bits.alias("fingerprint"))
+    hashed = lines.select(*keys, F.xxhash64("normal").alias("_whole"), F.transform(telling, lambda w: F.xxhash64(w)).alias("_hashes"))
+    n = F.size("_hashes")
+    bits = majority(F.col("_hashes"), n, F.col("_whole"), WIDTHS[-1])
+    for width in reversed(WIDTHS[:-1]):
+        fits = n < (1 << (width - 1)) - 2
+        bits = F.when(fits, majority(F.col("_hashes"), n, F.col("_whole"), width)).otherwise(bits)
+    return hashed.select(*keys, bits.alias("fingerprint"))
 
 
 def buckets(fingerprint: Column) -> Column:
@@ -97,14 +104,13 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     edit similarity, form connected groups; the occurrence with the least (doc_id, doc, line number) stays. Lines are known by the 64-bit
     hash of their normalised text. Lines without letters and digits are never removed.
     """
-    # The number only keeps repeated rows apart while their lines' features are counted.
-    split_lines = docs.withColumn("row_no", F.monotonically_increasing_id()).select(
-        "row_no", "doc_id", F.xxhash64("text").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")
+    split_lines = docs.select(
+        "doc_id", F.xxhash64("text").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     )
     # By the line itself: a test of the normalised text would be moved below and normalise every line twice.
-    normal = split_lines.where(F.lower("line").rlike(LETTER)).select("row_no", "doc_id", "doc", "line_no", F.xxhash64("line").alias("raw"), normalised(F.col("line")).alias("normal"))
+    normal = split_lines.where(F.lower("line").rlike(LETTER)).select("doc_id", "doc", "line_no", F.xxhash64("line").alias("raw"), normalised(F.col("line")).alias("normal"))
     hashed = normal.withColumn("node", F.xxhash64("normal")).withColumn("size", F.length("normal"))
-    lines = stored(with_simhash(hashed).drop("row_no"), "lines")
+    lines = stored(with_simhash(hashed), "lines")
     # Rows without id come last among equals, so that any id precedes them.
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "doc", "line_no")
     known = stored(
